@@ -6,8 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patchlens.llm.host_rules import host_rules
-from patchlens.llm.mixing import mix_sources
 from patchlens.llm.common import cut, n_words
+from patchlens.llm.mixing import mix_sources
+from patchlens.llm.packing import pack
+from patchlens.llm.token_counts import count_tokens
+
+#: The tokenizer file of the queries; operators take a path.
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def _vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,13 +29,21 @@ def op4_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules(_documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_documents(spark, sf_dir), _vocabulary()).drop("ids")
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_documents(spark, sf_dir), _vocabulary())
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = cut(_documents(spark, sf_dir).select("doc_id", "source", n_words(F.col("text")).alias("size")))
     return mix_sources(sizes, size_col="size").select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict:
-    return {"op4_host_quality_rules": op4_host_quality_rules, "op8_source_mix": op8_source_mix}
+    return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
