@@ -12,6 +12,7 @@ from patchlens.llm.language_id import identify
 from patchlens.llm.lz_fingerprint import lz_fingerprints
 from patchlens.llm.mixing import mix_sources
 from patchlens.llm.packing import pack
+from patchlens.llm.pii import PATTERNS, find_personal_data, spans_text
 from patchlens.llm.token_counts import count_tokens
 
 #: The tokenizer file of the queries; operators take a path.
@@ -40,6 +41,12 @@ def op5_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), _vocabulary()).drop("ids")
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(_documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["kind"] < len(PATTERNS))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_documents(spark, sf_dir), _vocabulary())
 
