@@ -12,14 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patchlens.llm.common import partitions, small_batches
+from patchlens.llm.hashing import piece_hashes
 
 #: Minimum hashes in a fingerprint.
 SIGNATURE = 128
-#: Code points hashed at once.
-BLOCK = 1 << 19
-#: An odd multiplier; its powers weigh the code points of a phrase.
-BASE = 0x9E3779B97F4A7C15 | 1
-
 
 def phrases(text: str, seen: set[str], at: int, end: int) -> tuple[list[int], int]:
     """Ends of the phrases of text[at:end], and where the rest begins that is a known phrase.
@@ -56,35 +52,11 @@ def phrases(text: str, seen: set[str], at: int, end: int) -> tuple[list[int], in
     return ends, at
 
 
-_POWERS = np.cumprod(np.concatenate([[np.uint64(1)], np.full(BLOCK, BASE, np.uint64)]))
-_BACK = np.cumprod(np.concatenate([[np.uint64(1)], np.full(BLOCK, pow(BASE, -1, 1 << 64), np.uint64)]))
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def phrase_hashes(text: str, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 32-bit hash of each piece text[start:end], in vector operations over blocks."""
-    out = np.empty(len(starts), np.uint32)
-    i = 0
-    while i < len(starts):
-        a = int(starts[i])
-        j = max(i + 1, int(np.searchsorted(ends, a + BLOCK, "right")))
-        b = int(ends[j - 1])
-        points = np.frombuffer(text[a:b].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        if b - a <= BLOCK:
-            sums = np.zeros(b - a + 1, np.uint64)
-            np.cumsum((points + np.uint64(1)) * _POWERS[: b - a], out=sums[1:])
-            s, e = starts[i:j] - a, ends[i:j] - a
-            h = (sums[e] - sums[s]) * _BACK[s]
-        else:  # one phrase longer than a block
-            h = np.array([int.from_bytes(hashlib.blake2b(points.tobytes(), digest_size=8).digest(), "little")], np.uint64)
-        out[i:j] = (_mixed(h) >> np.uint64(32)).astype(np.uint32)
-        i = j
-    return out
+def phrase_hashes(text: str, ends: list[int]) -> np.ndarray:
+    """A 32-bit hash of each phrase; each starts where the one before ends."""
+    e = np.array(ends, np.int64)
+    points = np.frombuffer(text[: ends[-1]].encode("utf-32-le", "surrogatepass"), np.uint32) if ends else e
+    return (piece_hashes(points, np.concatenate([[0], e[:-1]]), e) >> np.uint64(32)).astype(np.uint32) if ends else np.zeros(0, np.uint32)
 
 
 def signature(hashes: np.ndarray, k: int = SIGNATURE) -> np.ndarray:
@@ -102,9 +74,7 @@ def likeness(a: np.ndarray, b: np.ndarray, k: int = SIGNATURE) -> float:
 
 
 def fingerprint(text: str, k: int = SIGNATURE) -> np.ndarray:
-    ends, _ = phrases(text, set(), 0, len(text))
-    e = np.array(ends, np.int64)
-    return signature(phrase_hashes(text, np.concatenate([[0], e[:-1]]) if len(e) else e, e), k)
+    return signature(phrase_hashes(text, phrases(text, set(), 0, len(text))[0]), k)
 
 
 def edited_fingerprints(text: str, head: str, k: int = SIGNATURE) -> tuple[np.ndarray, np.ndarray]:
@@ -114,15 +84,13 @@ def edited_fingerprints(text: str, head: str, k: int = SIGNATURE) -> tuple[np.nd
     seen: set[str] = set()
     common, at = phrases(text, seen, 0, kept)
     more, _ = phrases(text, seen, at, n)
-    ends = np.array(common + more, np.int64)
-    hashes = phrase_hashes(text, np.concatenate([[0], ends[:-1]]) if len(ends) else ends, ends)
+    hashes = phrase_hashes(text, common + more)
     before = at
     for e in more:
         seen.discard(text[before:e])
         before = e
     tail = text[at:kept] + head
-    last = np.array(phrases(tail, seen, 0, len(tail))[0], np.int64)
-    new = phrase_hashes(tail, np.concatenate([[0], last[:-1]]) if len(last) else last, last)
+    new = phrase_hashes(tail, phrases(tail, seen, 0, len(tail))[0])
     return signature(hashes, k), signature(np.concatenate([hashes[: len(common)], new]), k)
 
 
