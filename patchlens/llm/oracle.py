@@ -43,3 +43,27 @@ select doc_id, size, source_size, target,
   (greatest(0, least(size, budget - start)) + greatest(0, least(size, budget - source_size - start)))::bigint as taken
 from o
 """
+
+
+def _components(width: int, percent: int) -> str:
+    """Links by brute force over shared shingles, components by a recursive walk."""
+    gram = " || ' ' || ".join(f"w[i + {k}]" for k in range(width))
+    return rf"""
+with recursive t as (select doc_id, {_WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as w from documents),
+s as (
+  select distinct doc_id, g from (
+    select doc_id, {gram} as g from (select doc_id, w, unnest(range(1, len(w) - {width - 2})) as i from t where len(w) >= {width})
+    union all select doc_id, list_aggregate(w, 'string_agg', ' ') from t where len(w) between 1 and {width - 1}
+  )
+),
+n as (select doc_id, count(*)::bigint as n from s group by doc_id),
+c as (select x.doc_id as a, y.doc_id as b, count(*) as k from s x join s y on x.g = y.g and x.doc_id < y.doc_id group by 1, 2),
+l as (select a, b from c join n p on p.doc_id = a join n q on q.doc_id = b where 100 * k >= {percent} * (p.n + q.n - k)),
+e as (select a, b from l union all select b, a from l),
+reach as (select doc_id as a, doc_id as b from t union select reach.a, e.b from reach join e on reach.b = e.a),
+comp as (select a as doc_id, min(b) as component_id from reach group by a)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id from t left join n using (doc_id) join comp using (doc_id)
+"""
+
+
+op1_ngram_jaccard_join = _components(3, 90)

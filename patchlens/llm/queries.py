@@ -11,6 +11,7 @@ from patchlens.llm.common import cut, n_words
 from patchlens.llm.language_id import identify
 from patchlens.llm.lz_fingerprint import lz_fingerprints
 from patchlens.llm.mixing import mix_sources
+from patchlens.llm.ngram_join import similar_components
 from patchlens.llm.packing import pack
 from patchlens.llm.pii import PATTERNS, find_personal_data, spans_text
 from patchlens.llm.token_counts import count_tokens
@@ -29,6 +30,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_components(_documents(spark, sf_dir), width=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
 def op2_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_fingerprints(_documents(spark, sf_dir))
 
