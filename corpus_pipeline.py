@@ -1,10 +1,80 @@
-"""The corpus pipeline: documents to packed training sequences."""
+"""The corpus pipeline: documents to packed training sequences, in five stages."""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from patchlens.llm.common import cut, shared_folder
+from patchlens.llm.language_id import identify
+from patchlens.llm.mixing import mix_sources, take_words
+from patchlens.llm.ngram_join import similar_components
+from patchlens.llm.packing import pack
+from patchlens.llm.pii import find_personal_data
+from patchlens.llm.queries import vocabulary
+
+#: Of the documents that go as copies, ids up to which they are broadcast (some 16 bytes each).
+BROADCAST_IDS = 500_000
+
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language, with `lang` as identified from the text.
+
+    Rejected are documents without a letter, and those whose language has a posterior under one half.
+    """
+    found = identify(docs, keep=("text", "source", "n_chars"))
+    return found.filter("lang_pred <> 'und' and score >= 0.5").select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
+
+
+def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more): that of the least id.
+
+    Rows equal in id and text count once; a repeated id stays if any row of that id does.
+    """
+    found = similar_components(docs)
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    ids = found.groupBy("doc_id").agg(F.bool_or(kept).alias("stays"), F.count("*").alias("rows"))
+    odd = cut(ids.filter("not stays or rows > 1").toDF("odd_id", "stays", "rows"))
+    small = odd.count() <= BROADCAST_IDS
+    j = docs.join(F.broadcast(odd) if small else odd, docs["doc_id"].eqNullSafe(F.col("odd_id")), "left")
+    columns = docs.columns
+    single = j.filter("rows is null").select(*columns)
+    repeated = j.filter("stays and rows > 1").select(*columns).dropDuplicates(["doc_id", "text"])
+    return single.unionByName(repeated)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their texts sanitised."""
+    found = find_personal_data(docs, sanitised=True, keep=("lang", "source"))
+    return found.select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a row per copy taken; the document at a source's budget is cut there."""
+    taken = take_words(mix_sources(docs, keep=("text", "lang")), others=("lang",))
+    return taken.select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences: a row per piece, with its ids."""
+    return pack(docs, vocabulary())
+
+
+STAGES = [("language_id", languages), ("ngram_jaccard_join", copies), ("personal_data", personal_data), ("source_mix", mixing), ("balanced_packing", packing)]
+
+#: Language models, hash joins and tokenizers are beyond SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`. Each stage's result is written to the shared folder and read again by the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    at = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4()}"
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs.write.parquet(f"{at}/{k}-{name}")
+            docs = spark.read.parquet(f"{at}/{k}-{name}")
+    return docs

@@ -16,18 +16,17 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and go on from the files.
-
-    The folder is the cluster's `spark.checkpoint.dir`; a temporary one is
-    used only where that setting is absent (tests on one machine). The files
-    survive the loss of any executor.
-    """
-    spark = df.sparkSession
-    named = spark.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's `spark.checkpoint.dir`; a temporary folder only where that is not set (tests on one machine)."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared folder and go on from the files, which outlive any executor."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

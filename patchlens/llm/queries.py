@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from patchlens.llm.host_rules import host_rules
 from patchlens.llm.chat_format import digests, format_windows
 from patchlens.llm.common import cut, n_words
+from patchlens.llm.html_main import extract_main
 from patchlens.llm.language_id import identify
 from patchlens.llm.lz_fingerprint import lz_fingerprints
 from patchlens.llm.mixing import mix_sources
@@ -20,7 +21,7 @@ from patchlens.llm.token_counts import count_tokens
 VOCABULARY = "byte_bpe_50k.json"
 
 
-def _vocabulary() -> str:
+def vocabulary() -> str:
     import public_tokenizers
 
     return public_tokenizers.path(VOCABULARY)
@@ -38,12 +39,16 @@ def op2_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_fingerprints(_documents(spark, sf_dir))
 
 
+def op3_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op4_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules(_documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op5_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(_documents(spark, sf_dir), _vocabulary()).drop("ids")
+    return pack(_documents(spark, sf_dir), vocabulary()).drop("ids")
 
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +58,7 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(_documents(spark, sf_dir), _vocabulary())
+    return count_tokens(_documents(spark, sf_dir), vocabulary())
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +76,7 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     odd = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], c.schema)
-    return digests(format_windows(c.unionByName(more), _vocabulary()))
+    return digests(format_windows(c.unionByName(more), vocabulary()))
 
 
 def queries() -> dict:
