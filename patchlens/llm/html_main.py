@@ -20,7 +20,7 @@ PATH, WORD, SHAPE = 96, 32, 6
 #: Blocks that are labelled in one pass; a longer page is cut in stretches that overlap by CONTEXT on each side.
 STRETCH, CONTEXT = 1024, 64
 #: Pages made for training.
-TRAINING_PAGES = 1200
+TRAINING_PAGES = 2000
 
 _PATH_CACHE: Remembering = Remembering({}, lambda path: _path_vector(path), 20_000)
 _WORDS: Remembering = Remembering({}, lambda w: zlib.crc32(w.encode("utf-8", "surrogatepass")) % WORD, 100_000)
@@ -105,14 +105,16 @@ def _page(r: random.Random) -> str:
     count = r.choice([1, 1, 2, 3, 5, 8, 13, 30])
     for i in range(count):
         t = words(r.choice([1, 2, 5, 20, 50, 100]))
-        body.append(r.choice([f"<p>{t}</p>"] * 8 + [f"<h2>{words(3)}</h2><p>{t}</p>", f"<ul><li>{t}</li><li>{words(4)}</li></ul>", f"<blockquote>{t}</blockquote>", f"<p><b>{t}<br><p>{words(9)}</p>", f"<div>{t}</div>", f"<p>{t} <a href=x>{words(2)}</a> {words(4)}</p>", f"<pre>{t}</pre>", f"<table><tr><td>{t}</td><td>{words(2)}</td></tr></table>", f"<figure><figcaption>{t}</figcaption></figure>"]))
+        body.append(r.choice([f"<p>{t}</p>"] * 8 + [f"<h2>{words(3)}</h2><p>{t}</p>", f"<ul><li>{t}</li><li>{words(4)}</li></ul>", f"<blockquote>{t}</blockquote>", f"<p><b>{t}<br><p>{words(9)}</p>", f"<div>{t}</div>", f"<div>{t}</div>", f"<section>{t}</section>", f"<div><p>{t}</p></div>", f"<p>{t} <a href=x>{words(2)}</a> {words(4)}</p>", f"<pre>{t}</pre>", f"<table><tr><td>{t}</td><td>{words(2)}</td></tr></table>", f"<figure><figcaption>{t}</figcaption></figure>"]))
         if r.random() < 0.06:
             body.append(r.choice([advert, notice, sidebar, aside, form, share])())
     if r.random() < 0.25:
         body.append(r.choice([share, comments, sidebar, form])())
     main = "".join(body)
-    kind = r.random()
-    if kind < 0.55:
+    kind, bare = r.random(), 0
+    if kind < 0.08:
+        bare = 1
+    elif kind < 0.55:
         main = classed("article", ["post", "article", "entry", "story"], 1, main, 0.8)
         main = main if r.random() < 0.7 else f"<main>{main}</main>"
     elif kind < 0.7:
@@ -124,7 +126,7 @@ def _page(r: random.Random) -> str:
     inner = before + main + after
     if r.random() < 0.4:
         inner = f'<div class="{r.choice(["wrapper", "page", "container", "row"])}">{inner}</div>'
-    return f'<html><head><title>x</title></head><body data-k="0">{inner}</body></html>'
+    return f'<html><head><title>x</title></head><body data-k="{bare}">{inner}</body></html>'
 
 
 @functools.lru_cache(1)

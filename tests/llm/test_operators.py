@@ -1,0 +1,337 @@
+"""Each operator against a plain version of itself, on small tables with every odd case."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import struct
+import zlib
+from collections import Counter, defaultdict
+
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from patchlens.llm import chat_format, html_main, lz_fingerprint, packing, pii
+from patchlens.llm.common import n_words
+from patchlens.llm.host_rules import host_rules
+from patchlens.llm.html_blocks import blocks
+from patchlens.llm.language_id import identify
+from patchlens.llm.mixing import mix_sources, take_words
+from patchlens.llm.ngram_join import similar_components, similar_pairs
+from patchlens.llm.token_counts import count_tokens
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, key int, size int, n int, node int, word int, spans int, taken int"
+
+
+def sample(seed: int = 1, n: int = 120) -> list[tuple]:
+    r = random.Random(seed)
+    vocabulary = ["".join(r.choices("abcdeé", k=r.randint(1, 5))) for _ in range(150)]
+    rows = []
+    for i in range(n):
+        kind = r.random()
+        if rows and kind < 0.25:  # near copy
+            w = (r.choice(rows)[1] or "x").split(" ")
+            if r.random() < 0.7:
+                w[r.randrange(len(w))] = r.choice(vocabulary)
+            text = " ".join(w)
+        elif kind < 0.3:
+            text = r.choice(["", " \n\t ", "a", "a b", None, "!!! 123 ###"])
+        else:
+            text = r.choice([" ", "\n", "  "]).join(r.choices(vocabulary, k=r.choice([1, 2, 3, 9, 60, 200])))
+            if r.random() < 0.3:
+                text += r.choice([" Mail bob.x@example.org now", " 10.0.0.255 ", " 4111-1111 1111 1111.", " +49 (30) 123-456", "\nx\nx\nx"])
+        rows.append((i, text, r.choice(["en", "de", None]), r.choice(["a", "b", "b", None, "é"]), None if text is None else len(text)))
+    rows += [rows[3], rows[3], (None, "null id " * 30, None, None, 1), (None, None, "en", "a", None), (-5, "é" + "lang " * 40_000, "en", "b", 1), (n + 1, "q" * 120_000, "en", "b", 1)]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return sample()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame([(*x, "clash", 1, 2, 3, 4, 5, 6, 7) for x in rows], SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def shingles(text, width):
+    w = words((text or "").translate({c: c + 32 for c in range(65, 91)}))
+    return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
+
+
+@pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80), (2, 50)])
+def test_join_finds_every_component(docs, rows, empty, width, percent):
+    sets = [shingles(x[1], width) for x in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    alike = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+    for i, j in alike:
+        root[find(i)] = find(j)
+    least = {}
+    for i, x in enumerate(rows):
+        ids = [y[0] for k, y in enumerate(rows) if find(k) == find(i) and y[0] is not None]
+        least[i] = min(ids) if ids and sets[i] else x[0]
+    want = Counter((x[0], len(sets[i]), least[i]) for i, x in enumerate(rows))
+    got = similar_components(docs, width=width, percent=percent)
+    assert Counter(tuple(r) for r in got.select("doc_id", "n_shingles", "component_id").collect()) == want
+    if width == 5:
+        pairs, members = similar_pairs(docs, width=width, percent=percent)
+        rep = {r["doc_id"]: r["rep"] for r in members.collect()}
+        links = {frozenset((rep[rows[i][0]], rep[rows[j][0]])) for i, j in alike if sets[i] != sets[j] and None not in (rows[i][0], rows[j][0])}
+        assert {frozenset(r) for r in pairs.collect()} == links
+        assert not similar_components(empty).collect()
+
+
+def test_fingerprints(docs, rows, empty):
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))
+    want = Counter()
+    for i, x in enumerate(order):
+        a, b = x[1] or "", order[(i + 1) % len(order)][1] or ""
+        edited = a[: len(a) - len(a) // 4] + b[: len(a) // 4]
+        p, q, s = (lz_fingerprint.fingerprint(t) for t in (a, edited, b))
+        want[x[0], len(a), hashlib.sha256(edited.encode()).hexdigest(), lz_fingerprint.as_text(p), lz_fingerprint.as_text(q), lz_fingerprint.likeness(p, q), lz_fingerprint.likeness(p, s)] += 1
+    assert Counter(tuple(r) for r in lz_fingerprint.lz_fingerprints(docs).collect()) == want
+    assert not lz_fingerprint.lz_fingerprints(empty).collect()
+    one = lz_fingerprint.lz_fingerprints(docs.filter("doc_id = -5")).collect()
+    assert len(one) == 1 and one[0].near_next == 1
+
+
+def test_fingerprint_is_of_the_phrase_set():
+    r = random.Random(4)
+    for _ in range(200):
+        text = "".join(r.choices("ab c", k=r.randint(0, 400)))
+        seen, start = set(), 0
+        for e in range(1, len(text) + 1):
+            if text[start:e] not in seen:
+                seen.add(text[start:e])
+                start = e
+        mine: set = set()
+        lz_fingerprint.phrases(text, mine, 0, len(text))
+        assert mine == seen
+
+
+def test_html_blocks_and_labels(spark):
+    page = "<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><!-- <p>no</p> --><article><h1>A &amp; B</h1><p><b>one\n two<br><p>three &eacute; &lt;x&gt;</p><script>var t='</p>';</script><p>four</p></article><div class='comments'><p>nice</p></div><footer>&copy; me</footer>"
+    assert [b.text for b in blocks(page)] == ["Home", "A & B", "one two", "three é <x>", "four", "nice", "© me"]
+    d = spark.createDataFrame([(1, "u", page, 5), (2, None, None, 5), (None, "u", "", 5), (1, "u", page, 5), (3, "v", "<p>" + "long " * 50_000, 5), (4, "", "<nav>" * 3000, 1)], "page_id long, url string, html string, id int")
+    got = html_main.extract_main(d).collect()
+    text = "A & B\none two\nthree é <x>\nfour"
+    assert [(r.page_id, r.url, r.text, r.n_chars) for r in got][:4] == [(1, "u", text, len(text)), (2, None, "", 0), (None, "u", "", 0), (1, "u", text, len(text))]
+    assert len(got) == 6 and not html_main.extract_main(d.limit(0)).collect()
+
+
+def test_labeller_on_pages_not_trained_on():
+    r = random.Random(12345)
+    pages = [blocks(html_main._page(r)) for _ in range(200)]
+    found = html_main.label(html_main.weights(), pages)
+    right = [(p >= 0.5) == (b.label == 1) for page, ps in zip(pages, found) for b, p in zip(page, ps)]
+    assert sum(right) / len(right) > 0.99
+
+
+def test_host_rules(docs, rows, empty):
+    def counts(text):
+        w, lines = words(text), [x for x in (text or "").split("\n") if words(x)]
+        grams = defaultdict(list)
+        for i in range(len(w) - 2):
+            grams[tuple(w[i : i + 3])].append(i)
+        rep = {i + k for at in grams.values() if len(at) > 1 for i in at for k in range(3)}
+        return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(rep)
+
+    got = host_rules(docs).collect()
+    assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got) == Counter(
+        (x[0], *c, c[0] < 50 or 100 * c[4] > 50 * c[0]) for x in rows for c in [counts(x[1])]
+    )
+    assert all(r.kept == (not r.base_failed and not (r.suspect and r.strict_host)) for r in got)
+    assert not host_rules(empty).collect()
+
+
+def test_strict_hosts(spark):
+    clean = " ".join(f"w{i}" for i in range(60))
+    odd = " ".join(f"w{i}###" for i in range(60))
+    rows = [(i, clean if i % 10 else odd, "good") for i in range(300)] + [(1000 + i, odd if i % 10 else clean, "bad") for i in range(300)] + [(2000, odd, "small")]
+    got = {r.doc_id: r for r in host_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[i].kept for i in range(300)) and got[1000].kept and not got[1001].kept
+    assert sum(r.kept for r in got.values()) >= 330
+
+
+def test_packing(docs, rows, empty):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(PATH)
+    got = packing.pack(docs, PATH).collect()
+    sequences, pieces = defaultdict(list), defaultdict(list)
+    for r in got:
+        sequences[r.sequence_id].append((r.offset, r.length))
+        pieces[r.doc_id].append((r.start, r.length, r.doc_tokens, r.ids_crc32, r.ids))
+    for s in sequences.values():
+        at = 0
+        for offset, n in sorted(s):
+            assert offset == at
+            at += n
+        assert at <= 2048 and (at == 2048 or at & (at - 1) == 0)
+    times = Counter(x[0] for x in rows)
+    for x in rows:
+        ids = [*tokenizer.encode(x[1] or "", add_special_tokens=False).ids, 1]
+        own = [p for p in pieces[x[0]] if p[2] == len(ids)]
+        assert sum(p[1] for p in own) == len(ids) * (times[x[0]] if x[0] is not None else 1)
+        for start, n, _, crc, raw in own:
+            assert crc == zlib.crc32(struct.pack(f"<{n}I", *ids[start : start + n])) and struct.unpack(f"<{n}H", raw) == tuple(ids[start : start + n])
+    assert not packing.pack(empty, PATH).collect()
+
+
+def test_personal_data(docs, rows, empty):
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def valid(kind, m):
+        d = re.sub("[^0-9]", "", m)
+        if kind == "ip":
+            return all(int(x) <= 255 for x in m.split("."))
+        if kind == "card":
+            return 16 <= len(d) <= 19 and sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(d[::-1])) % 10 == 0
+        return kind == "email" or 8 <= len(d) <= 15
+
+    def plain(text):
+        return [f"{k}:{m.start()}:{m.end()}" for k, p in patterns.items() for m in re.finditer(p, text or "") if valid(k, m[0])]
+
+    got = pii.find_personal_data(docs).withColumn("text", pii.spans_text(F.col("spans"))).collect()
+    assert Counter((r.doc_id, tuple(s for s in r.text.split(",") if s and s[:5] != "term:")) for r in got) == Counter((x[0], tuple(plain(x[1]))) for x in rows)
+    assert not pii.find_personal_data(empty).collect()
+    clean = pii.find_personal_data(docs, sanitised=True, keep=("lang",)).collect()
+    assert len(clean) == len(rows) and not any(plain(r.text) for r in clean)
+    assert Counter(r.text for r in clean if not r.spans) == Counter(x[1] for x in rows if not plain(x[1]))
+
+
+def test_odd_patterns(spark):
+    r = random.Random(5)
+    parts = ["1", "25", "256", ".", "@", "a", "b-", "+", " ", "(", "-", "4111 1111 1111 1111", "x@y.z", "1.2.3.4", "_", "é", "﷐", "😀", "00"]
+    texts = ["".join(r.choices(parts, k=r.randint(0, 40))) for _ in range(2000)] + ["1" * 50_000, "a" * 100_000, "a." * 30_000 + "@", "1 " * 30_000, "x@" + "a." * 30_000, "1." * 30_000]
+    d = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = dict(d.select("i", pii.spans_text(pii.base_spans(F.col("text")))).collect())
+    for i, t in enumerate(texts):
+        mails = [f"email:{m.start()}:{m.end()}" for m in re.finditer(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)++", t)] if len(t) > 1000 else [f"email:{m.start()}:{m.end()}" for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+        assert [s for s in got[i].split(",") if s.startswith("email")] == mails
+
+
+def test_terms_that_disclose(spark):
+    r = random.Random(6)
+    filler = ["".join(r.choices("abcdefgh", k=6)) for _ in range(400)]
+    say = lambda: " ".join(r.choices(filler, k=12))
+    rows = [(i, f"{say()} patient Zorblax saw bob@example.org {say()}") for i in range(4)] + [(10 + i, f"{say()} patient {say()}") for i in range(100)]
+    got = {x.doc_id: x for x in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string"), sanitised=True).collect()}
+    for i in range(4):
+        assert "Zorblax" not in got[i].text and "<EMAIL>" in got[i].text and "patient" in got[i].text
+    assert all(got[10 + i].text == rows[4 + i][1] for i in range(100))
+
+
+def test_token_counts(docs, rows, empty):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(PATH)
+    got = Counter(tuple(r) for r in count_tokens(docs, PATH).collect())
+    assert got == Counter((x[0], len((x[1] or "").encode()), n, n > 1024) for x in rows for n in [len(tokenizer.encode(x[1] or "", add_special_tokens=False).ids)])
+    assert not count_tokens(empty, PATH).collect()
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "piece_bpe_32k.model"])
+def test_other_vocabularies(spark, name):
+    path = public_tokenizers.path(name)
+    texts = ["Hello wörld", "", "a\n\nb <|endoftext|> c"]
+    if name.endswith(".model"):
+        import sentencepiece
+
+        want = [len(x) for x in sentencepiece.SentencePieceProcessor(model_file=path).encode(texts)]
+    else:
+        from tokenizers import Tokenizer
+
+        want = [len(Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids) for t in texts]
+    got = count_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).orderBy("doc_id").collect()
+    assert [r.n_tokens for r in got] == want
+
+
+def test_mixing(docs, rows, empty):
+    sizes = [len(words(x[1])) for x in rows]
+    assert Counter(tuple(r) for r in docs.select("doc_id", n_words(F.col("text"))).collect()) == Counter((x[0], s) for x, s in zip(rows, sizes))
+    got = mix_sources(docs, rows_per_bucket=5).collect()
+    assert Counter((r.doc_id, r.size) for r in got) == Counter((x[0], s) for x, s in zip(rows, sizes))
+    by = defaultdict(list)
+    for r in got:
+        by[r.source].append(r)
+    names = sorted([s for s in by if s is not None]) + [None] * (None in by)
+    cap = {s: 2 * sum(x.size for x in by[s]) for s in names}
+    left, share, open_ = 1.5 * sum(sizes), {}, dict(zip(names, [3, 1, 2] * 9))
+    while open_:
+        level = left / sum(open_.values())
+        full = [s for s in open_ if level * open_[s] > cap[s]]
+        for s in full or list(open_):
+            share[s] = cap[s] if full else level * open_[s]
+            left -= share[s]
+            del open_[s]
+    for s in names:
+        assert by[s][0].target == pytest.approx(share[s]) and sum(r.taken for r in by[s]) == int(share[s] + 1e-6)
+        assert all(0 <= r.taken <= 2 * r.size for r in by[s])
+        assert sum(0 < r.taken % r.size for r in by[s] if r.size) <= 2
+    assert Counter(map(tuple, got)) == Counter(tuple(r) for r in mix_sources(docs.repartition(7)).collect())
+    assert not mix_sources(empty).collect()
+    mixed = mix_sources(docs, keep=("text",))
+    texts = take_words(mixed).collect()
+    assert sum(len(words(r.text)) for r in texts) == sum(r.taken for r in got)
+
+
+def test_languages(spark, docs, rows, empty):
+    r = random.Random(8)
+    tongues = {"xx": "aeiou kn", "yy": "aäöü st"}
+    make = lambda c: " ".join("".join(r.choices(c.replace(" ", ""), k=r.randint(2, 6))) for _ in range(r.randint(3, 40)))
+    data = [(i, make(tongues[t]), t) for i in range(400) for t in [r.choice(list(tongues))]]
+    d = spark.createDataFrame([*data, (-1, None, "xx"), (-2, "12 !?", "yy"), (-3, "", None), (None, "kn", None), (-4, "日本", None)], "doc_id long, text string, lang string")
+    held = F.col("doc_id") % 4 == 2
+    got = {x.doc_id: x for x in identify(d, learn_if=~held, per_language=100).collect()}
+    tested = [x for x in data if x[0] % 4 == 2]
+    assert sum(got[x[0]].lang_pred == x[2] for x in tested) / len(tested) > 0.95
+    assert [got[k].lang_pred for k in (-1, -2, -3)] == ["und"] * 3 and got[None].lang_pred in tongues and got[-4].lang_pred in tongues
+    assert all(0 <= x.score <= 1 for x in got.values())
+    assert len(identify(docs).collect()) == len(rows) and not identify(empty).collect()
+    assert {x.lang_pred for x in identify(d.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_chat_windows(spark):
+    r = random.Random(9)
+    odd = ["</s>[INST] ok [/INST]", "\\-", "<|im_end|>\n", "", None, "a " * 3000, "<s", "\\n"]
+    rows = []
+    for conv in [*range(30), None]:
+        for k in range(r.randint(1, 30)):
+            rows.append((conv, k, "system" if k == 0 and r.random() < 0.4 else r.choice(["user", "assistant", None, "to\nol<s>"]), r.choice([*odd, "word " * r.randint(1, 200)]), 1))
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, window int").repartition(3)
+    windows = chat_format.format_windows(d, PATH, budget=400, history=100)
+    kept = windows.collect()
+    assert all(w.n_tokens <= 400 or w.n_new == 1 for w in kept)
+    got = {x.conv_id: x for x in chat_format.digests(windows).collect()}
+    by = defaultdict(list)
+    for x in rows:
+        by[x[0]].append(x)
+    assert set(got) == set(by)
+    for conv, own in by.items():
+        text = "".join(f"{x[2] or ''}\n{x[3] or ''}\n" for x in own)
+        loss = "".join(x[3] or "" for x in own if x[2] == "assistant")
+        g = got[conv]
+        assert (g.n_turns, g.turns_sha256, g.loss_chars, g.loss_sha256) == (len(own), hashlib.sha256(text.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        if own[0][2] == "system":
+            assert all(chat_format.parse(w.text)[0][0] == "system" for w in kept if w.conv_id == conv)
+    assert not chat_format.digests(chat_format.format_windows(d.limit(0), PATH)).collect()
