@@ -218,3 +218,34 @@ def locate_suffix(lines: Column, text: Column, length: int = 30) -> Column:
 def prompt(source: Column, patch: Column, assembly: Column) -> Column:
     """A question about one function, its patch and a disassembly, as JSON."""
     return F.to_json(F.struct(F.lit("Does the binary function contain the patch? Answer yes or no.").alias("question"), F.array_join(normalize_src_lines(source), "\n").alias("source"), patch.alias("patch"), F.array_join(normalize_asm_lines(assembly), "\n").alias("assembly")))
+
+
+def trimmed_record(df, numeric: dict[str, str] = {}):  # noqa: B006
+    """All string columns stripped; the named ones cast, with empty, zero and unreadable values as null."""
+    out = []
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        if name in numeric:
+            c = F.nullif(strip(c.cast("string")).try_cast(numeric[name]), F.lit(0).cast(numeric[name]))
+        elif kind == "string":
+            c = strip(c)
+        out.append(c.alias(name))
+    return df.select(*out)
+
+
+def arg_max_label(scores: Column) -> Column:
+    """Struct of an array of logits: label (0-based, the first of equals) and its softmax probability."""
+    most = F.array_max(scores)
+    total = F.aggregate(scores, F.lit(0.0), lambda a, x: a + F.exp(x - most))
+    return F.struct((F.array_position(scores, most) - 1).cast("int").alias("label"), (F.lit(1.0) / total).alias("prob"))
+
+
+def function_key(path: Column, name: Column) -> Column:
+    """Path below the last `__tmp/`, without `./`, two underscores, name."""
+    return F.concat(F.regexp_replace(F.substring_index(path, "__tmp/", -1), r"^\./", ""), F.lit("__"), name)
+
+
+def line_position(text: Column) -> Column:
+    """Struct path, line_number, is_discriminator of `path:line` or `path:line (discriminator n)`."""
+    path, number = F.regexp_extract(text, r"^(.*):([^:]*)$", 1), F.regexp_extract(text, r"^(.*):([^:]*)$", 2)
+    return F.struct(path.alias("path"), F.substring_index(F.trim(number), " ", 1).try_cast("int").alias("line_number"), F.contains(F.trim(number), F.lit(" ")).alias("is_discriminator"))

@@ -126,3 +126,14 @@ def latest_change(spans: DataFrame, lines: DataFrame) -> DataFrame:
     """Per span (file, start, end) the latest time of its lines (file, line_no, time); null if its first line has none."""
     j = spans.join(lines, "file", "left").filter(F.col("line_no").between(F.col("start"), F.col("end")) | F.col("line_no").isNull())
     return spans.join(j.groupBy("file", "start", "end").agg(F.when(F.bool_or(F.col("line_no") == F.col("start")), F.max("time")).alias("time")), ["file", "start", "end"], "left")
+
+
+def ground_truth(cases: DataFrame) -> DataFrame:
+    """has_vul_function if the case names functions; has_vul if it isn't fixed besides. names: array; is_fixed."""
+    named = F.coalesce(F.size("names") > 0, F.lit(False))
+    return cases.withColumn("has_vul_function", named).withColumn("has_vul", named & ~F.coalesce(F.col("is_fixed"), F.lit(False)))
+
+
+def large_enough(df: DataFrame, codes: str, least: int, strict: bool = False) -> DataFrame:
+    """Functions of at least (or, strictly, of more than) `least` instructions or lines."""
+    return df.filter(F.size(codes) > least if strict else F.size(codes) >= least)

@@ -114,3 +114,32 @@ def line_to_asm(mappings: DataFrame) -> DataFrame:
     """One row per mapping whose source line is known: its line, text and instructions."""
     m = mappings.select("binary", "function_name", "mapping_no", F.col("src_line").alias("line_number"), "is_discriminator", "asm_codes")
     return m.join(source_lines(mappings), ["binary", "function_name", "line_number"])
+
+
+def any_text_section(lines: DataFrame) -> DataFrame:
+    """Lines of the section `.text`, or else of the first one whose name starts with it, without its header and the blank line after."""
+    name = F.regexp_extract("line", r"^Disassembly of section (.*):$", 1)
+    order = W.partitionBy("binary").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow)
+    d = lines.withColumn("section", F.last(F.when(F.col("line").startswith(SECTION), name), ignorenulls=True).over(order)).filter(F.col("section").startswith(".text"))
+    rank = F.struct((F.col("section") != ".text").alias("other"), F.col("line_no").alias("at"), F.col("section").alias("section"))
+    d = d.withColumn("first", F.min(rank).over(W.partitionBy("binary"))).filter(F.col("section") == F.col("first.section"))
+    d = d.withColumn("k", F.row_number().over(W.partitionBy("binary").orderBy("line_no")))
+    return d.filter("k > 2").select("binary", "line_no", "line")
+
+
+def snippets(lines: DataFrame, home: str = "/home") -> DataFrame:
+    """Per function, snippets opened by a line below `home` or /usr/; those without instructions are left out.
+
+    lines: split_functions' rows. Before the first instruction lines are source.
+    """
+    opens = F.col("line").startswith(home) | F.col("line").startswith("/usr/")
+    order = W.partitionBy("binary", "function_no").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow)
+    d = lines.withColumn("opens", opens).withColumn("snippet_no", F.sum(F.col("opens").cast("int")).over(order))
+    d = d.withColumn("is_asm", F.col("line").rlike(LOOSE_ASM_LINE))
+    own = W.partitionBy("binary", "function_no", "snippet_no").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow)
+    d = d.withColumn("seen", F.max(F.col("is_asm").cast("int")).over(own))
+    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("line_no", "line")))), lambda x: x["line"])
+    g = d.groupBy("binary", "function_no", "function_name", "snippet_no").agg(
+        F.max(F.when(F.col("opens"), F.col("line"))).alias("line_position"), ordered((F.col("seen") == 0) & ~F.col("opens")).alias("src_lines"), ordered(F.col("is_asm")).alias("asm_lines")
+    )
+    return g.filter(F.size("asm_lines") > 0)

@@ -108,3 +108,24 @@ def best(df: DataFrame, keys: list[str], score: str, least: float, ties: list[st
     """Each key's first row of highest score among those of at least `least`; a key without any has no row."""
     w = W.partitionBy(*keys).orderBy(F.col(score).desc(), *ties)
     return df.filter(F.col(score) >= least).withColumn("r__", F.row_number().over(w)).filter("r__ = 1").drop("r__")
+
+
+def expand_context(df: DataFrame, keys: list[str], order: str, items: str, answer: str, budget: int) -> DataFrame:
+    """Groups of items around the answer's group until there are `budget` items: left and right in turn, whole groups.
+
+    Per key one row: items, and the answer's first and last place in them.
+    Each group gets the number of the turn at which it would be added (1, 3, 5
+    to the left, 2, 4, 6 to the right); a running sum over the turns says
+    which come before the budget is reached. When a side is used up the other goes on.
+    """
+    own = W.partitionBy(*keys)
+    at = F.max(F.when(F.col(answer), F.col(order))).over(own)
+    d = df.withColumn("side__", F.when(F.col(order) < at, -1).when(F.col(order) > at, 1).otherwise(0)).withColumn("n__", F.size(items))
+    away = F.row_number().over(W.partitionBy(*keys, "side__").orderBy(F.when(F.col("side__") < 0, -F.col(order)).otherwise(F.col(order))))
+    d = d.withColumn("turn__", F.when(F.col("side__") == 0, 0).when(F.col("side__") < 0, 2 * away - 1).otherwise(2 * away))
+    before = F.coalesce(F.sum("n__").over(own.orderBy("turn__").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    kept = d.withColumn("before__", before).filter((F.col("turn__") == 0) | (F.col("before__") < budget))
+    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(items).alias("i"))))
+    left = F.coalesce(F.sum(F.when(F.col("side__") < 0, F.col("n__"))), F.lit(0))
+    size = F.sum(F.when(F.col("side__") == 0, F.col("n__")))
+    return kept.groupBy(*keys).agg(F.flatten(F.transform(parts, lambda x: x["i"])).alias(items), left.alias("answer_start"), (left + size - 1).alias("answer_end"))

@@ -163,26 +163,68 @@ def positioning_items(df: DataFrame) -> DataFrame:
     return d.filter((n >= 5) & (F.size("asm_codes") <= 50) & (a > 2 * n) & (a < 10 * n))
 
 
-def grown_texts(src: list[str], asm: list[str], most: int = 1000) -> tuple[str, str]:
-    """Both lists grown together until either runs out or the text passes `most` characters.
+def grown_text(src: list[str], asm: list[str], marks: tuple[str, str, str], most: int = 1000) -> str:
+    """Source and instructions as one text, from one line and three instructions on, grown until either list is used up or the text passes `most` characters.
 
-    Each step takes a source line (two if it is one character or a literal) and round(asm/src) instructions.
+    Each step adds a line (two if it is one character or a literal) and as many instructions as there are per line, rounded half to even.
     """
-    if not src:
-        return "", ""
-    each, i, j = round(len(asm) / len(src)), 0, 0
-    while i < len(src) and j < len(asm):
-        i += 2 if len(src[i]) == 1 or src[i] == '"STR"' else 1
-        j += each
-        if len(" ".join(src[:i])) + len(" ".join(asm[:j])) > most or not each:
-            break
-    return " ".join(src[:i]), " ".join(asm[:j])
-
-
-def train_text_udf():
-    @F.pandas_udf("struct<src_text: string, asm_text: string>")
-    def texts(src: pd.Series, asm: pd.Series) -> pd.DataFrame:
-        rows = [grown_texts(list(s) if s is not None else [], list(a) if a is not None else []) for s, a in zip(src, asm)]
-        return pd.DataFrame(rows, columns=["src_text", "asm_text"])
+    lines, ops = 1, 3
+    build = lambda: f"{marks[0]} {' '.join(src[:lines])} {marks[1]} {marks[2]} {' '.join(asm[:ops])}"
+    text = build()
+    each = round(len(asm) / len(src)) if src else 0
+    while src and lines <= len(src) and ops <= len(asm) and (lines == 1 or len(text) <= most):
+        lines += 1
+        newest = src[min(lines, len(src)) - 1]
+        lines += len(newest) == 1 or newest == '"STR"'
+        ops += each
+        text = build()
+    return text
+
+
+def train_text_udf(marks: tuple[str, str, str] = ("[SRC_CODE]", "[SEP]", "[ASM_CODE]")):
+    @F.pandas_udf("string")
+    def texts(src: pd.Series, asm: pd.Series) -> pd.Series:
+        return pd.Series([grown_text(list(s) if s is not None else [], list(a) if a is not None else [], marks) for s, a in zip(src, asm)], dtype=object)
 
     return texts
+
+
+def positive_items(df: DataFrame) -> DataFrame:
+    """Positive items of (src_codes, asm_codes): ten effective lines, and at least two instructions for each."""
+    n = T.effective_line_count(F.col("src_codes"))
+    return df.withColumn("effective", n).filter((F.col("effective") >= 10) & (F.size("asm_codes") >= 2 * F.col("effective"))).withColumn("label", F.lit(1))
+
+
+def body_items(mappings: DataFrame) -> DataFrame:
+    """Per function the instructions after the first mapping whose source has an opening brace (after the last if none does before it)."""
+    parts = F.array_sort(F.collect_list(F.struct("mapping_no", "src_codes", "asm_codes")))
+    g = mappings.groupBy("binary", "function_name").agg(parts.alias("m"))
+    opens = T.first_index(F.col("m"), lambda x: F.exists(x["src_codes"], lambda s: F.contains(s, F.lit("{"))))
+    start = F.least(F.coalesce(opens, F.lit(-1)) + 1, F.size("m") - 1)
+    return g.select("binary", "function_name", F.flatten(F.transform(T.tail(F.col("m"), start), lambda x: x["asm_codes"])).alias("asm_codes"))
+
+
+def long_context_items(df: DataFrame) -> DataFrame:
+    """Items with three lines of more than one token and at most 60 instructions."""
+    several = F.filter("src_codes", lambda x: F.size(F.split(T.strip(x), r"\s+")) > 1)
+    return df.filter((F.size(several) >= 3) & (F.size("asm_codes") <= 60))
+
+
+def usable_choices(df: DataFrame) -> DataFrame:
+    """Choice items with both texts and a wrong option of another function."""
+    return df.filter((F.length("text_0") > 0) & (F.length("text_1") > 0) & (F.col("wrong_type") != 1))
+
+
+def similarity_band(df: DataFrame, column: str = "similarity", low: float = 80, high: float = 98) -> DataFrame:
+    return df.filter((F.col(column) > low) & (F.col(column) < high))
+
+
+def window_items(rows: DataFrame, id_col: str, seed: str = "0") -> DataFrame:
+    """Items from windows of a function's rows (line_number, asm_codes, in order): instructions of all, and the window's lines.
+
+    rows: id_col, items (array of struct line_number, asm_codes).
+    """
+    d = rows.select(id_col, "items", F.posexplode(row_windows(id_col, F.col("items"), seed)).alias("window_no", "w"))
+    lines = F.transform("w", lambda x: x["line_number"])
+    flat = lambda c: F.flatten(F.transform(c, lambda x: x["asm_codes"]))
+    return d.select(id_col, "window_no", flat("w").alias("answer_asm_codes"), flat("items").alias("asm_codes"), F.array_min(lines).alias("first_line"), F.array_max(lines).alias("last_line"))
