@@ -65,6 +65,10 @@ def drop_overlapped(lists: DataFrame, id_col: str, items: str, most: int = 10, m
     return d.select(id_col, F.aggregate("p", zero, step, lambda a: a["out"]).alias(items))
 
 
+#: Ranges that a total order is cut in at most.
+MOST_RANGES = 256
+
+
 def last_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key."""
     w = W.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
@@ -78,12 +82,10 @@ def numbered(df: DataFrame, order: list[str], name: str = "seq_id", rows_per_ran
     numbers) give each range's first place.
     """
     first = order[0]
-    n = max(1, df.count() // rows_per_range)
+    n = min(MOST_RANGES, max(1, df.count() // rows_per_range))
     marks = (df.select(F.percentile_approx(first, [i / n for i in range(1, n)], 10_000)).first()[0] or []) if n > 1 else []
-    bucket = F.lit(0)
-    for m in sorted(set(marks)):
-        bucket += (F.col(first) > F.lit(m)).cast("int")
-    d = df.withColumn("b__", bucket)
+    bounds = F.array(*map(F.lit, sorted(set(marks))))
+    d = df.withColumn("b__", F.size(F.filter(bounds, lambda m: F.col(first) > m)) if marks else F.lit(0))
     sizes = dict(d.groupBy("b__").count().collect())
     at, starts = 0, []
     for b in range(max(sizes, default=0) + 1):

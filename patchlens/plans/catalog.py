@@ -362,8 +362,8 @@ def names_parsed(spark, d):
 
 @query()
 def prompts(spark, d):
-    s = _sources(spark).crossJoin(_binaries(spark).filter("bin_name = 'f'"))
-    return s.select("id", T.prompt(F.col("lines"), F.lit("- a\n+ b"), F.col("asm_codes")).alias("prompt"))
+    asm = F.array(*map(F.lit, fixtures.BINARY[0][1]))
+    return _sources(spark).select("id", T.prompt(F.col("lines"), F.lit("- a\n+ b"), asm).alias("prompt"))
 
 
 # ---- ordered lists ----
