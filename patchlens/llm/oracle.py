@@ -67,3 +67,54 @@ select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id from t left jo
 
 
 op1_ngram_jaccard_join = _components(3, 90)
+
+_KINDS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+_BYTE = "0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+
+
+def _pieces(text: str, pattern: str) -> str:
+    """Text cut at the frames set around matches: every second piece is a match."""
+    return rf"string_split(regexp_replace({text}, '({pattern})', chr(64976) || '\1' || chr(64976), 'g'), chr(64976))"
+
+
+op6_personal_data = rf"""
+with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents),
+p as ({" union all ".join(f"select rid, {k} as k, '{name}' as kind, unnest({_pieces('text', pattern)}) as piece, generate_subscripts({_pieces('text', pattern)}, 1) as i from d" for k, (name, pattern) in enumerate(_KINDS.items()))}),
+q as (select *, coalesce(sum(length(piece)) over (partition by rid, k order by i rows between unbounded preceding and 1 preceding), 0)::bigint as s, regexp_replace(piece, '[^0-9]', '', 'g') as digits from p),
+b as (
+  select rid, k, kind, s, s + length(piece) as e, k || ':' || lower(piece) as entity from q where i % 2 = 0 and case kind
+    when 'email' then true when 'ip' then regexp_full_match(piece, '{_BYTE}(\.{_BYTE}){{3}}') when 'phone' then length(digits) between 8 and 15
+    else length(digits) between 16 and 19 and list_sum(list_transform(regexp_extract_all(reverse(digits), '.'), lambda c, j: case when j % 2 = 1 then c::int when c::int > 4 then 2 * c::int - 9 else 2 * c::int end)) % 10 = 0 end
+),
+c as (select b.*, text, greatest(0, s - 80) as l, least(80, length(text) - e) as n from b join d using (rid)),
+x as (select *, substring(text, l + 1, e + n - l) as context from c),
+sides as (
+  select rid, entity, context, l as off, substring(text, l + 1, s - l) as part, l > 0 as open_left, false as open_right from x
+  union all select rid, entity, context, e, substring(text, e + 1, n), false, e + n < length(text) from x
+),
+w as (select *, unnest({_pieces("part", r"[\p{L}]{4,}")}) as piece, generate_subscripts({_pieces("part", r"[\p{L}]{4,}")}, 1) as i from sides),
+v as (select *, coalesce(sum(length(piece)) over (partition by side_id order by i rows between unbounded preceding and 1 preceding), 0)::bigint as s from (select *, dense_rank() over (order by rid, entity, context, off, part, open_left, open_right) as side_id from w)),
+spots as (
+  select distinct rid, entity, context, lower(piece) as term, off + s as s, off + s + length(piece) as e from v
+  where i % 2 = 0 and not (open_left and s = 0) and not (open_right and s + length(piece) = length(part))
+),
+ce as (select entity, count(distinct context) as c_e from x group by entity),
+pairs as (select entity, term, count(distinct context) as c_te from spots group by entity, term having count(distinct context) >= 2),
+ct as (select term, count(*) as c_t from (select unnest(list_distinct(regexp_extract_all(lower(text), '[\p{{L}}]{{4,}}'))) as term from d) group by term),
+told as (
+  select entity, term from (select entity, term, c_te, c_t, c_e, (select count(*) from d)::double as n from pairs join ct using (term) join ce using (entity))
+  where c_e < n and ln(c_te * n / (c_t * c_e)) / ln(n / c_e) >= 0.75
+),
+t as (select distinct rid, s, e from spots join told using (entity, term)),
+free as (select * from t where not exists (select 1 from b where b.rid = t.rid and b.s < t.e and t.s < b.e)),
+base as (select rid, count(*) filter (k = 0) as n_email, count(*) filter (k = 1) as n_ip, count(*) filter (k = 2) as n_card, count(*) filter (k = 3) as n_phone, string_agg(kind || ':' || s || ':' || e, ',' order by k, s) as spans from b group by rid),
+terms as (select rid, string_agg('term:' || s || ':' || e, ',' order by s, e) as spans from free group by rid)
+select doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coalesce(n_card, 0) as n_card, coalesce(n_phone, 0) as n_phone,
+  sha256(coalesce(base.spans, '')) as base_sha256, coalesce(concat_ws(',', base.spans, terms.spans), '') as spans
+from d left join base using (rid) left join terms using (rid)
+"""
