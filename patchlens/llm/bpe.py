@@ -22,7 +22,7 @@ OTHER, LETTER, NUMBER, BLANK = 0, 1, 2, 3
 #: Characters handled at once; bounds the memory of the arrays.
 BLOCK = 1 << 19
 #: Pre-tokens a worker remembers beside the vocabulary.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 
@@ -129,62 +129,74 @@ def _bytes_of() -> dict[str, int]:
 
 
 class ByteBPE:
-    """Ids of texts as the tokenizers library gives them for a byte-level BPE file, without added ids.
+    """What a tokenizers file says, as far as texts can be encoded without its library.
 
-    `ids` gives lists of ids. Built from the file alone; `known` holds the pre-tokens that
-    the vocabulary has as one token, proven by encoding each of them.
+    `ranks` (bytes of a token to its id) is None unless the file is a plain
+    byte-level BPE whose ids rise in the order of its merges: then merging by
+    id is merging by rule, and pre-tokens can be merged alone.
     """
 
     def __init__(self, path: str):
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, split, added = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("added_tokens", [])
+        self.special = {t["content"]: t["id"] for t in added}
+        self.largest = max([*model["vocab"].values(), *self.special.values()])
+        self.ranks: dict[bytes, int] | None = None
+        if (
+            model["type"] == "BPE" and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not spec.get("normalizer")
+            and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
+            and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+        ):
+            vocab = model["vocab"]
+            made = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
+            if all(a < b for a, b in zip(made, made[1:])):
+                table = _bytes_of()
+                self.ranks = {bytes(map(table.__getitem__, k)): v for k, v in vocab.items() if k not in self.special}
+
+    @functools.cached_property
+    def tokenizer(self):
+        """The library's own, without truncation and padding."""
         from tokenizers import Tokenizer
 
-        spec = json.load(open(path, encoding="utf-8"))
-        model, split = spec["model"], spec.get("pre_tokenizer") or {}
-        self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        plain = not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens", []))
-        self.usual = (
-            model["type"] == "BPE" and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and plain
-            and not spec.get("normalizer") and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
-        )
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.vocab: dict[str, int] = {}
-        self._ranks = None
-        if self.usual:
-            table = _bytes_of()
-            ranks = {bytes(map(table.__getitem__, k)): v for k, v in model["vocab"].items() if k not in self.special}
-            pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-            made = [model["vocab"][a + b] for a, b in pairs]
-            if all(a < b for a, b in zip(made, made[1:])) and len(set(made)) == len(made):
-                self._ranks = ranks  # ids rise in the order of merges: merging by id is merging by rule
+        t = Tokenizer.from_file(self.path)
+        t.no_truncation()
+        t.no_padding()
+        return t
 
-    @functools.cached_property
     def known(self) -> dict[str, int]:
-        """Vocabulary strings that encode alone as one token: string to id. Empty if the file isn't of the usual kind."""
-        if self._ranks is None:
-            return {}
+        """Vocabulary strings that encode alone as one token, each proven by the library: string to id."""
+        found: dict[str, int] = {}
         strings = {}
-        for b, i in self._ranks.items():
+        for b, i in (self.ranks or {}).items():
             try:
                 strings[b.decode()] = i
             except UnicodeDecodeError:
                 continue
-        names = list(strings)
-        found, counts = pretokens(names)
-        names = [s for s, c in zip(names, counts) if c == 1]
-        return {s: strings[s] for s, e in zip(names, self.tokenizer.encode_batch_fast(names, add_special_tokens=False)) if e.ids == [strings[s]]}
+        names = [s for s, c in zip(strings, pretokens(list(strings))[1]) if c == 1]
+        for at in range(0, len(names), 1000):
+            part = names[at : at + 1000]
+            found |= {s: strings[s] for s, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)) if e.ids == [strings[s]]}
+        return found
 
     @functools.cached_property
     def merge(self):
         """A function from a pre-token to its ids."""
-        if self._ranks is None:
+        if self.ranks is None:
             raise ValueError("this file's pre-tokens aren't merged alone")
         import tiktoken
 
-        encoding = tiktoken.Encoding("pre-tokens", pat_str=r"[\s\S]+", mergeable_ranks=self._ranks, special_tokens={})
+        encoding = tiktoken.Encoding("pre-tokens", pat_str=r"[\s\S]+", mergeable_ranks=self.ranks, special_tokens={})
         return encoding.encode_ordinary
 
+    @functools.cached_property
+    def encoder(self):
+        """A function from a text without special strings to its ids."""
+        import tiktoken
+
+        return tiktoken.Encoding("texts", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={}).encode_ordinary
+
     def split_special(self, text: str) -> list[str]:
         """Text and special strings in turn; specials at odd places."""
         return self._special.split(text) if self.special else [text]
@@ -214,53 +226,49 @@ def load(path: str) -> ByteBPE:
     return ByteBPE(path)
 
 
-@functools.lru_cache(4)
-def _id_bytes(path: str) -> tuple[ByteBPE, Remembering, np.dtype]:
-    bpe = load(path)
-    kind = np.dtype("<u2") if max([*bpe._ranks.values(), *bpe.special.values()]) < 1 << 16 else np.dtype("<u4")
-    pack = lambda ids: np.array(ids, kind).tobytes()
-    return bpe, Remembering({s: pack([i]) for s, i in bpe.known.items()}, lambda s: pack(bpe.merge(s))), kind
+#: White space of at least this length in a row is kept from the library's own pattern, which recurses over it.
+LONG_BLANK = 200
+_LONG_BLANK = re.compile(rf"\s{{{LONG_BLANK}}}")
+#: The pattern with its likeliest branch first; no two branches start alike but the last two, so the order doesn't matter to the result.
+PATTERN = r" ?\p{L}+|'s|'t|'re|'ve|'m|'ll|'d| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def id_type(path: str) -> np.dtype:
+    """The smallest of 16 and 32 bits that holds all ids."""
+    return np.dtype("<u2") if load(path).largest < 1 << 16 else np.dtype("<u4")
 
 
 def encode(path: str, texts: Iterable[str]) -> Iterator[np.ndarray]:
-    """The ids of each text."""
-    bpe = load(path)
-    texts = list(texts)
-    if bpe._ranks is None:
-        for e in bpe.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            yield np.array(e.ids, np.uint32)
+    """The ids of each text, in arrays of id_type.
+
+    Parts between special strings go, in blocks, to the library's encoder as
+    a whole; where white space runs long, pre-tokens are found here and merged one by one.
+    """
+    bpe, kind = load(path), id_type(path)
+    if bpe.ranks is None:
+        for t in texts:
+            yield np.array(bpe.tokenizer.encode(t, add_special_tokens=False).ids, kind)
         return
-    bpe, known, kind = _id_bytes(path)
-    flat, owners, specials = [], [], []
-    for k, t in enumerate(texts):
+    for t in texts:
+        held: list[np.ndarray] = []
         for j, piece in enumerate(bpe.split_special(t)):
-            flat.append("" if j % 2 else piece)
-            owners.append(k)
-            specials.append(np.array([bpe.special[piece]], kind).tobytes() if j % 2 else b"")
-    held: list[bytes] = []
-    now = 0
-    for places, parts in blocks(flat):
-        found, counts = pretokens(parts)
-        packed = list(map(known.__getitem__, found))
-        at = 0
-        for p, c in zip(places, counts.tolist()):
-            while now < owners[p]:
-                yield np.frombuffer(b"".join(held), kind)
-                held, now = [], now + 1
-            held += packed[at : at + c]
-            at += c
-            if specials[p]:
-                held.append(specials[p])
-    while now < len(texts):
-        yield np.frombuffer(b"".join(held), kind)
-        held, now = [], now + 1
-
-
-def count(path: str, texts: Iterable[str], base: dict[str, int], known: dict) -> np.ndarray:
-    """The number of ids of each text. base: pre-tokens proven to be one token, each with 1."""
+            if j % 2:
+                held.append(np.array([bpe.special[piece]], kind))
+                continue
+            for _, parts in blocks([piece]):
+                for p in parts:
+                    if _LONG_BLANK.search(p):
+                        held += [np.array(bpe.merge(w), kind) for w in pretokens([p])[0]]
+                    elif p:
+                        held.append(np.array(bpe.encoder(p), kind))
+        yield held[0] if len(held) == 1 else np.concatenate([np.zeros(0, kind), *held])
+
+
+def count(path: str, texts: Iterable[str], known: dict) -> np.ndarray:
+    """The number of ids of each text. known: pre-tokens to their numbers."""
     bpe = load(path)
     texts = list(texts)
-    if bpe._ranks is None:
+    if bpe.ranks is None:
         return np.array([len(e.ids) for e in bpe.tokenizer.encode_batch_fast(texts, add_special_tokens=False)], np.int64)
     flat, owners, total = [], [], np.zeros(len(texts), np.int64)
     for k, t in enumerate(texts):

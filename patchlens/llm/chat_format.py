@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patchlens.llm.common import partitions, small_batches
-from patchlens.llm.token_counts import counter
+from patchlens.llm.token_counts import counter, whole_tokens
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 #: Control strings of this template and of other public ones: none of them occurs in an escaped text.
@@ -119,6 +119,7 @@ def format_windows(
     """
     spark = conversations.sparkSession
     small_batches(spark)
+    whole = spark.sparkContext.broadcast(whole_tokens(path))
     c = conversations.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind, order = c.schema["conv"].dataType.simpleString(), c.schema["turn"].dataType.simpleString()
 
@@ -126,7 +127,7 @@ def format_windows(
         for b in batches:
             roles = b.column(2).to_pylist()
             done = [turn(r, t) for r, t in zip(roles, b.column(3).to_pylist())]
-            n = counter(path)([d[0] for d in done]) if done else []
+            n = counter(path, whole)([d[0] for d in done]) if done else []
             cols = [b.column(0), b.column(1), b.column(2), pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int32()), pa.array([d[2] for d in done], pa.int32()), pa.array(n, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, ["conv", "turn", "role", "formatted", "a", "b", "tokens"])
 

@@ -95,8 +95,8 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             yield _batch(b.schema.field(0).type, ids, starts, sizes, held)
 
     def packed(batches):
-        width = _width(path)
-        item = np.dtype(f"<u{width}")
+        item = bpe.id_type(path)
+        width = item.itemsize
         part, n, waiting = TaskContext.get().partitionId() << 36, 0, []
 
         def row(key, start, x, doc_tokens, sequence, offset):
@@ -138,10 +138,5 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 NAMES = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
 
 
-def _width(path: str) -> int:
-    loaded = bpe.load(path)
-    return bpe._id_bytes(path)[2].itemsize if loaded._ranks is not None else 4
-
-
 def _batch(kind, ids, starts, sizes, held):
     return pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(held, pa.binary())], ["id", "start", "doc_tokens", "ids"])

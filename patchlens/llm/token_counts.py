@@ -13,13 +13,18 @@ from patchlens.llm import bpe
 from patchlens.llm.common import small_batches
 
 
-@functools.lru_cache(2)
-def counter(path: str):
+def whole_tokens(path: str) -> list[str]:
+    """Vocabulary strings that are proven, by encoding each of them, to be one token alone; none for files of other kinds."""
+    return [] if path.endswith(".model") else list(bpe.load(path).known())
+
+
+@functools.lru_cache(1)
+def counter(path: str, whole=None):
     """A function from texts to their numbers of tokens, made once in each Python worker.
 
-    For a tokenizers file of the byte-level kind: vocabulary strings that are
-    proven (by encoding each of them) to be one token count as 1 without more
-    work, all other pre-tokens are merged. Other files go to their library.
+    whole: a broadcast of whole_tokens(path). For a tokenizers file of the
+    byte-level kind these count as 1 without more work, all other pre-tokens
+    are merged. Other files go to their library.
     """
     if path.endswith(".model"):
         import sentencepiece
@@ -27,15 +32,15 @@ def counter(path: str):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         return lambda texts: np.array([len(x) for x in model.encode(list(texts), num_threads=1)], np.int64)
     loaded = bpe.load(path)
-    base = dict.fromkeys(loaded.known, 1)
-    known = bpe.Remembering(base, lambda s: len(loaded.merge(s)) if s else 0)
-    return lambda texts: bpe.count(path, texts, base, known)
+    known = bpe.Remembering(dict.fromkeys(whole.value if whole else whole_tokens(path), 1), lambda s: len(loaded.merge(s)))
+    return lambda texts: bpe.count(path, texts, known)
 
 
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024) -> DataFrame:
     """Per row: id_col, n_bytes (long, UTF-8), n_tokens (long), over_limit (boolean: n_tokens > limit).
 
-    The file at `path` must exist on every machine. Counts are those of the
+    The whole tokens are proven on the driver, once, and broadcast (at most a
+    string per id of the vocabulary). The file at `path` must exist on every machine. Counts are those of the
     library for that file, without begin, end or added special tokens; strings
     of special tokens inside a text are handled as the library's default does.
     Texts are read whole, in blocks of bounded size; no shuffle. Null text
@@ -43,13 +48,14 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     an empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
+    whole = docs.sparkSession.sparkContext.broadcast(whole_tokens(path))
     d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = d.schema["id"].dataType.simpleString()
 
     def counted(batches):
         for b in batches:
             texts = b.column(1)
-            n = counter(path)(texts.to_pylist())
+            n = counter(path, whole)(texts.to_pylist())
             size = pa.compute.binary_length(texts).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), size, pa.array(n, pa.int64())], ["id", "n_bytes", "n_tokens"])
 

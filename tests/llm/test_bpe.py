@@ -25,9 +25,9 @@ def test_ids_are_the_library_s(texts):
 
 
 def test_known_pretokens_are_proven():
-    loaded = bpe.load(PATH)
-    assert len(loaded.known) > 49_000
-    assert " the" in loaded.known and "'s" in loaded.known
+    known = bpe.load(PATH).known()
+    assert len(known) > 49_000
+    assert " the" in known and "'s" in known
 
 
 def test_long_texts_are_cut_between_pretokens(monkeypatch):
@@ -36,3 +36,9 @@ def test_long_texts_are_cut_between_pretokens(monkeypatch):
     parts = [p for _, ps in bpe.blocks([text], 100) for p in ps]
     assert len(parts) > 5 and "".join(parts) == text
     assert [t for p in parts for t in bpe.pretokens([p])[0]] == whole
+
+
+def test_long_blanks():
+    texts = [" " * 5000 + "x", "a" + "\n" * 3000, "\t \n" * 400 + "b c", "q" * 20_000]
+    want = [e.ids for e in bpe.load(PATH).tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in bpe.encode(PATH, texts)] == want
