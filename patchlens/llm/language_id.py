@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from patchlens.llm.bpe import blocks
 from patchlens.llm.common import small_batches
 
 LONGEST = 5
-REMEMBERED = 200_000
+REMEMBERED = 80_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -25,14 +26,47 @@ class Model:
         self.langs, self.prior, self.words, self.grams, self.rows = langs, prior, words, grams, rows
         self.memory: dict = {}  # what a worker adds: unseen words
 
-    def unseen(self, word: str) -> np.ndarray:
-        """A word's scores from its longest known n-grams: the mean over those of the first length that has any."""
+    def remembered(self, words: list[str]) -> tuple[list[int], np.ndarray]:
+        """Places of words in a table of scores, and the table; unseen words are added to it."""
+        m = self.memory
+        if not m or m["n"] > len(self.rows) + REMEMBERED:
+            m |= {"at": dict(self.words), "n": len(self.rows), "rows": np.concatenate([self.rows, np.zeros((REMEMBERED // 8, len(self.langs)))])}
+        at = m["at"]
+        places = list(map(at.get, words))
+        if None in places:
+            new = list({w for w, p in zip(words, places) if p is None})
+            n = m["n"]
+            while n + len(new) > len(m["rows"]):
+                m["rows"] = np.concatenate([m["rows"], np.zeros((len(m["rows"]) // 2, len(self.langs)))])
+            m["rows"][n : n + len(new)] = self.unseen(new)
+            at.update(zip(new, range(n, n + len(new))))
+            m["n"] = n + len(new)
+            places = list(map(at.__getitem__, words))
+        return places, m["rows"]
+
+    def grams_of(self, word: str) -> list[int]:
+        """Rows of a word's known n-grams of the greatest length that has any."""
         marked = f"^{word}$"
         for n in range(min(LONGEST, len(marked)), 0, -1):
-            found = [g for g in (self.grams.get(marked[i : i + n]) for i in range(len(marked) - n + 1)) if g is not None]
+            found = [g for g in map(self.grams.get, [marked[i : i + n] for i in range(len(marked) - n + 1)]) if g is not None]
             if found:
-                return self.rows[found].mean(axis=0)
-        return np.zeros(len(self.langs))
+                return found
+        return []
+
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """Scores of words outside the vocabulary: the mean over each one's grams_of, 0 without any."""
+        found = [self.grams_of(w) for w in words]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return _sums(self.rows[[g for f in found for g in f]], counts) / np.maximum(1, counts)[:, None]
+
+
+def _sums(rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of consecutive stretches of rows, as long as `counts` says."""
+    out = np.zeros((len(counts), rows.shape[1]))
+    some = counts > 0
+    if some.any():
+        out[some] = np.add.reduceat(rows, (np.cumsum(counts) - counts)[some], axis=0)
+    return out
 
 
 def build(counts: dict[str, dict[str, int]], documents: dict[str, int], smoothing: float = 0.5) -> Model:
@@ -57,31 +91,25 @@ def build(counts: dict[str, dict[str, int]], documents: dict[str, int], smoothin
     return Model(langs, prior, places[0], places[1], np.array(rows).reshape(len(rows), len(langs)))
 
 
-def predict(model: Model, texts: list[str | None], memory: dict) -> list[tuple[str, float]]:
-    """Language and posterior of each text. memory: what a worker keeps of unseen words."""
-    if "rows" not in memory or memory["n"] > len(model.rows) + REMEMBERED:
-        memory |= {"at": dict(model.words), "n": len(model.rows), "rows": np.concatenate([model.rows, np.zeros((1024, len(model.langs)))])}
-    at = memory["at"]
+def predict(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
+    """Language and posterior of each text, read in blocks of bounded size."""
+    texts = [t or "" for t in texts]
+    sums, lettered = np.zeros((len(texts), len(model.langs))), np.zeros(len(texts), bool)
+    for owners, parts in blocks(texts) if model.langs else ():
+        words = [_WORD.findall(p.lower()) for p in parts]
+        counts = np.fromiter(map(len, words), np.int64, len(words))
+        at, rows = model.remembered([w for ws in words for w in ws])
+        np.add.at(sums, owners, _sums(rows[at], counts))
+        for k, ws in zip(owners, words):
+            lettered[k] |= bool(ws) and (ws[0].isalpha() or any(c.isalpha() for w in ws for c in w))
     out = []
-    for text in texts:
-        words = _WORD.findall(text.lower()) if text else []
-        if not model.langs or not words or not (words[0].isalpha() or any(c.isalpha() for w in words for c in w)):
+    for s, known in zip(sums + model.prior, lettered):
+        if known:
+            p = np.exp(s - s.max())
+            k = int(np.argmax(s))
+            out.append((model.langs[k], float(p[k] / p.sum())))
+        else:
             out.append(("und", 0.0))
-            continue
-        places = [at.get(w) for w in words]
-        if None in places:
-            for w in {w for w, p in zip(words, places) if p is None}:
-                n = memory["n"]
-                if n == len(memory["rows"]):
-                    memory["rows"] = np.concatenate([memory["rows"], np.zeros((n, len(model.langs)))])
-                memory["rows"][n] = model.unseen(w)
-                at[w] = n
-                memory["n"] = n + 1
-            places = [at[w] for w in words]
-        s = memory["rows"][places].sum(axis=0) + model.prior
-        p = np.exp(s - s.max())
-        k = int(np.argmax(s))
-        out.append((model.langs[k], float(p[k] / p.sum())))
     return out
 
 
@@ -148,7 +176,7 @@ def identify(
     def guess(texts):
         import pandas as pd
 
-        return pd.DataFrame(predict(model.value, texts.tolist(), model.value.memory), columns=["lang_pred", "score"])
+        return pd.DataFrame(predict(model.value, texts.tolist()), columns=["lang_pred", "score"])
 
     d = d.withColumn("guess", _plain(guess)(F.col("text")))
     return d.select(F.col("id").alias(id_col), *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)], "guess.lang_pred", "guess.score")
