@@ -37,25 +37,21 @@ def frequencies(docs: DataFrame, width: int) -> np.ndarray:
     """
 
     def sketch(batches):
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total = np.zeros(1 << SKETCH_BITS, np.uint32)
         for b in batches:
             sets = shingle_sets(b.column(0).to_pylist(), width)
             if sets:
-                total += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
-        parts = [zlib.compress(p.astype("<i8" if p.max() >= 1 << 31 else "<i4").tobytes(), 1) for p in np.split(total, SKETCH_PARTS)]
+                np.add.at(total, (np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
+        parts = [zlib.compress(p.astype("<u4").tobytes(), 1) for p in np.split(total, SKETCH_PARTS)]
         yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(parts, pa.binary())], ["part", "counts"])
 
     size = (1 << SKETCH_BITS) // SKETCH_PARTS
 
-    def read(data: bytes) -> np.ndarray:
-        raw = zlib.decompress(data)
-        return np.frombuffer(raw, "<i8" if len(raw) == 8 * size else "<i4").astype(np.int64)
-
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for part, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                sums[part] = sums.get(part, 0) + read(data)
+                sums[part] = sums.get(part, 0) + np.frombuffer(zlib.decompress(data), "<u4").astype(np.int64)
         ranks = [np.minimum(255, 8 * np.log2(np.maximum(s, 1))).astype(np.uint8).tobytes() for s in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(ranks, pa.binary())], ["part", "ranks"])
 
