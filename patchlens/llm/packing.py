@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from patchlens.llm import bpe
 from patchlens.llm.common import partitions, small_batches
 
+#: Tokens of the shortest piece that a document is cut in to fill a sequence.
+LEAST = 16
 #: Remainders that are packed with each other; bounds a task's memory.
 TOGETHER = 4096
 
@@ -24,22 +26,24 @@ def capacities(total: int, length: int) -> list[int]:
     return [length] * (total // length) + [1 << b for b in range(rest.bit_length())[::-1] if rest >> b & 1]
 
 
-def balance(sizes: list[int], length: int, linear: float = 1.0, quadratic: float = 1 / 512) -> list[tuple[int, int, int, int, int]]:
+def balance(sizes: list[int], length: int, linear: float = 1.0, quadratic: float = 1 / 512, least: int = LEAST) -> list[tuple[int, int, int, int, int]]:
     """Pieces (item, start, size, sequence, offset) of items shorter than `length`.
 
     A piece costs linear * n + quadratic * n * n. Items in descending order go
     to the sequence of lowest cost that has room for them; those that fit
-    nowhere wait, and at the end fill what room is left, cut. The capacities
-    sum to the sizes, so all are filled.
+    nowhere wait, and at the end are cut to fill what room is left. Room for
+    fewer than `least` tokens stays empty, for shorter pieces are of no use;
+    the tokens that are left then fill sequences of a power of two.
     """
-    room = np.array(capacities(sum(sizes), length), np.int64)
+    room = np.full(sum(sizes) // length, length, np.int64)
     used, cost, out, waiting = np.zeros(len(room), np.int64), np.zeros(len(room)), [], []
 
-    def put(i: int, start: int, n: int, k: int) -> None:
+    def put(i: int, start: int, n: int, k: int) -> int:
         out.append((i, start, n, k, int(used[k])))
         room[k] -= n
         used[k] += n
         cost[k] += linear * n + quadratic * n * n
+        return start + n
 
     for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
         fits = np.flatnonzero(room >= sizes[i])
@@ -47,18 +51,34 @@ def balance(sizes: list[int], length: int, linear: float = 1.0, quadratic: float
             put(i, 0, sizes[i], int(fits[np.argmin(cost[fits])]))
         else:
             waiting.append(i)
+    rest = []
     for i in waiting:
         start = 0
-        while start < sizes[i]:
-            k = int(np.argmax(room))
-            n = min(sizes[i] - start, int(room[k]))
-            put(i, start, n, k)
-            start += n
+        while start < sizes[i] and len(room) and room.max() >= least:
+            k, left = int(np.argmax(room)), sizes[i] - start
+            n = min(left, int(room[k]))
+            if 0 < left - n < least <= left - least:
+                n = left - least
+            start = put(i, start, n, k)
+        if start < sizes[i]:
+            rest.append([i, start])
+    sequence = len(room)
+    for capacity in capacities(sum(sizes[i] - start for i, start in rest), length):
+        at = 0
+        while at < capacity:
+            i, start = rest[0]
+            n = min(sizes[i] - start, capacity - at)
+            out.append((i, start, n, sequence, at))
+            at += n
+            rest[0][1] += n
+            if rest[0][1] == sizes[i]:
+                rest.pop(0)
+        sequence += 1
     return out
 
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", length: int = 2048, end_id: int = 1) -> DataFrame:
-    """Sequences of at most `length` tokens that hold every token of every document once, without padding.
+    """Sequences of at most `length` tokens that hold every token of every document once, nearly without padding.
 
     A document's tokens are its ids by the file at `path` (on every machine)
     and `end_id`. Whole runs of `length` tokens are sequences of their own;
@@ -109,10 +129,11 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             out = [row(k, s, np.frombuffer(x, item), t, n + i, 0) for i, (k, s, t, x) in enumerate(whole)]
             n += len(whole)
             sizes = [len(w[3]) // width for w in rest]
-            for i, start, size, sequence, offset in balance(sizes, length):
+            pieces = balance(sizes, length)
+            for i, start, size, sequence, offset in pieces:
                 k, s, t, x = rest[i]
                 out.append(row(k, s + start, np.frombuffer(x, item)[start : start + size], t, n + sequence, offset))
-            n += len(capacities(sum(sizes), length))
+            n += max((p[3] + 1 for p in pieces), default=0)
             waiting = []
             types = [*[kind_of], *[pa.int64()] * 6, pa.binary()]
             for at in range(0, len(out), 2048):

@@ -181,12 +181,15 @@ def test_packing(docs, rows, empty):
     for r in got:
         sequences[r.sequence_id].append((r.offset, r.length))
         pieces[r.doc_id].append((r.start, r.length, r.doc_tokens, r.ids_crc32, r.ids))
+    padding = 0
     for s in sequences.values():
         at = 0
         for offset, n in sorted(s):
             assert offset == at
             at += n
-        assert at <= 2048 and (at == 2048 or at & (at - 1) == 0)
+        assert at <= 2048
+        padding += 2048 - at if at & (at - 1) else 0
+    assert padding <= (packing.LEAST - 1) * len(sequences)
     times = Counter(x[0] for x in rows)
     for x in rows:
         ids = [*tokenizer.encode(x[1] or "", add_special_tokens=False).ids, 1]
@@ -197,6 +200,21 @@ def test_packing(docs, rows, empty):
     assert not packing.pack(empty, PATH).collect()
 
 
+def test_balance():
+    r = random.Random(3)
+    for _ in range(100):
+        sizes = [r.choice([r.randint(1, 2047), r.randint(1, 40)]) for _ in range(r.choice([0, 1, 2, 7, 60, 300]))]
+        pieces, sequences = defaultdict(list), defaultdict(list)
+        for i, start, n, sequence, offset in packing.balance(sizes, 2048):
+            pieces[i].append((start, n))
+            sequences[sequence].append((offset, n))
+        assert [sum(n for _, n in pieces[i]) for i in range(len(sizes))] == sizes
+        assert all(a + n == b for own in [*pieces.values(), *sequences.values()] for (a, n), (b, _) in zip(sorted(own), sorted(own)[1:]))
+        assert sorted(sequences) == list(range(len(sequences)))
+        filled = [sum(n for _, n in s) for s in sequences.values()]
+        assert sum(2048 - f for f in filled if f & (f - 1)) <= (packing.LEAST - 1) * len(filled) and max(filled, default=0) <= 2048
+
+
 def test_personal_data(docs, rows, empty):
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
