@@ -22,10 +22,10 @@ BROADCAST_IDS = 500_000
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language, with `lang` as identified from the text.
 
-    Rejected are documents without a letter, and those whose language has a posterior under one half.
+    Rejected are documents without a letter, and those whose best language has a score under 0.3.
     """
     found = identify(docs, keep=("text", "source", "n_chars"))
-    return found.filter("lang_pred <> 'und' and score >= 0.5").select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
+    return found.filter("lang_pred <> 'und' and score >= 0.3").select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

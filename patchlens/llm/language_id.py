@@ -15,6 +15,8 @@ from patchlens.llm.bpe import blocks
 from patchlens.llm.common import small_batches
 
 LONGEST = 5
+#: Words of average evidence that a score is based on: with all words of a long text every posterior would be 1.
+EVIDENCE = 10
 REMEMBERED = 80_000
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -94,18 +96,19 @@ def build(counts: dict[str, dict[str, int]], documents: dict[str, int], smoothin
 def predict(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
     """Language and posterior of each text, read in blocks of bounded size."""
     texts = [t or "" for t in texts]
-    sums, lettered = np.zeros((len(texts), len(model.langs))), np.zeros(len(texts), bool)
+    sums, lettered, totals = np.zeros((len(texts), len(model.langs))), np.zeros(len(texts), bool), np.zeros(len(texts))
     for owners, parts in blocks(texts) if model.langs else ():
         words = [_WORD.findall(p.lower()) for p in parts]
         counts = np.fromiter(map(len, words), np.int64, len(words))
         at, rows = model.remembered([w for ws in words for w in ws])
         np.add.at(sums, owners, _sums(rows[at], counts))
+        np.add.at(totals, owners, counts)
         for k, ws in zip(owners, words):
             lettered[k] |= bool(ws) and (ws[0].isalpha() or any(c.isalpha() for w in ws for c in w))
     out = []
-    for s, known in zip(sums + model.prior, lettered):
+    for s, n, known in zip(sums + model.prior, totals, lettered):
         if known:
-            p = np.exp(s - s.max())
+            p = np.exp((s - s.max()) * min(1, EVIDENCE / n))
             k = int(np.argmax(s))
             out.append((model.langs[k], float(p[k] / p.sum())))
         else:
@@ -114,31 +117,28 @@ def predict(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
 
 
 def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, learn_if: Column, per_language: int, words_per_language: int) -> Model:
-    """A model from at most `per_language` documents of each language: those with the least md5 of their ids.
+    """A model from at most `per_language` documents of each language, those with the least md5 of their ids.
 
-    The threshold comes from ids and labels alone; each task then keeps at
-    most `per_language` texts a language, and words are counted by Spark. The
-    driver gets `words_per_language` words of each language, no texts.
+    Keys are spread evenly, so from a language's number of documents follows
+    below which key about one and a half times as many as wanted lie: only
+    these are ranked. Words are counted by Spark; the driver gets numbers of documents and
+    `words_per_language` words of each language, no texts.
     """
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    d = docs.filter(learn_if & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    w = W.partitionBy("lang").orderBy("key")
-    ids = d.select(F.col(lang_col).alias("lang"), key.alias("key")).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= per_language)
-    least = {r["lang"]: r["most"] for r in ids.groupBy("lang").agg(F.max("key").alias("most")).collect()}
-    if not least:
+    d = docs.filter(learn_if & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("key"), F.col(text_col).alias("text"))
+    sizes = {r["lang"]: r["n"] for r in d.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
         return Model([], np.zeros(0), {}, {}, np.zeros((0, 0)))
     below = F.lit(False)
-    for lang, most in least.items():
-        below |= (F.col("lang") == lang) & (F.col("key") <= most)
-    sample = d.select(F.col(lang_col).alias("lang"), key.alias("key"), F.col(text_col).alias("text")).filter(below)
-    sample = sample.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("key", "text"))).filter(F.col("r") <= per_language)
+    for lang, n in sizes.items():
+        share = (1.5 * per_language + 10) / n
+        below |= (F.col("lang") == lang) & (F.lit(share >= 1) | (F.col("key") < f"{int(min(share, 1) * (16**12 - 1)):012x}"))
+    sample = d.filter(below & F.col("text").isNotNull()).withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("key", "text"))).filter(F.col("r") <= per_language)
     word = sample.select("lang", "r", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     top = W.partitionBy("lang").orderBy(F.col("n").desc(), "word")
     found = word.groupBy("lang", "word").agg(F.count("*").alias("n")).withColumn("k", F.row_number().over(top)).filter(F.col("k") <= words_per_language).collect()
     counts: dict[str, dict[str, int]] = defaultdict(dict)
     for r in found:
         counts[r["lang"]][r["word"]] = r["n"]
-    sizes = {r["lang"]: r["n"] for r in d.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
     return build(counts, {lang: sizes[lang] for lang in counts})
 
 
@@ -162,7 +162,8 @@ def identify(
     `words_per_language` and goes to workers once.
 
     Returns id_col, the `keep` columns, lang_pred, and score: the posterior of that
-    language among the learned ones, 0 to 1. Null text, text without a letter,
+    language among the learned ones, 0 to 1, from the evidence of ten average
+    words of the text (of all its words, if fewer). Null text, text without a letter,
     or no labelled rows at all: `und`, 0. Equal scores go to the first
     language by name. Null ids and repeated rows are rows like others; an empty
     table gives an empty result.
