@@ -48,7 +48,7 @@ def n_words(text: Column) -> Column:
     return (n - F.when(n == 1, first.cast("int")).otherwise(first.cast("int") + last.cast("int"))).cast("long")
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
+def small_batches(spark: SparkSession, rows: int = 250) -> None:
     """Arrow batches of at most `rows` rows: whole texts in batches of the default 10000 rows may not fit a Python worker."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(name)) > rows:
