@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from patchlens.llm.common import n_words
+from patchlens.llm.common import cut, n_words
 
 SEED = "mix-1"
+#: Sources up to which their targets and ends are broadcast (some 100 bytes each).
+BROADCAST_SOURCES = 100_000
 
 
 def source_targets(totals: DataFrame, weights=(3, 1, 2), share: float = 1.5, repeats: int = 2) -> DataFrame:
@@ -52,11 +54,12 @@ def mix_sources(
     Every document gets the key md5(seed, id): random, but the same in every
     run. The key's range is cut in buckets; the words of each (source, bucket)
     are summed with map-side combine and a running sum over a source's buckets
-    gives each bucket's place in the source's order. A bucket that lies wholly
-    on one side of the budget is decided by that alone. Only in the buckets a
-    budget cuts through (one per source and epoch) is there a running sum over
-    documents. So no task holds a source, however hot, and documents are
-    neither joined with each other nor shuffled, but for those few buckets.
+    gives each bucket's place in the source's order, and each source's last
+    bucket in each epoch. Buckets before it are taken whole, later ones not.
+    Only in a last bucket that the budget cuts through is there a running sum
+    over documents. So no task holds a source, however hot, and documents meet
+    a row per source (broadcast, as counted) but aren't shuffled, except those
+    in the few last buckets.
     Once a source is used up its order is run through again, up to `repeats`
     times. The document at the cut is taken in part: the budget is met exactly.
 
@@ -78,28 +81,35 @@ def mix_sources(
     buckets = max(16, math.ceil(rows / rows_per_bucket))
     d = d.withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * buckets / 2**32))
 
-    sums = d.groupBy("src", "bucket").agg(F.first("source").alias("source"), F.sum("size").alias("bucket_size"))
+    sums = cut(d.groupBy("src", "bucket").agg(F.first("source").alias("source"), F.sum("size").alias("bucket_size")))
     totals = sums.groupBy("src").agg(F.first("source").alias("source"), F.sum("bucket_size").alias("source_size"))
     before = F.sum("bucket_size").over(W.partitionBy("src").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
     places = sums.select("src", "bucket", "bucket_size", F.coalesce(before, F.lit(0)).alias("bucket_start"))
-    places = places.join(source_targets(totals, weights, share, repeats), "src")
-    places = places.withColumn("budget", F.floor(F.col("target") + 1e-6))
+    targets = source_targets(totals, weights, share, repeats).withColumn("budget", F.floor(F.col("target") + 1e-6))
+    places = places.join(targets, "src")
     cuts = [F.col("budget") - e * F.col("source_size") for e in range(repeats)]
-    through = F.lit(False)
-    for c in cuts:
-        through |= (c > F.col("bucket_start")) & (c < F.col("bucket_start") + F.col("bucket_size"))
-    j = d.join(places.withColumn("through", through), ["src", "bucket"])
-
-    epochs = F.lit(0)
-    for c in cuts:
-        epochs += (c > F.col("bucket_start")).cast("int")
+    last = []
+    for e, c in enumerate(cuts):
+        bucket = F.struct("bucket", F.col("bucket_start").alias("start"), (c < F.col("bucket_start") + F.col("bucket_size")).alias("cut"))
+        last.append(F.max(F.when(c > F.col("bucket_start"), bucket)).alias(f"last_{e}"))
+    ends = cut(targets.join(places.groupBy("src").agg(*last), "src"))
+    j = d.join(F.broadcast(ends) if ends.count() <= BROADCAST_SOURCES else ends, "src")
+
+    epochs, through, bucket_start = F.lit(0), F.lit(False), F.lit(None).cast("long")
+    for e in range(repeats):
+        end = F.col(f"last_{e}")
+        here = F.coalesce((F.col("bucket") == end["bucket"]) & end["cut"], F.lit(False))
+        epochs += F.coalesce(F.col("bucket") <= end["bucket"], F.lit(False)).cast("int")
+        through |= here
+        bucket_start = F.coalesce(bucket_start, F.when(here, end["start"]))
+    j = j.withColumn("through", through)
     plain = j.filter(~F.col("through")).withColumn("taken", F.col("size") * epochs)
     order = W.partitionBy("src", "bucket").orderBy("key", "id", "size").rowsBetween(W.unboundedPreceding, -1)
-    edge = j.filter("through").withColumn("start", F.col("bucket_start") + F.coalesce(F.sum("size").over(order), F.lit(0)))
+    edge = j.filter("through").withColumn("start", bucket_start + F.coalesce(F.sum("size").over(order), F.lit(0)))
     part = F.lit(0).cast("long")
     for c in cuts:
         part += F.greatest(F.lit(0), F.least(F.col("size"), c - F.col("start")))
-    out = plain.drop("start").unionByName(edge.withColumn("taken", part).drop("start"))
+    out = plain.unionByName(edge.withColumn("taken", part).drop("start"))
     return out.select(
         F.col("id").alias(id_col),
         *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)],
