@@ -45,6 +45,18 @@ def overlap_score(left: Column, right: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(a)), F.lit(0.0))
 
 
+def shared_token_scores(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_text: str, right_text: str) -> DataFrame:
+    """TokenOverlap's score of every pair of texts that share a token; that of all other pairs is 0.
+
+    Pairs come from an equality join on the token, so no pair with a score is
+    left out and none without one is built. Ids are unique on each side.
+    """
+    tokens = lambda c: F.array_distinct(F.filter(F.split(c, r"\s+"), lambda x: x != ""))
+    a = left.select(left_id, tokens(F.col(left_text)).alias("t__")).select(left_id, F.size("t__").alias("n__"), F.explode("t__").alias("w__"))
+    b = right.select(right_id, F.explode(tokens(F.col(right_text))).alias("w__"))
+    return b.join(a, "w__").groupBy(left_id, right_id).agg((F.count("*") / F.first("n__")).alias("score"))
+
+
 def confirmed(pairs: DataFrame, threshold: float = 0.99) -> DataFrame:
     return pairs.filter((F.col("pred") == 1) & (F.col("prob") > threshold))
 

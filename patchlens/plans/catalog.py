@@ -540,6 +540,12 @@ def token_overlap_scores(spark, d):
     return scoring.scored(j, "q", "text").select("item_id", "doc_id", "score")
 
 
+@query(r"""WITH a AS (SELECT item_id, list_distinct(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS w FROM benchmark), b AS (SELECT doc_id, unnest(list_distinct(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''))) AS t FROM documents)
+SELECT item_id, doc_id, count(*)::double / any_value(len(w)) AS score FROM (SELECT item_id, w, unnest(w) AS t FROM a) JOIN b USING (t) GROUP BY item_id, doc_id""")
+def token_overlap_scores_all(spark, d):
+    b, t = table(spark, d, "benchmark").select("item_id", F.col("text").alias("q")), table(spark, d, "documents").select("doc_id", "text")
+    return scoring.shared_token_scores(b, t, "item_id", "doc_id", "q", "text").select("item_id", "doc_id", "score")
+
 
 @query("SELECT user_id, CASE WHEN v = f THEN NULL ELSE v < f END AS is_fixed, k > 0 AND NOT coalesce(CASE WHEN v = f THEN NULL ELSE v < f END, false) AS has_vul FROM (SELECT user_id, sum(CASE WHEN event_id % 3 = 0 THEN event_id ELSE 0 END) AS v, sum(CASE WHEN event_id % 3 = 1 THEN event_id ELSE 0 END) AS f, count(*) FILTER (event_id % 3 = 0) AS k FROM events GROUP BY user_id)")
 def score_sum_verdict(spark, d):
