@@ -208,6 +208,14 @@ def sliding_windows(items: Column, length: int = 70, step: int = 20) -> Column:
     return F.when(n <= length, F.array(items)).otherwise(F.concat(regular, rest))
 
 
+def text_windows(text: Column, length: int = 30, step: int = 20) -> Column:
+    """As sliding_windows, over the characters of a text, in one pass; `step` is at most `length`."""
+    n = F.char_length(text)
+    regular = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{length}}})).{{{step}}}"), F.lit(1))
+    rest = F.when((n - length) % step != 0, F.array(F.right(text, F.lit(length)))).otherwise(F.array().cast("array<string>"))
+    return F.when(n <= length, F.array(text)).otherwise(F.concat(regular, rest))
+
+
 def locate_suffix(lines: Column, text: Column, length: int = 30) -> Column:
     """`length` lines from the last place from which the joined rest still holds `text`; empty if none does."""
     at = F.filter(F.sequence(F.lit(0), F.size(lines)), lambda i: F.contains(F.array_join(tail(lines, i), " "), text))

@@ -410,6 +410,16 @@ def overlap_merge(spark, d):
     return ordered.drop_overlapped(t, "doc_id", "l").select("doc_id", joined("l").alias("kept"))
 
 
+@query("""WITH t AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, i, text[i * 20 + 1:i * 20 + 30] AS s FROM (SELECT *, unnest(range(0, CASE WHEN n <= 30 THEN 1 ELSE (n - 30) // 20 + 1 END)) AS i FROM t) UNION ALL SELECT doc_id, (n - 30) // 20 + 1, right(text, 30) FROM t WHERE n > 30 AND (n - 30) % 20 <> 0),
+p AS (SELECT *, lead(s) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM w),
+o AS (SELECT *, coalesce(list_max(list_filter(range(0, least(length(s), length(next)) + 1), lambda k: right(s, k) = left(next, k))), 0) AS o FROM p)
+SELECT doc_id, string_agg(s, '|' ORDER BY i) AS kept FROM o WHERE next IS NULL OR o <= 10 GROUP BY doc_id""")
+def overlap_merge_all(spark, d):
+    t = table(spark, d, "documents").filter("text is not null").select("doc_id", T.text_windows(F.col("text")).alias("l"))
+    return ordered.drop_overlapped(t, "doc_id", "l").select("doc_id", joined("l").alias("kept"))
+
+
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS seq_id, (row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1) // 20 AS batch_id FROM orders")
 def seq_id_and_batching(spark, d):
     o = ordered.numbered(table(spark, d, "orders").withColumn("day", F.unix_micros(F.col("o_orderdate").cast("timestamp"))).select("o_orderkey", "day"), ["day", "o_orderkey"])

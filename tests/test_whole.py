@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 from patchlens.operators import scoring
+from patchlens.plans import catalog
 
 
 def test_shared_token_scores_of_all_pairs(spark):
@@ -17,3 +18,17 @@ def test_shared_token_scores_of_all_pairs(spark):
     want = dict(zip(pairs, scoring.TokenOverlap().score([q for _, q in items for _ in docs], [t for _ in items for _, t in docs])))
     assert got == {k: v for k, v in want.items() if v > 0}
     assert {j for _, j in got} - set(range(400)) and {i for i, _ in got} - set(range(40))
+
+
+def test_overlaps_of_all_windows(spark, tmp_path):
+    r = random.Random(4)
+    texts = [None, "", "short", "x" * 100, "ab" * 60 + "é😀\n" * 9] + ["".join(r.choices("ab", k=r.randint(0, 25))) * r.randint(1, 9) for _ in range(60)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x.doc_id: x.kept for x in catalog.overlap_merge_all(spark, str(tmp_path)).collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        if t is not None:
+            l = [t] if len(t) <= 30 else [t[k : k + 30] for k in [*range(0, len(t) - 29, 20), *([len(t) - 30] if (len(t) - 30) % 20 else [])]]
+            over = [max(k for k in range(min(len(a), len(b)) + 1) if a[len(a) - k :] == b[:k]) for a, b in zip(l, l[1:])]
+            want[i] = "|".join(x for x, o in zip(l, [*over, 0]) if o <= 10)
+    assert got == want
