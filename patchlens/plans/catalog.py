@@ -401,6 +401,14 @@ def substring_subsume(spark, d):
     return ordered.drop_subsumed(b, "item_id", "w").select("item_id", joined("w").alias("kept"))
 
 
+@query("""WITH t AS (SELECT item_id, list_transform(string_split(text, ' '), lambda x: lower(x)) AS w FROM benchmark), u AS (SELECT item_id, unnest(w) AS s, generate_subscripts(w, 1) AS i FROM t),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY length(s), i) AS k FROM u)
+SELECT a.item_id, string_agg(a.s, '|' ORDER BY a.k) AS kept FROM r a WHERE NOT EXISTS (SELECT 1 FROM r b WHERE b.item_id = a.item_id AND b.k > a.k AND contains(b.s, a.s)) GROUP BY a.item_id""")
+def substring_subsume_all(spark, d):
+    b = table(spark, d, "benchmark").select("item_id", F.transform(F.split("text", " "), F.lower).alias("w"))
+    return ordered.drop_subsumed(b, "item_id", "w").select("item_id", joined("w").alias("kept"))
+
+
 @query("""WITH t AS (SELECT doc_id, [text[1:30], text[16:50], text[48:70], text[49:80]] AS l FROM documents WHERE length(text) > 100),
 o AS (SELECT doc_id, l, i, coalesce(list_max(list_filter(range(0, least(length(l[i]), length(l[i + 1])) + 1), lambda k: right(l[i], k) = left(l[i + 1], k))), 0) AS o FROM (SELECT doc_id, l, unnest([1, 2, 3, 4]) AS i FROM t))
 SELECT doc_id, string_agg(l[i], '|' ORDER BY i) AS kept FROM o WHERE o <= 10 GROUP BY doc_id""")

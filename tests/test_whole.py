@@ -32,3 +32,10 @@ def test_overlaps_of_all_windows(spark, tmp_path):
             over = [max(k for k in range(min(len(a), len(b)) + 1) if a[len(a) - k :] == b[:k]) for a, b in zip(l, l[1:])]
             want[i] = "|".join(x for x, o in zip(l, [*over, 0]) if o <= 10)
     assert got == want
+
+
+def test_subsumed_words_of_whole_text(spark, tmp_path):
+    words = [f"w{i:02d}" for i in range(40)] + ["xw03x", "END", "bend"]
+    spark.createDataFrame([(1, " ".join(words))], "item_id int, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    kept = catalog.substring_subsume_all(spark, str(tmp_path)).first().kept.split("|")
+    assert kept == [w for w in words[:40] if w != "w03"] + ["bend", "xw03x"]
