@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import difflib
 import random
+import tempfile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -71,14 +72,48 @@ def fuzzy_ratio_udf():
     return ratio
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Write `df` to the checkpoint folder and go on from the files; a temporary folder only where none is set."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()
+
+
 def dissimilar(df: DataFrame, id_col: str, text: str, block: list[str], k: int, below: float, tries: int = 8, seed: str = "0") -> DataFrame:
-    """Up to `k` partners of each row among the next `tries` in its block's hash order whose similarity is under `below`."""
+    """The first `k` partners of each row in its block's hash order, from the next row on and round the end, whose similarity is under `below`.
+
+    A first round compares the next `tries` rows; only rows still short of `k`
+    go on, with twice as many in each further round, until they have `k` or
+    the block is used up.
+    """
     w = W.partitionBy(*block).orderBy(key_of(id_col, seed), id_col)
-    near = F.collect_list(F.struct(F.col(id_col).alias("id"), F.col(text).alias("t"))).over(w.rowsBetween(1, tries))
-    d = df.withColumn("n__", near).select("*", F.posexplode("n__").alias("try", "o__")).drop("n__")
-    d = d.withColumn("similarity", ratio_udf()(F.col(text), F.col("o__.t"))).filter(F.col("similarity") < below)
-    first = W.partitionBy(id_col).orderBy("try")
-    return d.withColumn("r__", F.row_number().over(first)).filter(F.col("r__") <= k).select(id_col, F.col("o__.id").alias("partner_id"), "similarity")
+    whole = W.partitionBy(*block)
+    rows = cut(df.select(*[F.col(c).alias(f"b{i}__") for i, c in enumerate(block)], F.col(id_col).alias("id__"), F.col(text).alias("t__"), (F.row_number().over(w) - 1).alias("at__"), F.count("*").over(whole).alias("n__")))
+    on = [f"b{i}__" for i in range(len(block))]
+    others = rows.select(*[F.col(c).alias(f"o{c}") for c in on], F.col("at__").alias("o_at__"), F.col("id__").alias("o_id__"), F.col("t__").alias("o_t__"))
+    same = F.col("to__") == F.col("o_at__")
+    for c in on:
+        same &= F.col(c).eqNullSafe(F.col(f"o{c}"))
+    out, done = None, 0
+    short = rows.withColumn("has__", F.lit(0))
+    while True:
+        last = F.least(F.lit(done + tries), F.col("n__") - 1).cast("int")
+        tried = short.filter(F.col("n__") - 1 > done).withColumn("try__", F.explode(F.sequence(F.lit(done + 1), last)))
+        tried = tried.withColumn("to__", (F.col("at__") + F.col("try__")) % F.col("n__")).join(others, same)
+        tried = tried.withColumn("similarity", ratio_udf()(F.col("t__"), F.col("o_t__"))).filter(F.col("similarity") < below)
+        first = W.partitionBy(*on, "at__").orderBy("try__")
+        found = cut(tried.withColumn("r__", F.row_number().over(first) + F.col("has__")).filter(F.col("r__") <= k).select(*on, "at__", "r__", "id__", "o_id__", "similarity"))
+        out = found if out is None else out.unionByName(found)
+        done, tries = done + tries, 2 * tries
+        most = found.groupBy(*[F.col(c).alias(f"o{c}") for c in on], F.col("at__").alias("o_at__")).agg(F.max("r__").alias("most__"))
+        match = F.col("at__") == F.col("o_at__")
+        for c in on:
+            match &= F.col(c).eqNullSafe(F.col(f"o{c}"))
+        short = short.join(most, match, "left").withColumn("has__", F.coalesce("most__", "has__")).filter((F.col("has__") < k) & (F.col("n__") - 1 > done)).select(*rows.columns, "has__")
+        short = cut(short)
+        if short.isEmpty():
+            return out.select(F.col("id__").alias(id_col), F.col("o_id__").alias("partner_id"), "similarity")
 
 
 def perturbed_asm(seed: int = 0, head: int = 30):

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import difflib
+import hashlib
 import random
 
-from patchlens.operators import scoring
+from patchlens.operators import sampling, scoring
 from patchlens.plans import catalog
 
 
@@ -39,3 +41,22 @@ def test_subsumed_words_of_whole_text(spark, tmp_path):
     spark.createDataFrame([(1, " ".join(words))], "item_id int, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     kept = catalog.substring_subsume_all(spark, str(tmp_path)).first().kept.split("|")
     assert kept == [w for w in words[:40] if w != "w03"] + ["bend", "xw03x"]
+
+
+def test_dissimilar_goes_on_until_the_block_is_used_up(spark):
+    r = random.Random(5)
+    near = "".join(r.choices("abcdefgh", k=60))
+    rows = [(i, near[:-1] + str(i % 10), "near") for i in range(45)] + [(i, f"{'xyz'[i - 45] * 60}", "near") for i in range(45, 48)]
+    rows += [(100 + i, chr(97 + i) * 9, "far") for i in range(5)] + [(200, "alone", "one"), (300, "p", None), (301, "q", None)]
+    d = spark.createDataFrame(rows, "i int, t string, b string")
+    got = {}
+    for x in sampling.dissimilar(d, "i", "t", ["b"], 3, 0.9).collect():
+        got.setdefault(x.i, set()).add(x.partner_id)
+    want = {}
+    for b in {x[2] for x in rows}:
+        order = sorted((x for x in rows if x[2] == b), key=lambda x: (hashlib.md5(f"0:{x[0]}".encode()).hexdigest(), x[0]))
+        for k, x in enumerate(order):
+            later = [y for y in order[k + 1 :] + order[:k] if difflib.SequenceMatcher(None, x[1], y[1]).ratio() < 0.9]
+            if later:
+                want[x[0]] = {y[0] for y in later[:3]}
+    assert got == want
