@@ -15,6 +15,8 @@ from patchlens.llm.bpe import blocks
 from patchlens.llm.common import small_batches
 
 LONGEST = 5
+#: Characters of a known n-gram (word boundaries included) from which on it explains an unseen word.
+EXPLAINS = 3
 #: Words of average evidence that a score is based on: with all words of a long text every posterior would be 1.
 EVIDENCE = 10
 REMEMBERED = 80_000
@@ -29,18 +31,20 @@ class Model:
         self.memory: dict = {}  # what a worker adds: unseen words
 
     def remembered(self, words: list[str]) -> tuple[list[int], np.ndarray]:
-        """Places of words in a table of scores, and the table; unseen words are added to it."""
+        """Places of words in a table of scores (last column: 1 if the word is explained, see `explained`), and the table; unseen words are added to it."""
         m = self.memory
         if not m or m["n"] > len(self.rows) + REMEMBERED:
-            m |= {"at": dict(self.words), "n": len(self.rows), "rows": np.concatenate([self.rows, np.zeros((REMEMBERED // 8, len(self.langs)))])}
+            known = np.concatenate([self.rows, np.ones((len(self.rows), 1))], 1)
+            m |= {"at": dict(self.words), "n": len(self.rows), "rows": np.concatenate([known, np.zeros((REMEMBERED // 8, len(self.langs) + 1))])}
         at = m["at"]
         places = list(map(at.get, words))
         if None in places:
             new = list({w for w, p in zip(words, places) if p is None})
             n = m["n"]
             while n + len(new) > len(m["rows"]):
-                m["rows"] = np.concatenate([m["rows"], np.zeros((len(m["rows"]) // 2, len(self.langs)))])
-            m["rows"][n : n + len(new)] = self.unseen(new)
+                m["rows"] = np.concatenate([m["rows"], np.zeros((len(m["rows"]) // 2, len(self.langs) + 1))])
+            m["rows"][n : n + len(new), :-1] = self.unseen(new)
+            m["rows"][n : n + len(new), -1] = [self.explained(w) for w in new]
             at.update(zip(new, range(n, n + len(new))))
             m["n"] = n + len(new)
             places = list(map(at.__getitem__, words))
@@ -55,6 +59,11 @@ class Model:
                 return found
         return []
 
+    def explained(self, word: str) -> bool:
+        """Whether an unseen word has a known n-gram of EXPLAINS characters (longer ones hold such a one)."""
+        marked = f"^{word}$"
+        return any(marked[i : i + EXPLAINS] in self.grams for i in range(len(marked) - EXPLAINS + 1))
+
     def unseen(self, words: list[str]) -> np.ndarray:
         """Scores of words outside the vocabulary: the mean over each one's grams_of, 0 without any."""
         found = [self.grams_of(w) for w in words]
@@ -93,10 +102,10 @@ def build(counts: dict[str, dict[str, int]], documents: dict[str, int], smoothin
     return Model(langs, prior, places[0], places[1], np.array(rows).reshape(len(rows), len(langs)))
 
 
-def predict(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
-    """Language and posterior of each text, read in blocks of bounded size."""
+def predict(model: Model, texts: list[str | None]) -> list[tuple[str, float, float]]:
+    """Language, posterior and share of explained words of each text, read in blocks of bounded size."""
     texts = [t or "" for t in texts]
-    sums, lettered, totals = np.zeros((len(texts), len(model.langs))), np.zeros(len(texts), bool), np.zeros(len(texts))
+    sums, lettered, totals = np.zeros((len(texts), len(model.langs) + 1)), np.zeros(len(texts), bool), np.zeros(len(texts))
     for owners, parts in blocks(texts) if model.langs else ():
         words = [_WORD.findall(p.lower()) for p in parts]
         counts = np.fromiter(map(len, words), np.int64, len(words))
@@ -106,13 +115,13 @@ def predict(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
         for k, ws in zip(owners, words):
             lettered[k] |= bool(ws) and (ws[0].isalpha() or any(c.isalpha() for w in ws for c in w))
     out = []
-    for s, n, known in zip(sums + model.prior, totals, lettered):
+    for s, n, known, explained in zip(sums[:, :-1] + model.prior, totals, lettered, sums[:, -1]):
         if known:
             p = np.exp((s - s.max()) * min(1, EVIDENCE / n))
             k = int(np.argmax(s))
-            out.append((model.langs[k], float(p[k] / p.sum())))
+            out.append((model.langs[k], float(p[k] / p.sum()), float(explained / n)))
         else:
-            out.append(("und", 0.0))
+            out.append(("und", 0.0, 0.0))
     return out
 
 
@@ -151,6 +160,7 @@ def identify(
     per_language: int = 1000,
     words_per_language: int = 20_000,
     keep: tuple[str, ...] = (),
+    explained: bool = False,
 ) -> DataFrame:
     """Language and score of every text.
 
@@ -166,21 +176,23 @@ def identify(
     words of the text (of all its words, if fewer). Null text, text without a letter,
     or no labelled rows at all: `und`, 0. Equal scores go to the first
     language by name. Null ids and repeated rows are rows like others; an empty
-    table gives an empty result.
+    table gives an empty result. With `explained` also that column: the share of the text's
+    words that are known or have a known n-gram of EXPLAINS characters; the score alone
+    can't tell a text in no learned language, since one of them is always the best.
     """
     spark = docs.sparkSession
     small_batches(spark)
     model = spark.sparkContext.broadcast(learn(docs, id_col, text_col, lang_col, F.lit(True) if learn_if is None else learn_if, per_language, words_per_language))
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
 
-    @F.pandas_udf("struct<lang_pred: string, score: double>")
+    @F.pandas_udf("struct<lang_pred: string, score: double, explained: double>")
     def guess(texts):
         import pandas as pd
 
-        return pd.DataFrame(predict(model.value, texts.tolist()), columns=["lang_pred", "score"])
+        return pd.DataFrame(predict(model.value, texts.tolist()), columns=["lang_pred", "score", "explained"])
 
     d = d.withColumn("guess", _plain(guess)(F.col("text")))
-    return d.select(F.col("id").alias(id_col), *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)], "guess.lang_pred", "guess.score")
+    return d.select(F.col("id").alias(id_col), *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)], "guess.lang_pred", "guess.score", *["guess.explained"] * explained)
 
 
 def _plain(udf):

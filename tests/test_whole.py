@@ -6,6 +6,7 @@ import difflib
 import hashlib
 import random
 
+import corpus_pipeline
 from patchlens.operators import sampling, scoring
 from patchlens.plans import catalog
 
@@ -60,3 +61,15 @@ def test_dissimilar_goes_on_until_the_block_is_used_up(spark):
             if later:
                 want[x[0]] = {y[0] for y in later[:3]}
     assert got == want
+
+
+def test_language_stage_rejects_unlearned_scripts(spark):
+    r = random.Random(6)
+    sounds = {"en": "th he in er an re on".split(), "de": "sch ei en ch ung ö ß".split(), None: "сло ва на дру гом язы ке".split()}
+    text = lambda lang, n: " ".join("".join(r.choices(sounds[lang], k=r.randint(1, 3))) for _ in range(n))
+    rows = [(i, text(lang, r.choice([5, 50, 300])), lang) for i, lang in enumerate(["en", "de"] * 40)]
+    odd = [(100 + i, text(None, n), None) for i, n in enumerate([1, 10, 100, 1000])] + [(110, text(None, 200) + " " + text("en", 50), None)]
+    rows += odd + [(120, text("en", 200) + " " + text(None, 50), None)]
+    d = spark.createDataFrame([(*x, "a", len(x[1])) for x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {x.doc_id for x in corpus_pipeline.languages(spark, d, "").collect()}
+    assert kept == {x[0] for x in rows} - {x[0] for x in odd}
