@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from typing import NamedTuple
@@ -11,6 +12,10 @@ _ATTRIBUTE = re.compile(r"([a-zA-Z-]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\
 _NAME = re.compile(r"[a-z]+")
 #: Tags whose content is no text of the page.
 SILENT = {"script", "style", "noscript", "template", "head", "svg", "iframe", "object", "math", "textarea", "select", "canvas", "video", "audio"}
+#: Of these, the ones whose content is raw text: without an end tag they run to the end of the page.
+RAW = {"script", "style", "textarea"}
+#: Elements a head may hold; any other start tag, an end tag of head, body or html, and text end it.
+IN_HEAD = {"base", "basefont", "bgsound", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Tags within a block; all others start and end blocks.
 INLINE = {
@@ -28,17 +33,55 @@ class Block(NamedTuple):
     label: int | None  # of the nearest element above that has a data-k attribute
 
 
+@functools.cache
+def _end_of(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\s*+>", re.I)
+
+
+def _after_head(page: str, at: int) -> int:
+    """The place after a head whose content starts at `at`: after its end tag, or before the first thing a head can't hold."""
+    while m := _TOKEN.match(page, at):
+        tag = (m[2] or "").lower()
+        if m[0] == "<!--":
+            end = page.find("-->", m.end())
+            at = len(page) if end < 0 else end + 3
+        elif not tag:
+            if m[0][:2] not in ("<!", "<?", "</") and m[0].strip():
+                return at
+            at = m.end()
+        elif m[1]:
+            if tag == "head":
+                return m.end()
+            if tag in ("body", "html"):
+                return at
+            at = m.end()
+        elif tag not in IN_HEAD:
+            return at
+        else:
+            at = m.end()
+            if tag not in VOID and tag not in ("basefont", "bgsound"):
+                end = _end_of(tag).search(page, at)
+                if end:
+                    at = end.end()
+                elif tag in RAW:
+                    at = len(page)
+    return at
+
+
 def blocks(page: str) -> list[Block]:
     """The page's leaf blocks in order.
 
     Character references are decoded; white space becomes one space; empty
     blocks are left out. Unclosed elements end with their parent; end tags
-    without a start are ignored; an unclosed comment or script runs to the end.
+    without a start are ignored; an unclosed comment, script, style or textarea
+    runs to the end. A head ends at its end tag or before what it can't hold;
+    of other silent elements without an end tag only the tag is left out.
     """
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...], int | None]] = []
     parts: list[str] = []
     linked = links = at = 0
+    unclosed: set[str] = set()  # silent tags without an end tag in the rest of the page
 
     def flush() -> None:
         nonlocal linked
@@ -80,9 +123,16 @@ def blocks(page: str) -> list[Block]:
                     del stack[k:]
             continue
         if tag in SILENT:
-            end = re.compile(rf"</{tag}\s*+>", re.I).search(page, at)
-            if not m[0].endswith("/>"):
-                at = end.end() if end else n
+            if tag == "head":
+                at = _after_head(page, at)
+            elif not m[0].endswith("/>") and tag not in unclosed:
+                end = _end_of(tag).search(page, at)
+                if end:
+                    at = end.end()
+                elif tag in RAW:
+                    at = n
+                else:
+                    unclosed.add(tag)
             continue
         if tag in VOID:
             if tag not in INLINE:

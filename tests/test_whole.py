@@ -7,6 +7,7 @@ import hashlib
 import random
 
 import corpus_pipeline
+from patchlens.llm.html_blocks import blocks
 from patchlens.operators import sampling, scoring
 from patchlens.plans import catalog
 
@@ -73,3 +74,16 @@ def test_language_stage_rejects_unlearned_scripts(spark):
     d = spark.createDataFrame([(*x, "a", len(x[1])) for x in rows], "doc_id long, text string, lang string, source string, n_chars long")
     kept = {x.doc_id for x in corpus_pipeline.languages(spark, d, "").collect()}
     assert kept == {x[0] for x in rows} - {x[0] for x in odd}
+
+
+def test_silent_elements_without_end_tag():
+    texts = lambda page: [b.text for b in blocks(page)]
+    assert texts("<html><head><title>x</title><body><p>article</p>") == ["article"]
+    assert texts("<head><meta charset=a><!-- <p> --><style>p{}</style><script>'<p>no</p>'</script><title>a</title><p>b</p>") == ["b"]
+    assert texts("<head><title>t</title></head><body><p>a</p>") == ["a"]
+    assert texts("<head>\n<link rel=x>\nplain text") == ["plain text"]
+    for tag in ["svg", "select", "object", "math", "canvas", "iframe", "video"]:
+        assert texts(f"<article><p>a</p><{tag}><p>b</p></article><p>c</p>") == ["a", "b", "c"]
+        assert texts(f"<article><p>a</p><{tag}>no</{tag}><p>b</p></article>") == ["a", "b"]
+    for tag in ["script", "style", "textarea"]:
+        assert texts(f"<p>a</p><{tag}><p>b</p>") == ["a"]
