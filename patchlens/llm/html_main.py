@@ -17,8 +17,8 @@ from patchlens.llm.common import small_batches
 from patchlens.llm.html_blocks import Block, blocks
 
 PATH, WORD, SHAPE = 96, 32, 6
-#: Blocks that are labelled in one pass; a longer page is cut in stretches that overlap by CONTEXT on each side.
-STRETCH, CONTEXT = 1024, 64
+#: Blocks of a page that are labelled at a time; a longer page hands each direction's state on.
+STRETCH = 1024
 #: Pages made for training.
 TRAINING_PAGES = 2000
 
@@ -141,24 +141,18 @@ def weights(pages: int = TRAINING_PAGES, seed: int = 7) -> dict[str, np.ndarray]
 
 
 def label(w: dict[str, np.ndarray], pages: list[list[Block]]) -> list[np.ndarray]:
-    """Probability that each block is main text. Pages of similar length run together."""
+    """Probability that each block is main text. Pages of similar length run together, those over STRETCH blocks alone."""
     out: list[np.ndarray] = [np.zeros(len(p)) for p in pages]
-    stretches = [(i, at) for i, p in enumerate(pages) for at in range(0, len(p), STRETCH)]
-    stretches.sort(key=lambda s: min(STRETCH, len(pages[s[0]]) - s[1]))
-    seen = (-1, None)
-    for k in range(0, len(stretches), 64):
-        cuts = []
-        for i, at in stretches[k : k + 64]:
-            x = vectors(pages[i]) if seen[0] != i else seen[1]
-            if len(pages[i]) > STRETCH:
-                seen = (i, x)
-            a, b = max(0, at - CONTEXT), min(len(x), at + STRETCH + CONTEXT)
-            cuts.append((x[a:b], np.zeros(b - a), i, at, at - a))
-        x, sizes, _ = lstm.padded([c[:2] for c in cuts])
+    short = sorted((i for i, p in enumerate(pages) if 0 < len(p) <= STRETCH), key=lambda i: len(pages[i]))
+    for k in range(0, len(short), 64):
+        some = short[k : k + 64]
+        x, sizes, _ = lstm.padded([(vectors(pages[i]), np.zeros(len(pages[i]))) for i in some])
         p = lstm.probabilities(w, x, sizes)
-        for j, (_, _, i, at, skip) in enumerate(cuts):
-            end = min(len(pages[i]), at + STRETCH)
-            out[i][at:end] = p[skip : skip + end - at, j]
+        for j, i in enumerate(some):
+            out[i][:] = p[: len(pages[i]), j]
+    for i, page in enumerate(pages):
+        if len(page) > STRETCH:
+            out[i][:] = lstm.long_probabilities(w, vectors(page), STRETCH)
     return out
 
 

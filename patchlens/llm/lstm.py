@@ -26,11 +26,12 @@ def initial(inputs: int, hidden: int, seed: int = 0) -> dict[str, np.ndarray]:
     return {k: v.astype(np.float32) for k, v in w.items()}
 
 
-def _run(w: dict, d: str, x: np.ndarray, keep: bool):
+def _run(w: dict, d: str, x: np.ndarray, keep: bool, state: tuple[np.ndarray, np.ndarray] | None = None):
+    """Outputs of all steps from `state` (zeros if None) on, and what gradients need of each step (`keep`) or the last state."""
     steps, n, _ = x.shape
     k = w[f"h{d}"].shape[0]
     into = x @ w[f"x{d}"] + w[f"c{d}"]
-    h, c = np.zeros((n, k), np.float32), np.zeros((n, k), np.float32)
+    h, c = state or (np.zeros((n, k), np.float32), np.zeros((n, k), np.float32))
     hs, held = np.empty((steps, n, k), np.float32), []
     for t in range(steps):
         g = into[t] + h @ w[f"h{d}"]
@@ -42,7 +43,7 @@ def _run(w: dict, d: str, x: np.ndarray, keep: bool):
             held.append((h, before, f, i, o, new, tc))
         h = o * tc
         hs[t] = h
-    return hs, held
+    return hs, held if keep else (h, c)
 
 
 def probabilities(w: dict, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -52,6 +53,19 @@ def probabilities(w: dict, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return _sigmoid(np.concatenate([f, _back(b, sizes)], 2) @ w["out"] + w["bias"])
 
 
+def long_probabilities(w: dict, x: np.ndarray, stretch: int) -> np.ndarray:
+    """As `probabilities` for one sequence (step, input), `stretch` steps at a time; each direction's state goes on from stretch to stretch."""
+
+    def through(d: str, x: np.ndarray) -> np.ndarray:
+        state, out = None, []
+        for at in range(0, len(x), stretch):
+            hs, state = _run(w, d, x[at : at + stretch, None], False, state)
+            out.append(hs[:, 0])
+        return np.concatenate(out)
+
+    return _sigmoid(np.concatenate([through("f", x), through("b", x[::-1])[::-1]], 1) @ w["out"] + w["bias"])
+
+
 def gradients(w: dict, x: np.ndarray, sizes: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
     """Mean cross entropy over all steps of all sequences, and its gradients."""
     xb = _back(x, sizes)

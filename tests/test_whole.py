@@ -6,7 +6,10 @@ import difflib
 import hashlib
 import random
 
+import numpy as np
+
 import corpus_pipeline
+from patchlens.llm import html_main, lstm
 from patchlens.llm.html_blocks import blocks
 from patchlens.operators import sampling, scoring
 from patchlens.plans import catalog
@@ -87,3 +90,16 @@ def test_silent_elements_without_end_tag():
         assert texts(f"<article><p>a</p><{tag}>no</{tag}><p>b</p></article>") == ["a", "b"]
     for tag in ["script", "style", "textarea"]:
         assert texts(f"<p>a</p><{tag}><p>b</p>") == ["a"]
+
+
+def test_long_pages_are_labelled_in_whole():
+    r = random.Random(8)
+    words = lambda n: " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(n))
+    pages = [blocks("".join(f"<{(t := r.choice(['p', 'div', 'h2', 'li']))}>{words(r.randint(1, 9))}</{t}>" for _ in range(n))) for n in (3000, 1024, 1025, 0, 7)]
+    w = {k: v * 2 for k, v in lstm.initial(html_main.PATH + html_main.WORD + html_main.SHAPE, 16, 3).items()}
+    w["cf"][:16] = w["cb"][:16] = 8  # a state that lasts
+    for page, got in zip(pages, html_main.label(w, pages)):
+        assert len(got) == len(page)
+        if page:
+            x, sizes, _ = lstm.padded([(html_main.vectors(page), np.zeros(len(page)))])
+            assert np.allclose(got, lstm.probabilities(w, x, sizes)[:, 0], atol=1e-4)
