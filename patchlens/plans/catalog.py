@@ -156,6 +156,27 @@ def stats_rollup_project(spark, d):
     return stats.project_stats(_file_stats(spark, d), ["lang"])
 
 
+_FILE_STATS_ALL = f"""SELECT doc_id, lang, len(w) AS n_strings, len(list_distinct(w)) AS n_unique, len(list_distinct(c)) AS n_node_unique,
+  len(list_filter(list_distinct(w), lambda x: NOT list_contains(c, x) AND x <> 'C')) AS n_missing FROM (SELECT doc_id, lang, w, list_filter(w, lambda x: regexp_matches(x, '[A-Z0-9]')) AS c FROM (SELECT doc_id, lang, {_DOC_WORDS} AS w FROM documents))"""
+
+
+def _file_stats_all(spark, d):
+    """Covered are the words with a capital or a digit, wherever in the text."""
+    w = F.split(F.regexp_replace("text", "[\\n ]+", " "), " ")
+    docs = table(spark, d, "documents").select("doc_id", "lang", w.alias("w"))
+    return stats.file_stats(docs.withColumn("c", F.filter("w", lambda x: x.rlike("[A-Z0-9]"))), ["doc_id", "lang"], "w", "c")
+
+
+@query(f"SELECT *, CASE WHEN n_unique = 0 THEN 100.0::double ELSE 100.0::double * (n_unique - n_missing) / n_unique END AS percent FROM ({_FILE_STATS_ALL})")
+def stats_rollup_file_all(spark, d):
+    return _file_stats_all(spark, d)
+
+
+@query(f"SELECT *, (n_unique - n_missing)::double / n_unique AS share FROM (SELECT lang, sum(n_strings)::bigint AS n_strings, sum(n_unique)::bigint AS n_unique, sum(n_node_unique)::bigint AS n_node_unique, sum(n_missing)::bigint AS n_missing, count(*) AS n_files FROM ({_FILE_STATS_ALL}) GROUP BY lang)")
+def stats_rollup_project_all(spark, d):
+    return stats.project_stats(_file_stats_all(spark, d), ["lang"])
+
+
 _HASH = r"md5(lower(translate(text, chr(10) || chr(13) || chr(9) || '{} ', '')))"
 
 

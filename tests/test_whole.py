@@ -103,3 +103,10 @@ def test_long_pages_are_labelled_in_whole():
         if page:
             x, sizes, _ = lstm.padded([(html_main.vectors(page), np.zeros(len(page)))])
             assert np.allclose(got, lstm.probabilities(w, x, sizes)[:, 0], atol=1e-4)
+
+
+def test_file_stats_cover_words_after_the_first_twenty(spark, tmp_path):
+    text = " ".join([f"w{chr(97 + i)}" for i in range(25)] + ["Late", "x9", "Late"])
+    spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    x = catalog.stats_rollup_file_all(spark, str(tmp_path)).first()
+    assert (x.n_strings, x.n_unique, x.n_node_unique, x.n_missing) == (28, 27, 2, 25)
