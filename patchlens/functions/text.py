@@ -151,8 +151,17 @@ def answer_span(context: Column, answer: Column) -> Column:
 def first_difference(a: Column, b: Column) -> Column:
     """0-based place of the first difference; 0 if the shorter list is a beginning of the other."""
     n = F.least(F.size(a), F.size(b))
-    differ = F.filter(F.transform(F.slice(a, F.lit(1), n), lambda x, i: F.when(x != F.get(b, i), i)), lambda i: i.isNotNull())
-    return F.coalesce(F.get(differ, 0), F.lit(0))
+
+    def place(x: Column, y: Column) -> Column:
+        differ = F.filter(F.transform(F.slice(x, F.lit(1), n), lambda e, i: F.when(e != F.get(y, i), i)), lambda i: i.isNotNull())
+        return F.coalesce(F.get(differ, 0), F.lit(0))
+
+    return let(a, lambda x: let(b, lambda y: place(x, y)))
+
+
+def last_difference(a: Column, b: Column) -> Column:
+    """How many elements at the ends are equal: the last difference is before them; 0 if the shorter list is an end of the other."""
+    return first_difference(F.reverse(a), F.reverse(b))
 
 
 def choice_texts(a: Column, b: Column, lines: int = 10) -> Column:
@@ -202,10 +211,14 @@ def is_reserved(name: Column) -> Column:
 
 def sliding_windows(items: Column, length: int = 70, step: int = 20) -> Column:
     """Windows of `length` every `step`; a shorter list is one; a rest at the end is covered by a window at the end."""
-    n = F.size(items)
-    regular = F.transform(F.sequence(F.lit(0), F.floor((n - length) / step).cast("int")), lambda k: F.slice(items, k * step + 1, length))
-    rest = F.when((n - length) % step != 0, F.array(F.slice(items, n - length + 1, length))).otherwise(F.slice(F.array(items), 1, 0))
-    return F.when(n <= length, F.array(items)).otherwise(F.concat(regular, rest))
+
+    def cut(a: Column) -> Column:
+        n = F.size(a)
+        regular = F.transform(F.sequence(F.lit(0), F.floor((n - length) / step).cast("int")), lambda k: F.slice(a, k * step + 1, length))
+        rest = F.when((n - length) % step != 0, F.array(F.slice(a, n - length + 1, length))).otherwise(F.slice(F.array(a), 1, 0))
+        return F.when(n <= length, F.array(a)).otherwise(F.concat(regular, rest))
+
+    return let(items, cut)
 
 
 def text_windows(text: Column, length: int = 30, step: int = 20) -> Column:
@@ -218,9 +231,18 @@ def text_windows(text: Column, length: int = 30, step: int = 20) -> Column:
 
 def locate_suffix(lines: Column, text: Column, length: int = 30) -> Column:
     """`length` lines from the last place from which the joined rest still holds `text`; empty if none does."""
-    at = F.filter(F.sequence(F.lit(0), F.size(lines)), lambda i: F.contains(F.array_join(tail(lines, i), " "), text))
-    last = F.array_max(at)
-    return F.when(last.isNull(), F.slice(lines, 1, 0)).otherwise(F.slice(lines, F.least(last, F.greatest(F.size(lines) - 1, F.lit(0))) + 1, length))
+
+    def found(a: Column) -> Column:
+        joined = F.array_join(a, " ")
+        # a place is where a line starts in the joined text; the last one at or before the last occurrence of `text`
+        sizes = F.transform(a, lambda x: F.char_length(x) + 1)
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        starts = F.aggregate(sizes, zero, lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")), lambda s: s["starts"])
+        occurrence = F.char_length(joined) - F.char_length(text) - F.call_function("instr", F.reverse(joined), F.reverse(text)) + 1
+        last = F.greatest(F.size(F.filter(starts, lambda s: s <= occurrence)) - 1, F.lit(0))
+        return F.when(~F.contains(joined, text), F.slice(a, 1, 0)).otherwise(F.slice(a, last + 1, length))
+
+    return let(lines, found)
 
 
 def prompt(source: Column, patch: Column, assembly: Column) -> Column:

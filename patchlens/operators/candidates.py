@@ -21,14 +21,15 @@ def prepared_binaries(binaries: DataFrame) -> DataFrame:
     return binaries.withColumn("asm", T.normalize_asm_lines(F.col("asm_codes"))).withColumn("prologue", T.asm_prologue(F.col("asm")))
 
 
-def candidate_pairs(sources: DataFrame, binaries: DataFrame, block: list[str] = (), keep_name_matches: bool = True) -> DataFrame:
+def candidate_pairs(sources: DataFrame, binaries: DataFrame, block: list[str] = (), keep_name_matches: bool = True, whole: bool = False) -> DataFrame:
     """Pairs that pass the three tests: not a reserved name, more instructions than lines, equal parameter counts.
 
     All pairs of a block are meant, but the last test is an equality: pairs
     come from a hash join on the parameter count. Pairs of equal names skip
     the tests; they come from a second join on the name. Normalisation is done
     per function, not per pair. Both bodies start after header and prologue.
-    A source without lines has no pair.
+    A source without lines has no pair. With `whole` also all instructions, as
+    `asm`, which legacy_filter reads.
     """
     s, b = prepared_sources(sources).filter(F.size("src") > 0), prepared_binaries(binaries)
     on = list(block)
@@ -41,13 +42,13 @@ def candidate_pairs(sources: DataFrame, binaries: DataFrame, block: list[str] =
         tested = tested.drop("params").unionByName(named)
     return tested.select(
         *on, "src_name", "bin_name", T.tail(F.col("src"), F.col("header.body_start")).alias("src_codes"), T.tail(F.col("asm"), F.col("prologue.body_start")).alias("asm_codes"),
-        F.col("header.param_count").alias("src_params"), F.col("prologue.param_count").alias("asm_params"),
+        F.col("header.param_count").alias("src_params"), F.col("prologue.param_count").alias("asm_params"), *["asm"] * whole,
     )
 
 
 def legacy_filter(pairs: DataFrame) -> DataFrame:
-    """First instruction endbr64, equal parameter counts, 2 to 10 instructions per effective line."""
-    ratio = F.bround(F.size("asm") / T.effective_line_count(F.col("src_codes")), 2)
+    """Pairs (candidate_pairs with `whole`) whose first instruction is endbr64, of equal parameter counts and 2 to 10 instructions per effective line; without such lines the ratio is 0."""
+    ratio = F.coalesce(F.bround(F.try_divide(F.size("asm"), T.effective_line_count(F.col("src_codes"))), 2), F.lit(0.0))
     return pairs.filter((F.get("asm", 0) == "endbr64") & (F.col("src_params") == F.col("asm_params")) & ratio.between(2, 10))
 
 
@@ -68,18 +69,38 @@ def contained(needles: DataFrame, hays: DataFrame, needle: str, hay: str) -> Dat
 
     A word between two spaces of a needle is a whole word of any hay that has
     the needle. Needles with such a word meet only hays that have its longest
-    one. The rest meet all hays, by a broadcast if they are few, as counted.
+    one. If they are too many to broadcast, hashes of the hays stand in for
+    them until the words have met, so that a text isn't shuffled once for each
+    of its words. Needles without such a word meet hays on their first
+    characters: see `part_of`.
     """
     words = F.split(F.col(needle), " ")
     inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
     longest = F.get(F.array_sort(F.transform(inner, lambda w: F.struct((-F.char_length(w)).alias("n"), w.alias("w")))), 0)["w"]
     n = needles.withColumn("word__", F.when(F.char_length(longest) > 0, longest))
-    h = hays.withColumn("word__", F.explode(F.array_distinct(F.split(hay, " "))))
-    found = n.filter("word__ is not null").join(h, "word__").drop("word__")
-    loose = n.filter("word__ is null").drop("word__")
-    small = F.broadcast(loose) if loose.count() <= BROADCAST_ROWS else loose
+    of_hay = F.explode(F.array_distinct(F.split(hay, " "))).alias("word__")
     verified = F.contains(F.col(hay), F.col(needle))
-    return found.filter(verified).unionByName(hays.join(small, verified).select(*found.columns))
+    long = n.filter("word__ is not null")
+    if long.count() <= BROADCAST_ROWS:
+        found = hays.select("*", of_hay).join(F.broadcast(long), "word__").drop("word__").filter(verified)
+    else:
+        thin = hays.select(F.xxhash64(hay).alias("h__"), of_hay).distinct()
+        found = hays.withColumn("h__", F.xxhash64(hay)).join(thin.join(long, "word__").drop("word__"), "h__").drop("h__").filter(verified)
+    columns = [*hays.columns, *needles.columns]
+    return found.select(*columns).unionByName(part_of(n.filter("word__ is null").drop("word__"), hays, needle, hay).select(*columns))
+
+
+def part_of(needles: DataFrame, hays: DataFrame, needle: str, hay: str, gram: int = 4) -> DataFrame:
+    """Pairs whose needle is anywhere in the hay: joined on the needle's first `gram` characters, which any such hay has among its own; shorter needles on all they have."""
+    n = needles.select("*", F.left(F.col(needle), F.lit(gram)).alias("gram__"))
+    text = F.col(hay)
+    sizes = sorted(r[0] for r in n.select(F.char_length("gram__")).distinct().collect() if r[0] is not None)
+    verified = F.contains(text, F.col(needle))
+    at = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(text) - k + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(k)))
+    grams = F.flatten(F.array(*[at(k) if k else F.array(F.lit("")) for k in sizes or [gram]]))
+    thin = hays.select(F.xxhash64(hay).alias("h__"), F.explode(F.array_distinct(grams)).alias("gram__")).distinct()
+    met = thin.join(n, "gram__").drop("gram__")
+    return hays.withColumn("h__", F.xxhash64(hay)).join(met, "h__").drop("h__").filter(verified)
 
 
 def valid_cases(cases: DataFrame) -> DataFrame:
@@ -114,12 +135,21 @@ def not_listed(df: DataFrame, column: str, denied: list[str]) -> DataFrame:
 
 
 def without_keywords(paths: DataFrame, path: str, keywords: DataFrame, keyword: str, short: int = 5) -> DataFrame:
-    """Paths that have no keyword: one of at most `short` characters counts only as a whole directory, others anywhere."""
-    k = keywords.select(F.col(keyword).alias("k__"))
-    if k.count() <= BROADCAST_ROWS:
-        k = F.broadcast(k)
-    hit = F.when(F.char_length("k__") <= short, F.contains(F.col(path), F.concat(F.lit("/"), "k__", F.lit("/")))).otherwise(F.contains(F.col(path), F.col("k__")))
-    return paths.join(k, hit, "left_anti")
+    """Paths that have no keyword: one of at most `short` characters counts only as a whole directory, others anywhere.
+
+    Keywords meet paths by equality joins, however many there are: a whole
+    directory on its name, others on their first characters. Empty keywords
+    count as the empty directory (two slashes). A null path has no keyword.
+    """
+    k = F.col(keyword)
+    brief = F.char_length(k) <= short
+    found = keywords.filter(k.isNotNull()).select(F.when(brief, F.concat(F.lit("/"), k, F.lit("/"))).otherwise(k).alias("k__"), (brief & ~F.contains(k, F.lit("/"))).alias("dir__")).distinct()
+    distinct = paths.select(F.col(path).alias("p__")).filter("p__ is not null").distinct()
+    parts = F.split("p__", "/")
+    inner = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0)))
+    dirs = distinct.select("p__", F.explode(F.array_distinct(F.transform(inner, lambda x: F.concat(F.lit("/"), x, F.lit("/"))))).alias("k__"))
+    hit = dirs.join(found.filter("dir__"), "k__").select("p__").unionByName(part_of(found.filter("not dir__").select("k__"), distinct, "k__", "p__").select("p__"))
+    return paths.join(hit.distinct(), F.col(path) == F.col("p__"), "left_anti")
 
 
 def latest_change(spans: DataFrame, lines: DataFrame) -> DataFrame:

@@ -53,10 +53,15 @@ def span_overlap(df: DataFrame) -> DataFrame:
     return g.select("*", p.alias("precision"), r.alias("recall"), ratio(2 * p * r, p + r).alias("f1"))
 
 
-def accuracy_and_errors(df: DataFrame, label: str, prediction: str, id_col: str) -> DataFrame:
-    """Per label: rows, accuracy, ids that are wrong."""
+def accuracy_and_errors(df: DataFrame, label: str, prediction: str) -> DataFrame:
+    """Per label: rows, accuracy, how many are wrong. `errors` has the wrong rows themselves."""
     wrong = F.col(label) != F.col(prediction)
-    return df.groupBy(label).agg(F.count("*").alias("n"), F.avg((~wrong).cast("double")).alias("accuracy"), F.array_sort(F.collect_list(F.when(wrong, F.col(id_col)))).alias("wrong_ids"))
+    return df.groupBy(label).agg(F.count("*").alias("n"), F.avg((~wrong).cast("double")).alias("accuracy"), F.count_if(wrong).alias("n_wrong"))
+
+
+def errors(df: DataFrame, label: str, prediction: str) -> DataFrame:
+    """The rows whose prediction is wrong, a row each: a list per label would grow with the input."""
+    return df.filter(F.col(label) != F.col(prediction))
 
 
 def token_span(offsets: Column, start: Column, end: Column, max_length: int) -> Column:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from patchlens.sources.shared import cut
+
 
 def adjacent_runs(df: DataFrame, keys: list[str], order: list[str], value: str, joins: Column | None = None) -> DataFrame:
     """`df` with run_id: a row continues the run of the row before it (by `order`) if `value` is the same and `joins` holds."""
@@ -65,10 +69,6 @@ def drop_overlapped(lists: DataFrame, id_col: str, items: str, most: int = 10, m
     return d.select(id_col, F.aggregate("p", zero, step, lambda a: a["out"]).alias(items))
 
 
-#: Ranges that a total order is cut in at most.
-MOST_RANGES = 256
-
-
 def last_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key."""
     w = W.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
@@ -78,21 +78,38 @@ def last_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def numbered(df: DataFrame, order: list[str], name: str = "seq_id", rows_per_range: int = 100_000) -> DataFrame:
     """`df` with its place in a total order from 0, without one task that sorts everything.
 
-    Rows are dealt out by ranges of the first column; the ranges' sizes (a few
-    numbers) give each range's first place.
+    Rows are dealt out by ranges of all columns of `order`, as many as the
+    number of rows asks for, and written with their place in their range; the
+    ranges' sizes (a number for each `rows_per_range` rows) give each range's
+    first place. Nulls come first.
     """
-    first = order[0]
-    n = min(MOST_RANGES, max(1, df.count() // rows_per_range))
-    marks = (df.select(F.percentile_approx(first, [i / n for i in range(1, n)], 10_000)).first()[0] or []) if n > 1 else []
-    bounds = F.array(*map(F.lit, sorted(set(marks))))
-    d = df.withColumn("b__", F.size(F.filter(bounds, lambda m: F.col(first) > m)) if marks else F.lit(0))
-    sizes = dict(d.groupBy("b__").count().collect())
-    at, starts = 0, []
-    for b in range(max(sizes, default=0) + 1):
-        starts.append(at)
-        at += sizes.get(b, 0)
-    place = F.row_number().over(W.partitionBy("b__").orderBy(*order)) - 1
-    return d.withColumn(name, (F.get(F.array(*[F.lit(s).cast("long") for s in starts]), F.col("b__")) + place).cast("long")).drop("b__")
+    n = max(1, math.ceil(df.count() / rows_per_range))
+    d = (df.repartitionByRange(n, *order) if n > 1 else df.repartition(1)).sortWithinPartitions(*order)
+    d = cut(d.select("*", F.spark_partition_id().alias("b__"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("at__")))
+    starts, at = [], 0
+    for b, size in sorted(d.groupBy("b__").count().collect()):
+        starts.append((b, at))
+        at += size
+    first = df.sparkSession.createDataFrame(starts, "b__ int, first__ long")
+    return d.join(F.broadcast(first), "b__").select(*df.columns, (F.col("first__") + F.col("at__")).alias(name))
+
+
+def ranked(df: DataFrame, keys: list[str], order: list[str], rank: str = "rank", size: str = "group_size") -> DataFrame:
+    """`df` with each row's place in its key's order, from 0, and the key's number of rows; a hot key is spread over ranges like all others."""
+    d = numbered(df, [*keys, *order], "all__")
+    own = [F.col(k).alias(f"k{i}__") for i, k in enumerate(keys)]
+    groups = d.groupBy(*own).agg(F.min("all__").alias("low__"), F.count("*").alias(size))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"k{i}__"))
+    return d.join(groups, same).select(*df.columns, (F.col("all__") - F.col("low__")).alias(rank), size)
+
+
+def group_lists(df: DataFrame, keys: list[str], item: str, per_row: int = 1000) -> DataFrame:
+    """Each key's items in order as lists of at most `per_row`: keys, part (from 0), n (all of the key's items), items. No row grows with its key."""
+    d = ranked(df.select(*keys, item), keys, [item], "at__", "n__")
+    g = d.groupBy(*keys, F.floor(F.col("at__") / per_row).alias("part"), F.col("n__").alias("n")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    return g.select(*keys, "part", "n", "items")
 
 
 def batches(df: DataFrame, order: list[str], size: int = 20, name: str = "batch_id") -> DataFrame:

@@ -6,8 +6,6 @@ The same seed gives the same rows whatever the partitioning.
 from __future__ import annotations
 
 import difflib
-import random
-import tempfile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from patchlens.functions import text as T
-from patchlens.operators.ordered import numbered
+from patchlens.operators.ordered import numbered, ranked
+from patchlens.sources.shared import cut
 
 
 def key_of(id_col: str, seed: str = "0") -> Column:
@@ -33,12 +32,22 @@ def split_80_10_10(df: DataFrame, id_col: str, seed: str = "0") -> DataFrame:
 
 
 def partners(df: DataFrame, id_col: str, keys: list[str], differ: str, seed: str = "0") -> DataFrame:
-    """Each row with the next row in its group's hash order (the last with the first), if the column `differ` differs."""
-    w = W.partitionBy(*keys).orderBy(key_of(id_col, seed), id_col)
-    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    other = F.struct(F.col(id_col).alias("id"), F.col(differ).alias("v"))
-    d = df.withColumn("p__", F.coalesce(F.lead(other).over(w), F.first(other).over(whole)))
-    return d.filter(F.col("p__.v") != F.col(differ)).withColumn("partner_id", F.col("p__.id")).withColumn("partner", F.col("p__.v")).drop("p__")
+    """Each row with the next row in its group's hash order (the last with the first), if the column `differ` differs.
+
+    Ids are unique and not null. Who follows whom is found with ids and keys
+    alone, however large a group; the values are fetched afterwards.
+    """
+    thin = df.select(*[F.col(c).alias(f"g{i}__") for i, c in enumerate(keys)], F.col(id_col).alias("id__"), key_of(id_col, seed).alias("h__"))
+    on = [f"g{i}__" for i in range(len(keys))]
+    r = cut(ranked(thin, on, ["h__", "id__"], "at__", "n__").drop("h__"))
+    other = r.select(*[F.col(c).alias(f"o{c}") for c in on], F.col("at__").alias("o_at__"), F.col("id__").alias("partner_id"))
+    same = (F.col("at__") + 1) % F.col("n__") == F.col("o_at__")
+    for c in on:
+        same &= F.col(c).eqNullSafe(F.col(f"o{c}"))
+    pairs = r.join(other, same).select("id__", "partner_id")
+    values = df.select(F.col(id_col).alias("p__"), F.col(differ).alias("partner"))
+    j = df.join(pairs, F.col(id_col) == F.col("id__")).join(values, F.col("partner_id") == F.col("p__"))
+    return j.filter(F.col("partner") != F.col(differ)).select(*df.columns, "partner_id", "partner")
 
 
 def ratio_udf(autojunk: bool = True):
@@ -72,14 +81,6 @@ def fuzzy_ratio_udf():
     return ratio
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the checkpoint folder and go on from the files; a temporary folder only where none is set."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
-
-
 def dissimilar(df: DataFrame, id_col: str, text: str, block: list[str], k: int, below: float, tries: int = 8, seed: str = "0") -> DataFrame:
     """The first `k` partners of each row in its block's hash order, from the next row on and round the end, whose similarity is under `below`.
 
@@ -87,9 +88,10 @@ def dissimilar(df: DataFrame, id_col: str, text: str, block: list[str], k: int,
     go on, with twice as many in each further round, until they have `k` or
     the block is used up.
     """
-    w = W.partitionBy(*block).orderBy(key_of(id_col, seed), id_col)
-    whole = W.partitionBy(*block)
-    rows = cut(df.select(*[F.col(c).alias(f"b{i}__") for i, c in enumerate(block)], F.col(id_col).alias("id__"), F.col(text).alias("t__"), (F.row_number().over(w) - 1).alias("at__"), F.count("*").over(whole).alias("n__")))
+    thin = df.select(*[F.col(c).alias(f"b{i}__") for i, c in enumerate(block)], F.col(id_col).alias("id__"), key_of(id_col, seed).alias("h__"))
+    thin = ranked(thin, [f"b{i}__" for i in range(len(block))], ["h__", "id__"], "at__", "n__").drop("h__")
+    texts = df.select(F.col(id_col).alias("i__"), F.col(text).alias("t__"))
+    rows = cut(thin.join(texts, F.col("id__") == F.col("i__")).drop("i__"))
     on = [f"b{i}__" for i in range(len(block))]
     others = rows.select(*[F.col(c).alias(f"o{c}") for c in on], F.col("at__").alias("o_at__"), F.col("id__").alias("o_id__"), F.col("t__").alias("o_t__"))
     same = F.col("to__") == F.col("o_at__")
@@ -116,58 +118,63 @@ def dissimilar(df: DataFrame, id_col: str, text: str, block: list[str], k: int,
             return out.select(F.col("id__").alias(id_col), F.col("o_id__").alias("partner_id"), "similarity")
 
 
-def perturbed_asm(seed: int = 0, head: int = 30):
-    """A function of (id, lines): the first `head` instructions with three repeated, three removed and two swapped."""
+def drawn(key: Column, step, n: Column) -> Column:
+    """A number from 0 to n - 1 that the key and the step decide."""
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), F.lit(step).cast("string") if isinstance(step, int) else step.cast("string"))), 1, 8), 16, 10).cast("long")
+    return F.pmod(h, n).cast("int")
+
 
-    @F.pandas_udf("array<string>")
-    def run(ids: pd.Series, lines: pd.Series) -> pd.Series:
-        def one(key, items):
-            r, out = random.Random(f"{seed}:{key}"), list(items)[:head]
-            for _ in range(3 if out else 0):
-                out.insert(r.randrange(len(out) + 1), r.choice(out))
-            for _ in range(min(3, len(out))):
-                del out[r.randrange(len(out))]
-            if len(out) > 1:
-                i, j = r.sample(range(len(out)), 2)
-                out[i], out[j] = out[j], out[i]
-            return out
+def _twice(a: Column, at: Column) -> Column:
+    return F.concat(F.slice(a, F.lit(1), at + 1), F.slice(a, at + 1, F.size(a) - at))
 
-        return pd.Series([one(k, x) if x is not None else None for k, x in zip(ids, lines)])
 
-    return run
+def _without(a: Column, at: Column) -> Column:
+    return F.concat(F.slice(a, F.lit(1), at), F.slice(a, at + 2, F.size(a)))
+
+
+def _swapped(a: Column, i: Column, j: Column) -> Column:
+    return F.transform(a, lambda x, p: F.when(p == i, F.get(a, j)).when(p == j, F.get(a, i)).otherwise(x))
+
+
+def perturbed_asm(key: Column, lines: Column, head: int = 30) -> Column:
+    """All instructions, of the first `head` three repeated in place, three removed, two swapped; lists of less than three stay as they are.
+
+    The key's hashes choose the places. Runs in the JVM.
+    """
+
+    def step(a: Column, k: Column) -> Column:
+        n = F.size(a)
+        return F.when(k < 6, T.let(drawn(key, k, n), lambda at: F.when(k < 3, _twice(a, at)).otherwise(_without(a, at)))).otherwise(
+            T.let(drawn(key, 6, n), lambda i: T.let(F.pmod(i + 1 + drawn(key, 7, n - 1), n), lambda j: _swapped(a, i, j)))
+        )
 
+    done = F.aggregate(F.sequence(F.lit(0), F.lit(6)), F.slice(lines, 1, head), step)
+    return F.when(F.size(lines) < 3, lines).otherwise(F.concat(done, T.tail(lines, head)))
 
-def perturbed_src(seed: int = 0):
-    """A function of (id, lines): one to three lines removed or repeated elsewhere."""
 
-    @F.pandas_udf("array<string>")
-    def run(ids: pd.Series, lines: pd.Series) -> pd.Series:
-        def one(key, items):
-            r, out = random.Random(f"{seed}:{key}"), list(items)
-            for _ in range(r.randint(1, 3) if out else 0):
-                if r.random() < 0.5 and len(out) > 1:
-                    del out[r.randrange(len(out))]
-                else:
-                    out.insert(r.randrange(len(out) + 1), r.choice(out))
-            return out
+def perturbed_src(key: Column, lines: Column) -> Column:
+    """One to three times a line is removed, or one of the lines is put in behind another, as the key's hashes choose. Runs in the JVM."""
 
-        return pd.Series([one(k, x) if x is not None else None for k, x in zip(ids, lines)])
+    def step(a: Column, k: Column) -> Column:
+        at = drawn(key, 10 + k, F.size(a))
+        insert = T.let(at, lambda p: F.concat(F.slice(a, F.lit(1), p + 1), F.array(F.get(lines, drawn(key, 30 + k, F.size(lines)))), F.slice(a, p + 2, F.size(a))))
+        return F.when(F.size(a) == 0, a).when(drawn(key, 20 + k, F.lit(2)) == 0, T.let(at, lambda p: _without(a, p))).otherwise(insert)
 
-    return run
+    return F.aggregate(F.sequence(F.lit(1), 1 + drawn(key, 0, F.lit(3))), lines, step)
 
 
 def negative_pairs(df: DataFrame, id_col: str, keys: list[str], asm: str, seed: str = "0") -> DataFrame:
     """Pairs of label 0: a row's source with its partner's instructions, perturbed."""
     d = partners(df, id_col, keys, asm, seed)
-    return d.withColumn(asm, perturbed_asm()(F.col(id_col).cast("string"), F.col("partner"))).withColumn("label", F.lit(0)).drop("partner")
+    return d.withColumn(asm, perturbed_asm(F.col(id_col), F.col("partner"))).withColumn("label", F.lit(0)).drop("partner")
 
 
 def choice_items(df: DataFrame, id_col: str, keys: list[str], src: str, copies: int = 3, seed: str = "0") -> DataFrame:
-    """Wrong options of each row: one of a partner, `copies` of its own source, perturbed."""
+    """Wrong options of each row: one of a partner, and `copies` of its own source, perturbed; those equal to the right one are left out."""
     other = partners(df, id_col, keys, src, seed).select(id_col, F.lit(0).alias("wrong_type"), F.col(src).alias("src_0"), F.col("partner").alias("src_1"))
     own = df.select(id_col, src, F.explode(F.sequence(F.lit(1), F.lit(copies))).alias("copy"))
-    own = own.withColumn("src_1", perturbed_src()(F.concat_ws(":", F.col(id_col).cast("string"), F.col("copy").cast("string")), F.col(src)))
-    return other.unionByName(own.select(id_col, F.lit(1).alias("wrong_type"), F.col(src).alias("src_0"), "src_1"))
+    own = own.withColumn("src_1", perturbed_src(F.concat_ws(":", F.col(id_col).cast("string"), F.col("copy").cast("string")), F.col(src)))
+    return other.unionByName(own.filter(F.col("src_1") != F.col(src)).select(id_col, F.lit(1).alias("wrong_type"), F.col(src).alias("src_0"), "src_1"))
 
 
 def source_slice(id_col: str, lines: Column, length: int, seed: str = "0") -> Column:

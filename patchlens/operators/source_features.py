@@ -12,9 +12,13 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from patchlens.operators.candidates import without_keywords
+from patchlens.operators.stats import file_stats, guarded_files
+from patchlens.sources.files import SOURCE_SUFFIXES, has_suffix
+
 SCHEMA = (
     "path string, name string, node_type string, line_start int, line_end int, original_lines array<string>, strings array<string>, "
     "conditional_strings array<array<string>>, numbers array<string>, hash_value string"
@@ -133,7 +137,7 @@ def features(source: str) -> list[dict]:
                 continue
             if name and name.kind == "word" and name.text not in _CONTROL:
                 last = code[min(end, len(code) - 1)]
-                add(name.text, "function", head[0].line, last.line, code[i : end + 1])
+                add(name.text, "function_definition", head[0].line, last.line, code[i : end + 1])
                 i, start = end + 1, end + 1
                 continue
             start = i + 1  # a namespace, class or extern block: go on inside
@@ -169,6 +173,40 @@ def pick(found: DataFrame, wanted: DataFrame) -> DataFrame:
     return j.withColumn("r__", F.row_number().over(W.partitionBy("path", "key").orderBy("line_start"))).filter("r__ = 1").drop("r__", "key")
 
 
-def as_record(found: DataFrame) -> DataFrame:
-    """All strings of a feature in one array, always compiled ones first."""
-    return found.withColumn("strings", F.concat("strings", F.flatten("conditional_strings"))).drop("conditional_strings", "node_type")
+def as_record(found: DataFrame, node_types: tuple[str, ...] = ("function_definition", "declaration")) -> DataFrame:
+    """Features of the given node types; all strings of a feature in one array, always compiled ones first."""
+    kept = found.filter(F.col("node_type").isin(*node_types))
+    return kept.withColumn("strings", F.concat("strings", F.flatten("conditional_strings"))).drop("conditional_strings", "node_type")
+
+
+def file_strings(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """path, strings: every string literal of each file; none of one that can't be decoded."""
+
+    @F.pandas_udf("array<string>")
+    def every(column: pd.Series) -> pd.Series:
+        def one(c):
+            try:
+                return all_strings(bytes(c).decode() if isinstance(c, (bytes, bytearray)) else c or "")
+            except UnicodeDecodeError:
+                return []
+
+        return pd.Series([one(c) for c in column], dtype=object)
+
+    return files.select(F.col(path).alias("path"), every(content).alias("strings"))
+
+
+def project(spark: SparkSession, folder: str, keywords: DataFrame | None = None, keyword: str = "keyword") -> tuple[DataFrame, DataFrame]:
+    """(features, statistics by file) of all C and C++ sources below a folder.
+
+    Files are found, those in excluded directories or too large left out, and
+    the rest parsed, one file at a time; what is read from one file stays with
+    its path. Statistics compare all strings of a file with those its features have.
+    """
+    d = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).filter(has_suffix(F.col("path"), SOURCE_SUFFIXES) & (F.col("length") > 0))
+    if keywords is not None:
+        d = without_keywords(d, "path", keywords, keyword)
+    d = guarded_files(d, "length").select("path", "content")
+    found = extract(d)
+    covered = as_record(found).groupBy("path").agg(F.flatten(F.collect_list("strings")).alias("covered"))
+    every = file_strings(d).join(covered, "path", "left").withColumn("covered", F.coalesce("covered", F.array().cast("array<string>")))
+    return found, file_stats(every, ["path"], "strings", "covered")

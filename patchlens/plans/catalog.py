@@ -109,10 +109,10 @@ def rename_nest_struct(spark, d):
 # ---- grouping, sets ----
 
 
-@query("SELECT source, count(*) AS n, string_agg(doc_id::varchar, ',' ORDER BY doc_id) AS ids FROM documents GROUP BY source")
+@query("""SELECT source, part, n, string_agg(doc_id::varchar, ',' ORDER BY doc_id) AS ids FROM (SELECT source, doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 1000 AS part, count(*) OVER (PARTITION BY source) AS n FROM documents) GROUP BY source, part, n""")
 def group_collect_sorted(spark, d):
-    g = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("doc_id")).alias("ids"))
-    return g.select("source", "n", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+    g = ordered.group_lists(table(spark, d, "documents"), ["source"], "doc_id")
+    return g.select("source", "part", "n", F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("ids"))
 
 
 @query("SELECT DISTINCT text, lang FROM documents")
@@ -137,13 +137,14 @@ def count_distinct(spark, d):
 
 _DOC_WORDS = r"string_split(regexp_replace(text, '[\n ]+', ' ', 'g'), ' ')"
 _FILE_STATS = f"""SELECT doc_id, lang, len(w) AS n_strings, len(list_distinct(w)) AS n_unique, len(list_distinct(c)) AS n_node_unique,
-  len(list_filter(list_distinct(w), lambda x: NOT list_contains(c, x) AND x <> 'C')) AS n_missing FROM (SELECT doc_id, lang, w, w[1:20] AS c FROM (SELECT doc_id, lang, {_DOC_WORDS} AS w FROM documents))"""
+  len(list_filter(list_distinct(w), lambda x: NOT list_contains(c, x) AND x <> 'C')) AS n_missing FROM (SELECT doc_id, lang, w, list_filter(w, lambda x: regexp_matches(x, '[A-Z0-9]')) AS c FROM (SELECT doc_id, lang, {_DOC_WORDS} AS w FROM documents))"""
 
 
 def _file_stats(spark, d):
+    """A text's words are its strings; those with a capital or a digit, wherever they stand, are the strings in nodes."""
     w = F.split(F.regexp_replace("text", "[\\n ]+", " "), " ")
     docs = table(spark, d, "documents").select("doc_id", "lang", w.alias("w"))
-    return stats.file_stats(docs.withColumn("c", F.slice("w", 1, 20)), ["doc_id", "lang"], "w", "c")
+    return stats.file_stats(docs.withColumn("c", F.filter("w", lambda x: x.rlike("[A-Z0-9]"))), ["doc_id", "lang"], "w", "c")
 
 
 @query(f"SELECT *, CASE WHEN n_unique = 0 THEN 100.0::double ELSE 100.0::double * (n_unique - n_missing) / n_unique END AS percent FROM ({_FILE_STATS})")
@@ -156,27 +157,6 @@ def stats_rollup_project(spark, d):
     return stats.project_stats(_file_stats(spark, d), ["lang"])
 
 
-_FILE_STATS_ALL = f"""SELECT doc_id, lang, len(w) AS n_strings, len(list_distinct(w)) AS n_unique, len(list_distinct(c)) AS n_node_unique,
-  len(list_filter(list_distinct(w), lambda x: NOT list_contains(c, x) AND x <> 'C')) AS n_missing FROM (SELECT doc_id, lang, w, list_filter(w, lambda x: regexp_matches(x, '[A-Z0-9]')) AS c FROM (SELECT doc_id, lang, {_DOC_WORDS} AS w FROM documents))"""
-
-
-def _file_stats_all(spark, d):
-    """Covered are the words with a capital or a digit, wherever in the text."""
-    w = F.split(F.regexp_replace("text", "[\\n ]+", " "), " ")
-    docs = table(spark, d, "documents").select("doc_id", "lang", w.alias("w"))
-    return stats.file_stats(docs.withColumn("c", F.filter("w", lambda x: x.rlike("[A-Z0-9]"))), ["doc_id", "lang"], "w", "c")
-
-
-@query(f"SELECT *, CASE WHEN n_unique = 0 THEN 100.0::double ELSE 100.0::double * (n_unique - n_missing) / n_unique END AS percent FROM ({_FILE_STATS_ALL})")
-def stats_rollup_file_all(spark, d):
-    return _file_stats_all(spark, d)
-
-
-@query(f"SELECT *, (n_unique - n_missing)::double / n_unique AS share FROM (SELECT lang, sum(n_strings)::bigint AS n_strings, sum(n_unique)::bigint AS n_unique, sum(n_node_unique)::bigint AS n_node_unique, sum(n_missing)::bigint AS n_missing, count(*) AS n_files FROM ({_FILE_STATS_ALL}) GROUP BY lang)")
-def stats_rollup_project_all(spark, d):
-    return stats.project_stats(_file_stats_all(spark, d), ["lang"])
-
-
 _HASH = r"md5(lower(translate(text, chr(10) || chr(13) || chr(9) || '{} ', '')))"
 
 
@@ -289,14 +269,21 @@ def string_set_normalize(spark, d):
 _BRACE = "coalesce(list_position(list_transform(l, lambda x: contains(x, '{')), true), 1)"
 
 
-@query(rf"""SELECT doc_id, len(list_filter(l[{_BRACE}:], lambda x: len(string_split_regex({_STRIP.format("x")}, '\s+')) > 1 OR length({_STRIP.format("x")}) > 10)) AS n_effective
-FROM (SELECT doc_id, {_src_lines('string_split(text, chr(10))')} AS l FROM documents)""")
+def _effective(l: str) -> str:
+    start = f"coalesce(list_position(list_transform({l}, lambda x: contains(x, '{{')), true), 1)"
+    return rf"list_filter(({l})[{start}:], lambda x: len(string_split_regex({_STRIP.format('x')}, '\s+')) > 1 OR length({_STRIP.format('x')}) > 10)"
+
+
+@query(f"SELECT doc_id, len({_effective('l')}) AS n_effective FROM (SELECT doc_id, {_src_lines('string_split(text, chr(10))')} AS l FROM documents)")
 def effective_line_count(spark, d):
     return table(spark, d, "documents").select("doc_id", T.effective_line_count(F.split("text", "\n")).alias("n_effective"))
 
 
-@query(rf"""SELECT id, {_BRACE} AS body_start, least(6, CASE WHEN p IN ('void', '') THEN 0 WHEN ends_with(p, '...') THEN 6 ELSE length(p) - length(replace(p, ',', '')) + 1 END) AS param_count
-FROM (SELECT id, l, string_split(string_split(h, '(')[-1], ')')[1] AS p FROM (SELECT id, l, array_to_string(l[1:{_BRACE}], ' ') AS h FROM (SELECT id, {_src_lines('string_split(source, chr(10))')} AS l FROM {_SOURCE_VALUES})))""")
+_HEADER = rf"""{_BRACE} AS body_start, least(6, CASE WHEN array_to_string(l[1:{_BRACE}], ' ').string_split('(')[-1].string_split(')')[1] IN ('void', '') THEN 0 WHEN ends_with(array_to_string(l[1:{_BRACE}], ' ').string_split('(')[-1].string_split(')')[1], '...') THEN 6
+  ELSE len(string_split(array_to_string(l[1:{_BRACE}], ' ').string_split('(')[-1].string_split(')')[1], ',')) END)::int AS param_count"""
+
+
+@query(f"SELECT id, {_HEADER} FROM (SELECT id, {_src_lines('string_split(source, chr(10))')} AS l FROM {_SOURCE_VALUES})")
 def header_params(spark, d):
     s = _sources(spark).withColumn("h", T.source_header(T.normalize_src_lines(F.col("lines"))))
     return s.select("id", "h.body_start", "h.param_count")
@@ -325,11 +312,14 @@ def _binaries(spark):
     return spark.createDataFrame(fixtures.BINARY, "bin_name string, asm_codes array<string>")
 
 
-@query(f"""WITH b AS (SELECT bin_name, list_filter(list_transform(asm_codes, lambda x: {_asm_sql('x')}), lambda x: x <> '') AS a FROM {_BINARY_VALUES}),
+_PROLOGUE = f"""WITH b AS (SELECT bin_name, list_filter(list_transform(asm_codes, lambda x: {_asm_sql('x')}), lambda x: x <> '') AS a FROM {_BINARY_VALUES}),
 s AS (SELECT bin_name, i, string_split(a[i + 1], ',')[1] IN ('mov <MEM>', 'movsd <MEM>', 'movss <MEM>') AND a[i + 1] <> 'mov <MEM>,0x0' AS st FROM (SELECT bin_name, a, unnest(range(1, least(20, len(a)))) AS i FROM b)),
 f AS (SELECT bin_name, min(i) FILTER (st) AS first FROM s GROUP BY bin_name),
 e AS (SELECT s.bin_name, min(i) FILTER (NOT st AND i > first) AS stop, first, max(i) AS last FROM s JOIN f USING (bin_name) GROUP BY s.bin_name, first)
-SELECT bin_name, coalesce(CASE WHEN first IS NULL THEN 1 ELSE coalesce(stop, last + 1) END, 1)::int AS body_start, least(6, coalesce(coalesce(stop, last + 1) - first, 0))::int AS param_count FROM b LEFT JOIN e USING (bin_name)""")
+SELECT bin_name, coalesce(CASE WHEN first IS NULL THEN 1 ELSE coalesce(stop, last + 1) END, 1)::int AS body_start, least(6, coalesce(coalesce(stop, last + 1) - first, 0))::int AS param_count FROM b LEFT JOIN e USING (bin_name)"""
+
+
+@query(_PROLOGUE)
 def asm_prologue(spark, d):
     b = _binaries(spark).withColumn("p", T.asm_prologue(T.normalize_asm_lines(F.col("asm_codes"))))
     return b.select("bin_name", "p.body_start", "p.param_count")
@@ -381,7 +371,10 @@ def names_parsed(spark, d):
     return n.select("id", "f.file", F.col("f.function").alias("func"), T.node_name(F.col("name")).alias("node_name"), T.is_reserved(F.col("name")).alias("reserved"), T.strip_pointer(F.col("name")).alias("pointed"))
 
 
-@query()
+_ASM_0 = f"array_to_string(list_filter(list_transform({fixtures.literal(fixtures.BINARY[0][1])}, lambda x: {_asm_sql('x')}), lambda x: x <> ''), chr(10))"
+
+
+@query(f"""SELECT id, json_object('question', 'Does the binary function contain the patch? Answer yes or no.', 'source', array_to_string({_src_lines("string_split(source, chr(10))")}, chr(10)), 'patch', '- a' || chr(10) || '+ b', 'assembly', {_ASM_0})::varchar AS prompt FROM {_SOURCE_VALUES}""")
 def prompts(spark, d):
     asm = F.array(*map(F.lit, fixtures.BINARY[0][1]))
     return _sources(spark).select("id", T.prompt(F.col("lines"), F.lit("- a\n+ b"), asm).alias("prompt"))
@@ -414,37 +407,20 @@ def context_rows(spark, d):
     return c.select("conv_id", "turn", joined("before").alias("before"), joined("after").alias("after"))
 
 
-@query("""WITH t AS (SELECT item_id, list_transform(string_split(text, ' ')[1:25], lambda x: lower(x)) AS w FROM benchmark), u AS (SELECT item_id, unnest(w) AS s, generate_subscripts(w, 1) AS i FROM t),
-r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY length(s), i) AS k FROM u)
-SELECT a.item_id, string_agg(a.s, '|' ORDER BY a.k) AS kept FROM r a WHERE NOT EXISTS (SELECT 1 FROM r b WHERE b.item_id = a.item_id AND b.k > a.k AND contains(b.s, a.s)) GROUP BY a.item_id""")
-def substring_subsume(spark, d):
-    b = table(spark, d, "benchmark").select("item_id", F.transform(F.slice(F.split("text", " "), 1, 25), F.lower).alias("w"))
-    return ordered.drop_subsumed(b, "item_id", "w").select("item_id", joined("w").alias("kept"))
-
-
 @query("""WITH t AS (SELECT item_id, list_transform(string_split(text, ' '), lambda x: lower(x)) AS w FROM benchmark), u AS (SELECT item_id, unnest(w) AS s, generate_subscripts(w, 1) AS i FROM t),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY length(s), i) AS k FROM u)
 SELECT a.item_id, string_agg(a.s, '|' ORDER BY a.k) AS kept FROM r a WHERE NOT EXISTS (SELECT 1 FROM r b WHERE b.item_id = a.item_id AND b.k > a.k AND contains(b.s, a.s)) GROUP BY a.item_id""")
-def substring_subsume_all(spark, d):
+def substring_subsume(spark, d):
     b = table(spark, d, "benchmark").select("item_id", F.transform(F.split("text", " "), F.lower).alias("w"))
     return ordered.drop_subsumed(b, "item_id", "w").select("item_id", joined("w").alias("kept"))
 
 
-@query("""WITH t AS (SELECT doc_id, [text[1:30], text[16:50], text[48:70], text[49:80]] AS l FROM documents WHERE length(text) > 100),
-o AS (SELECT doc_id, l, i, coalesce(list_max(list_filter(range(0, least(length(l[i]), length(l[i + 1])) + 1), lambda k: right(l[i], k) = left(l[i + 1], k))), 0) AS o FROM (SELECT doc_id, l, unnest([1, 2, 3, 4]) AS i FROM t))
-SELECT doc_id, string_agg(l[i], '|' ORDER BY i) AS kept FROM o WHERE o <= 10 GROUP BY doc_id""")
-def overlap_merge(spark, d):
-    part = lambda a, b: F.substring("text", a, b - a + 1)
-    t = table(spark, d, "documents").filter(F.char_length("text") > 100).select("doc_id", F.array(part(1, 30), part(16, 50), part(48, 70), part(49, 80)).alias("l"))
-    return ordered.drop_overlapped(t, "doc_id", "l").select("doc_id", joined("l").alias("kept"))
-
-
 @query("""WITH t AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE text IS NOT NULL),
 w AS (SELECT doc_id, i, text[i * 20 + 1:i * 20 + 30] AS s FROM (SELECT *, unnest(range(0, CASE WHEN n <= 30 THEN 1 ELSE (n - 30) // 20 + 1 END)) AS i FROM t) UNION ALL SELECT doc_id, (n - 30) // 20 + 1, right(text, 30) FROM t WHERE n > 30 AND (n - 30) % 20 <> 0),
 p AS (SELECT *, lead(s) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM w),
 o AS (SELECT *, coalesce(list_max(list_filter(range(0, least(length(s), length(next)) + 1), lambda k: right(s, k) = left(next, k))), 0) AS o FROM p)
 SELECT doc_id, string_agg(s, '|' ORDER BY i) AS kept FROM o WHERE next IS NULL OR o <= 10 GROUP BY doc_id""")
-def overlap_merge_all(spark, d):
+def overlap_merge(spark, d):
     t = table(spark, d, "documents").filter("text is not null").select("doc_id", T.text_windows(F.col("text")).alias("l"))
     return ordered.drop_overlapped(t, "doc_id", "l").select("doc_id", joined("l").alias("kept"))
 
@@ -480,19 +456,20 @@ f2 AS (SELECT *, first_value(string_split(regexp_extract(line, '<(.*)>:$', 1), '
 f AS (SELECT * FROM f2 WHERE NOT head AND fno IN (SELECT max(fno) FROM f2 GROUP BY name))"""
 
 
-@query(f"{_LISTING_SQL} SELECT name AS function_name, line_no, string_split(line, chr(9))[-1] AS asm FROM f")
+@query(f"{_LISTING_SQL} SELECT name AS function_name, (row_number() OVER (PARTITION BY name ORDER BY line_no) - 1)::int AS place, string_split(line, chr(9))[-1] AS asm FROM f")
 def listing_flat(spark, d):
-    f = listing.flat_functions(fixtures.listing(spark))
-    parts = listing.split_functions(listing.text_section(fixtures.listing(spark)))
-    assert f.columns == ["binary", "function_name", "asm_codes"]
-    return parts.select("function_name", "line_no", F.element_at(F.split("line", "\t"), -1).alias("asm"))
+    return listing.flat_functions(fixtures.listing(spark)).select("function_name", F.posexplode("asm_codes").alias("place", "asm"))
 
 
-@query(rf"""{_LISTING_SQL},
-m AS (SELECT *, ends_with(line, '():') AS callee, (contains(line, '__tmp/') OR starts_with(line, '/usr/')) AND contains(line, ':') AND NOT ends_with(line, '():') AS place FROM f),
+_MAPPINGS = rf"""m AS (SELECT *, ends_with(line, '():') AS callee, (contains(line, '__tmp/') OR starts_with(line, '/usr/')) AND contains(line, ':') AND NOT ends_with(line, '():') AS place FROM f),
 n AS (SELECT *, sum((callee OR place)::int) OVER (PARTITION BY fno ORDER BY line_no) AS mno, regexp_matches(line, '^\s*[0-9a-f]+:\t([0-9a-f][0-9a-f] )+\s*(\S+)?') AS asm FROM m),
 a AS (SELECT *, CASE WHEN asm AND len(string_split(line, chr(9))) = 3 THEN rtrim(string_split(line, chr(9))[3]) END AS code FROM n),
-c AS (SELECT *, max((code IS NOT NULL)::int) OVER (PARTITION BY fno, mno ORDER BY line_no) AS seen FROM a)
+c AS (SELECT *, max((code IS NOT NULL)::int) OVER (PARTITION BY fno, mno ORDER BY line_no) AS seen FROM a)"""
+#: The same listing, of functions of one name the one with most lines.
+_LONGEST_SQL = _LISTING_SQL.replace("SELECT max(fno) FROM f2 GROUP BY name", "SELECT arg_max(fno, [n, fno]) FROM (SELECT name, fno, count(*) AS n FROM f2 GROUP BY name, fno) GROUP BY name")
+
+
+@query(rf"""{_LISTING_SQL}, {_MAPPINGS}
 SELECT name AS function_name, mno::bigint AS mapping_no, max(CASE WHEN place THEN string_split(line, ':')[1] END) AS src_path, max(CASE WHEN place THEN regexp_extract(line, ':([0-9]+)', 1)::int END) AS src_line,
   coalesce(bool_or(CASE WHEN place THEN contains(line, '(discriminator') END), false) AS is_discriminator,
   coalesce(string_agg(CASE WHEN NOT callee AND NOT place AND NOT asm AND seen = 0 THEN regexp_replace(line, '\s+$', '') END, '|' ORDER BY line_no), '') AS src_codes, coalesce(string_agg(code, '|' ORDER BY line_no), '') AS asm_codes
@@ -506,12 +483,22 @@ def _longest(spark):
     return listing.code_mappings(listing.split_functions(listing.text_section(fixtures.listing(spark)), last_wins=False))
 
 
-@query("""SELECT * FROM (VALUES ('parse_len', 13, 10, 2)) t(function_name, n_asm, first_line, declared_params)""")
+_OWN = "CASE WHEN NOT callee AND NOT place AND NOT asm AND seen = 0 THEN regexp_replace(line, '\\s+$', '') END"
+_LINED = f"""r AS (SELECT name, mno, max(CASE WHEN place THEN regexp_extract(line, ':([0-9]+)', 1)::int END) AS src_line, list({_OWN} ORDER BY line_no) FILTER ({_OWN} IS NOT NULL) AS src, count(code) AS n_asm FROM c GROUP BY name, mno HAVING count(code) > 0 OR count({_OWN}) > 0)"""
+
+
+@query(rf"""{_LONGEST_SQL}, {_MAPPINGS}, {_LINED},
+p AS (SELECT name, min(line_no) AS first_no FROM c WHERE contains({_OWN}, '(') GROUP BY name)
+SELECT name AS function_name, sum(n_asm)::int AS n_asm, arg_min(src_line, mno) AS first_line, coalesce((SELECT len(string_split(line, ',')) FROM c JOIN p USING (name) WHERE c.name = r.name AND line_no = first_no), 0)::int AS declared_params FROM r GROUP BY name HAVING sum(n_asm) >= 10""")
 def listing_functions(spark, d):
     return listing.functions(_longest(spark)).select("function_name", F.size("asm_codes").alias("n_asm"), "first_line", "declared_params")
 
 
-@query("SELECT * FROM (VALUES ('parse_len', 10, 'int parse_len(const char *s, int n) {', 5), ('parse_len', 12, '    if (n > 0) {', 2), ('parse_len', 14, '        return 1; }', 3), ('helper', 3, 'static int helper(void)', 3)) t(function_name, line_number, text, n_asm)")
+@query(rf"""{_LONGEST_SQL}, {_MAPPINGS}, {_LINED},
+t AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY mno) AS nth FROM r WHERE src_line IS NOT NULL AND len(src) > 0),
+u AS (SELECT name, mno, nth, src_line, len(src) AS n, unnest(src) AS text, generate_subscripts(src, 1) AS k FROM t),
+w AS (SELECT name, src_line - (n - k) AS line_number, arg_max(text, [mno, k]) AS text FROM u WHERE nth > 1 OR k = n GROUP BY 1, 2)
+SELECT r.name AS function_name, line_number::int AS line_number, text, n_asm::int AS n_asm FROM r JOIN w ON w.name = r.name AND w.line_number = r.src_line""")
 def listing_line_to_asm(spark, d):
     return listing.line_to_asm(_longest(spark)).select("function_name", "line_number", "text", F.size("asm_codes").alias("n_asm"))
 
@@ -545,18 +532,38 @@ def pair_candidates_blocked(spark, d):
 _SRC_NAMES = {1: "f", 2: "g", 3: "*h", 4: "k", 5: "other", 6: "empty", 7: "*m"}
 
 
-@query("SELECT * FROM (VALUES ('f', 'f', 2, 2), ('f', 'other', 2, 2), ('g', 'g', 0, 0), ('g', 'm', 0, 0), ('*m', 'm', 0, 0)) t(src_name, bin_name, src_params, asm_params)")
-def function_candidates(spark, d):
+_NAMED_VALUES = fixtures.values([(_SRC_NAMES[i], t) for i, t in fixtures.SOURCES], "src_name, source")
+_PAIRS = f"""WITH s AS (SELECT src_name, l, {_HEADER} FROM (SELECT src_name, {_src_lines("string_split(source, chr(10))")} AS l FROM {_NAMED_VALUES}) WHERE len(l) > 0),
+  b AS (SELECT bin_name, body_start AS asm_start, param_count AS asm_params, list_filter(list_transform(asm_codes, lambda x: {_asm_sql("x")}), lambda x: x <> '') AS a FROM {_BINARY_VALUES} JOIN ({_PROLOGUE}) USING (bin_name)),
+  p AS (SELECT *, regexp_replace(src_name, '^\\*', '') = bin_name AS same FROM s CROSS JOIN b WHERE regexp_replace(src_name, '^\\*', '') = bin_name OR NOT regexp_matches(bin_name, '^_[A-Z]|__') AND len(a) > len(l) AND param_count = asm_params)"""
+
+
+def _pairs(spark, **how):
     name = F.element_at(F.create_map(*[F.lit(x) for kv in _SRC_NAMES.items() for x in kv]), F.col("id"))
-    s = _sources(spark).select(name.alias("src_name"), F.col("lines").alias("src_codes"))
-    return candidates.candidate_pairs(s, _binaries(spark)).select("src_name", "bin_name", "src_params", "asm_params")
+    return candidates.candidate_pairs(_sources(spark).select(name.alias("src_name"), F.col("lines").alias("src_codes")), _binaries(spark), **how)
+
+
+@query(f"{_PAIRS} SELECT src_name, bin_name, param_count AS src_params, asm_params FROM p")
+def function_candidates(spark, d):
+    return _pairs(spark).select("src_name", "bin_name", "src_params", "asm_params")
+
+
+@query(f"""{_PAIRS} SELECT src_name, bin_name FROM (SELECT *, l[body_start + 1:] AS body FROM p WHERE a[1] = 'endbr64' AND param_count = asm_params)
+WHERE round_even(coalesce(len(a)::double / nullif(len({_effective(_src_lines("body"))}), 0), 0), 2) BETWEEN 2 AND 10""")
+def legacy_candidates(spark, d):
+    return candidates.legacy_filter(_pairs(spark, whole=True)).select("src_name", "bin_name")
+
+
+@query(f"SELECT bin_name, len(asm_codes) AS n FROM {_BINARY_VALUES} WHERE len(asm_codes) >= 8")
+def large_functions(spark, d):
+    return candidates.large_enough(_binaries(spark), "asm_codes", 8).select("bin_name", F.size("asm_codes").alias("n"))
 
 
 _FEATURES = [("*f", 1), ("f", 2), ("g", 3), ("*f", 4), ("zz", 5)]
 _BINS = [("f", 1), ("g", 2), ("f", 3)]
 
 
-@query("SELECT * FROM (VALUES ('*f', 'f', 4, 3), ('f', 'f', 2, 3), ('g', 'g', 3, 2)) t(name, key, src_ord, bin_ord)")
+@query(f"""SELECT s.name, regexp_replace(s.name, '^\\*', '') AS key, s.ord AS src_ord, b.ord AS bin_ord FROM (SELECT name, max(ord) AS ord FROM {fixtures.values(_FEATURES, 'name, ord')} GROUP BY name) s JOIN (SELECT name, max(ord) AS ord FROM {fixtures.values(_BINS, 'name, ord')} GROUP BY name) b ON b.name = regexp_replace(s.name, '^\\*', '')""")
 def features_by_name(spark, d):
     return candidates.by_name(spark.createDataFrame(_FEATURES, "name string, ord int"), spark.createDataFrame(_BINS, "name string, ord int")).select("name", "key", "src_ord", "bin_ord")
 
@@ -572,16 +579,9 @@ def latest_change(spark, d):
 # ---- scoring, decisions, evaluation ----
 
 
-@query("""SELECT item_id, doc_id, CASE WHEN len(a) = 0 THEN 0.0::double ELSE len(list_intersect(a, b))::double / len(a) END AS score FROM (SELECT item_id, doc_id, list_distinct(list_filter(string_split_regex(b.text, '\\s+'), lambda x: x <> '')) AS a, string_split_regex(d.text, '\\s+') AS b FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id AND d.doc_id < 400)""".replace("\\\\", "\\"))
-def token_overlap_scores(spark, d):
-    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("q"))
-    j = b.join(table(spark, d, "documents").filter("doc_id < 400"), F.col("doc_id") % 40 == F.col("item_id"))
-    return scoring.scored(j, "q", "text").select("item_id", "doc_id", "score")
-
-
 @query(r"""WITH a AS (SELECT item_id, list_distinct(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS w FROM benchmark), b AS (SELECT doc_id, unnest(list_distinct(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''))) AS t FROM documents)
 SELECT item_id, doc_id, count(*)::double / any_value(len(w)) AS score FROM (SELECT item_id, w, unnest(w) AS t FROM a) JOIN b USING (t) GROUP BY item_id, doc_id""")
-def token_overlap_scores_all(spark, d):
+def token_overlap_scores(spark, d):
     b, t = table(spark, d, "benchmark").select("item_id", F.col("text").alias("q")), table(spark, d, "documents").select("doc_id", "text")
     return scoring.shared_token_scores(b, t, "item_id", "doc_id", "q", "text").select("item_id", "doc_id", "score")
 
@@ -652,21 +652,28 @@ def span_overlap(spark, d):
     return evaluation.span_overlap(s)
 
 
-@query("SELECT quality, count(*) AS n, avg((quality = toxic)::int::double) AS accuracy, coalesce(string_agg(doc_id::varchar, '|' ORDER BY doc_id) FILTER (quality <> toxic), '') AS wrong_ids FROM labels GROUP BY quality")
+@query("SELECT quality, count(*) AS n, avg((quality = toxic)::int::double) AS accuracy, count(*) FILTER (quality <> toxic) AS n_wrong FROM labels GROUP BY quality")
 def accuracy_and_errors(spark, d):
-    a = evaluation.accuracy_and_errors(table(spark, d, "labels"), "quality", "toxic", "doc_id")
-    return a.withColumn("wrong_ids", joined(F.transform("wrong_ids", lambda x: x.cast("string"))))
+    return evaluation.accuracy_and_errors(table(spark, d, "labels"), "quality", "toxic")
+
+
+@query("SELECT quality, doc_id FROM labels WHERE quality <> toxic")
+def wrong_items(spark, d):
+    return evaluation.errors(table(spark, d, "labels"), "quality", "toxic").select("quality", "doc_id")
 
 
 _SCORE_LINES = [("true,false,1,0.5,0.25",), ("true,true,0,0.25,0.5",), ("false,false",), ("true,true,1,2.0,1.0,2,3.0,1.0",), ("False,True,3,0.5,0.50001",)]
 
 
-@query("SELECT * FROM (VALUES (true, false, 1, 0.5::double, 0.25::double), (true, true, 0, 0.25, 0.5), (false, true, 3, 0.5, 0.50001)) t(has_vul_function, has_vul, diff_num, vul_score, fix_score)")
+_SCORES = f"SELECT trim(p[1])::boolean AS has_vul_function, trim(p[2])::boolean AS has_vul, trim(p[3])::int AS diff_num, trim(p[4])::double AS vul_score, trim(p[5])::double AS fix_score FROM (SELECT string_split(line, ',') AS p FROM {fixtures.values(_SCORE_LINES, 'line')}) WHERE len(p) = 5"
+
+
+@query(_SCORES)
 def score_csv_scan(spark, d):
     return files.read_scores(spark.createDataFrame(_SCORE_LINES, "value string"))
 
 
-@query("SELECT 0::bigint AS \"right\", 3::bigint AS wrong, 0.0::double AS rate")
+@query(f"""SELECT r AS "right", n - r AS wrong, r::double / n AS rate FROM (SELECT count(*) FILTER ((vul_score > round_even(fix_score, 4)) = has_vul) AS r, count(*) AS n FROM ({_SCORES}))""")
 def scores_rejudged(spark, d):
     return evaluation.rescored(files.read_scores(spark.createDataFrame(_SCORE_LINES, "value string")))
 
@@ -690,13 +697,44 @@ def similarity_ratio(spark, d):
     return sampling.dissimilar(b.withColumn("block", F.col("item_id") % 4), "item_id", "text", ["block"], 3, 0.9)
 
 
-@query()
+def _draw(key: str, step, n: str) -> str:
+    return f"(('0x' || md5(({key})::varchar || ':' || ({step})::varchar)[1:8])::ubigint % ({n}))::int"
+
+
+def _perturbed_asm(rows: str, key: str) -> str:
+    """SQL: `rows` (with `key` and w, a list) with w perturbed, as a chain of subqueries, one for each step."""
+    q = f"SELECT *, w[:30] AS a, w[31:] AS rest, len(w) >= 3 AS enough FROM ({rows})"
+    for k in range(3):
+        q = f"SELECT * REPLACE (list_concat(a[:j + 1], a[j + 1:]) AS a) FROM (SELECT * EXCLUDE (j), {_draw(key, k, 'greatest(len(a), 1)')} AS j FROM (SELECT *, 0 AS j FROM ({q})))" if k == 0 else f"SELECT * REPLACE (list_concat(a[:j + 1], a[j + 1:]) AS a) FROM (SELECT * REPLACE ({_draw(key, k, 'greatest(len(a), 1)')} AS j) FROM ({q}))"
+    for k in range(3, 6):
+        q = f"SELECT * REPLACE (list_concat(a[:j], a[j + 2:]) AS a) FROM (SELECT * REPLACE ({_draw(key, k, 'greatest(len(a), 1)')} AS j) FROM ({q}))"
+    q = f"SELECT *, (i + 1 + {_draw(key, 7, 'greatest(len(a) - 1, 1)')}) % greatest(len(a), 1) AS o FROM (SELECT *, {_draw(key, 6, 'greatest(len(a), 1)')} AS i FROM ({q}))"
+    return f"SELECT * REPLACE (CASE WHEN enough THEN list_concat(list_transform(a, lambda x, p: CASE WHEN p = i + 1 THEN a[o + 1] WHEN p = o + 1 THEN a[i + 1] ELSE x END), rest) ELSE w END AS w) FROM ({q})"
+
+
+def _perturbed_src(rows: str, key: str) -> str:
+    q = f"SELECT *, w AS a, 0 AS j, 1 + {_draw(key, 0, '3')} AS times FROM ({rows})"
+    for k in (1, 2, 3):
+        q = f"""SELECT * REPLACE (CASE WHEN times < {k} OR len(a) = 0 THEN a WHEN {_draw(key, 20 + k, '2')} = 0 THEN list_concat(a[:j], a[j + 2:]) ELSE list_concat(a[:j + 1], [w[{_draw(key, 30 + k, 'greatest(len(w), 1)')} + 1]], a[j + 2:]) END AS a)
+FROM (SELECT * REPLACE ({_draw(key, 10 + k, 'greatest(len(a), 1)')} AS j) FROM ({q}))"""
+    return f"SELECT * REPLACE (a AS w) FROM ({q})"
+
+
+_TEXT_WORDS = "SELECT doc_id, string_split(text, ' ') AS w FROM documents"
+
+
+@query(f"SELECT doc_id, array_to_string(x.w, ' ') AS asm, array_to_string(y.w, ' ') AS src FROM ({_perturbed_asm(_TEXT_WORDS, 'doc_id')}) x JOIN ({_perturbed_src(_TEXT_WORDS, 'doc_id')}) y USING (doc_id)")
 def perturb_lines(spark, d):
-    t = table(spark, d, "documents").select("doc_id", F.split("text", " ").alias("w"))
-    return t.select("doc_id", joined(sampling.perturbed_asm()(F.col("doc_id").cast("string"), F.col("w")), " ").alias("asm"), joined(sampling.perturbed_src()(F.col("doc_id").cast("string"), F.col("w")), " ").alias("src"))
+    w, key = F.split("text", " "), F.col("doc_id")
+    return table(spark, d, "documents").select("doc_id", joined(sampling.perturbed_asm(key, w), " ").alias("asm"), joined(sampling.perturbed_src(key, w), " ").alias("src"))
 
 
-@query()
+_OWN_CHOICES = "SELECT item_id, n, string_split(text, ' ') AS w, item_id::varchar || ':' || n::varchar AS key FROM benchmark, (SELECT unnest([1, 2, 3]) AS n)"
+
+
+@query(f"""WITH p AS (SELECT item_id, text, lead(text) OVER w AS next, first_value(text) OVER w AS first FROM benchmark WINDOW w AS (PARTITION BY item_id % 3 ORDER BY md5('0:' || item_id::varchar), item_id))
+SELECT item_id, 0 AS wrong_type, text AS src_0, coalesce(next, first) AS src_1 FROM p WHERE coalesce(next, first) <> text
+UNION ALL SELECT item_id, 1, array_to_string(o.w, ' '), array_to_string(q.w, ' ') FROM ({_perturbed_src(_OWN_CHOICES, 'key')}) q JOIN ({_OWN_CHOICES}) o USING (item_id, n) WHERE q.w <> o.w""")
 def choice_items(spark, d):
     t = table(spark, d, "benchmark").select("item_id", F.split("text", " ").alias("src"), (F.col("item_id") % 3).alias("g"))
     c = sampling.choice_items(t, "item_id", ["g"], "src")
@@ -729,3 +767,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = candidates.contained(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("needle")), docs.select("doc_id", "text", "content_hash"), "needle", "text")
     g = found.groupBy("doc_id", "content_hash").agg(F.count("*").alias("n_items"), F.min("item_id").alias("first_item"))
     return g.join(sizes, "content_hash").select("doc_id", "n_items", "first_item", "n_equal").orderBy("doc_id")
+
+
+from patchlens.plans import training  # noqa: E402, F401  its queries register themselves

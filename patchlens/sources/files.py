@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Extensions of C and C++ sources, and of files that patches touch.
-SOURCE_SUFFIXES = (".c", ".cc", ".cpp", ".cxx", ".c++", ".h", ".hh", ".hpp", ".hxx", ".h++", ".inl", ".ipp", ".tcc", ".tpp")
+# Extensions of C and C++ sources (each also in capitals), and of files that patches touch.
+SOURCE_SUFFIXES = (".c", ".h", ".cc", ".hh", ".cp", ".hp", ".cpp", ".hpp", ".cxx", ".hxx", ".c++", ".h++")
 PATCH_SUFFIXES = (".c", ".cpp", ".h", ".hpp", ".cc")
 LIBRARY_CSV = "public_id string, library_id bigint, library_name string, vendor string, platform string, version_id bigint, version_number string"
 DETAIL_JSON = "public_id string, url string, raw string, hunk_code string, affected_file string, affected_function string"
@@ -65,7 +65,8 @@ def find_binaries(spark: SparkSession, path: str, least: int = 100) -> DataFrame
 
 
 def has_suffix(path: Column, suffixes: tuple[str, ...]) -> Column:
-    return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1)).isin(*suffixes)
+    """Whether the extension is one of these, in small letters or in capitals."""
+    return F.regexp_extract(path, r"(\.[^./]+)$", 1).isin(*suffixes, *[x.upper() for x in suffixes])
 
 
 def patch_details(details: DataFrame) -> DataFrame:

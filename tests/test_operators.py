@@ -202,7 +202,7 @@ int *f(int a, char *b)
 namespace n { void g() { h(NAME); } }
 '''
     got = source_features.features(code)
-    assert [(f["name"], f["node_type"], f["line_start"], f["line_end"]) for f in got] == [("msgs", "declaration", 3, 3), ("f", "function", 6, 13), ("g", "function", 14, 14)]
+    assert [(f["name"], f["node_type"], f["line_start"], f["line_end"]) for f in got] == [("msgs", "declaration", 3, 3), ("f", "function_definition", 6, 13), ("g", "function_definition", 14, 14)]
     assert got[0]["strings"] == ["onetwo", "macro"]
     assert got[1]["strings"] == ["in { f"] and got[1]["conditional_strings"] == [["dbg"]] and got[1]["numbers"] == ["0x10", "7", "42"]
     assert got[2]["strings"] == ["macro"] and source_features.all_strings(code) == ["onetwo", "in { f", "dbg"]
@@ -214,3 +214,70 @@ def test_extracted_functions(spark):
     assert found.count() == 2
     one = source_features.as_record(source_features.pick(found, spark.createDataFrame([("a.c", "*f")], "path string, name string"))).collect()
     assert len(one) == 1 and one[0].line_start == 1
+
+
+def test_project_is_read_end_to_end(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "test").mkdir()
+    (tmp_path / "src" / "a.c").write_text('int f(void) { puts("one"); }\nint x = g("two");\n')
+    (tmp_path / "src" / "B.HP").write_text('int k(void) { return 1; }\n')
+    (tmp_path / "src" / "c.txt").write_text("int no(void) {}")
+    (tmp_path / "src" / "empty.c").write_text("")
+    (tmp_path / "test" / "t.c").write_text("int t(void) { }")
+    found, by_file = source_features.project(spark, str(tmp_path), spark.createDataFrame([("test",)], "keyword string"))
+    assert sorted((r.path.split("/")[-1], r.name) for r in found.collect()) == [("B.HP", "k"), ("a.c", "f"), ("a.c", "x")]
+    assert {(r.path.split("/")[-1], r.n_strings, r.n_missing) for r in by_file.collect()} == {("a.c", 2, 0), ("B.HP", 0, 0)}
+
+
+def test_perturbations_keep_the_rest(spark):
+    d = spark.createDataFrame([(i, [f"op{k}" for k in range(n)]) for i, n in enumerate([0, 1, 2, 3, 29, 30, 31, 100] * 5)], "i int, l array<string>")
+    rows = d.select("i", "l", sampling.perturbed_asm(F.col("i"), F.col("l")).alias("a"), sampling.perturbed_src(F.col("i"), F.col("l")).alias("s")).collect()
+    for r in rows:
+        n = len(r.l)
+        assert len(r.a) == n and r.a[30:] == r.l[30:] and set(r.a) <= set(r.l) and (n > 2 or r.a == r.l)
+        assert max(0, n - 3) <= len(r.s) <= n + 3 and set(r.s) <= set(r.l)
+    assert sum(r.a != r.l for r in rows if len(r.l) > 2) >= 20 and len({tuple(r.s) for r in rows if len(r.l) == 100}) == 5
+
+
+def test_legacy_filter_without_effective_lines(spark):
+    d = spark.createDataFrame([(["}"], ["endbr64"] * 9, 0, 0), (["int a = f(b);"] * 3, ["endbr64"] * 9, 1, 1), (["int a = f(b);"] * 3, ["nop"] * 9, 1, 1)], "src_codes array<string>, asm array<string>, src_params int, asm_params int")
+    assert [len(r.src_codes) for r in candidates.legacy_filter(d).collect()] == [3]
+
+
+def test_keywords_against_every_pair(spark):
+    r = random.Random(7)
+    part = lambda: "".join(r.choices("ab/c", k=r.randint(0, 6)))
+    paths = ["/".join(part() for _ in range(r.randint(1, 4))) for _ in range(200)] + ["", None]
+    words = [part() for _ in range(12)] + ["abcabc", "a", "ab/c"]
+    got = sorted(x.p for x in candidates.without_keywords(spark.createDataFrame([(p,) for p in paths], "p string"), "p", spark.createDataFrame([(w,) for w in words], "k string"), "k").collect() if x.p is not None)
+    hit = lambda p: any((f"/{w}/" if len(w) <= 5 else w) in p for w in words)
+    assert got == sorted(p for p in paths if p is not None and not hit(p))
+
+
+def test_contained_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(candidates, "BROADCAST_ROWS", 0)
+    test_contained(spark)
+
+
+def test_partners_of_one_hot_group(spark):
+    d = spark.createDataFrame([(i, 0, f"t{i}") for i in range(300)] + [(1000, 1, "alone"), (1001, None, "p"), (1002, None, "q")], "id int, g int, t string")
+    got = {r.id: r.partner_id for r in sampling.partners(d, "id", ["g"], "t").collect()}
+    assert set(got) == {*range(300), 1001, 1002} and got[1001] == 1002 and sorted(v for k, v in got.items() if k < 300) == list(range(300))
+    ranks = ordered.ranked(d, ["g"], ["id"]).collect()
+    assert all(r["rank"] == r.id and r.group_size == 300 for r in ranks if r.g == 0)
+    lists = ordered.group_lists(d, ["g"], "id", 70).collect()
+    assert sorted(len(r["items"]) for r in lists) == [1, 2, 20, 70, 70, 70, 70]
+
+
+def test_shared_folder_on_a_cluster(spark, monkeypatch):
+    from patchlens.sources import shared
+
+    class Remote:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError):
+        shared.shared_folder(Remote)

@@ -26,7 +26,7 @@ def test_overlaps_of_all_windows(spark, tmp_path):
     r = random.Random(4)
     texts = [None, "", "short", "x" * 100, "ab" * 60 + "é😀\n" * 9] + ["".join(r.choices("ab", k=r.randint(0, 25))) * r.randint(1, 9) for _ in range(60)]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {x.doc_id: x.kept for x in catalog.overlap_merge_all(spark, str(tmp_path)).collect()}
+    got = {x.doc_id: x.kept for x in catalog.overlap_merge(spark, str(tmp_path)).collect()}
     want = {}
     for i, t in enumerate(texts):
         if t is not None:
@@ -39,7 +39,7 @@ def test_overlaps_of_all_windows(spark, tmp_path):
 def test_subsumed_words_of_whole_text(spark, tmp_path):
     words = [f"w{i:02d}" for i in range(40)] + ["xw03x", "END", "bend"]
     spark.createDataFrame([(1, " ".join(words))], "item_id int, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    kept = catalog.substring_subsume_all(spark, str(tmp_path)).first().kept.split("|")
+    kept = catalog.substring_subsume(spark, str(tmp_path)).first().kept.split("|")
     assert kept == [w for w in words[:40] if w != "w03"] + ["bend", "xw03x"]
 
 
@@ -65,5 +65,5 @@ def test_dissimilar_goes_on_until_the_block_is_used_up(spark):
 def test_file_stats_cover_words_after_the_first_twenty(spark, tmp_path):
     text = " ".join([f"w{chr(97 + i)}" for i in range(25)] + ["Late", "x9", "Late"])
     spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
-    x = catalog.stats_rollup_file_all(spark, str(tmp_path)).first()
+    x = catalog.stats_rollup_file(spark, str(tmp_path)).first()
     assert (x.n_strings, x.n_unique, x.n_node_unique, x.n_missing) == (28, 27, 2, 25)
