@@ -25,7 +25,7 @@ SCHEMA = (
 )
 _TOKEN = re.compile(
     r"""(?P<comment>/\*.*?(?:\*/|\Z)|//[^\n]*)|(?P<string>"(?:[^"\\\n]|\\.)*")|(?P<char>'(?:[^'\\\n]|\\.)*')|(?P<directive>(?m:^)[ \t]*\#(?:[^\n\\]|\\.)*)"""
-    r"""|(?P<number>\b(?:0[xX][0-9a-fA-F]+|[0-9]+(?:\.[0-9]+)?)[uUlLfF]*\b)|(?P<word>[A-Za-z_]\w*)|(?P<other>[{}()\[\];=,])""",
+    r"""|(?P<number>\b(?:0[xX][0-9a-fA-F]+|[0-9]+(?:\.[0-9]+)?)[uUlLfF]*\b)|(?P<word>[A-Za-z_]\w*)|(?P<other>[{}()\[\];=,*])""",
     re.S | re.M,
 )
 _CONTROL = {"if", "for", "while", "switch", "return", "sizeof", "else", "do", "catch"}
@@ -95,16 +95,23 @@ def _groups(body: list[Token], macros: dict[str, str]) -> tuple[list[str], list[
 
 
 def features(source: str) -> list[dict]:
-    """Functions with a body, and declarations whose value has strings, in order."""
+    """Functions with a body, and declarations whose value has strings, in order.
+
+    node_type is that of the declarator: pointer_declarator (its name starts
+    with `*`), function_declarator, array_declarator or identifier.
+    """
     lines = source.split("\n")
     every = list(tokens(source))
     macros = {m[1]: m[2] for t in every if t.kind == "directive" and (m := re.match(r'#\s*define\s+(\w+)\s+"(.*)"\s*$', t.text, re.S))}
     out: list[dict] = []
 
-    def add(name: str, kind: str, first: int, last: int, body: list[Token]) -> None:
+    def add(name: str, head: list[Token], is_function: bool, first: int, last: int, body: list[Token]) -> None:
         must, conditional, numbers = _groups(body, macros)
-        if kind == "declaration" and not must and not conditional:
+        if not is_function and not must and not conditional:
             return
+        marks = {h.text for h in head}
+        kind = "pointer_declarator" if "*" in marks else "function_declarator" if is_function else "array_declarator" if "[" in marks else "identifier"
+        name = "*" * ("*" in marks) + name
         own = lines[first - 1 : last]
         out.append({"name": name, "node_type": kind, "line_start": first, "line_end": last, "original_lines": [x.rstrip() for x in own], "strings": must, "conditional_strings": conditional, "numbers": numbers, "hash_value": content_hash(own)})
 
@@ -120,7 +127,7 @@ def features(source: str) -> list[dict]:
             if t.text == ";" and eq:
                 names = [h.text for h in head[:eq] if h.kind == "word"]
                 if names:
-                    add(names[-1], "declaration", head[0].line, t.line, head[eq + 1 :])
+                    add(names[-1], head[:eq], False, head[0].line, t.line, head[eq + 1 :])
             start = i + 1
         elif t.text == "{":
             head = code[start:i]
@@ -137,7 +144,7 @@ def features(source: str) -> list[dict]:
                 continue
             if name and name.kind == "word" and name.text not in _CONTROL:
                 last = code[min(end, len(code) - 1)]
-                add(name.text, "function_definition", head[0].line, last.line, code[i : end + 1])
+                add(name.text, head[: paren], True, head[0].line, last.line, code[i : end + 1])
                 i, start = end + 1, end + 1
                 continue
             start = i + 1  # a namespace, class or extern block: go on inside
@@ -173,9 +180,9 @@ def pick(found: DataFrame, wanted: DataFrame) -> DataFrame:
     return j.withColumn("r__", F.row_number().over(W.partitionBy("path", "key").orderBy("line_start"))).filter("r__ = 1").drop("r__", "key")
 
 
-def as_record(found: DataFrame, node_types: tuple[str, ...] = ("function_definition", "declaration")) -> DataFrame:
-    """Features of the given node types; all strings of a feature in one array, always compiled ones first."""
-    kept = found.filter(F.col("node_type").isin(*node_types))
+def as_record(found: DataFrame, node_types: tuple[str, ...] | None = ("function_declarator", "function_definition", "pointer_declarator")) -> DataFrame:
+    """Features of the given node types (None: of all); all strings of a feature in one array, always compiled ones first."""
+    kept = found if node_types is None else found.filter(F.col("node_type").isin(*node_types))
     return kept.withColumn("strings", F.concat("strings", F.flatten("conditional_strings"))).drop("conditional_strings", "node_type")
 
 
@@ -207,6 +214,6 @@ def project(spark: SparkSession, folder: str, keywords: DataFrame | None = None,
         d = without_keywords(d, "path", keywords, keyword)
     d = guarded_files(d, "length").select("path", "content")
     found = extract(d)
-    covered = as_record(found).groupBy("path").agg(F.flatten(F.collect_list("strings")).alias("covered"))
+    covered = as_record(found, None).groupBy("path").agg(F.flatten(F.collect_list("strings")).alias("covered"))
     every = file_strings(d).join(covered, "path", "left").withColumn("covered", F.coalesce("covered", F.array().cast("array<string>")))
     return found, file_stats(every, ["path"], "strings", "covered")

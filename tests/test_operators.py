@@ -202,7 +202,7 @@ int *f(int a, char *b)
 namespace n { void g() { h(NAME); } }
 '''
     got = source_features.features(code)
-    assert [(f["name"], f["node_type"], f["line_start"], f["line_end"]) for f in got] == [("msgs", "declaration", 3, 3), ("f", "function_definition", 6, 13), ("g", "function_definition", 14, 14)]
+    assert [(f["name"], f["node_type"], f["line_start"], f["line_end"]) for f in got] == [("*msgs", "pointer_declarator", 3, 3), ("*f", "pointer_declarator", 6, 13), ("g", "function_declarator", 14, 14)]
     assert got[0]["strings"] == ["onetwo", "macro"]
     assert got[1]["strings"] == ["in { f"] and got[1]["conditional_strings"] == [["dbg"]] and got[1]["numbers"] == ["0x10", "7", "42"]
     assert got[2]["strings"] == ["macro"] and source_features.all_strings(code) == ["onetwo", "in { f", "dbg"]
