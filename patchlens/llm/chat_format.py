@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchlens.llm.common import partitions, small_batches
+from patchlens.llm.common import partitions, slices
 from patchlens.llm.token_counts import counter, whole_tokens
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
@@ -118,13 +118,12 @@ def format_windows(
     table gives an empty result.
     """
     spark = conversations.sparkSession
-    small_batches(spark)
     whole = spark.sparkContext.broadcast(whole_tokens(path))
     c = conversations.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind, order = c.schema["conv"].dataType.simpleString(), c.schema["turn"].dataType.simpleString()
 
     def turns(batches):
-        for b in batches:
+        for b in slices(batches, 3):
             roles = b.column(2).to_pylist()
             done = [turn(r, t) for r, t in zip(roles, b.column(3).to_pylist())]
             n = counter(path, whole)([d[0] for d in done]) if done else []
@@ -164,7 +163,7 @@ class _Groups:
         self.next = next(self.rows, None)
 
     def _rows(self, batches):
-        for b in batches:
+        for b in slices(batches, 2):
             self.types.append(b.schema.field(0).type) if not self.types else None
             yield from zip(*[c.to_pylist() for c in b.columns])
 
@@ -200,7 +199,7 @@ def digests(formatted: DataFrame, conv_col: str = "conv_id") -> DataFrame:
             cols = [pa.array(c, t) for c, t in zip(zip(*out), [types[0], pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()])]
             return pa.RecordBatch.from_arrays(cols, [conv_col, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-        for b in batches:
+        for b in slices(batches, 2):
             types.append(b.schema.field(0).type)
             for conv, k, text, old, a, z in zip(*[c.to_pylist() for c in b.columns]):
                 if k == 0:

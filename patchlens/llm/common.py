@@ -7,29 +7,20 @@ names) neither clash nor travel through its shuffles unless it says so.
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from patchlens.sources.shared import cut, fresh_path, shared_folder  # noqa: F401  for the operators
+
 #: White space of the word definition, as the inside of a character class.
 SPACE = r"\x20\x09-\x0D"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's `spark.checkpoint.dir`; a temporary folder only where that is not set (tests on one machine)."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or context._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and go on from the files, which outlive any executor."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -48,8 +39,25 @@ def n_words(text: Column) -> Column:
     return (n - F.when(n == 1, first.cast("int")).otherwise(first.cast("int") + last.cast("int"))).cast("long")
 
 
-def small_batches(spark: SparkSession, rows: int = 250) -> None:
-    """Arrow batches of at most `rows` rows: whole texts in batches of the default 10000 rows may not fit a Python worker."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) > rows:
-        spark.conf.set(name, rows)
+def slices(batches: Iterator[pa.RecordBatch], text: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in pieces whose column number `text` has about `most` bytes (a longer text is a piece of its own), so that what is made of a piece stays small."""
+    for b in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < b.num_rows:
+            end = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + most, "right")))
+            yield b.slice(start, end - start)
+            start = end
+
+
+def runs(texts: list[str | None], most: int = 4 << 20) -> Iterator[slice]:
+    """As `slices`, of a list of texts, by characters."""
+    start = total = 0
+    for i, t in enumerate(texts):
+        n = len(t or "")
+        if i > start and total + n > most:
+            yield slice(start, i)
+            start, total = i, 0
+        total += n
+    if start < len(texts):
+        yield slice(start, len(texts))

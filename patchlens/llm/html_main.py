@@ -13,34 +13,53 @@ from pyspark.sql import functions as F
 
 from patchlens.llm import lstm
 from patchlens.llm.bpe import Remembering
-from patchlens.llm.common import small_batches
-from patchlens.llm.html_blocks import Block, blocks
+from patchlens.llm.common import runs
+from patchlens.llm.html_blocks import Block, Node, blocks
 
-PATH, WORD, SHAPE = 96, 32, 6
+PATH, WORD, SHAPE = 192, 32, 6
 #: Blocks of a page that are labelled at a time; a longer page hands each direction's state on.
 STRETCH = 1024
 #: Pages made for training.
-TRAINING_PAGES = 2000
+TRAINING_PAGES = 3000
+#: What marks a piece of text of the article while a training page is parsed; it is taken out of the text again.
+MARK = "\ue001"
 
-_PATH_CACHE: Remembering = Remembering({}, lambda path: _path_vector(path), 20_000)
 _WORDS: Remembering = Remembering({}, lambda w: zlib.crc32(w.encode("utf-8", "surrogatepass")) % WORD, 100_000)
 _WORD_SPLIT = re.compile(r"\w+|[^\w\s]")
 
 
-def _slots(name: str, weight: float, v: np.ndarray) -> None:
-    h = zlib.crc32(name.encode())
-    for k in range(2):
-        v[(h >> (8 * k)) % PATH] += weight * (1 if h >> (24 + k) & 1 else -1)
+def _slots(name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Three places of a tag or a word of a class, and its signs there."""
+    h = zlib.crc32(name.encode("utf-8", "surrogatepass"))
+    h2 = zlib.crc32(b"2" + name.encode("utf-8", "surrogatepass"))
+    return np.array([h % PATH, (h >> 12) % PATH, h2 % PATH]), np.array([1.0 if x & 1 else -1.0 for x in (h >> 24, h >> 25, h2 >> 24)], np.float32)
+
+
+_SLOTS: Remembering = Remembering({}, _slots, 50_000)
+_NOWHERE = np.zeros(PATH, np.float32)
+
+
+def _path_vector(node: Node | None) -> np.ndarray:
+    """The tags and class words on the way from the root to a node, hashed with signs; each node adds its own to its parent's, so a page costs what its elements do."""
+    way = []
+    while node is not None and node.vector is None:
+        way.append(node)
+        node = node.parent
+    v = _NOWHERE if node is None else node.vector
+    for n in reversed(way):
+        names = [x for x in n.names if x not in ("<html>", "<body>")]
+        if names:
+            v = v.copy()
+            for name in names:
+                at, sign = _SLOTS[name]
+                v[at] += sign
+            np.clip(v, -2, 2, out=v)
+        n.vector = v
+    return v
 
 
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    """Names on the way from the root, hashed with signs; the innermost element apart."""
-    v = np.zeros(PATH, np.float32)
-    for name in set(path) - {"<html>", "<body>"}:
-        _slots(name, 1.0, v)
-    if path:
-        _slots("last " + next(p for p in reversed(path) if p[0] == "<"), 1.0, v)
-    return v
+def _own(node: Node | None) -> str:
+    return "last " + (node.names[0] if node else "")
 
 
 def vectors(page: list[Block]) -> np.ndarray:
@@ -54,11 +73,21 @@ def vectors(page: list[Block]) -> np.ndarray:
     size = np.array([len(b.text) for b in page], np.float32)
     linked = np.array([b.linked for b in page], np.float32)
     shape = np.stack([np.log1p(size) / 8, np.log1p(counts) / 6, np.minimum(1, linked / np.maximum(1, size)), np.arange(n) / max(1, n - 1), np.arange(n)[::-1] / max(1, n - 1), np.array([b.text[-1] in ".!?" for b in page])], 1)
-    return np.concatenate([np.stack([_PATH_CACHE[b.path] for b in page]), bag, shape.astype(np.float32)], 1)
+    path = np.stack([_path_vector(b.node) for b in page])
+    for row, b in zip(path, page):
+        at, sign = _SLOTS[_own(b.node)]
+        row[at] += sign
+    return np.concatenate([path, bag, shape.astype(np.float32)], 1)
 
 
 def _page(r: random.Random) -> str:
-    """A page of random words, its blocks marked by data-k: 1 in the article, 0 elsewhere."""
+    """A page of random words; the article's pieces of text begin with MARK.
+
+    What is in a menu, sidebar, comment and so on can be told by its tag or by
+    the usual words of classes, and link lists and short notices also by their
+    shape and place alone. The article's own wrapper says nothing in half of
+    the pages: a class of random letters, or none.
+    """
     syllables = [r.choice("bcdfghjklmnpqrstvwz") + r.choice("aeiouéöñ") + r.choice(["", "n", "r", "s", "t"]) for _ in range(40)]
     shout, marks = r.random() < 0.1, r.choice(["", "", "", "", "!!", "###", " |"])
 
@@ -69,10 +98,17 @@ def _page(r: random.Random) -> str:
     def some(items: list[str], chance: float) -> str:
         return "".join(x for x in items if r.random() < chance)
 
-    def classed(tag: str, names: list[str], k: int, inner: str, plain: float = 0.0) -> str:
-        name = r.choice(names) + r.choice(["", "", "", "-box", "_wrap", f" x{r.randint(0, 99)}", "-1"])
-        how = "" if r.random() < plain else f' {r.choice(["class", "class", "class", "id"])}="{name}"'
-        return f'<{tag}{how} data-k="{k}">{inner}</{tag}>'
+    def odd() -> str:
+        """A name that says nothing."""
+        letters = lambda n: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+        return r.choice([letters(r.randint(1, 3)), letters(2), f"css-{r.randint(0, 9)}{letters(r.randint(1, 3))}{r.randint(0, 9)}", f"{letters(2)}-{letters(r.randint(4, 7))}", letters(r.randint(5, 11)), f"{letters(4)}_{letters(5)} {letters(3)}"])
+
+    def attribute(name: str) -> str:
+        return f' {r.choice(["class", "class", "class", "id"])}="{name}"'
+
+    def classed(tag: str, names: list[str], inner: str, plain: float = 0.0) -> str:
+        name = r.choice(names) + r.choice(["", "", "", "-box", "_wrap", f" x{r.randint(0, 99)}", "-1", f" {odd()}"])
+        return f"<{tag}{'' if r.random() < plain else attribute(name)}>{inner}</{tag}>"
 
     def links(n: int, item: str = "li") -> str:
         return "".join(f'<{item}><a href="/{i}">{words(r.randint(1, 3))}</a></{item}>' for i in range(n))
@@ -81,63 +117,82 @@ def _page(r: random.Random) -> str:
         return "".join(f"<p>{words(r.randint(1, 30))}</p>" for _ in range(n))
 
     box = lambda: r.choice(["div", "div", "section", "aside"])
-    nav = classed("nav", ["menu", "main-nav", "top"], 0, f"<ul>{links(r.randint(2, 9))}</ul>", 0.6)
-    menu = classed(r.choice(["div", "ul"]), ["menu", "navbar", "navigation", "topnav", "breadcrumb", "breadcrumbs"], 0, links(r.randint(2, 8)))
-    header = classed("header", ["header", "site-header", "masthead", "top"], 0, f"<h1>{words(2)}</h1>" + some([f"<p>{words(5)}</p>", nav], 0.5), 0.5)
-    banner = classed("div", ["header", "masthead", "banner", "logo", "topbar"], 0, f"<{(t := r.choice(['h1', 'h2', 'p', 'span']))}>{words(3)}</{t}>")
-    advert = lambda: classed(box(), ["ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner-ad"], 0, r.choice([words(r.randint(3, 40)), prose(2)]))
-    notice = lambda: classed(r.choice(["div", "section", "p"]), ["cookie-notice", "notice", "cookie", "consent", "gdpr", "alert", "popup", "modal", "newsletter", "paywall"], 0, f"<span>{r.choice([words(r.randint(3, 30)), 'We use cookies. Accept', 'Subscribe to our newsletter'])}</span>")
-    sidebar = lambda: classed(r.choice(["aside", "aside", "div"]), ["sidebar", "side", "widget", "related", "recommended", "popular", "more", "trending"], 0, r.choice([f"<h3>{words(2)}</h3><ul>{links(r.randint(2, 6))}</ul>", prose(r.randint(1, 4)), f"<h4>{words(2)}</h4>" + prose(1)]))
-    aside = lambda: f'<aside data-k="0">{r.choice([prose(r.randint(1, 3)), links(3)])}</aside>'
-    form = lambda: f'<form action="/q" data-k="0"{r.choice(["", " class=search", " id=login"])}>{r.choice(["", f"<label>{words(2)}</label>"])}<input name="q"><button>{words(1)}</button>{some([f"<p>{words(r.randint(2, 12))}</p>", f"<div>{words(3)}</div>"], 0.5)}</form>'
+    nav = classed("nav", ["menu", "main-nav", "top"], f"<ul>{links(r.randint(2, 9))}</ul>", 0.6)
+    menu = classed(r.choice(["div", "ul"]), ["menu", "navbar", "navigation", "topnav", "breadcrumb", "breadcrumbs"], links(r.randint(2, 8)))
+    bare_menu = f"<{(t := r.choice(['div', 'ul']))}{r.choice(['', attribute(odd())])}>{links(r.randint(3, 9), r.choice(['li', 'div', 'span']))}</{t}>"
+    header = classed("header", ["header", "site-header", "masthead", "top"], f"<h1>{words(2)}</h1>" + some([f"<p>{words(5)}</p>", nav], 0.5), 0.5)
+    banner = classed("div", ["header", "masthead", "banner", "logo", "topbar"], f"<{(t := r.choice(['h1', 'h2', 'p', 'span']))}>{words(3)}</{t}>")
+    advert = lambda: classed(box(), ["ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner-ad"], r.choice([words(r.randint(3, 40)), prose(2)]))
+    notice = lambda: classed(r.choice(["div", "section", "p"]), ["cookie-notice", "notice", "cookie", "consent", "gdpr", "alert", "popup", "modal", "newsletter", "paywall"], f"<span>{r.choice([words(r.randint(3, 30)), 'We use cookies. Accept', 'Subscribe to our newsletter'])}</span>")
+    sidebar = lambda: classed(r.choice(["aside", "aside", "div"]), ["sidebar", "side", "widget", "related", "recommended", "popular", "more", "trending"], r.choice([f"<h3>{words(2)}</h3><ul>{links(r.randint(2, 6))}</ul>", prose(r.randint(1, 4)), f"<h4>{words(2)}</h4>" + prose(1)]))
+    aside = lambda: f"<aside>{r.choice([prose(r.randint(1, 3)), links(3)])}</aside>"
+    form = lambda: f'<form action="/q"{r.choice(["", " class=search", " id=login"])}>{r.choice(["", f"<label>{words(2)}</label>"])}<input name="q"><button>{words(1)}</button>{some([f"<p>{words(r.randint(2, 12))}</p>", f"<div>{words(3)}</div>"], 0.5)}</form>'
     comment = lambda: r.choice(["div", "li", "article", "p"])
 
     def comments() -> str:
         t = comment()
         each = "".join(f'<{t} class="{r.choice(["comment", "reply", "comment-body"])}">{words(2)}{"" if t == "p" else prose(r.randint(1, 3))}</{t}>' for _ in range(r.randint(1, 6)))
-        return classed(r.choice(["section", "div", "ul", "aside"]), ["comments", "comment-list", "discussion", "responses", "replies", "comment"], 0, f"<h3>{words(2)}</h3>{each}")
-
-    share = lambda: classed("div", ["share", "social", "tags", "byline", "meta", "pagination"], 0, r.choice([links(3, "span"), words(3)]))
-    footer = classed("footer", ["footer", "site-footer", "bottom"], 0, r.choice([f"&copy; {words(r.randint(2, 20))}", prose(2), f"<ul>{links(4)}</ul><p>&copy; {words(4)}</p>", f"&copy; x &middot; {words(9)}\n{words(3)}"]), 0.7)
-    bottom = classed("div", ["footer", "bottom", "copyright", "legal", "foot"], 0, r.choice([prose(2), links(4)]))
-
-    body = [f"<h1>{words(r.randint(1, 9))}</h1>"] if r.random() < 0.8 else []
-    count = r.choice([1, 1, 2, 3, 5, 8, 13, 30])
-    for i in range(count):
-        t = words(r.choice([1, 2, 5, 20, 50, 100]))
-        body.append(r.choice([f"<p>{t}</p>"] * 8 + [f"<h2>{words(3)}</h2><p>{t}</p>", f"<ul><li>{t}</li><li>{words(4)}</li></ul>", f"<blockquote>{t}</blockquote>", f"<p><b>{t}<br><p>{words(9)}</p>", f"<div>{t}</div>", f"<div>{t}</div>", f"<section>{t}</section>", f"<div><p>{t}</p></div>", f"<p>{t} <a href=x>{words(2)}</a> {words(4)}</p>", f"<pre>{t}</pre>", f"<table><tr><td>{t}</td><td>{words(2)}</td></tr></table>", f"<figure><figcaption>{t}</figcaption></figure>"]))
-        if r.random() < 0.06:
+        return classed(r.choice(["section", "div", "ul", "aside"]), ["comments", "comment-list", "discussion", "responses", "replies", "comment"], f"<h3>{words(2)}</h3>{each}")
+
+    share = lambda: classed("div", ["share", "social", "tags", "byline", "meta", "pagination"], r.choice([links(3, "span"), words(3)]))
+    footer = classed("footer", ["footer", "site-footer", "bottom"], r.choice([f"&copy; {words(r.randint(2, 20))}", prose(2), f"<ul>{links(4)}</ul><p>&copy; {words(4)}</p>", f"&copy; x &middot; {words(9)}\n{words(3)}"]), 0.7)
+    bottom = classed("div", ["footer", "bottom", "copyright", "legal", "foot"], r.choice([prose(2), links(4)]))
+
+    text = lambda n: MARK + words(n)
+    body = [f"<h1>{text(r.randint(1, 9))}</h1>"] if r.random() < 0.8 else []
+    count = r.choice([1, 1, 2, 3, 5, 8, 13, 30, 60 if r.random() < 0.3 else 8])
+    plain = r.random() < 0.3  # nothing but paragraphs
+    for _ in range(count):
+        t = text(r.choice([1, 2, 5, 20, 50, 100]))
+        forms = [f"<p>{t}</p>"] * 8
+        if not plain:
+            forms += [
+                f"<h2>{text(3)}</h2><p>{t}</p>", f"<ul><li>{t}</li><li>{text(4)}</li></ul>", f"<blockquote>{t}</blockquote>", f"<p><b>{t}<br><p>{text(9)}</p>", f"<div>{t}</div>", f"<div{attribute(odd())}>{t}</div>",
+                f"<section{attribute(odd())}><p>{t}</p></section>", f"<div><p>{t}</p></div>", f"<p>{t} <a href=x>{words(2)}</a> {words(4)}</p>", f"<pre>{t}</pre>",
+                f"<table><tr><td>{t}</td><td>{text(2)}</td></tr></table>", f"<figure><figcaption>{t}</figcaption></figure>", f"<dl><dt>{text(1)}</dt><dd>{t}</dd></dl>",
+            ]
+        body.append(r.choice(forms))
+        if r.random() < 0.06 and not plain:
             body.append(r.choice([advert, notice, sidebar, aside, form, share])())
     if r.random() < 0.25:
         body.append(r.choice([share, comments, sidebar, form])())
     main = "".join(body)
-    kind, bare = r.random(), 0
-    if kind < 0.08:
-        bare = 1
-    elif kind < 0.55:
-        main = classed("article", ["post", "article", "entry", "story"], 1, main, 0.8)
+    kind = r.random()
+    if kind < 0.3:
+        main = classed("article", ["post", "article", "entry", "story"], main, 0.8)
         main = main if r.random() < 0.7 else f"<main>{main}</main>"
-    elif kind < 0.7:
-        main = classed("main", ["content", "main"], 1, main, 0.6)
-    else:
-        main = classed(r.choice(["div", "section"]), ["content", "article", "post", "entry-content", "post-body", "story", "main", "text", "article-body"], 1, main)
-    before = some([header, banner, nav, menu, advert(), notice(), sidebar(), form()], 0.35)
-    after = some([sidebar(), aside(), comments(), advert(), form(), notice(), bottom, footer, footer], 0.35)
+    elif kind < 0.38:
+        main = classed("main", ["content", "main"], main, 0.6)
+    elif kind < 0.52:
+        main = classed(r.choice(["div", "section"]), ["content", "article", "post", "entry-content", "post-body", "story", "main", "text", "article-body", "body-content"], main)
+    elif kind < 0.85:
+        main = f"<{(t := r.choice(['div', 'div', 'section']))}{attribute(odd())}>{main}</{t}>"
+    elif kind < 0.93:
+        main = f"<div>{main}</div>"
+    before = some([header, banner, nav, menu, bare_menu, advert(), notice(), sidebar(), form()], 0.3)
+    after = some([sidebar(), aside(), comments(), advert(), form(), notice(), bottom, footer, footer], 0.33)
+    if r.random() < 0.2:
+        before = after = ""
     inner = before + main + after
+    if r.random() < 0.12:  # one, two or three paragraphs and a wrapper that says nothing
+        return f"<html><body><div{attribute(odd())}>{''.join(f'<p>{text(r.randint(2, 60))}</p>' for _ in range(r.randint(1, 3)))}</div></body></html>"
     if r.random() < 0.4:
-        inner = f'<div class="{r.choice(["wrapper", "page", "container", "row"])}">{inner}</div>'
-    return f'<html><head><title>x</title></head><body data-k="{bare}">{inner}</body></html>'
+        inner = f'<div{r.choice(["", attribute(odd()), attribute(r.choice(["wrapper", "page", "container", "row"]))])}>{inner}</div>'
+    return f"<html><head><title>x</title></head><body>{inner}</body></html>"
+
+
+def training_blocks(page: str) -> tuple[list[Block], np.ndarray]:
+    """The blocks of a page of `_page` and whether each is of its article."""
+    marked = blocks(page)
+    return [b._replace(text=b.text.replace(MARK, "")) for b in marked], np.array([MARK in b.text for b in marked], np.float32)
 
 
 @functools.lru_cache(1)
 def weights(pages: int = TRAINING_PAGES, seed: int = 7) -> dict[str, np.ndarray]:
     """The labeller, fitted to `pages` pages that a fixed rule makes; the same in every process."""
     r = random.Random(seed)
-    data = []
-    for _ in range(pages):
-        b = blocks(_page(r))
-        data.append((vectors(b), np.array([x.label for x in b], np.float32)))
-    return lstm.fit(data)
+    made = [training_blocks(_page(r)) for _ in range(pages)]
+    return lstm.fit([(vectors(b), y) for b, y in made if b])
 
 
 def label(w: dict[str, np.ndarray], pages: list[list[Block]]) -> list[np.ndarray]:
@@ -164,25 +219,30 @@ def extract_main(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     LSTM reads, block by block and in both directions, the hashed tags, classes,
     ids and roles above it, its hashed words and its shape, and gives each block a
     probability; blocks at or over `threshold` are joined in page order by a
-    line feed. Nothing else is dropped or cut. The labeller is trained when
-    first used, on pages made by a fixed rule (see weights), so its size and
-    its result don't depend on the data; pages don't meet each other: no shuffle.
+    line feed. Nothing else is dropped or cut, and every block is labelled in
+    the context of its whole page: long pages run in stretches that hand the
+    state of each direction on. The labeller is trained when first used, on
+    pages made by a fixed rule (see weights), so its size and its result don't
+    depend on the data; pages don't meet each other: no shuffle. Parsing and
+    labelling are linear in the page.
 
     Returns id_col, the `keep` columns, text (empty if there is none) and
-    n_chars (long). Null or empty html gives an empty text; null ids and
+    n_chars (long). Null or empty html gives an empty text, and so does a page
+    without blocks; broken markup is read as `blocks` says; null ids and
     repeated rows are rows like others; an empty table gives an empty result.
     """
     spark = pages.sparkSession
-    small_batches(spark)
     model = spark.sparkContext.broadcast(weights())
 
     @F.pandas_udf("string")
     def main(column):
         import pandas as pd
 
-        found = [blocks(h) if h else [] for h in column.tolist()]
-        chosen = label(model.value, found)
-        return pd.Series(["\n".join(b.text for b, p in zip(page, ps) if p >= threshold) for page, ps in zip(found, chosen)], dtype=object)
+        every, out = column.tolist(), []
+        for r in runs(every, 1 << 20):
+            found = [blocks(h) if h else [] for h in every[r]]
+            out += ["\n".join(b.text for b, p in zip(page, ps) if p >= threshold) for page, ps in zip(found, label(model.value, found))]
+        return pd.Series(out, dtype=object)
 
     d = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
     d = d.withColumn("text", main.asNondeterministic()("html"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from patchlens.llm.bpe import blocks
-from patchlens.llm.common import small_batches
+from patchlens.llm.common import runs
 
 LONGEST = 5
 #: Characters of a known n-gram (word boundaries included) from which on it explains an unseen word.
@@ -181,7 +181,6 @@ def identify(
     can't tell a text in no learned language, since one of them is always the best.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     model = spark.sparkContext.broadcast(learn(docs, id_col, text_col, lang_col, F.lit(True) if learn_if is None else learn_if, per_language, words_per_language))
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
 
@@ -189,7 +188,8 @@ def identify(
     def guess(texts):
         import pandas as pd
 
-        return pd.DataFrame(predict(model.value, texts.tolist()), columns=["lang_pred", "score", "explained"])
+        every = texts.tolist()
+        return pd.DataFrame([x for r in runs(every) for x in predict(model.value, every[r])], columns=["lang_pred", "score", "explained"])
 
     d = d.withColumn("guess", _plain(guess)(F.col("text")))
     return d.select(F.col("id").alias(id_col), *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)], "guess.lang_pred", "guess.score", *["guess.explained"] * explained)

@@ -101,7 +101,9 @@ def fit(sequences: list[tuple[np.ndarray, np.ndarray]], hidden: int = 16, epochs
     m, v, step = {k: np.zeros_like(x) for k, x in w.items()}, {k: np.zeros_like(x) for k, x in w.items()}, 0
     for epoch in range(epochs):
         order = r.permutation(len(sequences))
-        for at in range(0, len(order), batch):
+        # sequences of similar length run together, which keeps the padding small
+        order = np.concatenate([part[np.argsort([len(sequences[i][1]) for i in part], kind="stable")] for part in np.array_split(order, max(1, len(order) // (16 * batch)))])
+        for at in r.permutation(np.arange(0, len(order), batch)).tolist():
             x, sizes, y = padded([sequences[i] for i in order[at : at + batch]])
             _, g = gradients(w, x, sizes, y)
             norm = np.sqrt(sum(float((a * a).sum()) for a in g.values()))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchlens.llm.common import partitions, small_batches
+from patchlens.llm.common import partitions, slices
 from patchlens.llm.hashing import piece_hashes
 
 #: Minimum hashes in a fingerprint.
@@ -143,7 +143,6 @@ def lz_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table's only row is its own next; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     lowest = -(1 << 63)
     d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(lowest)).alias("place"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = 2 * partitions(spark)
@@ -176,7 +175,7 @@ def lz_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def likenesses(batches):
         def texts():
-            for b in batches:
+            for b in slices(batches, 3):
                 types.append(b.schema.field(1).type)
                 yield from zip(*[c.to_pylist() for c in b.columns])
 

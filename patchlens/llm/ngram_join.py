@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from patchlens.llm.common import cut, partitions, small_batches
+from patchlens.llm.common import cut, partitions, slices
 from patchlens.llm.components import components
 from patchlens.llm.shingles import shingle_sets
 
@@ -155,7 +155,6 @@ class _Join:
     """What both forms of the join share: signatures of documents, one node per different set, tokens that nodes share."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int):
-        small_batches(docs.sparkSession)
         self.width, self.percent = width, percent
         self.docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
         ranks = docs.sparkSession.sparkContext.broadcast(frequencies(self.docs, width))

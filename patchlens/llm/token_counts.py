@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patchlens.llm import bpe
-from patchlens.llm.common import small_batches
+from patchlens.llm.common import slices
 
 
 def whole_tokens(path: str) -> list[str]:
@@ -47,13 +47,12 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     counts as empty (0 bytes, 0 tokens); null and repeated ids stay as rows;
     an empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
     whole = docs.sparkSession.sparkContext.broadcast(whole_tokens(path))
     d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = d.schema["id"].dataType.simpleString()
 
     def counted(batches):
-        for b in batches:
+        for b in slices(batches, 1):
             texts = b.column(1)
             n = counter(path, whole)(texts.to_pylist())
             size = pa.compute.binary_length(texts).cast(pa.int64())

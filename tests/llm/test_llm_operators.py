@@ -6,14 +6,16 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from patchlens.llm import chat_format, html_main, lz_fingerprint, packing, pii
+from patchlens.llm import chat_format, html_main, lstm, lz_fingerprint, packing, pii
 from patchlens.llm.common import n_words
 from patchlens.llm.host_rules import host_rules
 from patchlens.llm.html_blocks import blocks
@@ -140,10 +142,90 @@ def test_html_blocks_and_labels(spark):
 
 def test_labeller_on_pages_not_trained_on():
     r = random.Random(12345)
-    pages = [blocks(html_main._page(r)) for _ in range(200)]
-    found = html_main.label(html_main.weights(), pages)
-    right = [(p >= 0.5) == (b.label == 1) for page, ps in zip(pages, found) for b, p in zip(page, ps)]
-    assert sum(right) / len(right) > 0.99
+    pages = [html_main.training_blocks(html_main._page(r)) for _ in range(300)]
+    found = html_main.label(html_main.weights(), [b for b, _ in pages])
+    right = [(p >= 0.5) == (y == 1) for (_, ys), ps in zip(pages, found) for y, p in zip(ys, ps)]
+    assert sum(right) / len(right) > 0.985
+
+
+def main_blocks(page: str) -> list[str]:
+    b = blocks(page)
+    return [x.text for x, p in zip(b, html_main.label(html_main.weights(), [b])[0]) if p >= 0.5]
+
+
+@pytest.mark.parametrize("wrapper", ['<div class="zz">', '<div class="css-1x2">', '<div class="mw-parser-output">', "<div>", '<div id="bodyContent">', "<main>", '<section class="c-9">', "", "<article>"])
+def test_articles_are_kept_whole_whatever_their_wrapper(wrapper):
+    r = random.Random(5)
+    for n in (1, 3, 8, 100, 3000):
+        texts = [" ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(r.randint(5, 60))) + "." for _ in range(n)]
+        assert main_blocks(wrapper + "".join(f"<p>{t}</p>" for t in texts)) == texts
+
+
+def test_what_surrounds_an_article_goes():
+    prose = "".join(f"<p>{'some words of the article itself here ' * 4}.</p>" for _ in range(6))
+    page = f'<nav><ul><li><a href=x>Home</a><li><a href=y>About</a></ul></nav><div class="cookie-notice"><span>We use cookies. Accept</span></div><div class="qq"><h1>A title</h1>{prose}</div><div class="comments"><h3>Comments</h3><div class="comment">I disagree<p>very much so</p></div></div><footer>&copy; me</footer>'
+    assert main_blocks(page) == ["A title", *["some words of the article itself here " * 4 + "."] * 6]
+
+
+def test_odd_markup():
+    texts = lambda page: [b.text for b in blocks(page)]
+    assert texts('<div data-k="menu">a</div><p data-k="7">b') == ["a", "b"]
+    assert texts("<p>a</p><script/>var x='<p>no';</script><p>b</p><svg/><p>c</p><svg/>d") == ["a", "b", "c", "d"]
+    assert texts('<p>x <a href="y>t</a> z</p><p>w</p>') == ["x t z", "w"]
+    assert texts("a < b <p>c <math><mi>x</mi><mo>=</mo><mn>2</mn></math> d<object>fall</object>") == ["a < b", "c x=2 d", "fall"]
+    assert texts("<p>a</p>tail <!-- never closed") == ["a", "tail"] and texts("<p>a <b") == ["a"] and texts("1 < 2 & 3 <4") == ["1 < 2 & 3 <4"]
+    assert texts("<div><p>a</div><p>b</i></b><i>c</p><p>d") == ["a", "bc", "d"]
+    assert [(b.text, b.linked) for b in blocks("<p>ab<a href=x>cde</a>f</p><a>gh</a>")] == [("abcdef", 3), ("gh", 2)]
+
+
+def test_odd_markup_takes_linear_time():
+    pages = ["<div>x" * 40_000, "<svg/>" * 40_000, "<svg>" * 40_000, "<!" * 40_000, "<a b='" * 40_000, "</span>" * 40_000 + "<div>" * 40_000 + "</span>" * 40_000, "<i><b>" * 20_000 + "</i>" * 20_000, "<p>" * 100_000 + "x"]
+    began = time.perf_counter()
+    for page in pages:
+        b = blocks(page)
+        if b:
+            html_main.vectors(b)
+    assert time.perf_counter() - began < 20
+
+
+def plain_lstm(w: dict, x: list) -> list[float]:
+    """One sequence, step by step, in plain numbers."""
+    import math
+
+    sig = lambda v: 1 / (1 + math.exp(-max(-30, min(30, v))))
+    k = len(w["hf"])
+
+    def run(d, seq):
+        h, c, out = [0.0] * k, [0.0] * k, []
+        for v in seq:
+            g = [sum(a * w[f"x{d}"][i][j] for i, a in enumerate(v)) + sum(a * w[f"h{d}"][i][j] for i, a in enumerate(h)) + w[f"c{d}"][j] for j in range(4 * k)]
+            c = [sig(g[j]) * c[j] + sig(g[k + j]) * math.tanh(g[3 * k + j]) for j in range(k)]
+            h = [sig(g[2 * k + j]) * math.tanh(c[j]) for j in range(k)]
+            out.append(h)
+        return out
+
+    f, b = run("f", x), run("b", x[::-1])[::-1]
+    return [sig(sum(a * o for a, o in zip([*p, *q], w["out"])) + w["bias"][0]) for p, q in zip(f, b)]
+
+
+def test_lstm_against_plain_steps_and_differences():
+    r = np.random.default_rng(3)
+    w = lstm.initial(5, 3, 1)
+    seqs = [(r.normal(size=(n, 5)).astype(np.float32), (r.random(n) < 0.5).astype(np.float32)) for n in (1, 4, 7)]
+    x, sizes, y = lstm.padded(seqs)
+    p = lstm.probabilities(w, x, sizes)
+    for i, (a, _) in enumerate(seqs):
+        one = plain_lstm(w, a.tolist())
+        assert np.allclose(p[: len(a), i], one, atol=1e-5)  # a batch gives what one sequence alone does
+        assert np.allclose(lstm.long_probabilities(w, a, 2), one, atol=1e-5)
+    loss, g = lstm.gradients(w, x, sizes, y)
+    for name in w:
+        for at in [tuple(r.integers(0, n) for n in w[name].shape) for _ in range(4)]:
+            high, low = ({k: v.astype(np.float64) for k, v in w.items()} for _ in range(2))
+            high[name][at] += 1e-3
+            low[name][at] -= 1e-3
+            slope = (lstm.gradients(high, x, sizes, y)[0] - lstm.gradients(low, x, sizes, y)[0]) / 2e-3
+            assert abs(slope - g[name][at]) < 2e-3
 
 
 def test_host_rules(docs, rows, empty):
