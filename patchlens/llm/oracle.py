@@ -91,27 +91,26 @@ b as (
     when 'email' then true when 'ip' then regexp_full_match(piece, '{_BYTE}(\.{_BYTE}){{3}}') when 'phone' then length(digits) between 8 and 15
     else length(digits) between 16 and 19 and list_sum(list_transform(regexp_extract_all(reverse(digits), '.'), lambda c, j: case when j % 2 = 1 then c::int when c::int > 4 then 2 * c::int - 9 else 2 * c::int end)) % 10 = 0 end
 ),
-c as (select b.*, text, greatest(0, s - 80) as l, least(80, length(text) - e) as n from b join d using (rid)),
-x as (select *, substring(text, l + 1, e + n - l) as context from c),
-sides as (
-  select rid, entity, context, l as off, substring(text, l + 1, s - l) as part, l > 0 as open_left, false as open_right from x
-  union all select rid, entity, context, e, substring(text, e + 1, n), false, e + n < length(text) from x
+t as (select text, min(rid) as tid, list(rid) as rids from d group by text),
+h as (select distinct tid, entity from b join t on b.rid = t.tid),
+x as (select rid as tid, entity, text, s, e from b join t on b.rid = t.tid),
+w as (
+  select tid, entity, lower(case when s > 80 then regexp_replace(substring(text, s - 79, 80), '^\p{{L}}+', '') else left(text, s) end) as part from x
+  union all select tid, entity, lower(case when e + 80 < length(text) then regexp_replace(substring(text, e + 1, 80), '\p{{L}}+$', '') else substring(text, e + 1) end) from x
 ),
-w as (select *, unnest({_pieces("part", r"[\p{L}]{4,}")}) as piece, generate_subscripts({_pieces("part", r"[\p{L}]{4,}")}, 1) as i from sides),
-v as (select *, coalesce(sum(length(piece)) over (partition by side_id order by i rows between unbounded preceding and 1 preceding), 0)::bigint as s from (select *, dense_rank() over (order by rid, entity, context, off, part, open_left, open_right) as side_id from w)),
-spots as (
-  select distinct rid, entity, context, lower(piece) as term, off + s as s, off + s + length(piece) as e from v
-  where i % 2 = 0 and not (open_left and s = 0) and not (open_right and s + length(piece) = length(part))
-),
-ce as (select entity, count(distinct context) as c_e from x group by entity),
-pairs as (select entity, term, count(distinct context) as c_te from spots group by entity, term having count(distinct context) >= 2),
-ct as (select term, count(*) as c_t from (select unnest(list_distinct(regexp_extract_all(lower(text), '[\p{{L}}]{{4,}}'))) as term from d) group by term),
+nt as (select distinct tid, entity, unnest(regexp_extract_all(part, '\p{{L}}{{4,}}')) as term from w),
+tw as (select distinct tid, term from (select tid, unnest(regexp_extract_all(lower(text), '\p{{L}}{{4,}}')) as term from t)),
+total as (select count(*)::double as n from t),
 told as (
-  select entity, term from (select entity, term, c_te, c_t, c_e, (select count(*) from d)::double as n from pairs join ct using (term) join ce using (entity))
-  where c_e < n and ln(c_te * n / (c_t * c_e)) / ln(n / c_e) >= 0.75
+  select entity, term from (select entity, term, count(*) as both_n from nt group by all having count(*) >= 2)
+  join (select entity, count(*) as entity_n from h group by all) using (entity) join (select term, count(*) as term_n from tw group by all) using (term), total
+  where entity_n < n and ln(both_n) + ln(n) - ln(term_n) - ln(entity_n) >= 0.75 * (ln(n) - ln(entity_n)) - 1e-12
 ),
-t as (select distinct rid, s, e from spots join told using (entity, term)),
-free as (select * from t where not exists (select 1 from b where b.rid = t.rid and b.s < t.e and t.s < b.e)),
+chosen as (select distinct tid, term from tw join told using (term) join h using (tid, entity)),
+v as (select tid, unnest({_pieces("text", r"[\p{L}]{4,}")}) as piece, generate_subscripts({_pieces("text", r"[\p{L}]{4,}")}, 1) as i from t where tid in (select tid from chosen)),
+y as (select tid, i, lower(piece) as term, coalesce(sum(length(piece)) over (partition by tid order by i rows between unbounded preceding and 1 preceding), 0)::bigint as s, length(piece) as n from v),
+z as (select tid, s, s + n as e from y join chosen using (tid, term) where i % 2 = 0),
+free as (select r.rid, s, e from z join (select tid, unnest(rids) as rid from t) r using (tid) where not exists (select 1 from b where b.rid = z.tid and b.s < z.e and z.s < b.e)),
 base as (select rid, count(*) filter (k = 0) as n_email, count(*) filter (k = 1) as n_ip, count(*) filter (k = 2) as n_card, count(*) filter (k = 3) as n_phone, string_agg(kind || ':' || s || ':' || e, ',' order by k, s) as spans from b group by rid),
 terms as (select rid, string_agg('term:' || s || ':' || e, ',' order by s, e) as spans from free group by rid)
 select doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coalesce(n_card, 0) as n_card, coalesce(n_phone, 0) as n_phone,

@@ -72,66 +72,91 @@ def base_spans(text: Column) -> Column:
     return F.concat(*found)
 
 
-def _contexts(text: Column, spans: Column, width: int) -> Column:
-    """Each span's entity, and the terms within `width` code points of it with their places."""
+def _words(text: Column) -> Column:
+    """The different words of at least four letters, in small letters."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
-    def terms(at: Column, size: Column, open_left: Column, open_right: Column) -> Column:
-        part = F.substring(text, at + 1, size)
-        spots = located(part, TERM, len(PATTERNS), lambda m: F.lit(True))
-        whole = F.filter(spots, lambda s: ~(open_left & (s["start"] == 0)) & ~(open_right & (s["end"] == size)))
-        return F.transform(whole, lambda s: F.struct(F.lower(F.substring(part, s["start"] + 1, s["end"] - s["start"])).alias("term"), (at + s["start"]).alias("start"), (at + s["end"]).alias("end")))
+
+def _near(text: Column, spans: Column, width: int) -> Column:
+    """The different pairs (entity, term) of a text: each span's entity with the words within `width` code points of it; a word that the window cuts is none of them."""
 
     def around(s: Column) -> Column:
-        left = F.greatest(F.lit(0), s["start"] - width)
         entity = F.concat_ws(":", s["kind"].cast("string"), F.lower(F.substring(text, s["start"] + 1, s["end"] - s["start"])))
+        left = F.greatest(F.lit(0), s["start"] - width)
+        before = F.substring(text, left + 1, s["start"] - left)
+        before = F.when(left > 0, F.regexp_replace(before, r"^\p{L}+", "")).otherwise(before)
         n = F.least(F.lit(width), F.char_length(text) - s["end"])
-        nothing = F.lit(False)
-        near = F.concat(terms(left, s["start"] - left, left > 0, nothing), terms(s["end"], n, nothing, s["end"] + n < F.char_length(text)))
-        context = F.xxhash64(F.substring(text, left + 1, s["end"] + n - left))
-        return F.struct(entity.alias("entity"), context.alias("context"), near.alias("terms"))
+        after = F.substring(text, s["end"] + 1, n)
+        after = F.when(s["end"] + n < F.char_length(text), F.regexp_replace(after, r"\p{L}+$", "")).otherwise(after)
+        return _let(entity, lambda e: F.transform(F.array_union(_words(before), _words(after)), lambda t: F.struct(e.alias("entity"), t.alias("term"))))
 
-    return F.transform(spans, around)
+    return F.array_distinct(F.flatten(F.transform(spans, around)))
 
 
 def findings(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """Thin rows: id, key (a hash of the text), spans, contexts. The text is read once and left behind."""
-    d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("spans", base_spans(F.col("text")))
-    near = F.when(F.size("spans") > 0, _contexts(F.col("text"), F.col("spans"), width))
-    return cut(d.select("id", F.xxhash64("text").alias("key"), "spans", near.alias("contexts")))
+    """A row per document without its text: id, key (a hash of the text), spans; of documents with spans also entities, near (pairs of entity and term) and words, each without repeats."""
+    text = F.col("text")
+    d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("spans", base_spans(text))
+    some = F.size("spans") > 0
+    entity = lambda s: F.concat_ws(":", s["kind"].cast("string"), F.lower(F.substring(text, s["start"] + 1, s["end"] - s["start"])))
+    return cut(d.select("id", F.xxhash64("text").alias("key"), "spans", F.when(some, F.array_distinct(F.transform("spans", entity))).alias("entities"), F.when(some, _near(text, F.col("spans"), width)).alias("near"), F.when(some, _words(text)).alias("words")))
+
+
+def _beside(left: DataFrame, right: DataFrame, how: str, most: int) -> DataFrame:
+    """A join on `key`; the right side is broadcast if it is counted to have at most `most` rows."""
+    return left.join(F.broadcast(right) if right.count() <= most else right, "key", how)
 
 
 def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str, generalise: float, remove: float, support: int) -> DataFrame:
-    """Term spans to sanitise: id, key, terms (array of start, end, remove), a row per document that has any.
+    """By key, the terms to sanitise in a text: terms (array of term, instead).
 
-    For a term t and an entity e, c(t,e) and c(e) are numbers of different
-    contexts, c(t) the number of documents with t, N that of all documents.
-    The share of the entity's information that the term gives away is
+    All numbers count different texts, so that copies change nothing. For a
+    term t and an entity e, c(t,e) is how many have t within the width of e,
+    c(e) and c(t) how many have e and t, N how many there are. The share of the
+    entity's information that the term gives away is
     PMI(t;e) / IC(e) = log(c(t,e) N / (c(t) c(e))) / log(N / c(e)). It is 1 if
     the term is found with that entity only.
+
+    A term of a share from `generalise` on is replaced by the most informative
+    term of that entity under it, from `remove` on by nothing; in every text
+    that has the entity, wherever the term stands in it.
     """
-    near = found.filter(F.size("spans") > 0).select("id", "key", F.explode("contexts").alias("c")).select("id", "key", "c.entity", "c.context", "c.terms")
-    of_entity = near.groupBy("entity").agg(F.count_distinct("context").alias("c_e"))
-    spots = near.select("id", "key", "entity", "context", F.explode("terms").alias("t")).select("id", "key", "entity", "context", "t.term", "t.start", "t.end")
-    pairs = spots.groupBy("entity", "term").agg(F.count_distinct("context").alias("c_te")).filter(F.col("c_te") >= support)
-    word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(TERM), F.lit(0))))
-    of_term = docs.select(word.alias("term")).groupBy("term").agg(F.count("*").alias("c_t"))
-    n = found.count()
-    told = pairs.join(of_term, "term").join(of_entity, "entity")
+    copies = cut(found.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"))
+    n = found.count() - (copies.agg(F.sum(F.col("m") - 1)).first()[0] or 0)
+    texts = cut(found.filter(F.size("spans") > 0).groupBy("key").agg(*[F.any_value(c).alias(c) for c in ("entities", "near", "words")]))
+    of_entity = texts.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("c_e"))
+    pairs = texts.select(F.explode("near").alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("c_te")).filter(F.col("c_te") >= support)
+    d = docs.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"), _words(F.col(text_col)).alias("words"))
+    d = _beside(d, copies, "left", BROADCAST_KEYS).select((F.lit(1.0) / F.coalesce("m", F.lit(1))).alias("weight"), F.explode("words").alias("term"))
+    of_term = d.groupBy("term").agg(F.round(F.sum("weight")).alias("c_t"))
     share = F.log(F.col("c_te") * n / (F.col("c_t") * F.col("c_e"))) / F.log(n / F.col("c_e"))
-    told = told.withColumn("share", F.when(F.col("c_e") < n, share)).filter(F.col("share") >= generalise)
-    spans = spots.join(told.select("entity", "term", "share"), ["entity", "term"])
-    spans = spans.groupBy("id", "key", "start", "end").agg(F.max("share").alias("share"))
-    return spans.groupBy("id", "key").agg(F.array_sort(F.collect_list(F.struct("start", "end", (F.col("share") >= remove).alias("remove")))).alias("terms"))
+    judged = pairs.join(of_term, "term").join(of_entity, "entity").withColumn("share", F.when(F.col("c_e") < n, share)).filter("share > 0")
+    judged = cut(judged.select("entity", "term", "share"))
+    broader = judged.filter(F.col("share") < generalise).groupBy("entity").agg(F.max(F.struct("share", "term"))["term"].alias("broader"))
+    told = judged.filter(F.col("share") >= generalise).join(broader, "entity", "left")
+    told = told.select("entity", "term", "share", F.when(F.col("share") >= remove, "").otherwise(F.coalesce("broader", F.lit("<TERM>"))).alias("instead"))
+    met = texts.select("key", F.explode("words").alias("term")).join(told, "term").join(texts.select("key", F.explode("entities").alias("entity")), ["key", "entity"])
+    best = met.groupBy("key", "term").agg(F.max(F.struct("share", "entity", "instead"))["instead"].alias("instead"))
+    return cut(best.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("term", "instead"))).alias("terms")))
+
+
+def _occurrences(text: Column, terms: Column) -> Column:
+    """Places of the terms (array of term, instead) in a text: array of start, end, instead."""
+    meant = lambda m: F.filter(terms, lambda x: x["term"] == F.lower(m))
+    spots = located(text, TERM, len(PATTERNS), lambda m: F.size(meant(m)) > 0)
+    found = F.transform(spots, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(meant(F.substring(text, s["start"] + 1, s["end"] - s["start"])), 0)["instead"].alias("instead")))
+    return F.when(F.size(terms) > 0, found)
 
 
 def _apart(terms: Column, spans: Column) -> Column:
     """The terms that touch no other span."""
-    t = F.coalesce(terms, F.array().cast("array<struct<start: int, end: int, remove: boolean>>"))
+    t = F.coalesce(terms, F.array().cast("array<struct<start: int, end: int, instead: string>>"))
     return F.filter(t, lambda x: ~F.exists(spans, lambda s: (s["start"] < x["end"]) & (x["start"] < s["end"])))
 
 
-#: Rows of term spans up to which they are broadcast (some 100 bytes each).
+#: Texts with terms up to which these are broadcast (some 100 bytes each), and repeated texts up to which their numbers are (16 bytes each).
 BROADCAST_ROWS = 100_000
+BROADCAST_KEYS = 1_000_000
 
 
 def find_personal_data(
@@ -148,38 +173,38 @@ def find_personal_data(
     """Spans of personal data in every text, and of terms that disclose it; with `sanitised`, the texts without them.
 
     Protected entities are e-mail and IP addresses, card and phone numbers, found by
-    patterns in the whole text. A word of at least four letters within `width`
-    code points of an entity, met near it in at least `support` different
-    contexts, is a term; it is a span if it gives away at least the share
-    `generalise` of the entity's information (see disclosing_terms). Terms
-    that touch a base span stay out. In sanitised texts base spans become
+    patterns in the whole text. A word of at least four letters that stands
+    within `width` code points of an entity in at least `support` different
+    texts (1: in any) is a term; it discloses the entity if it gives away at
+    least the share `generalise` of its information (see disclosing_terms).
+    Then it is a span wherever it stands in a text that has the entity, near or
+    far. Terms that touch a base span stay out. In sanitised texts base spans become
     <EMAIL>, <IP>, <CARD>, <PHONE> (spans that overlap become one, named after
-    the first), terms become <TERM>, or nothing at a share of `remove` or more.
+    the first); a term becomes the most informative one of its entity that
+    discloses too little (<TERM> if there is none), or nothing at a share of
+    `remove` or more.
 
-    Texts are read for the patterns and for words' document counts, neither
-    with a shuffle of texts; words are counted with map-side combine. All else
-    is rows of the entities' surroundings. To sanitise, the patterns are found
-    once more beside the texts, and only the term spans are joined to them:
-    broadcast after a check of their number, else by a shuffle.
+    Texts are read for the patterns, for words' numbers of texts, and for the
+    places of terms, never with a shuffle of texts unless more than
+    BROADCAST_KEYS texts repeat or more than BROADCAST_ROWS have terms. Words
+    are counted with map-side combine. All else is rows of the texts that hold an entity.
 
     Returns id_col, n_email, n_ip, n_card, n_phone, n_term (long), spans (array of
     kind number in KINDS, start, end: code points, end exclusive; by kind, then start)
     and, if sanitised, text_col and the `keep` columns. Null text counts as
     empty; in sanitised texts it stays null. Null ids and repeated rows are
-    kept, each judged by its id and text. An empty table gives an empty result.
+    kept, each judged by its text. An empty table gives an empty result.
     """
     found = findings(docs, id_col, text_col, width)
     terms = disclosing_terms(found, docs, text_col, generalise, remove, support)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)]).withColumn("key", F.xxhash64(text))
     if sanitised:
-        terms = cut(terms)
-        d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
-        d = d.withColumn("key", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("spans", base_spans(F.coalesce("text", F.lit(""))))
-        if terms.count() <= BROADCAST_ROWS:
-            terms = F.broadcast(terms)
+        d = _beside(d.withColumn("spans", base_spans(text)), terms, "left", BROADCAST_ROWS).withColumn("terms", _occurrences(text, F.col("terms")))
     else:
-        d = found.drop("contexts")
-    t = terms.withColumnsRenamed({"id": "t_id", "key": "t_key"})
-    d = d.join(t, (F.col("key") == F.col("t_key")) & F.col("id").eqNullSafe(F.col("t_id")), "left").drop("t_id", "t_key")
+        spots = _beside(d.select("key", "text"), terms, "inner", BROADCAST_ROWS).select("key", _occurrences(text, F.col("terms")).alias("terms"))
+        spots = cut(spots.groupBy("key").agg(F.any_value("terms").alias("terms")))
+        d = _beside(found.select("id", "key", "spans"), spots, "left", BROADCAST_ROWS)
     d = d.withColumn("terms", _apart(F.col("terms"), F.col("spans")))
     number = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     every = F.concat("spans", F.transform("terms", lambda x: F.struct(F.lit(len(PATTERNS)).alias("kind"), x["start"].alias("start"), x["end"].alias("end"))))
@@ -193,7 +218,7 @@ def _sanitise(text: Column, spans: Column, terms: Column) -> Column:
     tags = F.array(*[F.lit(f"<{k.upper()}>") for k in PATTERNS])
     marks = F.concat(
         F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(tags, s["kind"]).alias("tag"))),
-        F.transform(terms, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(x["remove"], "").otherwise("<TERM>").alias("tag"))),
+        F.transform(terms, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["instead"].alias("tag"))),
     )
 
     def step(a: Column, m: Column) -> Column:

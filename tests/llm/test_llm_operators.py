@@ -330,15 +330,75 @@ def test_odd_patterns(spark):
         assert [s for s in got[i].split(",") if s.startswith("email")] == mails
 
 
-def test_terms_that_disclose(spark):
+def plain_terms(texts: list[str], width: int = 80, generalise: float = 0.75, remove: float = 0.9, support: int = 2) -> dict[str, dict[str, str]]:
+    """By text, what stands for each of its disclosing terms, counted over different texts one by one."""
+    import math
+
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    texts = sorted(set(texts))
+    word = re.compile(r"[^\W\d_]{4,}")
+    has, near, entities = defaultdict(set), defaultdict(set), defaultdict(set)
+    for i, t in enumerate(texts):
+        for w in word.findall(t.lower()):
+            has[w].add(i)
+        for kind, p in patterns.items():
+            for m in re.finditer(p, t):
+                entities[m[0].lower()].add(i)
+                for w in word.finditer(t):
+                    if m.start() - width <= w.start() and w.end() <= m.end() + width and (w.end() <= m.start() or w.start() >= m.end()):
+                        near[m[0].lower(), w[0].lower()].add(i)
+    n, share = len(texts), {}
+    for (e, w), both in near.items():
+        if len(both) >= support and len(entities[e]) < n:
+            share[e, w] = math.log(len(both) * n / (len(has[w]) * len(entities[e]))) / math.log(n / len(entities[e]))
+    out: dict[str, dict[str, str]] = {}
+    for i, t in enumerate(texts):
+        best: dict[str, tuple] = {}
+        for (e, w), x in share.items():
+            if x >= generalise and i in entities[e] and i in has[w]:
+                under = [(y, u) for (f, u), y in share.items() if f == e and 0 < y < generalise]
+                instead = "" if x >= remove else max(under)[1] if under else "<TERM>"
+                best[w] = max(best.get(w, (-1,)), (x, e, instead))
+        out[t] = {w: x[2] for w, x in best.items()}
+    return out
+
+
+@pytest.mark.parametrize("support", [1, 2])
+def test_terms_that_disclose(spark, support):
     r = random.Random(6)
-    filler = ["".join(r.choices("abcdefgh", k=6)) for _ in range(400)]
-    say = lambda: " ".join(r.choices(filler, k=12))
-    rows = [(i, f"{say()} patient Zorblax saw bob@example.org {say()}") for i in range(4)] + [(10 + i, f"{say()} patient {say()}") for i in range(100)]
-    got = {x.doc_id: x for x in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string"), sanitised=True).collect()}
-    for i in range(4):
-        assert "Zorblax" not in got[i].text and "<EMAIL>" in got[i].text and "patient" in got[i].text
-    assert all(got[10 + i].text == rows[4 + i][1] for i in range(100))
+    filler = ["".join(r.choices("abcdefgh", k=6)) for _ in range(60)]
+    say = lambda n=12: " ".join(r.choices(filler, k=n))
+    texts = [f"{say()} patient Zorblax saw bob@example.org {say()} far away {say(40)} Zorblax again" for _ in range(4)]
+    texts += [f"{say(4)} ask amy@example.org about Quimby and the clinic. {say()}" for _ in range(12)] + [f"{say()} Quimby {say(9)}" for _ in range(4)]
+    texts += [f"{say(60)} or +49 (30) 555-{1000 + i} {say(20)}" for i in range(3)] + [f"{say()} patient and clinic {say()}" for _ in range(60)] + [f"{say(90)} bob@example.org" for _ in range(2)]
+    made = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    rows = list(enumerate(texts))
+    got = {x.doc_id: x for x in pii.find_personal_data(made(rows), sanitised=True, support=support).collect()}
+    want = plain_terms(texts, support=support)
+    instead = set()
+    for i, t in rows:
+        spans = [(s.start, s.end) for s in got[i].spans if s.kind == 4]
+        base = [(s.start, s.end) for s in got[i].spans if s.kind < 4]
+        told = [(m.start(), m.end()) for m in re.finditer(r"[^\W\d_]{4,}", t) if m[0].lower() in want[t] and not any(a < m.end() and m.start() < b for a, b in base)]
+        assert spans == told
+        instead |= {want[t][t[a:b].lower()] for a, b in told}
+        out, at = [], 0
+        for a, b, x in sorted([(a, b, want[t][t[a:b].lower()]) for a, b in told] + [(s.start, s.end, f"<{pii.KINDS[s.kind].upper()}>") for s in got[i].spans if s.kind < 4]):
+            out += [t[at:a], x]
+            at = b
+        assert got[i].text == "".join(out) + t[at:]
+    assert all("Zorblax" not in got[i].text for i in range(4)) and instead > {""} and instead & set(filler + ["patient", "clinic", "about"])
+    copies = rows + [(1000 + k, texts[i]) for k in range(40) for i in (0, 5, 70)]
+    more = {x.doc_id: x for x in pii.find_personal_data(made(copies), sanitised=True, support=support).collect()}
+    assert all((more[i].text, more[i].spans) == (got[i].text, got[i].spans) for i, _ in rows)
+    thin = {x.doc_id: x.spans for x in pii.find_personal_data(made(copies), support=support).collect()}
+    assert thin == {k: x.spans for k, x in more.items()}
+
+
+def test_terms_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(pii, "BROADCAST_KEYS", 0)
+    test_terms_that_disclose(spark, 2)
 
 
 def test_token_counts(docs, rows, empty):
