@@ -388,7 +388,7 @@ def test_terms_that_disclose(spark, support):
             at = b
         assert got[i].text == "".join(out) + t[at:]
     assert all("Zorblax" not in got[i].text for i in range(4)) and instead > {""} and instead & set(filler + ["patient", "clinic", "about"])
-    copies = rows + [(1000 + k, texts[i]) for k in range(40) for i in (0, 5, 70)]
+    copies = rows + [(1000 + 100 * i + k, texts[i]) for k in range(40) for i in (0, 5, 70)]
     more = {x.doc_id: x for x in pii.find_personal_data(made(copies), sanitised=True, support=support).collect()}
     assert all((more[i].text, more[i].spans) == (got[i].text, got[i].spans) for i, _ in rows)
     thin = {x.doc_id: x.spans for x in pii.find_personal_data(made(copies), support=support).collect()}
