@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 
 import numpy as np
@@ -15,43 +16,57 @@ from patchlens.llm.common import cut, partitions, slices
 from patchlens.llm.components import components
 from patchlens.llm.shingles import shingle_sets
 
-#: Buckets of the frequency sketch, as a power of two: the size of what is broadcast, in bytes.
-SKETCH_BITS = 22
+#: Buckets of the frequency sketch, as a power of two, at least and at most: what is broadcast has one byte for each.
+SKETCH_BITS, MOST_SKETCH_BITS = 22, 24
 #: Parts in which the sketch travels.
 SKETCH_PARTS = 64
 #: Parts of the suffix filter.
 SUFFIX_PARTS = 64
 #: Postings of one token that a task gets at most, about.
 TOKEN_ROWS = 4096
-#: Ids up to which the documents to verify are found by a broadcast join.
+#: Components of one token and size that a task pairs with others at most, about.
+TOKEN_COMPONENTS = 1024
+#: Ids up to which the documents to verify are found by a broadcast join, and tokens up to which salts are.
 BROADCAST_IDS = 200_000
 
 
-def frequencies(docs: DataFrame, width: int) -> np.ndarray:
-    """How frequent shingles are: for each of 2**SKETCH_BITS ranges of hashes a class, 8 to the doubling.
+def sketch_bits(docs: DataFrame) -> int:
+    """Buckets of the sketch, as a power of two: one for 16 bytes of the input, as Spark estimates it, within the bounds."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return min(MOST_SKETCH_BITS, max(SKETCH_BITS, (size // 16).bit_length()))
+
+
+def frequencies(docs: DataFrame, width: int, bits: int) -> np.ndarray:
+    """How frequent shingles are: for each of 2**bits ranges of hashes a class, 8 to the doubling.
 
     All documents count. Each task sums its own sketch and sends it as 64
     compressed parts; parts are added up as they stream by. The result has
-    one byte a range, whatever the corpus. The join's result does not depend
-    on it: any order of tokens is right, rare-first ones leave few candidates.
+    one byte a range. The join's result does not depend on it: any order of
+    tokens is right, rare-first ones leave few candidates. Where the ranges
+    are fewer than the corpus's shingles (over some 100 GB), only tokens more
+    frequent than their range's others stand out.
     """
 
     def sketch(batches):
-        total = np.zeros(1 << SKETCH_BITS, np.uint32)
-        for b in batches:
+        total = np.zeros(1 << bits, np.uint32)
+        for b in slices(batches, 0):
             sets = shingle_sets(b.column(0).to_pylist(), width)
             if sets:
-                np.add.at(total, (np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.uint32(1))
+                np.add.at(total, (np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
         parts = [zlib.compress(p.astype("<u4").tobytes(), 1) for p in np.split(total, SKETCH_PARTS)]
         yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(parts, pa.binary())], ["part", "counts"])
 
-    size = (1 << SKETCH_BITS) // SKETCH_PARTS
+    size = (1 << bits) // SKETCH_PARTS
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for part, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                sums[part] = sums.get(part, 0) + np.frombuffer(zlib.decompress(data), "<u4").astype(np.int64)
+                counts = np.frombuffer(zlib.decompress(data), "<u4")
+                if part in sums:
+                    sums[part] += counts
+                else:
+                    sums[part] = counts.astype(np.int64)
         ranks = [np.minimum(255, 8 * np.log2(np.maximum(s, 1))).astype(np.uint8).tobytes() for s in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(ranks, pa.binary())], ["part", "ranks"])
 
@@ -66,29 +81,33 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def signatures(docs: DataFrame, width: int, percent: int, ranks) -> DataFrame:
-    """Per document (id, text): n, node (a digest of its set), prefix (its rarest tokens, in order), suffix (sizes of the parts of its set)."""
+def signatures(docs: DataFrame, width: int, percent: int, ranks, bits: int) -> DataFrame:
+    """Per document (id, text): n, node (a digest of its set), prefix (its rarest tokens, in order), marks (the part of the suffix filter that each of these is in), sizes (of all parts of its set).
+
+    A token is a shingle's class of frequency, then its hash, so that tokens' order is rare-first.
+    """
     kind = docs.schema["id"].dataType.simpleString()
 
     def sign(batches):
-        for b in batches:
+        for b in slices(batches, 1):
             order = ranks.value
-            sizes, nodes, tokens, ends, suffixes = [], [], [], [0], []
+            n, nodes, tokens, ends, marks, sizes = [], [], [], [0], [], []
             for s in shingle_sets(b.column(1).to_pylist(), width):
-                sizes.append(len(s))
+                n.append(len(s))
                 nodes.append(_digest(s))
-                t = (order[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
+                t = (order[(s >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64) << np.uint64(55)) | (s >> np.uint64(9))
                 p = prefix_length(len(s), percent) if len(s) else 0
-                tokens.append(np.sort(np.partition(t, p - 1)[:p] if 0 < p < len(t) else t[:p]))
+                first = np.argpartition(t, p - 1)[:p] if 0 < p < len(t) else np.arange(p)
+                first = first[np.argsort(t[first])]
+                part = (s & np.uint64(SUFFIX_PARTS - 1)).astype(np.uint8)
+                tokens.append(t[first])
                 ends.append(ends[-1] + p)
-                suffixes.append(np.bincount((s & np.uint64(SUFFIX_PARTS - 1)).astype(np.int64), minlength=SUFFIX_PARTS))
-            if not sizes:
-                continue
+                marks.append(part[first].tobytes())
+                sizes.append(np.bincount(part, minlength=SUFFIX_PARTS).astype("<u4").tobytes())
             prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(tokens).view(np.int64), pa.int64()))
-            suffix = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * SUFFIX_PARTS, pa.int32()), pa.array(np.concatenate(suffixes), pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), prefix, suffix], ["id", "n", "node", "prefix", "suffix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), prefix, pa.array(marks, pa.binary()), pa.array(sizes, pa.binary())], ["id", "n", "node", "prefix", "marks", "sizes"])
 
-    return docs.select("id", "text").mapInArrow(sign, f"id {kind}, n bigint, node bigint, prefix array<bigint>, suffix array<int>")
+    return docs.select("id", "text").mapInArrow(sign, f"id {kind}, n bigint, node bigint, prefix array<bigint>, marks binary, sizes binary")
 
 
 def _digest(s: np.ndarray) -> int | None:
@@ -106,12 +125,37 @@ def _passes(percent: int, na, pa_, nb, pb) -> Column:
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * rest >= _overlap(na, nb, percent))
 
 
-def _suffix_filter(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sets could share enough, judged by the sizes of the 64 parts that hashes fall in."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("suffix").alias(f"s_{x}"))
-    j = pairs.join(side("a"), "a").join(side("b"), "b")
-    most = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
-    return j.filter((100 + percent) * most >= _overlap(F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
+def _behind(sizes: list[bytes], marks: list[bytes], places: list[int]) -> np.ndarray:
+    """(row, part): sizes of the parts of each set's tokens behind its place."""
+    whole = np.frombuffer(b"".join(sizes), "<u4").reshape(len(sizes), SUFFIX_PARTS).astype(np.int64)
+    before = [m[: p + 1] for m, p in zip(marks, places)]
+    at = np.repeat(np.arange(len(sizes)), [len(m) for m in before]) * SUFFIX_PARTS + np.frombuffer(b"".join(before), np.uint8)
+    return whole - np.bincount(at, minlength=whole.size).reshape(whole.shape)
+
+
+def _suffix_filter(pairs: DataFrame, nodes: DataFrame, percent: int, first: bool) -> DataFrame:
+    """Pairs (a, b, i, j) whose sets could share enough, judged by their suffixes: the tokens behind the places i and j of one they share.
+
+    Both suffixes fall into the same 64 parts by hash; what they share of a
+    part is at most the smaller of its two sizes. Before the places lies
+    nothing shared if they are those of the `first` shared token, else at most
+    the lesser of i and j.
+    """
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("marks").alias(f"m_{x}"), F.col("sizes").alias(f"s_{x}"))
+    j = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "i", "j", "n_a", "n_b", "m_a", "m_b", "s_a", "s_b")
+
+    def could(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                b = batch.slice(at, 4096)
+                i, k, na, nb = (b.column(c).to_numpy().astype(np.int64) for c in (2, 3, 4, 5))
+                ma, mb, sa, sb = (b.column(c).to_pylist() for c in (6, 7, 8, 9))
+                most = 1 + np.minimum(_behind(sa, ma, i.tolist()), _behind(sb, mb, k.tolist())).sum(1)
+                if not first:
+                    most = most + np.minimum(i, k)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array((100 + percent) * most >= percent * (na + nb)))
+
+    return j.mapInArrow(could, "a bigint, b bigint")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -127,7 +171,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, p
     texts = docs.join(ids, docs["id"].eqNullSafe(F.col("rep")), "left_semi").select("text")
 
     def sets(batches):
-        for b in batches:
+        for b in slices(batches, 0):
             found = shingle_sets(b.column(0).to_pylist(), width)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "items"])
@@ -147,8 +191,14 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, p
     return cut(j.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint"))
 
 
-def _pair(x: Column, y: Column) -> list[Column]:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+def _pair(x: Column, i: Column, y: Column, j: Column) -> list[Column]:
+    """Two nodes and the places of a token in them, the lesser node first."""
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), F.when(x < y, i).otherwise(j).alias("i"), F.when(x < y, j).otherwise(i).alias("j")]
+
+
+def _once(pairs: DataFrame) -> DataFrame:
+    """Each pair once, with the places of its first token."""
+    return pairs.groupBy("a", "b").agg(F.min(F.struct("i", "j")).alias("p")).select("a", "b", "p.i", "p.j")
 
 
 class _Join:
@@ -157,14 +207,19 @@ class _Join:
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int):
         self.width, self.percent = width, percent
         self.docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        ranks = docs.sparkSession.sparkContext.broadcast(frequencies(self.docs, width))
-        self.signed = cut(signatures(self.docs, width, percent, ranks))
+        bits = sketch_bits(self.docs)
+        ranks = docs.sparkSession.sparkContext.broadcast(frequencies(self.docs, width, bits))
+        self.signed = cut(signatures(self.docs, width, percent, ranks, bits))
         filled = self.signed.filter("n > 0")
-        self.nodes = cut(filled.groupBy("node").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "prefix", "suffix")]))
+        self.nodes = cut(filled.groupBy("node").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "prefix", "marks", "sizes")]))
 
         posting = self.nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-        frequent = F.pow(F.lit(2.0), F.shiftrightunsigned("token", 56) / 8) / TOKEN_ROWS
-        posting = posting.withColumn("salts", F.greatest(F.lit(1), F.ceil(frequent)).cast("int")).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")))
+        # the sketch never counts less than there is: only tokens of such a class can have so many postings
+        may = F.shiftrightunsigned("token", 55) >= int(8 * math.log2(TOKEN_ROWS))
+        hot = cut(posting.filter(may).groupBy("token").agg(F.count("*").alias("rows")).filter(F.col("rows") > TOKEN_ROWS))
+        salts = F.coalesce(F.ceil(F.col("rows") / TOKEN_ROWS), F.lit(1)).cast("int")
+        posting = posting.join(F.broadcast(hot) if hot.count() <= BROADCAST_IDS else hot, "token", "left").withColumn("salts", salts).drop("rows")
+        posting = posting.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")))
         own = W.partitionBy("token", "salt")
         first = F.first(F.struct("node", "n", "pos")).over(own.orderBy("pos", "node"))
         posting = posting.withColumn("hub", first).withColumn("size", F.count("*").over(own))
@@ -177,18 +232,21 @@ class _Join:
         """
         p = self.shared
         hub = F.col("hub")
-        near = p.filter(F.col("node") != hub["node"]).filter(_passes(self.percent, F.col("n"), F.col("pos"), hub["n"], hub["pos"])).select(*_pair(F.col("node"), hub["node"]))
+        near = p.filter(F.col("node") != hub["node"]).filter(_passes(self.percent, F.col("n"), F.col("pos"), hub["n"], hub["pos"])).select(*_pair(F.col("node"), F.col("pos"), hub["node"], hub["pos"]))
         lead = p.filter((F.col("salts") > 1) & (F.col("node") == hub["node"])).select("token", "node", "n", "pos")
         lead = lead.withColumn("top", F.first(F.struct("node", "n", "pos")).over(W.partitionBy("token").orderBy("pos", "node")))
         top = F.col("top")
-        lead = lead.filter(F.col("node") != top["node"]).filter(_passes(self.percent, F.col("n"), F.col("pos"), top["n"], top["pos"])).select(*_pair(F.col("node"), top["node"]))
-        return near.union(lead).distinct()
+        lead = lead.filter(F.col("node") != top["node"]).filter(_passes(self.percent, F.col("n"), F.col("pos"), top["n"], top["pos"])).select(*_pair(F.col("node"), F.col("pos"), top["node"], top["pos"]))
+        return _once(near.union(lead))
 
     def across(self, roots: DataFrame | None) -> DataFrame:
         """All candidate pairs of nodes of different components (of different nodes, if `roots` is None).
 
         Tokens first pair the components that meet in them, by the ranges of
-        their sets' sizes; only the members of pairs that could link are joined.
+        their sets' sizes; only the members of pairs that could link are
+        joined. Components meet by token and class of size; where one token
+        and class has many of them, one side is salted and the other repeated,
+        so that no task pairs them all.
         """
         p = self.shared.select("token", "node", "n", "pos")
         if roots is None:
@@ -197,20 +255,30 @@ class _Join:
             p = p.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         parts = p.groupBy("token", "root").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("pos").alias("pos"))
         several = parts.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
-        parts = parts.join(several, "token", "left_semi")
-        x, y = parts.alias("x"), parts.alias("y")
+        # sizes that fit differ by one class at most
+        step = max(0.01, math.log(100 / self.percent)) * 1.000001
+        of = lambda c: F.floor(F.log(F.col(c)) / step)
+        parts = cut(parts.join(several, "token", "left_semi").withColumn("from", of("low")).withColumn("to", of("high")))
+        left = parts.withColumn("size", F.explode(F.sequence("from", "to")))
+        many = cut(left.groupBy("token", "size").agg(F.count("*").alias("k")).filter(F.col("k") > TOKEN_COMPONENTS).select("token", "size", F.ceil(F.col("k") / TOKEN_COMPONENTS).alias("salts")))
+        few = many.count() <= BROADCAST_IDS
+        salted = lambda d: d.join(F.broadcast(many) if few else many, ["token", "size"], "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+        x = salted(left).withColumn("salt", F.pmod(F.xxhash64("root"), F.col("salts"))).alias("x")
+        y = salted(parts.withColumn("size", F.explode(F.sequence(F.col("from") - 1, F.col("to") + 1)))).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).alias("y")
+        same = (F.col("x.token") == F.col("y.token")) & (F.col("x.size") == F.col("y.size")) & (F.col("x.salt") == F.col("y.salt"))
+        once = F.col("x.size") == F.greatest(F.col("x.from"), F.col("y.from") - 1)
         fits = (100 * F.col("x.high") >= self.percent * F.col("y.low")) & (100 * F.col("y.high") >= self.percent * F.col("x.low"))
         rest = 1 + F.least(F.col("x.high") - F.col("x.pos") - 1, F.col("y.high") - F.col("y.pos") - 1)
         room = (100 + self.percent) * rest >= _overlap(F.col("x.low"), F.col("y.low"), self.percent)
-        meet = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") < F.col("y.root")) & fits & room)
+        meet = x.join(y, same & once & (F.col("x.root") < F.col("y.root")) & fits & room)
         meet = meet.select("x.token", F.col("x.root").alias("r1"), F.col("y.root").alias("r2"))
         one = p.select("token", F.col("root").alias("r1"), F.col("node").alias("m1"), F.col("n").alias("n1"), F.col("pos").alias("p1"))
         two = p.select("token", F.col("root").alias("r2"), F.col("node").alias("m2"), F.col("n").alias("n2"), F.col("pos").alias("p2"))
         j = meet.join(one, ["token", "r1"]).join(two, ["token", "r2"])
-        return j.filter(_passes(self.percent, F.col("n1"), F.col("p1"), F.col("n2"), F.col("p2"))).select(*_pair(F.col("m1"), F.col("m2"))).distinct()
+        return _once(j.filter(_passes(self.percent, F.col("n1"), F.col("p1"), F.col("n2"), F.col("p2"))).select(*_pair(F.col("m1"), F.col("p1"), F.col("m2"), F.col("p2"))))
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        return _verified(_suffix_filter(pairs, self.nodes, self.percent), self.nodes, self.docs, self.width, self.percent)
+    def verified(self, pairs: DataFrame, first: bool) -> DataFrame:
+        return _verified(_suffix_filter(pairs, self.nodes, self.percent, first), self.nodes, self.docs, self.width, self.percent)
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -234,9 +302,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     join = _Join(docs, id_col, text_col, width, percent)
     hubs = cut(join.near_hubs())
-    links = join.verified(hubs)
+    links = join.verified(hubs, False)
     roots = components(links.toDF("u", "v"))
-    more = join.verified(join.across(roots).join(hubs, ["a", "b"], "left_anti"))
+    more = join.verified(join.across(roots).join(hubs.select("a", "b"), ["a", "b"], "left_anti"), True)
     if more.count():
         roots = components(links.union(more).toDF("u", "v"))
     at = cut(join.nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
@@ -255,7 +323,7 @@ def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     null if it is empty). Inputs are handled as in similar_components.
     """
     join = _Join(docs, id_col, text_col, width, percent)
-    links = join.verified(join.across(None))
+    links = join.verified(join.across(None), True)
     rep = join.nodes.select("node", "rep")
     pairs = links.join(rep.toDF("a", "id_a"), "a").join(rep.toDF("b", "id_b"), "b").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
     members = join.signed.select("id", "node").join(rep, "node", "left").select(F.col("id").alias(id_col), "rep")

@@ -15,7 +15,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from patchlens.llm import chat_format, html_main, lstm, lz_fingerprint, packing, pii
+from patchlens.llm import chat_format, html_main, lstm, lz_fingerprint, ngram_join, packing, pii
 from patchlens.llm.common import n_words
 from patchlens.llm.host_rules import host_rules
 from patchlens.llm.html_blocks import blocks
@@ -102,6 +102,41 @@ def test_join_finds_every_component(docs, rows, empty, width, percent):
         assert not similar_components(empty).collect()
 
 
+@pytest.mark.parametrize(("rows_", "components_", "ids"), [(3, 2, 0), (3, 2, 200_000), (4096, 1, 200_000)])
+def test_join_with_hot_tokens(spark, monkeypatch, rows_, components_, ids):
+    """A passage in every document, more tokens than a task should get, and no broadcasts."""
+    monkeypatch.setattr(ngram_join, "TOKEN_ROWS", rows_)
+    monkeypatch.setattr(ngram_join, "TOKEN_COMPONENTS", components_)
+    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", ids)
+    monkeypatch.setattr(ngram_join, "SKETCH_BITS", 6)
+    monkeypatch.setattr(ngram_join, "MOST_SKETCH_BITS", 6)
+    r = random.Random(21)
+    common = " ".join(f"c{i}" for i in range(12))
+    texts = [common + " " + " ".join(r.choices("abcdefgh", k=r.randint(0, 9))) for _ in range(120)]
+    for _ in range(60):
+        w = r.choice(texts).split(" ")
+        w[r.randrange(len(w))] = "z"
+        texts.append(" ".join(w))
+    rows = list(enumerate(texts))
+    sets = [shingles(t, 3) for t in texts]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for percent in (60, 90):
+        alike = {(i, j) for i in range(len(rows)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])}
+        root = list(range(len(rows)))
+        changed = True
+        while changed:
+            changed = False
+            for i, j in alike:
+                if root[i] != root[j]:
+                    root[i] = root[j] = min(root[i], root[j])
+                    changed = True
+        got = {x.doc_id: x.component_id for x in similar_components(d, width=3, percent=percent).collect()}
+        assert got == dict(enumerate(root))
+    pairs, members = similar_pairs(d, width=3, percent=90)
+    rep = {x["doc_id"]: x["rep"] for x in members.collect()}
+    assert {frozenset(x) for x in pairs.collect()} == {frozenset((rep[i], rep[j])) for i, j in alike if sets[i] != sets[j]}
+
+
 def test_fingerprints(docs, rows, empty):
     order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))
     want = Counter()
