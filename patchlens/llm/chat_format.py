@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import math
 import re
 from collections.abc import Iterable, Iterator
 
@@ -10,33 +12,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patchlens.llm.common import partitions, slices
-from patchlens.llm.token_counts import counter, whole_tokens
+from patchlens.llm.token_counts import counter, special_strings, whole_tokens
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
-#: Control strings of this template and of other public ones: none of them occurs in an escaped text.
-CONTROL = (
-    "<|im_start|>", "<|im_end|>", "<|endoftext|>", "<|startoftext|>", "<|system|>", "<|user|>", "<|assistant|>", "<|end|>", "<|eot_id|>",
-    "<|start_header_id|>", "<|end_header_id|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<unk>", "<pad>",
-)
-_CONTROL = re.compile("(?=" + "|".join(f"{re.escape(c[0])}(?={re.escape(c[1:])})" for c in CONTROL) + ")(.)", re.S)
+#: What control strings look like, whatever the template: `<|...`, `<tag`, `</tag`, `<<SYS`, `[INST]`, `[/INST]` and the like begin so.
+FORM = r"<(?=[|｜/<\w])|\[(?=/?[A-Z])"
 _ESCAPED = re.compile(r"\\(.)", re.S)
 _TURN = re.compile(re.escape(OPEN) + r"([^\n]*)\n(.*?)" + re.escape(CLOSE), re.S)
 _MEANS = {"\\": "\\", "-": "", "n": "\n"}
 
 
-def escape(text: str) -> str:
+@functools.lru_cache(8)
+def control(special: tuple[str, ...] = ()) -> re.Pattern:
+    """Matches the first character of whatever begins like a control string, or is one of the tokenizer's special strings."""
+    return re.compile("|".join([FORM, *[f"{re.escape(s[0])}(?={re.escape(s[1:])})" for s in sorted(special) if s]]))
+
+
+def escape(text: str, pattern: re.Pattern | None = None) -> str:
     r"""A backslash is doubled; a control string is broken by `\-` after its first character."""
-    return _CONTROL.sub(r"\1\\-", text.replace("\\", "\\\\"))
+    return (pattern or control()).sub(lambda m: m[0] + "\\-", text.replace("\\", "\\\\"))
 
 
 def unescape(text: str) -> str:
     return _ESCAPED.sub(lambda m: _MEANS.get(m[1], m[0]), text)
 
 
-def turn(role: str, text: str) -> tuple[str, int, int]:
+def turn(role: str, text: str, pattern: re.Pattern | None = None) -> tuple[str, int, int]:
     """A formatted turn, and where its text starts and ends in it."""
-    head = f"{OPEN}{escape(role).replace(chr(10), chr(92) + 'n')}\n"
-    body = escape(text)
+    head = f"{OPEN}{escape(role, pattern).replace(chr(10), chr(92) + 'n')}\n"
+    body = escape(text, pattern)
     return head + body + CLOSE, len(head), len(head) + len(body)
 
 
@@ -99,11 +103,13 @@ def format_windows(
     history: int = 512,
     system: str = "system",
     target: str = "assistant",
+    rows_per_task: int = 50_000,
 ) -> DataFrame:
     """Training windows of every conversation, a row each, with their loss mask.
 
-    Turns are escaped, formatted and counted (tokens by the file at `path`)
-    where they are read. One shuffle brings a conversation's turns together
+    Turns are escaped (by the form of control strings, and the special strings
+    of the file at `path`), formatted and counted (tokens by that file) where
+    they are read. One shuffle brings a conversation's turns together
     and in order; windows are cut as turns stream by, so that a task holds one
     window, however long the conversation. A conversation's windows follow
     each other in one partition.
@@ -123,9 +129,10 @@ def format_windows(
     kind, order = c.schema["conv"].dataType.simpleString(), c.schema["turn"].dataType.simpleString()
 
     def turns(batches):
+        pattern = control(special_strings(path))
         for b in slices(batches, 3):
             roles = b.column(2).to_pylist()
-            done = [turn(r, t) for r, t in zip(roles, b.column(3).to_pylist())]
+            done = [turn(r, t, pattern) for r, t in zip(roles, b.column(3).to_pylist())]
             n = counter(path, whole)([d[0] for d in done]) if done else []
             cols = [b.column(0), b.column(1), b.column(2), pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int32()), pa.array([d[2] for d in done], pa.int32()), pa.array(n, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, ["conv", "turn", "role", "formatted", "a", "b", "tokens"])
@@ -144,7 +151,7 @@ def format_windows(
             yield _batch(out, types[0])
 
     t = c.mapInArrow(turns, f"conv {kind}, turn {order}, role string, formatted string, a int, b int, tokens bigint")
-    t = t.repartition(partitions(spark), "conv").sortWithinPartitions("conv", "turn", "role", "formatted").select("conv", "role", "formatted", "a", "b", "tokens")
+    t = t.repartition(max(partitions(spark), math.ceil(conversations.count() / rows_per_task)), "conv").sortWithinPartitions("conv", "turn", "role", "formatted").select("conv", "role", "formatted", "a", "b", "tokens")
     out = t.mapInArrow(cut, f"conv {kind}, window int, text string, n_repeated int, n_new int, first_turn int, loss_starts array<int>, loss_ends array<int>, n_tokens bigint")
     return out.withColumnRenamed("conv", conv_col) if conv_col != "conv" else out
 

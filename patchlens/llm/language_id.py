@@ -125,13 +125,13 @@ def predict(model: Model, texts: list[str | None]) -> list[tuple[str, float, flo
     return out
 
 
-def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, learn_if: Column, per_language: int, words_per_language: int) -> Model:
+def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, learn_if: Column, per_language: int) -> Model:
     """A model from at most `per_language` documents of each language, those with the least md5 of their ids.
 
     Keys are spread evenly, so from a language's number of documents follows
     below which key about one and a half times as many as wanted lie: only
     these are ranked. Words are counted by Spark; the driver gets numbers of documents and
-    `words_per_language` words of each language, no texts.
+    the words of the sample with their numbers, no texts: the sample bounds them.
     """
     d = docs.filter(learn_if & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("key"), F.col(text_col).alias("text"))
     sizes = {r["lang"]: r["n"] for r in d.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -143,8 +143,7 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, learn_if:
         below |= (F.col("lang") == lang) & (F.lit(share >= 1) | (F.col("key") < f"{int(min(share, 1) * (16**12 - 1)):012x}"))
     sample = d.filter(below & F.col("text").isNotNull()).withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("key", "text"))).filter(F.col("r") <= per_language)
     word = sample.select("lang", "r", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
-    top = W.partitionBy("lang").orderBy(F.col("n").desc(), "word")
-    found = word.groupBy("lang", "word").agg(F.count("*").alias("n")).withColumn("k", F.row_number().over(top)).filter(F.col("k") <= words_per_language).collect()
+    found = word.groupBy("lang", "word").agg(F.count("*").alias("n")).collect()
     counts: dict[str, dict[str, int]] = defaultdict(dict)
     for r in found:
         counts[r["lang"]][r["word"]] = r["n"]
@@ -158,7 +157,6 @@ def identify(
     lang_col: str = "lang",
     learn_if: Column | None = None,
     per_language: int = 1000,
-    words_per_language: int = 20_000,
     keep: tuple[str, ...] = (),
     explained: bool = False,
 ) -> DataFrame:
@@ -168,8 +166,8 @@ def identify(
     which `learn_if` holds; a text is scored by its own words alone. Every
     word of the whole text counts: known words by their log frequency in each
     language, unseen ones by their longest known character n-grams, from five
-    characters down to one. The model's size is bounded by
-    `words_per_language` and goes to workers once.
+    characters down to one. The model holds every word of the sample, whose
+    size `per_language` bounds, and goes to workers once.
 
     Returns id_col, the `keep` columns, lang_pred, and score: the posterior of that
     language among the learned ones, 0 to 1, from the evidence of ten average
@@ -181,7 +179,7 @@ def identify(
     can't tell a text in no learned language, since one of them is always the best.
     """
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(learn(docs, id_col, text_col, lang_col, F.lit(True) if learn_if is None else learn_if, per_language, words_per_language))
+    model = spark.sparkContext.broadcast(learn(docs, id_col, text_col, lang_col, F.lit(True) if learn_if is None else learn_if, per_language))
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
 
     @F.pandas_udf("struct<lang_pred: string, score: double, explained: double>")

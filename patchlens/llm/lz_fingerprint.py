@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -120,7 +121,7 @@ def _rows(texts: Iterator[tuple]) -> Iterator[tuple]:
             before = None if lent else (bucket, key, text, None)
 
 
-def lz_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lz_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_range: int = 10_000) -> DataFrame:
     """Fingerprint of every document and of an edit of it, and their likeness.
 
     A text is parsed into Lempel-Ziv phrases (each the shortest piece not met
@@ -132,11 +133,12 @@ def lz_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with the first as many (or all) of the next document, by ascending id; the
     last one's next is the first. Documents are dealt out by ranges of ids, in
     one shuffle; the first document of a range is lent to the range before, so
-    each task has its neighbours and holds two documents at a time. Range
-    bounds and first ids (numbers, a few per partition) are all the driver
-    sees.
+    each task has its neighbours and holds two documents at a time. There is
+    a range for each `rows_per_range` rows, of its own partition; range bounds
+    and first ids (two numbers for each) are all the driver sees.
 
-    Ids must be whole numbers. Returns id_col, n_chars (long), edited_sha256,
+    Ids are whole numbers, or text that reads as one; others order like null.
+    Returns id_col, n_chars (long), edited_sha256,
     fingerprint (base64, empty for an empty text), edited_fingerprint
     (strings), near_edited, near_next (double). Null text counts as empty; two
     empty texts are alike by 1. Null ids come first; equal ids go by text. A
@@ -144,9 +146,9 @@ def lz_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     lowest = -(1 << 63)
-    d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(lowest)).alias("place"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = 2 * partitions(spark)
-    marks = d.select(F.percentile_approx("place", [i / n for i in range(1, n)], 50 * n)).first()[0] or []
+    d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).try_cast("long"), F.lit(lowest)).alias("place"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    n = max(2 * partitions(spark), math.ceil(docs.count() / rows_per_range))
+    marks = d.select(F.percentile_approx("place", [i / n for i in range(1, n)], min(50 * n, 2_000_000))).first()[0] or []
     marks = np.unique(np.array(marks, np.int64))
 
     @F.pandas_udf("int")
@@ -170,7 +172,7 @@ def lz_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     d = d.withColumn("to", F.explode(buckets_of("place")))
     d = d.select("id", "text", "place", F.when(F.col("to") < 0, F.bitwise_not("to")).otherwise(F.col("to")).alias("bucket"), (F.col("to") < 0).alias("lent"))
-    d = d.repartition(n, "bucket").sortWithinPartitions("bucket", "lent", "place", "text").select("bucket", "id", "lent", "text")
+    d = d.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "lent", "place", "text").select("bucket", "id", "lent", "text")
     kind = d.schema["id"].dataType.simpleString()
 
     def likenesses(batches):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from patchlens.llm.common import cut, n_words
+from patchlens.operators.ordered import numbered
 
 SEED = "mix-1"
 #: Sources up to which their targets and ends are broadcast (some 100 bytes each).
@@ -19,22 +20,23 @@ def source_targets(totals: DataFrame, weights=(3, 1, 2), share: float = 1.5, rep
     """Targets from one row per source: `src`, `source`, `source_size`.
 
     Sources in code point order, null last, take the weights in turn. A target
-    is `least(repeats * size, level * weight)`; the one level at which the
-    targets sum to `share` times all sizes is where resharing the excess of
-    full sources by weight ends. Sorting sources by cap/weight makes the full
-    ones a prefix, so two running sums over the sources (not the documents)
-    find it.
+    is `least(repeats * size, level * weight)`. The level starts where it would
+    be without limits; sources that are full at it fix their targets, what they
+    can't take is reshared by weight among the others, which raises the level,
+    until no further source gets full. Each step is one aggregate of two sums;
+    no task sees all sources, however many hosts they are.
     """
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights) + 1)
-    t = totals.withColumn("w", w).withColumn("cap", F.lit(float(repeats)) * F.col("source_size"))
-    t = t.withColumn("ratio", F.col("cap") / F.col("w"))
-    order = W.orderBy("ratio", F.col("source").asc_nulls_last())
-    below = F.coalesce(F.sum("cap").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    above = F.sum("w").over(order.rowsBetween(W.currentRow, W.unboundedFollowing))
-    whole = F.sum("source_size").over(W.partitionBy().rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    t = t.withColumn("level", (F.lit(float(share)) * whole - below) / above)
-    t = t.withColumn("level", F.first(F.when(F.col("level") < F.col("ratio"), F.col("level")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    return t.select("src", "source_size", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).alias("target"))
+    t = numbered(totals.withColumn("last", F.col("source").isNull()), ["last", "source"], "place")
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    t = cut(t.select("src", "source_size", w.alias("w"), (F.lit(float(repeats)) * F.col("source_size")).alias("cap")))
+    whole, level, before = share * (t.agg(F.sum(F.col("source_size").cast("double"))).first()[0] or 0.0), 0.0, -1
+    while True:
+        full = F.lit(before >= 0) & (F.col("cap") <= level * F.col("w"))
+        fixed, open_, n, some = t.agg(F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("w"))), F.count_if(full), F.count("*")).first()
+        if n == before or n == some:
+            break
+        before, level = n, (whole - (fixed or 0.0)) / open_
+    return t.select("src", "source_size", F.when(F.lit(n == some), F.col("cap")).otherwise(F.least(F.col("cap"), level * F.col("w"))).alias("target"))
 
 
 def mix_sources(
@@ -51,7 +53,7 @@ def mix_sources(
 ) -> DataFrame:
     """How many words the mix takes of each document.
 
-    Every document gets the key md5(seed, id): random, but the same in every
+    Words are counted once (or given as `size_col`). Every document gets the key md5(seed, id): random, but the same in every
     run. The key's range is cut in buckets; the words of each (source, bucket)
     are summed with map-side combine and a running sum over a source's buckets
     gives each bucket's place in the source's order, and each source's last
@@ -65,18 +67,21 @@ def mix_sources(
 
     Returns `id_col`, the `keep` columns, and size (long: words, or `size_col`),
     source, source_size (long), target (double), taken (long, at most
-    `repeats` times size). Null ids are hashed as the empty text; equal ids
-    have equal keys and go by size. Null text has size 0 and takes 0. A null
+    `repeats` times size). A null id's key comes from the hash of the text, so
+    that many of them don't share one; equal ids have equal keys and go by size. Null text has size 0 and takes 0. A null
     source is a source of its own. An empty table gives an empty result.
     """
     d = docs.select(
         F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
         (F.coalesce(F.col(size_col).cast("long"), F.lit(0)) if size_col else n_words(F.col(text_col))).alias("size"),
+        F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("salt"),
         *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)],
     )
     d = d.withColumn("src", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")))
-    d = d.withColumn("key", F.md5(F.concat_ws(":", F.lit(SEED), F.coalesce(F.col("id").cast("string"), F.lit("")))))
+    d = d.withColumn("key", F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("id").cast("string"), F.concat(F.lit("null:"), F.col("salt")))))).drop("salt")
+    if not keep:
+        d = cut(d)
     rows = docs.count()
     buckets = max(16, math.ceil(rows / rows_per_bucket))
     d = d.withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * buckets / 2**32))

@@ -25,7 +25,7 @@ from g join z using (hk)
 """
 
 op8_source_mix = rf"""
-with d as (select doc_id, source, len({_WORDS})::bigint as size, md5('mix-1:' || coalesce(doc_id::varchar, '')) as key, coalesce('=' || source, 'null') as src from documents),
+with d as (select doc_id, source, len({_WORDS})::bigint as size, md5('mix-1:' || coalesce(doc_id::varchar, 'null:' || md5(coalesce(text, '')))) as key, coalesce('=' || source, 'null') as src from documents),
 s as (select src, min(source) as source, sum(size)::bigint as source_size from d group by src),
 w as (select *, [3.0, 1.0, 2.0][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int]::double as w, 2.0::double * source_size as cap from s),
 r as (

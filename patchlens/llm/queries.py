@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from patchlens.llm.host_rules import host_rules
 from patchlens.llm.chat_format import digests, format_windows
-from patchlens.llm.common import cut, n_words
 from patchlens.llm.html_main import extract_main
 from patchlens.llm.language_id import identify
 from patchlens.llm.lz_fingerprint import lz_fingerprints
@@ -62,8 +61,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = cut(_documents(spark, sf_dir).select("doc_id", "source", n_words(F.col("text")).alias("size")))
-    return mix_sources(sizes, size_col="size").select("doc_id", "size", "source_size", "target", "taken")
+    return mix_sources(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,16 @@ def whole_tokens(path: str) -> list[str]:
     return [] if path.endswith(".model") else list(bpe.load(path).known())
 
 
+def special_strings(path: str) -> tuple[str, ...]:
+    """The strings of a tokenizer's special tokens."""
+    if path.endswith(".model"):
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        return tuple(model.id_to_piece(i) for i in range(model.get_piece_size()) if model.is_control(i) or model.is_unknown(i))
+    return tuple(bpe.load(path).special)
+
+
 @functools.lru_cache(1)
 def counter(path: str, whole=None):
     """A function from texts to their numbers of tokens, made once in each Python worker.

@@ -20,7 +20,7 @@ from patchlens.llm.common import n_words
 from patchlens.llm.host_rules import host_rules
 from patchlens.llm.html_blocks import blocks
 from patchlens.llm.language_id import identify
-from patchlens.llm.mixing import mix_sources, take_words
+from patchlens.llm.mixing import mix_sources, source_targets, take_words
 from patchlens.llm.ngram_join import similar_components, similar_pairs
 from patchlens.llm.token_counts import count_tokens
 
@@ -165,6 +165,18 @@ def test_fingerprint_is_of_the_phrase_set():
         assert mine == seen
 
 
+def test_fingerprints_of_ids_that_are_text(spark):
+    texts = ["one text", "another one", "", None, "one text"]
+    d = spark.createDataFrame(list(zip(["10", "9", "x", None, "-3"], texts)), "doc_id string, text string")
+    got = {x.doc_id: x for x in lz_fingerprint.lz_fingerprints(d, rows_per_range=1).collect()}
+    order = [None, "x", "-3", "9", "10"]  # by number; what is none comes first, by text
+    by = dict(zip(["10", "9", "x", None, "-3"], texts))
+    for a, b in zip(order, order[1:] + order[:1]):
+        x, y = by[a] or "", by[b] or ""
+        edited = x[: len(x) - len(x) // 4] + y[: len(x) // 4]
+        assert got[a].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and got[a].fingerprint == lz_fingerprint.as_text(lz_fingerprint.fingerprint(x))
+
+
 def test_html_blocks_and_labels(spark):
     page = "<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><!-- <p>no</p> --><article><h1>A &amp; B</h1><p><b>one\n two<br><p>three &eacute; &lt;x&gt;</p><script>var t='</p>';</script><p>four</p></article><div class='comments'><p>nice</p></div><footer>&copy; me</footer>"
     assert [b.text for b in blocks(page)] == ["Home", "A & B", "one two", "three é <x>", "four", "nice", "© me"]
@@ -490,6 +502,76 @@ def test_mixing(docs, rows, empty):
     assert sum(len(words(r.text)) for r in texts) == sum(r.taken for r in got)
 
 
+def test_targets_of_many_sources(spark):
+    r = random.Random(31)
+    sizes = {f"h{i:04d}": r.choice([0, 1, 5, 10**r.randint(1, 6)]) for i in range(700)}
+    t = spark.createDataFrame([(f"={k}", k, v) for k, v in sizes.items()] + [("null", None, 77)], "src string, source string, source_size long")
+    got = {x.src: x.target for x in source_targets(t).collect()}
+    every = [(f"={k}", v) for k, v in sorted(sizes.items())] + [("null", 77)]
+    open_, want = {k: ((3, 1, 2)[i % 3], 2 * v) for i, (k, v) in enumerate(every)}, {}
+    left = 1.5 * sum(v for _, v in every)
+    while open_:
+        level = left / sum(w for w, _ in open_.values())
+        full = [k for k, (w, cap) in open_.items() if cap <= level * w]
+        for k in full or list(open_):
+            want[k] = open_[k][1] if full else level * open_[k][0]
+            left -= want[k]
+            del open_[k]
+    assert got == pytest.approx(want)
+    assert not source_targets(t.limit(0)).collect()
+
+
+def test_null_ids_do_not_share_a_bucket(spark):
+    d = spark.createDataFrame([(None, f"w{i} x y", "a") for i in range(2000)], "doc_id long, text string, source string")
+    got = mix_sources(d.repartition(3), rows_per_bucket=10, share=0.5).collect()
+    assert sum(x.taken for x in got) == 3000 and Counter(x.taken for x in got)[3] >= 999
+    kept = [Counter((x.text, x.taken) for x in mix_sources(d.repartition(n), rows_per_bucket=10, share=0.5, keep=("text",)).collect()) for n in (2, 5)]
+    assert kept[0] == kept[1]
+
+
+def test_ties_between_languages(spark):
+    d = spark.createDataFrame([(i, "same words here", lang) for i, lang in enumerate(["yy", "xx"] * 20)], "doc_id long, text string, lang string")
+    got = identify(d).collect()
+    assert {x.lang_pred for x in got} == {"xx"} and all(abs(x.score - 0.5) < 1e-9 for x in got)
+
+
+def test_languages_against_plain_backoff(spark):
+    import math
+
+    r = random.Random(41)
+    make = lambda c: " ".join("".join(r.choices(c, k=r.randint(2, 9))) for _ in range(r.randint(1, 30)))
+    data = [(i, make("aeioukn"), "xx") if i % 2 else (i, make("aäöüst"), "yy") for i in range(60)]
+    tests = [(1000 + i, make("aeikösü"), None) for i in range(40)] + [(2000, "日本", None), (2001, "q", None)]
+    got = {x.doc_id: (x.lang_pred, x.score) for x in identify(spark.createDataFrame(data + tests, "doc_id long, text string, lang string")).collect()}
+    langs, words = ["xx", "yy"], {lang: Counter(w for _, t, z in data if z == lang for w in t.split()) for lang in ("xx", "yy")}
+    tables = [words] + [{z: Counter() for z in langs} for _ in range(5)]
+    for z in langs:
+        for w, c in words[z].items():
+            for n in range(1, 6):
+                for k in range(len(w) + 3 - n):
+                    tables[n][z][f"^{w}$"[k : k + n]] += c
+    size = [len(set(t["xx"]) | set(t["yy"])) for t in tables]
+
+    def log(n, s, z):
+        return math.log((tables[n][z][s] + 0.5) / (sum(tables[n][z].values()) + 0.5 * size[n]))
+
+    def scores(w):
+        if w in words["xx"] or w in words["yy"]:
+            return [log(0, w, z) for z in langs]
+        for n in range(min(5, len(w) + 2), 0, -1):
+            known = [g for g in (f"^{w}$"[k : k + n] for k in range(len(w) + 3 - n)) if g in tables[n]["xx"] or g in tables[n]["yy"]]
+            if known:
+                return [sum(log(n, g, z) for g in known) / len(known) for z in langs]
+        return [0.0, 0.0]
+
+    for i, t, _ in tests:
+        each = [scores(w) for w in t.split()]
+        total = [math.log(0.5) + sum(e[k] for e in each) for k in range(2)]
+        p = [math.exp((x - max(total)) * min(1, 10 / len(each))) for x in total]
+        best = 0 if total[0] >= total[1] else 1
+        assert got[i][0] == langs[best] and got[i][1] == pytest.approx(p[best] / sum(p))
+
+
 def test_languages(spark, docs, rows, empty):
     r = random.Random(8)
     tongues = {"xx": "aeiou kn", "yy": "aäöü st"}

@@ -136,3 +136,28 @@ def test_empty_table(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         d = stage(spark, d, "")
     assert d.count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(17)
+    say = lambda n=60: " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(n))
+    a, b, c = say(), say(), say()
+    near = a.replace(a.split(" ")[30], "zzz", 1)
+    rows = [(None, a), (7, near), (8, b), (8, c), (8, c), (None, None), (None, say()), (9, b), (10, "")]
+    d = spark.createDataFrame([(i, t, "en", None, 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = Counter((x.doc_id, x.text) for x in corpus_pipeline.copies(spark, d, "").collect())
+    assert kept[7, near] == 1 and (None, a) not in kept  # a null id is never the least while there is another
+    assert kept[8, b] == kept[8, c] == 1 and (9, b) not in kept and kept[10, ""] == 1 and kept[None, rows[6][1]] == 1
+    for name, stage in corpus_pipeline.STAGES[2:]:
+        d = stage(spark, d, "")
+        assert d.count() > 0, name
+    assert d.filter(F.col("doc_id").isNull()).count() > 0
+
+
+def test_copies_without_broadcast(spark, rows, monkeypatch):
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = Counter(map(tuple, corpus_pipeline.copies(spark, d, "").collect()))
+    monkeypatch.setattr(corpus_pipeline, "BROADCAST_IDS", 0)
+    assert Counter(map(tuple, corpus_pipeline.copies(spark, d, "").collect())) == want
