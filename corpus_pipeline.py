@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchlens.llm.common import cut, shared_folder
+from patchlens.llm.common import cut, fresh_path, n_words
 from patchlens.llm.language_id import identify
 from patchlens.llm.mixing import mix_sources, take_words
 from patchlens.llm.ngram_join import similar_components
@@ -55,8 +53,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a row per copy taken; the document at a source's budget is cut there."""
-    taken = take_words(mix_sources(docs, keep=("text", "lang")), others=("lang",))
+    """The mix: a row per copy taken; the document at a source's budget is cut there. Words are counted once."""
+    sized = cut(docs.select("doc_id", "text", "lang", "source", n_words(F.col("text")).alias("size")))
+    taken = take_words(mix_sources(sized, size_col="size", keep=("text", "lang")), others=("lang",))
     return taken.select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
 
 
@@ -74,7 +73,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`. Each stage's result is written to the shared folder and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    at = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4()}"
+    at = fresh_path(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
