@@ -82,17 +82,17 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def signatures(docs: DataFrame, width: int, percent: int, ranks, bits: int) -> DataFrame:
-    """Per document (id, text): n, node (a digest of its set), prefix (its rarest tokens, in order), marks (the part of the suffix filter that each of these is in), sizes (of all parts of its set).
+    """Per document (id, key, text): n, node (a digest of its set), prefix (its rarest tokens, in order), marks (the part of the suffix filter that each of these is in), sizes (of all parts of its set).
 
     A token is a shingle's class of frequency, then its hash, so that tokens' order is rare-first.
     """
     kind = docs.schema["id"].dataType.simpleString()
 
     def sign(batches):
-        for b in slices(batches, 1):
+        for b in slices(batches, 2):
             order = ranks.value
             n, nodes, tokens, ends, marks, sizes = [], [], [], [0], [], []
-            for s in shingle_sets(b.column(1).to_pylist(), width):
+            for s in shingle_sets(b.column(2).to_pylist(), width):
                 n.append(len(s))
                 nodes.append(_digest(s))
                 t = (order[(s >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64) << np.uint64(55)) | (s >> np.uint64(9))
@@ -105,9 +105,9 @@ def signatures(docs: DataFrame, width: int, percent: int, ranks, bits: int) -> D
                 marks.append(part[first].tobytes())
                 sizes.append(np.bincount(part, minlength=SUFFIX_PARTS).astype("<u4").tobytes())
             prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(tokens).view(np.int64), pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), prefix, pa.array(marks, pa.binary()), pa.array(sizes, pa.binary())], ["id", "n", "node", "prefix", "marks", "sizes"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), prefix, pa.array(marks, pa.binary()), pa.array(sizes, pa.binary())], ["id", "key", "n", "node", "prefix", "marks", "sizes"])
 
-    return docs.select("id", "text").mapInArrow(sign, f"id {kind}, n bigint, node bigint, prefix array<bigint>, marks binary, sizes binary")
+    return docs.select("id", "key", "text").mapInArrow(sign, f"id {kind}, key bigint, n bigint, node bigint, prefix array<bigint>, marks binary, sizes binary")
 
 
 def _digest(s: np.ndarray) -> int | None:
@@ -206,12 +206,13 @@ class _Join:
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int):
         self.width, self.percent = width, percent
-        self.docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+        text = F.coalesce(F.col(text_col), F.lit(""))
+        self.docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
         bits = sketch_bits(self.docs)
         ranks = docs.sparkSession.sparkContext.broadcast(frequencies(self.docs, width, bits))
         self.signed = cut(signatures(self.docs, width, percent, ranks, bits))
         filled = self.signed.filter("n > 0")
-        self.nodes = cut(filled.groupBy("node").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "prefix", "marks", "sizes")]))
+        self.nodes = cut(filled.groupBy("node").agg(F.min("id").alias("rep"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("who"), *[F.first(c).alias(c) for c in ("n", "prefix", "marks", "sizes")]))
 
         posting = self.nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
         # the sketch never counts less than there is: only tokens of such a class can have so many postings
@@ -294,7 +295,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Returns per document id_col, n_shingles (long), component_id (the least id
     of its component; links lead from document to document), n_copies (long,
-    documents with the same set). Texts with fewer words have one shingle,
+    documents with the same set), is_first (boolean: the row stands for its
+    component, as that of the least id, then least hash of its text) and
+    text_key (that hash). Texts with fewer words have one shingle,
     the whole sequence; without words, or null: none, and a component of their
     own. Null ids take part, but are never the least while there is another.
     Rows that repeat are copies. An empty table gives an empty result. Sets and
@@ -307,12 +310,14 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     more = join.verified(join.across(roots).join(hubs.select("a", "b"), ["a", "b"], "left_anti"), True)
     if more.count():
         roots = components(links.union(more).toDF("u", "v"))
-    at = cut(join.nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    least = at.groupBy("root").agg(F.min("rep").alias("component_id"))
+    at = cut(join.nodes.select("node", "who").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    least = at.groupBy("root").agg(F.min("who").alias("least"))
     copies = join.signed.filter("n > 0").groupBy("node").agg(F.count("*").alias("n_copies"))
-    of_node = at.join(least, "root").join(copies, "node").select("node", "component_id", "n_copies")
-    out = join.signed.select("id", "n", "node").join(of_node, "node", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
+    of_node = at.join(least, "root").join(copies, "node").select("node", "least", "n_copies")
+    out = join.signed.select("id", "key", "n", "node").join(of_node, "node", "left")
+    none = F.col("n") == 0
+    first = none | F.col("id").eqNullSafe(F.col("least.id")) & (F.col("key") == F.col("least.key"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(none, F.col("id")).otherwise(F.col("least.id")).alias("component_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), first.alias("is_first"), F.col("key").alias("text_key"))
 
 
 def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
