@@ -13,7 +13,7 @@ from patchlens.llm.packing import pack
 from patchlens.llm.pii import find_personal_data
 from patchlens.llm.queries import vocabulary
 
-#: Of the documents that go as copies, ids up to which they are broadcast (some 16 bytes each).
+#: Of the documents that go as copies, rows up to which they are broadcast (some 24 bytes each).
 BROADCAST_IDS = 500_000
 #: Share of its words that a learned language must explain. Of 1,500 held-out documents of sf0.1 the least has 0.984, one in an unlearned script 0.
 EXPLAINED = 0.5
@@ -32,14 +32,15 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8 or more): that of the least id.
 
-    Rows equal in id and text count once; a repeated id stays if any row of that id does.
+    Rows are told apart by id and text, so null and repeated ids are judged one
+    by one; rows equal in both count once.
     """
     found = similar_components(docs)
-    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    ids = found.groupBy("doc_id").agg(F.bool_or(kept).alias("stays"), F.count("*").alias("rows"))
-    odd = cut(ids.filter("not stays or rows > 1").toDF("odd_id", "stays", "rows"))
+    rows = found.groupBy("doc_id", "text_key").agg(F.bool_or("is_first").alias("stays"), F.count("*").alias("rows"))
+    odd = cut(rows.filter("not stays or rows > 1").toDF("odd_id", "odd_key", "stays", "rows"))
     small = odd.count() <= BROADCAST_IDS
-    j = docs.join(F.broadcast(odd) if small else odd, docs["doc_id"].eqNullSafe(F.col("odd_id")), "left")
+    own = F.xxhash64(F.coalesce("text", F.lit("")))
+    j = docs.join(F.broadcast(odd) if small else odd, F.col("doc_id").eqNullSafe(F.col("odd_id")) & (own == F.col("odd_key")), "left")
     columns = docs.columns
     single = j.filter("rows is null").select(*columns)
     repeated = j.filter("stays and rows > 1").select(*columns).dropDuplicates(["doc_id", "text"])
