@@ -43,4 +43,15 @@ def cut(df: DataFrame) -> DataFrame:
     """
     path = fresh_path(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def discard(*cuts: DataFrame) -> None:
+    """Delete the files of cuts that nothing reads any more: what was made of them has been written."""
+    for df in cuts:
+        path = getattr(df, "_cut_path", None)
+        if path:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
