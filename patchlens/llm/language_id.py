@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter, defaultdict
+from array import array
+from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from patchlens.llm.bpe import blocks
-from patchlens.llm.common import runs
+from patchlens.llm.bpe import blocks, load
+from patchlens.llm.common import slices, small_batches
 
 LONGEST = 5
 #: Characters of a known n-gram (word boundaries included) from which on it explains an unseen word.
 EXPLAINS = 3
 #: Words of average evidence that a score is based on: with all words of a long text every posterior would be 1.
 EVIDENCE = 10
-REMEMBERED = 80_000
+REMEMBERED = 40_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -28,27 +30,29 @@ class Model:
 
     def __init__(self, langs: list[str], prior: np.ndarray, words: dict[str, int], grams: dict[str, int], rows: np.ndarray):
         self.langs, self.prior, self.words, self.grams, self.rows = langs, prior, words, grams, rows
-        self.memory: dict = {}  # what a worker adds: unseen words
+        self.unseen_at: dict[str, int] = {}  # what a worker adds: places of unseen words in its table
+        self.table: np.ndarray | None = None
 
     def remembered(self, words: list[str]) -> tuple[list[int], np.ndarray]:
         """Places of words in a table of scores (last column: 1 if the word is explained, see `explained`), and the table; unseen words are added to it."""
-        m = self.memory
-        if not m or m["n"] > len(self.rows) + REMEMBERED:
-            known = np.concatenate([self.rows, np.ones((len(self.rows), 1))], 1)
-            m |= {"at": dict(self.words), "n": len(self.rows), "rows": np.concatenate([known, np.zeros((REMEMBERED // 8, len(self.langs) + 1))])}
-        at = m["at"]
-        places = list(map(at.get, words))
+        n = len(self.words)
+        if self.table is None:
+            self.table = np.ones((n + REMEMBERED, len(self.langs) + 1), np.float32)
+            self.table[:n, :-1] = self.rows[:n]
+        places = list(map(self.words.get, words))
         if None in places:
-            new = list({w for w, p in zip(words, places) if p is None})
-            n = m["n"]
-            while n + len(new) > len(m["rows"]):
-                m["rows"] = np.concatenate([m["rows"], np.zeros((len(m["rows"]) // 2, len(self.langs) + 1))])
-            m["rows"][n : n + len(new), :-1] = self.unseen(new)
-            m["rows"][n : n + len(new), -1] = [self.explained(w) for w in new]
-            at.update(zip(new, range(n, n + len(new))))
-            m["n"] = n + len(new)
-            places = list(map(at.__getitem__, words))
-        return places, m["rows"]
+            new = list({w for w, p in zip(words, places) if p is None and w not in self.unseen_at})
+            if len(self.unseen_at) + len(new) > REMEMBERED:
+                self.unseen_at = {}
+                new = list({w for w, p in zip(words, places) if p is None})
+                if len(new) > len(self.table) - n:
+                    self.table = np.concatenate([self.table[:n], np.ones((len(new), len(self.langs) + 1), np.float32)])
+            first = n + len(self.unseen_at)
+            self.table[first : first + len(new), :-1] = self.unseen(new)
+            self.table[first : first + len(new), -1] = [self.explained(w) for w in new]
+            self.unseen_at.update(zip(new, range(first, first + len(new))))
+            places = [self.unseen_at[w] if p is None else p for w, p in zip(words, places)]
+        return places, self.table
 
     def grams_of(self, word: str) -> list[int]:
         """Rows of a word's known n-grams of the greatest length that has any."""
@@ -66,9 +70,12 @@ class Model:
 
     def unseen(self, words: list[str]) -> np.ndarray:
         """Scores of words outside the vocabulary: the mean over each one's grams_of, 0 without any."""
-        found = [self.grams_of(w) for w in words]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        return _sums(self.rows[[g for f in found for g in f]], counts) / np.maximum(1, counts)[:, None]
+        out = np.zeros((len(words), len(self.langs)))
+        for at in range(0, len(words), 2048):
+            found = [self.grams_of(w) for w in words[at : at + 2048]]
+            counts = np.fromiter(map(len, found), np.int64, len(found))
+            out[at : at + 2048] = _sums(self.rows[[g for f in found for g in f]], counts) / np.maximum(1, counts)[:, None]
+        return out
 
 
 def _sums(rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -76,37 +83,44 @@ def _sums(rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
     out = np.zeros((len(counts), rows.shape[1]))
     some = counts > 0
     if some.any():
-        out[some] = np.add.reduceat(rows, (np.cumsum(counts) - counts)[some], axis=0)
+        out[some] = np.add.reduceat(rows, (np.cumsum(counts) - counts)[some], axis=0, dtype=np.float64)
     return out
 
 
 def build(counts: dict[str, dict[str, int]], documents: dict[str, int], smoothing: float = 0.5) -> Model:
     """A model from word counts and numbers of documents by language."""
     langs = sorted(counts)
-    tables: list[dict[str, Counter]] = [defaultdict(Counter) for _ in range(LONGEST + 1)]  # 0: words
+    words: dict[str, int] = {}
     for lang in langs:
-        for word, c in counts[lang].items():
-            tables[0][word][lang] += c
+        for word in counts[lang]:
+            words.setdefault(word, len(words))
+    table = np.zeros((len(words), len(langs)))
+    for k, lang in enumerate(langs):
+        table[[words[w] for w in counts[lang]], k] = list(counts[lang].values())
+    tables, grams = [table], {}
+    for n in range(1, LONGEST + 1):
+        places: dict[str, int] = {}
+        owners, found = array("i"), array("i")
+        for word, row in words.items():
             marked = f"^{word}$"
-            for n in range(1, LONGEST + 1):
-                for i in range(len(marked) - n + 1):
-                    tables[n][marked[i : i + n]][lang] += c
-    places, rows = [{}, {}], []
-    for n, table in enumerate(tables):
-        sums = [sum(c[lang] for c in table.values()) + smoothing * len(table) for lang in langs]
-        for s, c in table.items():
-            places[n > 0][s] = len(rows)
-            rows.append([math.log((c[lang] + smoothing) / t) for lang, t in zip(langs, sums)])
+            for i in range(len(marked) - n + 1):
+                owners.append(row)
+                found.append(places.setdefault(marked[i : i + n], len(places)))
+        at, own = np.frombuffer(found, np.int32), np.frombuffer(owners, np.int32)
+        first = len(words) + len(grams)
+        grams.update((g, first + p) for g, p in places.items())
+        tables.append(np.stack([np.bincount(at, table[own, k], len(places)) for k in range(len(langs))], 1) if places else np.zeros((0, len(langs))))
+    rows = np.concatenate([np.log((t + smoothing) / (t.sum(0) + smoothing * len(t))) for t in tables])
     total = sum(documents.values())
     prior = np.log(np.array([documents[lang] / total for lang in langs]))
-    return Model(langs, prior, places[0], places[1], np.array(rows).reshape(len(rows), len(langs)))
+    return Model(langs, prior, words, grams, rows.astype(np.float32))
 
 
 def predict(model: Model, texts: list[str | None]) -> list[tuple[str, float, float]]:
     """Language, posterior and share of explained words of each text, read in blocks of bounded size."""
     texts = [t or "" for t in texts]
     sums, lettered, totals = np.zeros((len(texts), len(model.langs) + 1)), np.zeros(len(texts), bool), np.zeros(len(texts))
-    for owners, parts in blocks(texts) if model.langs else ():
+    for owners, parts in blocks(texts, 1 << 17) if model.langs else ():
         words = [_WORD.findall(p.lower()) for p in parts]
         counts = np.fromiter(map(len, words), np.int64, len(words))
         at, rows = model.remembered([w for ws in words for w in ws])
@@ -143,10 +157,11 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, learn_if:
         below |= (F.col("lang") == lang) & (F.lit(share >= 1) | (F.col("key") < f"{int(min(share, 1) * (16**12 - 1)):012x}"))
     sample = d.filter(below & F.col("text").isNotNull()).withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("key", "text"))).filter(F.col("r") <= per_language)
     word = sample.select("lang", "r", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
-    found = word.groupBy("lang", "word").agg(F.count("*").alias("n")).collect()
+    found = word.groupBy("lang", "word").agg(F.count("*").alias("n")).toArrow()
     counts: dict[str, dict[str, int]] = defaultdict(dict)
-    for r in found:
-        counts[r["lang"]][r["word"]] = r["n"]
+    for b in found.to_batches(max_chunksize=10_000):
+        for lang, w, n in zip(*[c.to_pylist() for c in b.columns]):
+            counts[lang][w] = n
     return build(counts, {lang: sizes[lang] for lang in counts})
 
 
@@ -179,20 +194,18 @@ def identify(
     can't tell a text in no learned language, since one of them is always the best.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     model = spark.sparkContext.broadcast(learn(docs, id_col, text_col, lang_col, F.lit(True) if learn_if is None else learn_if, per_language))
-    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
-
-    @F.pandas_udf("struct<lang_pred: string, score: double, explained: double>")
-    def guess(texts):
-        import pandas as pd
-
-        every = texts.tolist()
-        return pd.DataFrame([x for r in runs(every) for x in predict(model.value, every[r])], columns=["lang_pred", "score", "explained"])
-
-    d = d.withColumn("guess", _plain(guess)(F.col("text")))
-    return d.select(F.col("id").alias(id_col), *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)], "guess.lang_pred", "guess.score", *["guess.explained"] * explained)
-
-
-def _plain(udf):
-    """Marked as non-deterministic, so that a projection above doesn't run it twice."""
-    return udf.asNondeterministic()
+    others = [c for c in keep if c != text_col]
+    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(others)])
+    kind = T.StructType([*d.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("explained", T.DoubleType())])
+
+    def guess(batches):
+        load.cache_clear()  # a worker that has encoded texts before gives back that memory
+        for b in slices(batches, 1):
+            langs, scores, shares = zip(*predict(model.value, b.column(1).to_pylist()))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(shares, pa.float64())], kind.fieldNames())
+
+    d = d.mapInArrow(guess, kind)
+    of = {c: f"keep_{i}" for i, c in enumerate(others)} | {text_col: "text"}
+    return d.select(F.col("id").alias(id_col), *[F.col(of[c]).alias(c) for c in keep], "lang_pred", "score", *["explained"] * explained)
