@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchlens.llm.common import cut
+from patchlens.llm.common import cut, discard
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -30,7 +30,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
+        last = e
         e = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(low.toDF("u", "v")).distinct())
+        discard(last)
     else:
         raise RuntimeError(f"components have not settled in {rounds} rounds")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct().toDF("node", "root"))
+    out = cut(e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct().toDF("node", "root")))
+    discard(e)
+    return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patchlens.llm.common import cut
+from patchlens.llm.common import cut, discard
 from patchlens.llm.host_rules import _let
 
 #: Kinds in their order, as Java patterns that find what these do, leftmost and in linear time:
@@ -137,7 +137,9 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str, generalis
     told = told.select("entity", "term", "share", F.when(F.col("share") >= remove, "").otherwise(F.coalesce("broader", F.lit("<TERM>"))).alias("instead"))
     met = texts.select("key", F.explode("words").alias("term")).join(told, "term").join(texts.select("key", F.explode("entities").alias("entity")), ["key", "entity"])
     best = met.groupBy("key", "term").agg(F.max(F.struct("share", "entity", "instead"))["instead"].alias("instead"))
-    return cut(best.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("term", "instead"))).alias("terms")))
+    out = cut(best.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("term", "instead"))).alias("terms")))
+    discard(copies, texts, judged)
+    return out
 
 
 def _occurrences(text: Column, terms: Column) -> Column:
@@ -200,10 +202,12 @@ def find_personal_data(
     text = F.coalesce(F.col("text"), F.lit(""))
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)]).withColumn("key", F.xxhash64(text))
     if sanitised:
+        discard(found)
         d = _beside(d.withColumn("spans", base_spans(text)), terms, "left", BROADCAST_ROWS).withColumn("terms", _occurrences(text, F.col("terms")))
     else:
         spots = _beside(d.select("key", "text"), terms, "inner", BROADCAST_ROWS).select("key", _occurrences(text, F.col("terms")).alias("terms"))
         spots = cut(spots.groupBy("key").agg(F.any_value("terms").alias("terms")))
+        discard(terms)
         d = _beside(found.select("id", "key", "spans"), spots, "left", BROADCAST_ROWS)
     d = d.withColumn("terms", _apart(F.col("terms"), F.col("spans")))
     number = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
