@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from patchlens.llm.common import cut, partitions, slices
+from patchlens.llm.common import cut, discard, partitions, slices, small_batches
 from patchlens.llm.components import components
 from patchlens.llm.shingles import shingle_sets
 
-#: Buckets of the frequency sketch, as a power of two, at least and at most: what is broadcast has one byte for each.
-SKETCH_BITS, MOST_SKETCH_BITS = 22, 24
+#: Buckets of the frequency sketch, as a power of two: what is broadcast has one byte for each, whatever the corpus.
+SKETCH_BITS = 24
 #: Parts in which the sketch travels.
 SKETCH_PARTS = 64
 #: Parts of the suffix filter.
@@ -30,12 +30,6 @@ TOKEN_COMPONENTS = 1024
 BROADCAST_IDS = 200_000
 
 
-def sketch_bits(docs: DataFrame) -> int:
-    """Buckets of the sketch, as a power of two: one for 16 bytes of the input, as Spark estimates it, within the bounds."""
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return min(MOST_SKETCH_BITS, max(SKETCH_BITS, (size // 16).bit_length()))
-
-
 def frequencies(docs: DataFrame, width: int, bits: int) -> np.ndarray:
     """How frequent shingles are: for each of 2**bits ranges of hashes a class, 8 to the doubling.
 
@@ -167,8 +161,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, p
     pairs = cut(pairs)
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     ids = cut(nodes.join(wanted, "node", "left_semi").select("rep"))
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = docs.join(ids, docs["id"].eqNullSafe(F.col("rep")), "left_semi").select("text")
+    texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, docs["id"].eqNullSafe(F.col("rep")), "left_semi").select("text")
 
     def sets(batches):
         for b in slices(batches, 0):
@@ -188,7 +181,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, p
                 alike.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
-    return cut(j.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint"))
+    alike = cut(j.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint"))
+    discard(pairs, ids, whole)
+    return alike
 
 
 def _pair(x: Column, i: Column, y: Column, j: Column) -> list[Column]:
@@ -205,10 +200,11 @@ class _Join:
     """What both forms of the join share: signatures of documents, one node per different set, tokens that nodes share."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int):
+        small_batches(docs.sparkSession)
         self.width, self.percent = width, percent
         text = F.coalesce(F.col(text_col), F.lit(""))
         self.docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
-        bits = sketch_bits(self.docs)
+        bits = SKETCH_BITS
         ranks = docs.sparkSession.sparkContext.broadcast(frequencies(self.docs, width, bits))
         self.signed = cut(signatures(self.docs, width, percent, ranks, bits))
         filled = self.signed.filter("n > 0")
@@ -217,7 +213,7 @@ class _Join:
         posting = self.nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
         # the sketch never counts less than there is: only tokens of such a class can have so many postings
         may = F.shiftrightunsigned("token", 55) >= int(8 * math.log2(TOKEN_ROWS))
-        hot = cut(posting.filter(may).groupBy("token").agg(F.count("*").alias("rows")).filter(F.col("rows") > TOKEN_ROWS))
+        hot = self.hot = cut(posting.filter(may).groupBy("token").agg(F.count("*").alias("rows")).filter(F.col("rows") > TOKEN_ROWS))
         salts = F.coalesce(F.ceil(F.col("rows") / TOKEN_ROWS), F.lit(1)).cast("int")
         posting = posting.join(F.broadcast(hot) if hot.count() <= BROADCAST_IDS else hot, "token", "left").withColumn("salts", salts).drop("rows")
         posting = posting.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")))
@@ -259,9 +255,9 @@ class _Join:
         # sizes that fit differ by one class at most
         step = max(0.01, math.log(100 / self.percent)) * 1.000001
         of = lambda c: F.floor(F.log(F.col(c)) / step)
-        parts = cut(parts.join(several, "token", "left_semi").withColumn("from", of("low")).withColumn("to", of("high")))
+        parts = self.parts = cut(parts.join(several, "token", "left_semi").withColumn("from", of("low")).withColumn("to", of("high")))
         left = parts.withColumn("size", F.explode(F.sequence("from", "to")))
-        many = cut(left.groupBy("token", "size").agg(F.count("*").alias("k")).filter(F.col("k") > TOKEN_COMPONENTS).select("token", "size", F.ceil(F.col("k") / TOKEN_COMPONENTS).alias("salts")))
+        many = self.many = cut(left.groupBy("token", "size").agg(F.count("*").alias("k")).filter(F.col("k") > TOKEN_COMPONENTS).select("token", "size", F.ceil(F.col("k") / TOKEN_COMPONENTS).alias("salts")))
         few = many.count() <= BROADCAST_IDS
         salted = lambda d: d.join(F.broadcast(many) if few else many, ["token", "size"], "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
         x = salted(left).withColumn("salt", F.pmod(F.xxhash64("root"), F.col("salts"))).alias("x")
@@ -307,8 +303,11 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     hubs = cut(join.near_hubs())
     links = join.verified(hubs, False)
     roots = components(links.toDF("u", "v"))
+    discard(join.hot)
     more = join.verified(join.across(roots).join(hubs.select("a", "b"), ["a", "b"], "left_anti"), True)
+    discard(join.parts, join.many)
     if more.count():
+        discard(roots)
         roots = components(links.union(more).toDF("u", "v"))
     at = cut(join.nodes.select("node", "who").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     least = at.groupBy("root").agg(F.min("who").alias("least"))
@@ -317,7 +316,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     out = join.signed.select("id", "key", "n", "node").join(of_node, "node", "left")
     none = F.col("n") == 0
     first = none | F.col("id").eqNullSafe(F.col("least.id")) & (F.col("key") == F.col("least.key"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(none, F.col("id")).otherwise(F.col("least.id")).alias("component_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), first.alias("is_first"), F.col("key").alias("text_key"))
+    out = cut(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(none, F.col("id")).otherwise(F.col("least.id")).alias("component_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), first.alias("is_first"), F.col("key").alias("text_key")))
+    discard(join.signed, join.nodes, join.shared, hubs, links, more, roots, at)
+    return out
 
 
 def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:

@@ -109,7 +109,6 @@ def test_join_with_hot_tokens(spark, monkeypatch, rows_, components_, ids):
     monkeypatch.setattr(ngram_join, "TOKEN_COMPONENTS", components_)
     monkeypatch.setattr(ngram_join, "BROADCAST_IDS", ids)
     monkeypatch.setattr(ngram_join, "SKETCH_BITS", 6)
-    monkeypatch.setattr(ngram_join, "MOST_SKETCH_BITS", 6)
     r = random.Random(21)
     common = " ".join(f"c{i}" for i in range(12))
     texts = [common + " " + " ".join(r.choices("abcdefgh", k=r.randint(0, 9))) for _ in range(120)]
