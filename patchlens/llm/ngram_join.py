@@ -17,7 +17,7 @@ from patchlens.llm.components import components
 from patchlens.llm.shingles import shingle_sets
 
 #: Buckets of the frequency sketch, as a power of two: what is broadcast has one byte for each, whatever the corpus.
-SKETCH_BITS = 24
+SKETCH_BITS = 23
 #: Parts in which the sketch travels.
 SKETCH_PARTS = 64
 #: Parts of the suffix filter.
