@@ -25,7 +25,7 @@ SUFFIX_PARTS = 64
 #: Postings of one token that a task gets at most, about.
 TOKEN_ROWS = 4096
 #: Components of one token and size that a task pairs with others at most, about.
-TOKEN_COMPONENTS = 1024
+TOKEN_COMPONENTS = 16_384
 #: Ids up to which the documents to verify are found by a broadcast join, and tokens up to which salts are.
 BROADCAST_IDS = 200_000
 
