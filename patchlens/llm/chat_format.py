@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchlens.llm.common import partitions, slices
+from patchlens.llm.common import partitions, slices, small_batches
 from patchlens.llm.token_counts import counter, special_strings, whole_tokens
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
@@ -124,6 +124,7 @@ def format_windows(
     table gives an empty result.
     """
     spark = conversations.sparkSession
+    small_batches(spark)
     whole = spark.sparkContext.broadcast(whole_tokens(path))
     c = conversations.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind, order = c.schema["conv"].dataType.simpleString(), c.schema["turn"].dataType.simpleString()

@@ -7,6 +7,7 @@ names) neither clash nor travel through its shuffles unless it says so.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from patchlens.sources.shared import cut, fresh_path, shared_folder  # noqa: F401  for the operators
+from patchlens.sources.shared import cut, discard, fresh_path, shared_folder  # noqa: F401  for the operators
 
 #: White space of the word definition, as the inside of a character class.
 SPACE = r"\x20\x09-\x0D"
@@ -39,7 +40,7 @@ def n_words(text: Column) -> Column:
     return (n - F.when(n == 1, first.cast("int")).otherwise(first.cast("int") + last.cast("int"))).cast("long")
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Arrow batches in pieces whose column number `text` has about `most` bytes (a longer text is a piece of its own), so that what is made of a piece stays small."""
     for b in batches:
         sizes = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
@@ -50,14 +51,15 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, most: int = 4 << 20) ->
             start = end
 
 
-def runs(texts: list[str | None], most: int = 4 << 20) -> Iterator[slice]:
-    """As `slices`, of a list of texts, by characters."""
-    start = total = 0
-    for i, t in enumerate(texts):
-        n = len(t or "")
-        if i > start and total + n > most:
-            yield slice(start, i)
-            start, total = i, 0
-        total += n
-    if start < len(texts):
-        yield slice(start, len(texts))
+def small_batches(spark: SparkSession, most: int = 2 << 20) -> None:
+    """Arrow batches of at most `most` bytes in this session, from now on.
+
+    The default of 64 MB is held several times over, beside the heap, by every
+    task that feeds a Python worker. A result that is computed later is planned
+    with the session's setting of that time, so it can't be set back here; a
+    smaller one stays as it is.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name)
+    if not re.fullmatch(r"[0-9]+b?", now) or not 0 < int(now.rstrip("b")) <= most:
+        spark.conf.set(name, str(most))

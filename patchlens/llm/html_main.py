@@ -8,12 +8,14 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from patchlens.llm import lstm
 from patchlens.llm.bpe import Remembering
-from patchlens.llm.common import runs
+from patchlens.llm.common import slices, small_batches
 from patchlens.llm.html_blocks import Block, Node, blocks
 
 PATH, WORD, SHAPE = 192, 32, 6
@@ -232,18 +234,17 @@ def extract_main(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     repeated rows are rows like others; an empty table gives an empty result.
     """
     spark = pages.sparkSession
+    small_batches(spark)
     model = spark.sparkContext.broadcast(weights())
 
-    @F.pandas_udf("string")
-    def main(column):
-        import pandas as pd
+    d = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
+    kind = T.StructType([*[f for f in d.schema.fields if f.name != "html"], T.StructField("text", T.StringType())])
 
-        every, out = column.tolist(), []
-        for r in runs(every, 1 << 20):
-            found = [blocks(h) if h else [] for h in every[r]]
-            out += ["\n".join(b.text for b, p in zip(page, ps) if p >= threshold) for page, ps in zip(found, label(model.value, found))]
-        return pd.Series(out, dtype=object)
+    def main(batches):
+        for b in slices(batches, 1):
+            found = [blocks(h) if h else [] for h in b.column(1).to_pylist()]
+            texts = ["\n".join(x.text for x, p in zip(page, ps) if p >= threshold) for page, ps in zip(found, label(model.value, found))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(texts, pa.string())], kind.fieldNames())
 
-    d = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
-    d = d.withColumn("text", main.asNondeterministic()("html"))
+    d = d.mapInArrow(main, kind)
     return d.select(F.col("id").alias(id_col), *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)], "text", F.char_length("text").cast("long").alias("n_chars"))

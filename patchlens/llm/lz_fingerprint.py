@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patchlens.llm.common import partitions, slices
+from patchlens.llm.common import partitions, slices, small_batches
 from patchlens.llm.hashing import piece_hashes
 
 #: Minimum hashes in a fingerprint.
@@ -145,6 +145,7 @@ def lz_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table's only row is its own next; an empty table gives an empty result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     lowest = -(1 << 63)
     d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).try_cast("long"), F.lit(lowest)).alias("place"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = max(2 * partitions(spark), math.ceil(docs.count() / rows_per_range))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patchlens.llm import bpe
-from patchlens.llm.common import partitions, slices
+from patchlens.llm.common import partitions, slices, small_batches
 
 #: Tokens of the shortest piece that a document is cut in to fill a sequence.
 LEAST = 16
@@ -94,6 +94,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     empty table gives an empty result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = d.schema["id"].dataType.simpleString()
     rows = docs.count()
