@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Forms of disassembly and C text.
+# Forms of disassembly and C text, down to NOT_COMMENT.
 SIZE_MARKER = r"\b(byte|word|dword|qword|tword|short)\s+ptr\b"
 MEMORY = r"\[[^\]]+\]"
 JUMP = r"\b(j(mp|e|z|nz|ne|g|ge|l|le|b|be|a|ae))\s+(short\s+)?[0-9a-f]+\s+<[^>]+>"
@@ -14,7 +14,6 @@ LABEL_OFFSET = r"<([^+]+)\+\S+>"
 PARAMETER_STORES = ("mov <MEM>", "movsd <MEM>", "movss <MEM>")
 ZERO_STORE = "mov <MEM>,0x0"
 MOST_PARAMETERS = 6
-
 #: A block comment, or (group 1) a string, a character literal or other text. Possessive: literals of any length don't recurse.
 NOT_COMMENT = r"""(?s)/\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/|("[^"\\]*+(?:\\.[^"\\]*+)*+"|'[^'\\]*+(?:\\.[^'\\]*+)*+'|.[^/"'\\]*+)"""
 
