@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -15,22 +14,24 @@ from pyspark.sql.window import Window as W
 
 from patchlens.llm.bpe import blocks, load
 from patchlens.llm.common import slices, small_batches
+from patchlens.llm.hashing import piece_hashes
 
 LONGEST = 5
 #: Characters of a known n-gram (word boundaries included) from which on it explains an unseen word.
 EXPLAINS = 3
 #: Words of average evidence that a score is based on: with all words of a long text every posterior would be 1.
 EVIDENCE = 10
-REMEMBERED = 40_000
+#: Words a worker remembers.
+REMEMBERED = 60_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 class Model:
-    """Log probabilities by language. words, grams: string to a row of `rows`, whose columns are `langs`."""
+    """Log probabilities by language. words, grams: sorted 64-bit hashes of the known ones, which are the rows of `rows` in this order; its columns are `langs`."""
 
-    def __init__(self, langs: list[str], prior: np.ndarray, words: dict[str, int], grams: dict[str, int], rows: np.ndarray):
+    def __init__(self, langs: list[str], prior: np.ndarray, words: np.ndarray, grams: np.ndarray, rows: np.ndarray):
         self.langs, self.prior, self.words, self.grams, self.rows = langs, prior, words, grams, rows
-        self.unseen_at: dict[str, int] = {}  # what a worker adds: places of unseen words in its table
+        self.places: dict[str, int] = {}  # what a worker adds: words it has met, and their rows of its table
         self.table: np.ndarray | None = None
 
     def remembered(self, words: list[str]) -> tuple[list[int], np.ndarray]:
@@ -39,45 +40,78 @@ class Model:
         if self.table is None:
             self.table = np.ones((n + REMEMBERED, len(self.langs) + 1), np.float32)
             self.table[:n, :-1] = self.rows[:n]
-        places = list(map(self.words.get, words))
-        if None in places:
-            new = list({w for w, p in zip(words, places) if p is None and w not in self.unseen_at})
-            if len(self.unseen_at) + len(new) > REMEMBERED:
-                self.unseen_at = {}
-                new = list({w for w, p in zip(words, places) if p is None})
-                if len(new) > len(self.table) - n:
-                    self.table = np.concatenate([self.table[:n], np.ones((len(new), len(self.langs) + 1), np.float32)])
-            first = n + len(self.unseen_at)
-            self.table[first : first + len(new), :-1] = self.unseen(new)
-            self.table[first : first + len(new), -1] = [self.explained(w) for w in new]
-            self.unseen_at.update(zip(new, range(first, first + len(new))))
-            places = [self.unseen_at[w] if p is None else p for w, p in zip(words, places)]
-        return places, self.table
-
-    def grams_of(self, word: str) -> list[int]:
-        """Rows of a word's known n-grams of the greatest length that has any."""
-        marked = f"^{word}$"
-        for n in range(min(LONGEST, len(marked)), 0, -1):
-            found = [g for g in map(self.grams.get, [marked[i : i + n] for i in range(len(marked) - n + 1)]) if g is not None]
-            if found:
-                return found
-        return []
-
-    def explained(self, word: str) -> bool:
-        """Whether an unseen word has a known n-gram of EXPLAINS characters (longer ones hold such a one)."""
-        marked = f"^{word}$"
-        return any(marked[i : i + EXPLAINS] in self.grams for i in range(len(marked) - EXPLAINS + 1))
+        new = {w for w in words if w not in self.places}
+        if len(self.places) + len(new) > REMEMBERED:
+            self.places = {}
+            new = set(words)
+            if len(new) > len(self.table) - n:
+                self.table = np.concatenate([self.table[:n], np.ones((len(new), len(self.langs) + 1), np.float32)])
+        if new:
+            added = list(new)
+            at = _found(self.words, _hashes(added))
+            odd = np.flatnonzero(at < 0)
+            at[odd] = np.arange(n + len(self.places), n + len(self.places) + len(odd))
+            unseen = [added[k] for k in odd]
+            self.table[at[odd], :-1] = self.unseen(unseen)
+            self.table[at[odd], -1] = self.explained(unseen)
+            self.places.update(zip(added, at.tolist()))
+        return list(map(self.places.__getitem__, words)), self.table
+
+    def explained(self, words: list[str]) -> np.ndarray:
+        """Which unseen words have a known n-gram of EXPLAINS characters (longer ones hold such a one)."""
+        out = np.zeros(len(words), bool)
+        for at in range(0, len(words), 2048):
+            hashes, owners = _gram_hashes(words[at : at + 2048], EXPLAINS)
+            out[at + owners[_found(self.grams, hashes) >= 0]] = True
+        return out
 
     def unseen(self, words: list[str]) -> np.ndarray:
-        """Scores of words outside the vocabulary: the mean over each one's grams_of, 0 without any."""
+        """Scores of words outside the vocabulary: the mean over each one's known n-grams of the greatest length that has any, 0 without any."""
         out = np.zeros((len(words), len(self.langs)))
         for at in range(0, len(words), 2048):
-            found = [self.grams_of(w) for w in words[at : at + 2048]]
-            counts = np.fromiter(map(len, found), np.int64, len(found))
-            out[at : at + 2048] = _sums(self.rows[[g for f in found for g in f]], counts) / np.maximum(1, counts)[:, None]
+            left = np.arange(at, min(at + 2048, len(words)))
+            for n in range(LONGEST, 0, -1):
+                hashes, owners = _gram_hashes([words[k] for k in left], n)
+                rows = _found(self.grams, hashes)
+                known = rows >= 0
+                counts = np.bincount(owners[known], minlength=len(left))
+                some = counts > 0
+                out[left[some]] = _sums(self.rows[len(self.words) + rows[known]], counts)[some] / counts[some, None]
+                left = left[~some]
+                if not len(left):
+                    break
         return out
 
 
+def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all texts, one after the other, and how many each has."""
+    joined = "".join(texts).encode("utf-32-le", "surrogatepass")
+    return np.frombuffer(joined, np.uint32), np.fromiter(map(len, texts), np.int64, len(texts))
+
+
+def _hashes(words: list[str]) -> np.ndarray:
+    points, sizes = _points(words)
+    ends = np.cumsum(sizes)
+    return piece_hashes(points, ends - sizes, ends)
+
+
+def _gram_hashes(words: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all n-grams of the words, each framed by ^ and $, and the word that each is of."""
+    points, sizes = _points([f"^{w}$" for w in words])
+    counts = np.maximum(0, sizes - n + 1)
+    owners = np.repeat(np.arange(len(words)), counts)
+    starts = np.arange(len(owners)) + np.repeat((np.cumsum(sizes) - sizes) - (np.cumsum(counts) - counts), counts)
+    return piece_hashes(points, starts, starts + n), owners
+
+
+def _found(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Places of hashes among sorted ones, -1 for those that are not there."""
+    if not len(known):
+        return np.full(len(hashes), -1)
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    return np.where(known[at] == hashes, at, -1)
+
+
 def _sums(rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Sums of consecutive stretches of rows, as long as `counts` says."""
     out = np.zeros((len(counts), rows.shape[1]))
@@ -88,7 +122,9 @@ def _sums(rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def build(counts: dict[str, dict[str, int]], documents: dict[str, int], smoothing: float = 0.5) -> Model:
-    """A model from word counts and numbers of documents by language."""
+    """A model from word counts and numbers of documents by language; without any words it knows no language."""
+    if not counts:
+        return Model([], np.zeros(0), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros((0, 0), np.float32))
     langs = sorted(counts)
     words: dict[str, int] = {}
     for lang in langs:
@@ -97,23 +133,20 @@ def build(counts: dict[str, dict[str, int]], documents: dict[str, int], smoothin
     table = np.zeros((len(words), len(langs)))
     for k, lang in enumerate(langs):
         table[[words[w] for w in counts[lang]], k] = list(counts[lang].values())
-    tables, grams = [table], {}
+    log = lambda t: np.log((t + smoothing) / (t.sum(0) + smoothing * len(t))).astype(np.float32)
+    known = list(words)
+    own = _hashes(known)
+    grams, tables = [], []
     for n in range(1, LONGEST + 1):
-        places: dict[str, int] = {}
-        owners, found = array("i"), array("i")
-        for word, row in words.items():
-            marked = f"^{word}$"
-            for i in range(len(marked) - n + 1):
-                owners.append(row)
-                found.append(places.setdefault(marked[i : i + n], len(places)))
-        at, own = np.frombuffer(found, np.int32), np.frombuffer(owners, np.int32)
-        first = len(words) + len(grams)
-        grams.update((g, first + p) for g, p in places.items())
-        tables.append(np.stack([np.bincount(at, table[own, k], len(places)) for k in range(len(langs))], 1) if places else np.zeros((0, len(langs))))
-    rows = np.concatenate([np.log((t + smoothing) / (t.sum(0) + smoothing * len(t))) for t in tables])
+        hashes, owners = _gram_hashes(known, n)
+        found, at = np.unique(hashes, return_inverse=True)
+        grams.append(found)
+        tables.append(log(np.stack([np.bincount(at, table[owners, k], len(found)) for k in range(len(langs))], 1)))
+    places, every = np.argsort(own), np.concatenate(grams)
+    order = np.argsort(every)
     total = sum(documents.values())
     prior = np.log(np.array([documents[lang] / total for lang in langs]))
-    return Model(langs, prior, words, grams, rows.astype(np.float32))
+    return Model(langs, prior, own[places], every[order], np.concatenate([log(table)[places], np.concatenate(tables)[order]]))
 
 
 def predict(model: Model, texts: list[str | None]) -> list[tuple[str, float, float]]:
@@ -150,7 +183,7 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, learn_if:
     d = docs.filter(learn_if & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("key"), F.col(text_col).alias("text"))
     sizes = {r["lang"]: r["n"] for r in d.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return Model([], np.zeros(0), {}, {}, np.zeros((0, 0)))
+        return build({}, {})
     below = F.lit(False)
     for lang, n in sizes.items():
         share = (1.5 * per_language + 10) / n
@@ -182,7 +215,7 @@ def identify(
     word of the whole text counts: known words by their log frequency in each
     language, unseen ones by their longest known character n-grams, from five
     characters down to one. The model holds every word of the sample, whose
-    size `per_language` bounds, and goes to workers once.
+    size `per_language` bounds, as 64-bit hashes, and goes to workers once.
 
     Returns id_col, the `keep` columns, lang_pred, and score: the posterior of that
     language among the learned ones, 0 to 1, from the evidence of ten average

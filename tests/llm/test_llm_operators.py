@@ -585,6 +585,21 @@ def test_languages(spark, docs, rows, empty):
     assert all(0 <= x.score <= 1 for x in got.values())
     assert len(identify(docs).collect()) == len(rows) and not identify(empty).collect()
     assert {x.lang_pred for x in identify(d.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+    assert {x.lang_pred for x in identify(d.withColumn("lang", F.when(F.col("text").isNull(), F.lit("xx")))).collect()} == {"und"}
+
+
+@pytest.mark.parametrize("remembered", [3, 50])
+def test_words_that_a_worker_forgets(monkeypatch, remembered):
+    from patchlens.llm import language_id
+
+    r = random.Random(12)
+    word = lambda: "".join(r.choices("aeiouköst日", k=r.randint(1, 9)))
+    counts = {z: {word(): r.randint(1, 9) for _ in range(40)} for z in ("xx", "yy")}
+    texts = [" ".join(r.choice([word(), *counts["xx"]]) for _ in range(r.randint(0, 60))) for _ in range(50)]
+    want = language_id.predict(language_id.build(counts, {"xx": 3, "yy": 4}), texts)
+    monkeypatch.setattr(language_id, "REMEMBERED", remembered)
+    model = language_id.build(counts, {"xx": 3, "yy": 4})
+    assert [x for k in range(0, 50, 5) for x in language_id.predict(model, texts[k : k + 5])] == want
 
 
 def test_chat_windows(spark):
