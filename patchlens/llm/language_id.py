@@ -21,6 +21,8 @@ LONGEST = 5
 EXPLAINS = 3
 #: Words of average evidence that a score is based on: with all words of a long text every posterior would be 1.
 EVIDENCE = 10
+#: Words whose n-grams the driver holds at once.
+TOGETHER = 16_384
 #: Words a worker remembers.
 REMEMBERED = 60_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -138,10 +140,17 @@ def build(counts: dict[str, dict[str, int]], documents: dict[str, int], smoothin
     own = _hashes(known)
     grams, tables = [], []
     for n in range(1, LONGEST + 1):
-        hashes, owners = _gram_hashes(known, n)
-        found, at = np.unique(hashes, return_inverse=True)
+        found = np.zeros(0, np.uint64)
+        for at in range(0, len(known), TOGETHER):
+            found = np.union1d(found, _gram_hashes(known[at : at + TOGETHER], n)[0])
+        sums = np.zeros((len(found), len(langs)))
+        for at in range(0, len(known), TOGETHER):
+            hashes, owners = _gram_hashes(known[at : at + TOGETHER], n)
+            own_rows, places = table[at + owners], np.searchsorted(found, hashes)
+            for k in range(len(langs)):
+                sums[:, k] += np.bincount(places, own_rows[:, k], len(found))
         grams.append(found)
-        tables.append(log(np.stack([np.bincount(at, table[owners, k], len(found)) for k in range(len(langs))], 1)))
+        tables.append(log(sums))
     places, every = np.argsort(own), np.concatenate(grams)
     order = np.argsort(every)
     total = sum(documents.values())
