@@ -14,16 +14,19 @@ from patchlens.llm.mixing import mix_sources
 from patchlens.llm.ngram_join import similar_components
 from patchlens.llm.packing import pack
 from patchlens.llm.pii import PATTERNS, find_personal_data, spans_text
+from patchlens.llm.token_alignment import align_tokens
 from patchlens.llm.token_counts import count_tokens
 
 #: The tokenizer file of the queries; operators take a path.
 VOCABULARY = "byte_bpe_50k.json"
+#: The tokenizer that op12 aligns with it.
+OTHER_VOCABULARY = "piece_bpe_32k.model"
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(VOCABULARY)
+    return public_tokenizers.path(name)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +80,10 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_windows(c.unionByName(more), vocabulary()))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(_documents(spark, sf_dir), vocabulary(), vocabulary(OTHER_VOCABULARY))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
