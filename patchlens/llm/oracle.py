@@ -117,3 +117,63 @@ select doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coale
   sha256(coalesce(base.spans, '')) as base_sha256, coalesce(concat_ws(',', base.spans, terms.spans), '') as spans
 from d left join base using (rid) left join terms using (rid)
 """
+
+
+_TAIL = r"([T\x20][0-9]{2}:[0-9]{2}(:[0-9]{2})?(\x20?[AP]M)?(\x20?(Z|[+-][0-9]{2}:?[0-9]{2}))?)?"
+
+
+def _local(us: str) -> str:
+    """Offset, in microseconds, of `zone` at the UTC time `us`."""
+    return f"(epoch_us(timezone(zone, timezone('UTC', make_timestamp({us})))) - ({us}))"
+
+
+op13_timestamp_normalisation = rf"""
+with s as (select stamp_id, coalesce('=' || source, 'null') as source, zone, coalesce(regexp_replace(raw, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '') as x from stamps),
+f as (
+  select *, case when regexp_full_match(x, '[0-9]{{10}}|[0-9]{{13}}') then 'e'
+    when regexp_full_match(x, '20[0-9]{{2}}-[0-9]{{2}}-[0-9]{{2}}{_TAIL}') then '-'
+    when regexp_full_match(x, '20[0-9]{{6}}{_TAIL}') then 'n'
+    when regexp_full_match(x, '[0-9]{{2}}[.][0-9]{{2}}[.]20[0-9]{{2}}{_TAIL}') then '.'
+    when regexp_full_match(x, '[0-9]{{2}} (Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) 20[0-9]{{2}}{_TAIL}') then 'b'
+    when regexp_full_match(x, '[0-9]{{2}}/[0-9]{{2}}/20[0-9]{{2}}{_TAIL}') then '/' else 'x' end as form
+  from s
+),
+p as (
+  select *, case form when '-' then substr(x, 1, 10) when 'n' then substr(x, 1, 4) || '-' || substr(x, 5, 2) || '-' || substr(x, 7, 2)
+      when 'b' then substr(x, 8, 4) || '-' || lpad(((strpos('JanFebMarAprMayJunJulAugSepOctNovDec', substr(x, 4, 3)) + 2) // 3)::varchar, 2, '0') || '-' || substr(x, 1, 2)
+      when 'x' then null when 'e' then null else substr(x, 7, 4) || '-' || substr(x, 4, 2) || '-' || substr(x, 1, 2) end as day_text,
+    case when form = '/' then substr(x, 7, 4) || '-' || substr(x, 1, 2) || '-' || substr(x, 4, 2) end as month_text,
+    case form when 'n' then substr(x, 9) when 'b' then substr(x, 12) else substr(x, 11) end as tail
+  from f
+),
+q as (
+  select *, try_cast(day_text as date) as dd, try_cast(month_text as date) as md,
+    case when tail = '' then 0 else substr(tail, 2, 2)::int end as h, case when tail = '' then 0 else substr(tail, 5, 2)::int end as mi,
+    coalesce(try_cast(regexp_extract(tail, '^.{{6}}:([0-9]{{2}})', 1) as int), 0) as se, regexp_extract(tail, '([AP])M', 1) as half,
+    regexp_extract(tail, '(Z|[+-][0-9]{{2}}:?[0-9]{{2}})$', 1) as off
+  from p where form not in ('x', 'e')
+),
+t as (
+  select *, (mi < 60 and se < 60 and (case when half = '' then h < 24 else h between 1 and 12 end)
+      and (off in ('', 'Z') or (try_cast(substr(off, 2, 2) as int) <= 14 and try_cast(right(off, 2) as int) < 60)) and (off <> '' or zone is not null) and (dd is not null or md is not null)) as good,
+    (((case when half = '' then h else h % 12 + case half when 'P' then 12 else 0 end end) * 60 + mi) * 60 + se)::bigint * 1000000 as clock,
+    case when off in ('', 'Z') then 0 else (try_cast(substr(off, 2, 2) as bigint) * 60 + try_cast(right(off, 2) as bigint)) * 60000000 * (case left(off, 1) when '-' then -1 else 1 end) end as shift
+  from q
+),
+v as (select source, sum((md is null)::int) as d, sum((dd is null)::int) as m from t where good and form = '/' group by source),
+w as (
+  select stamp_id, zone, good, off, form = '/' and dd is not null and md is not null and dd <> md as two, d, m,
+    epoch_us((case when form <> '/' or md is null then dd when dd is null then md when d > m then dd else md end)::timestamp) + clock - shift as wall
+  from t left join v using (source)
+),
+z as (select *, {_local("wall - 172800000000")} as o1, {_local("wall + 172800000000")} as o2 from w where good and off = ''),
+u as (select *, {_local("wall - o1")} = o1 as ok1, {_local("wall - o2")} = o2 as ok2 from z),
+r as (
+  select stamp_id, wall - case when ok1 or not ok2 then o1 else o2 end as utc_us, two, d, m, o1 <> o2 and ok1 = ok2 as odd from u
+  union all select stamp_id, wall, two, d, m, false from w where good and off <> ''
+)
+select stamp_id, utc_us::bigint as utc_us, case when not two then 'plain' when d <> m then 'votes' else 'default' end as rule, (two or odd) as ambiguous from r
+union all select stamp_id, x::bigint * case length(x) when 10 then 1000000 else 1000 end, 'epoch', false from f where form = 'e'
+union all select stamp_id, null, 'bad', false from f where form = 'x'
+union all select stamp_id, null, 'bad', false from w where not coalesce(good, false)
+"""

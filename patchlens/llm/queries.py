@@ -14,6 +14,7 @@ from patchlens.llm.mixing import mix_sources
 from patchlens.llm.ngram_join import similar_components
 from patchlens.llm.packing import pack
 from patchlens.llm.pii import PATTERNS, find_personal_data, spans_text
+from patchlens.llm.timestamps import normalise_timestamps
 from patchlens.llm.token_alignment import align_tokens
 from patchlens.llm.token_counts import count_tokens
 
@@ -84,6 +85,10 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokens(_documents(spark, sf_dir), vocabulary(), vocabulary(OTHER_VOCABULARY))
 
 
+def op13_timestamp_normalisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalise_timestamps(spark.read.parquet(f"{sf_dir}/stamps.parquet"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
