@@ -17,6 +17,7 @@ from patchlens.llm.pii import PATTERNS, find_personal_data, spans_text
 from patchlens.llm.timestamps import normalise_timestamps
 from patchlens.llm.token_alignment import align_tokens
 from patchlens.llm.token_counts import count_tokens
+from patchlens.llm.toxicity import score_toxicity
 
 #: The tokenizer file of the queries; operators take a path.
 VOCABULARY = "byte_bpe_50k.json"
@@ -81,6 +82,12 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_windows(c.unionByName(more), vocabulary()))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    found = score_toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), learn_if=~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokens(_documents(spark, sf_dir), vocabulary(), vocabulary(OTHER_VOCABULARY))
 
