@@ -29,6 +29,10 @@ BAD, EPOCH, PLAIN, EITHER = range(4)
 DAY_FIRST, MONTH_FIRST = "day", "month"
 
 
+#: See `changes`.
+Changes = tuple[list[int], list[int], list[int]]
+
+
 class _Bad(Exception):
     """A stamp that the grammar doesn't have, or an impossible one."""
 
@@ -148,8 +152,8 @@ def day(year: str, month: str, of_month: str) -> int | None:
         return None
 
 
-def scanned(raw: str | None, zone: str | None) -> tuple[int, int | None, int | None, str | None, str | None]:
-    """(what it is, time, time if the month is first, zone, vote): times in microseconds, UTC where the zone is None, else on the zone's wall."""
+def scanned(raw: str | None, zone: str | None, zones: dict[str, Changes]) -> tuple[int, int | None, int | None, str | None, str | None]:
+    """(what it is, time, time if the month is first, zone, vote): times in microseconds, UTC where the zone is None, else on the zone's wall. `zones`: those that are known."""
     text = (raw or "").strip(SPACE)
     if len(text) in (10, 13) and text.isascii() and text.isdigit():
         return EPOCH, int(text) * (SECOND if len(text) == 10 else 1000), None, None, None
@@ -157,7 +161,7 @@ def scanned(raw: str | None, zone: str | None) -> tuple[int, int | None, int | N
         days, slashed, clock, offset = Scanner(text).stamp()
     except _Bad:
         return BAD, None, None, None, None
-    if offset is None and changes(zone) is None:
+    if offset is None and zone not in zones:
         return BAD, None, None, None, None
     shift = clock - (offset or 0) * 60 * SECOND
     times = [None if d is None else d * DAY + shift for d in days]
@@ -169,13 +173,9 @@ def scanned(raw: str | None, zone: str | None) -> tuple[int, int | None, int | N
     return EITHER, *times, where, None
 
 
-@functools.lru_cache(1024)
-def changes(zone: str | None) -> tuple[list[int], list[int], list[int]] | None:
-    """Of a zone, in microseconds: wall times from which the offset behind each change holds, wall times from which that change's skipped or repeated ones begin, and the offsets before, between and behind all changes. None for no zone."""
-    try:
-        info = zoneinfo.ZoneInfo(zone)
-    except (KeyError, ValueError, OSError, TypeError):
-        return None
+def changes(zone: str) -> Changes:
+    """Of a zone, in microseconds: wall times from which the offset behind each change holds, wall times from which that change's skipped or repeated ones begin, and the offsets before, between and behind all changes."""
+    info = zoneinfo.ZoneInfo(zone)
     offset = lambda t: info.utcoffset(datetime.fromtimestamp(t, timezone.utc).astimezone(info)) // timedelta(seconds=1)
     start, end = (int(datetime(y, 1, 1, tzinfo=timezone.utc).timestamp()) for y in (YEARS[0], YEARS[-1]))
     holds, begins, offsets = [], [], [offset(start)]
@@ -192,23 +192,23 @@ def changes(zone: str | None) -> tuple[list[int], list[int], list[int]] | None:
     return holds, begins, [o * SECOND for o in offsets]
 
 
-def to_utc(wall: int, zone: str | None) -> tuple[int, bool]:
+def to_utc(wall: int, zone: str | None, zones: dict[str, Changes]) -> tuple[int, bool]:
     """UTC of a wall time, and whether the zone's clocks skip or repeat it; such a one takes the offset before the change."""
     if zone is None:
         return wall, False
-    holds, begins, offsets = changes(zone)
+    holds, begins, offsets = zones[zone]
     k = bisect.bisect_right(holds, wall)
     return wall - offsets[k], k < len(begins) and wall >= begins[k]
 
 
-def finished(what: int, time: int | None, month_first: int | None, zone: str | None, verdict: str | None) -> tuple[int | None, str, bool]:
+def finished(what: int, time: int | None, month_first: int | None, zone: str | None, verdict: str | None, zones: dict[str, Changes]) -> tuple[int | None, str, bool]:
     """(utc, rule, ambiguous) of a scanned stamp, under its source's verdict."""
     if what == BAD:
         return None, "bad", False
     if what == EITHER:
-        utc, _ = to_utc(time if verdict == DAY_FIRST else month_first, zone)
+        utc, _ = to_utc(time if verdict == DAY_FIRST else month_first, zone, zones)
         return utc, "votes" if verdict else "default", True
-    utc, odd = to_utc(time, zone)
+    utc, odd = to_utc(time, zone, zones)
     return utc, "epoch" if what == EPOCH else "plain", odd
 
 
@@ -243,8 +243,9 @@ def normalise_timestamps(stamps: DataFrame, id_col: str = "stamp_id", source_col
     times that a zone skips or repeats take the offset before the change and
     are ambiguous, as are `votes` and `default`.
 
-    Stamps are scanned twice, for the votes and for the rows; both times each
-    row stays in the task that reads it. Votes are added up in tasks before
+    The changes of the zones that occur, of all that the driver knows (some
+    600), are broadcast. Stamps are scanned twice, for the votes and for the
+    rows; both times each row stays in the task that reads it. Votes are added up in tasks before
     they are shuffled. Verdicts are broadcast for up to `broadcast` sources;
     for more, the rows that need one are joined to them by source, in SALTS
     parts of each source. Null and repeated ids stay as rows; an empty table
@@ -253,9 +254,13 @@ def normalise_timestamps(stamps: DataFrame, id_col: str = "stamp_id", source_col
     spark = stamps.sparkSession
     s = stamps.select(F.col(id_col).alias("id"), *[F.col(c).cast("string").alias(n) for c, n in ((source_col, "source"), (zone_col, "zone"), (raw_col, "raw"))])
 
+    met = s.filter(F.col("zone").isin(*sorted(zoneinfo.available_timezones()))).select("zone").distinct().collect()
+    zones = spark.sparkContext.broadcast({r["zone"]: changes(r["zone"]) for r in met})
+
     def scan(rows):
+        known = zones.value
         for i, source, zone, raw in rows:
-            yield i, source, *scanned(raw, zone)
+            yield i, source, *scanned(raw, zone, known)
 
     parsed = s.rdd.mapPartitions(scan)
     decided = verdicts(parsed, over)
@@ -264,9 +269,9 @@ def normalise_timestamps(stamps: DataFrame, id_col: str = "stamp_id", source_col
         of = spark.sparkContext.broadcast(decided.collectAsMap())
 
         def finish(rows):
-            known = of.value
+            verdict, known = of.value, zones.value
             for i, source, what, time, month_first, zone, _ in rows:
-                yield i, *finished(what, time, month_first, zone, known.get(source))
+                yield i, *finished(what, time, month_first, zone, verdict.get(source), known)
 
         return spark.createDataFrame(parsed.mapPartitions(finish), out, verifySchema=False)
     fields = [T.StructField("id", s.schema["id"].dataType), T.StructField("source", T.StringType()), T.StructField("what", T.IntegerType()), T.StructField("time", T.LongType()), T.StructField("month_first", T.LongType()), T.StructField("zone", T.StringType()), T.StructField("vote", T.StringType())]
@@ -277,7 +282,8 @@ def normalise_timestamps(stamps: DataFrame, id_col: str = "stamp_id", source_col
     every = rows.filter(F.col("what") != EITHER).withColumn("verdict", F.lit(None).cast("string")).unionByName(told)
 
     def finish_joined(rows):
+        known = zones.value
         for i, _, what, time, month_first, zone, _, verdict in rows:
-            yield i, *finished(what, time, month_first, zone, verdict)
+            yield i, *finished(what, time, month_first, zone, verdict, known)
 
     return spark.createDataFrame(every.rdd.mapPartitions(finish_joined), out, verifySchema=False)

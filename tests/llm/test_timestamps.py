@@ -10,7 +10,7 @@ from zoneinfo import ZoneInfo
 
 import pytest
 
-from patchlens.llm.timestamps import normalise_timestamps, scanned, to_utc
+from patchlens.llm.timestamps import changes, normalise_timestamps, scanned, to_utc
 
 FORMS = [r"(?P<y>20\d\d)-(?P<m>\d\d)-(?P<d>\d\d)", r"(?P<y>20\d\d)(?P<m>\d\d)(?P<d>\d\d)", r"(?P<d>\d\d)\.(?P<m>\d\d)\.(?P<y>20\d\d)", r"(?P<d>\d\d) (?P<b>Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) (?P<y>20\d\d)", r"(?P<d>\d\d)/(?P<m>\d\d)/(?P<y>20\d\d)"]
 TAIL = r"(?P<t>[T ](?P<h>\d\d):(?P<mi>\d\d)(:(?P<s>\d\d))?( ?(?P<ap>[AP]M))?( ?(?P<o>Z|(?P<sg>[+-])(?P<oh>\d\d):?(?P<om>\d\d)))?)?"
@@ -116,6 +116,7 @@ def test_no_stamps(spark):
 
 
 def test_skipped_and_repeated_wall_times():
+    known = {z: changes(z) for z in ZONES}
     for raw, zone, want in [
         ("2024-03-10 02:30", "America/New_York", (1710055800000000, True)),
         ("2024-03-10 03:00", "America/New_York", (1710054000000000, False)),
@@ -124,4 +125,4 @@ def test_skipped_and_repeated_wall_times():
         ("2024-11-03 00:59:59", "America/New_York", (1730609999000000, False)),
         ("2024-07-01 12:00 PM", "Asia/Kolkata", (1719815400000000, False)),
     ]:
-        assert to_utc(scanned(raw, zone)[1], zone) == want
+        assert to_utc(scanned(raw, zone, known)[1], zone, known) == want
