@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patchlens.functions import text as T
+from patchlens.operators.containing import matched, occurring
+from patchlens.operators.scans import following
 
 #: Rows of a side up to which a theta join broadcasts it.
 BROADCAST_ROWS = 10_000
@@ -21,7 +23,7 @@ def prepared_binaries(binaries: DataFrame) -> DataFrame:
     return binaries.withColumn("asm", T.normalize_asm_lines(F.col("asm_codes"))).withColumn("prologue", T.asm_prologue(F.col("asm")))
 
 
-def candidate_pairs(sources: DataFrame, binaries: DataFrame, block: list[str] = (), keep_name_matches: bool = True, whole: bool = False) -> DataFrame:
+def candidate_pairs(sources: DataFrame, binaries: DataFrame, block: list[str] = (), keep_name_matches: bool = True, whole: bool = False, closest: int | None = None) -> DataFrame:
     """Pairs that pass the three tests: not a reserved name, more instructions than lines, equal parameter counts.
 
     All pairs of a block are meant, but the last test is an equality: pairs
@@ -29,13 +31,21 @@ def candidate_pairs(sources: DataFrame, binaries: DataFrame, block: list[str] =
     the tests; they come from a second join on the name. Normalisation is done
     per function, not per pair. Both bodies start after header and prologue.
     A source without lines has no pair. With `whole` also all instructions, as
-    `asm`, which legacy_filter reads.
+    `asm`, which legacy_filter reads. With `closest` only as many tested pairs
+    of a source as that, those with the fewest instructions (ties by name):
+    they come from a sorted scan over both sides' lengths (`following`), so
+    that pairs which the length rules out are never made.
     """
-    s, b = prepared_sources(sources).filter(F.size("src") > 0), prepared_binaries(binaries)
+    s, b = prepared_sources(sources).filter(F.size("src") > 0), prepared_binaries(binaries).drop("asm_codes")
     on = list(block)
     same = T.strip_pointer(F.col("src_name")) == F.col("bin_name")
     s, b = s.withColumn("params", F.col("header.param_count")), b.withColumn("params", F.col("prologue.param_count"))
-    tested = s.join(b.filter(~T.is_reserved(F.col("bin_name"))), [*on, "params"]).filter(F.size("asm") > F.size("src"))
+    named_binaries = b.filter(~T.is_reserved(F.col("bin_name")))
+    if closest:
+        sized = s.withColumn("n__", F.size("src"))
+        tested = following(sized, named_binaries.withColumn("m__", F.size("asm")), [*on, "params"], "n__", "m__", "bin_name", closest, ["asm", "prologue"]).drop("n__", "m__", "nth")
+    else:
+        tested = s.join(named_binaries, [*on, "params"]).filter(F.size("asm") > F.size("src"))
     if keep_name_matches:
         tested = tested.filter(~same)
         named = s.drop("params").withColumn("bin_name", T.strip_pointer(F.col("src_name"))).join(b.drop("params"), [*on, "bin_name"])
@@ -64,7 +74,21 @@ def by_name(features: DataFrame, binaries: DataFrame) -> DataFrame:
     return s.join(b, "key")
 
 
-def contained(needles: DataFrame, hays: DataFrame, needle: str, hay: str) -> DataFrame:
+def contained(needles: DataFrame, hays: DataFrame, needle: str, hay: str, keep: list[str] | None = None) -> DataFrame:
+    """Pairs whose needle is part of the hay, with the columns `keep` of the hay (all by default) and those of the needle.
+
+    Texts pass once through each of a few automata (`containing.occurring`);
+    needles of more characters than these may hold meet their texts in joins
+    (`contained_by_words`). No pair is made that isn't one of the result.
+    """
+    keep = hays.columns if keep is None else keep
+    found = occurring(needles, needle, hays, hay, keep)
+    if found is None:
+        return contained_by_words(needles, hays, needle, hay).select(*keep, *needles.columns)
+    return matched(needles, found, needle).select(*[found[c] for c in keep], *[needles[c] for c in needles.columns])
+
+
+def contained_by_words(needles: DataFrame, hays: DataFrame, needle: str, hay: str) -> DataFrame:
     """Pairs whose needle is part of the hay: an equality join on a word, verified by the text.
 
     A word between two spaces of a needle is a whole word of any hay that has
@@ -137,14 +161,18 @@ def not_listed(df: DataFrame, column: str, denied: list[str]) -> DataFrame:
 def without_keywords(paths: DataFrame, path: str, keywords: DataFrame, keyword: str, short: int = 5) -> DataFrame:
     """Paths that have no keyword: one of at most `short` characters counts only as a whole directory, others anywhere.
 
-    Keywords meet paths by equality joins, however many there are: a whole
-    directory on its name, others on their first characters. Empty keywords
-    count as the empty directory (two slashes). A null path has no keyword.
+    The distinct paths pass through automata of the keywords, a whole directory
+    with its slashes; keywords too many for these meet paths by equality joins:
+    a whole directory on its name, others on their first characters. Empty
+    keywords count as the empty directory (two slashes). A null path has no keyword.
     """
     k = F.col(keyword)
     brief = F.char_length(k) <= short
     found = keywords.filter(k.isNotNull()).select(F.when(brief, F.concat(F.lit("/"), k, F.lit("/"))).otherwise(k).alias("k__"), (brief & ~F.contains(k, F.lit("/"))).alias("dir__")).distinct()
     distinct = paths.select(F.col(path).alias("p__")).filter("p__ is not null").distinct()
+    hit = occurring(found, "k__", distinct, "p__", ["p__"])
+    if hit is not None:
+        return paths.join(hit.select("p__").distinct(), F.col(path) == F.col("p__"), "left_anti")
     parts = F.split("p__", "/")
     inner = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0)))
     dirs = distinct.select("p__", F.explode(F.array_distinct(F.transform(inner, lambda x: F.concat(F.lit("/"), x, F.lit("/"))))).alias("k__"))
@@ -153,9 +181,38 @@ def without_keywords(paths: DataFrame, path: str, keywords: DataFrame, keyword:
 
 
 def latest_change(spans: DataFrame, lines: DataFrame) -> DataFrame:
-    """Per span (file, start, end) the latest time of its lines (file, line_no, time); null if its first line has none."""
-    j = spans.join(lines, "file", "left").filter(F.col("line_no").between(F.col("start"), F.col("end")) | F.col("line_no").isNull())
-    return spans.join(j.groupBy("file", "start", "end").agg(F.when(F.bool_or(F.col("line_no") == F.col("start")), F.max("time")).alias("time")), ["file", "start", "end"], "left")
+    """Per span (file, start, end) the latest time of its lines (file, line_no, time); null if its first line has none.
+
+    A dyadic cell is a stretch of 2^k lines that starts at a multiple of its
+    length. Each line adds to one cell of each length, where the latest time
+    is kept; a span is the union of at most two cells of each length, so it
+    meets some 2 log2(length) rows, however many lines it has.
+    """
+    s = spans.select(F.col("file").alias("f__"), F.col("start").cast("long").alias("a__"), F.col("end").cast("long").alias("b__")).distinct()
+    longest = s.agg(F.max(F.col("b__") - F.col("a__") + 1)).first()[0] or 0
+    top = max(0, int(longest).bit_length())
+    own = lines.filter("file is not null and line_no is not null").select(F.col("file").alias("f__"), F.col("line_no").cast("long").alias("n__"), "time")
+    cells = own.select("f__", "time", F.explode(F.transform(F.sequence(F.lit(0), F.lit(top)), lambda k: F.struct(k.alias("level"), F.call_function("shiftright", F.col("n__"), k).alias("cell")))).alias("c__"))
+    cells = cells.groupBy("f__", "c__").agg(F.max("time").alias("time__"))
+    wanted = s.select("*", F.explode(_cells(F.col("a__"), F.col("b__"), top)).alias("w__")).select("f__", "a__", "b__", F.struct("w__.level", "w__.cell").alias("c__"), F.col("w__.first").alias("first__"))
+    met = wanted.join(cells, ["f__", "c__"]).groupBy("f__", "a__", "b__").agg(F.bool_or("first__").alias("has__"), F.max(F.when(~F.col("first__"), F.col("time__"))).alias("time__"))
+    same = (F.col("file") == F.col("f__")) & (F.col("start") == F.col("a__")) & (F.col("end") == F.col("b__"))
+    return spans.join(met, same, "left").select(*spans.columns, F.when(F.col("has__"), F.col("time__")).alias("time"))
+
+
+def _cells(start: Column, end: Column, top: int) -> Column:
+    """The cells (level, cell, first) whose union is start..end, and its first line once more as `first`."""
+
+    def pair(k: Column) -> Column:
+        low = F.call_function("shiftright", start + F.call_function("shiftleft", F.lit(1).cast("long"), k) - 1, k)
+        high = F.call_function("shiftright", end + 1, k)
+        odd = lambda x: x.bitwiseAND(F.lit(1).cast("long")) == 1
+        cell = lambda take, at: F.when(take, F.struct(k.alias("level"), at.alias("cell"), F.lit(False).alias("first")))
+        return F.array(cell((low < high) & odd(low), low), cell((low < high) & odd(high), high - 1))
+
+    found = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(top)), pair))
+    first = F.struct(F.lit(0).alias("level"), start.alias("cell"), F.lit(True).alias("first"))
+    return F.concat(F.filter(found, lambda x: x.isNotNull()), F.array(first))
 
 
 def ground_truth(cases: DataFrame) -> DataFrame:

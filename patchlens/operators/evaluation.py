@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from patchlens.operators.scans import running
+
 
 def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
@@ -27,6 +29,34 @@ def metrics(counts: DataFrame) -> DataFrame:
     )
 
 
+def thresholds(df: DataFrame, truth: Column, score: str, rows_per_range: int = 100_000) -> DataFrame:
+    """The confusion counts of every threshold at once: a row per distinct score (threshold), which predicts all rows of at least that score as true.
+
+    Rows of equal scores are added up first; running sums over the falling
+    scores, by ranges, then give all of them. A null score is never predicted
+    true; a row of unknown truth doesn't count. Returns threshold, tp, fp, tn,
+    fn (long), tied_true, tied_false: rows of that very score.
+    """
+    s = df.select(F.col(score).alias("threshold"), truth.alias("truth__")).filter("truth__ is not null")
+    every = s.agg(F.count_if("truth__").alias("p"), F.count_if(~F.col("truth__")).alias("n")).select(F.struct("p", "n").alias("x"))
+    g = s.filter("threshold is not null").groupBy("threshold").agg(F.count_if("truth__").alias("tied_true"), F.count_if(~F.col("truth__")).alias("tied_false"))
+    r = running(g, [], [F.col("threshold").desc()], {"tp": ("sum", F.col("tied_true")), "fp": ("sum", F.col("tied_false"))}, rows_per_range=rows_per_range)
+    r = r.withColumn("all__", every.scalar())
+    return r.select("threshold", "tp", "fp", (F.col("all__.n") - F.col("fp")).alias("tn"), (F.col("all__.p") - F.col("tp")).alias("fn"), "tied_true", "tied_false")
+
+
+def ranking_quality(counts: DataFrame) -> DataFrame:
+    """Of `thresholds`, one row: area under the curve of true against false positive rate (a tie counts half; null without both classes), the best F1 and the highest threshold that has it.
+
+    A false row of a score is ranked below all true rows of higher scores and half of those of its own.
+    """
+    below = F.col("tied_false").cast("double") * (F.col("tp") - F.col("tied_true") / 2)
+    f1 = ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))
+    pairs = F.max(F.col("tp") + F.col("fn")).cast("double") * F.max(F.col("fp") + F.col("tn")).cast("double")
+    best = F.max(F.struct(f1.alias("f1"), F.col("threshold").alias("at")))
+    return counts.agg(F.try_divide(F.sum(below), pairs).alias("auc"), best.alias("b"), F.count("*").alias("n_thresholds")).select("auc", F.col("b.f1").alias("best_f1"), F.col("b.at").alias("best_threshold"), "n_thresholds")
+
+
 def funnel(df: DataFrame, keys: list[str], stages: dict[str, Column]) -> DataFrame:
     """How many keys reach each stage and all before it, and the share of those of the stage before."""
     reached, hit = [], F.lit(True)

@@ -8,17 +8,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from patchlens.operators import scans
+from patchlens.operators.containing import without_subsumed
 from patchlens.sources.shared import cut
 
 
-def adjacent_runs(df: DataFrame, keys: list[str], order: list[str], value: str, joins: Column | None = None) -> DataFrame:
-    """`df` with run_id: a row continues the run of the row before it (by `order`) if `value` is the same and `joins` holds."""
-    w = W.partitionBy(*keys).orderBy(*order)
-    same = F.col(value).eqNullSafe(F.lag(value).over(w)) & (F.row_number().over(w) > 1)
+def adjacent_runs(df: DataFrame, keys: list[str], order: list[str], value: str, joins: Column | None = None, rows_per_range: int = 100_000) -> DataFrame:
+    """`df` with run_id: a row continues the run of the row before it (by `order`) if `value` is the same and `joins` holds.
+
+    The value of the row before and the number of runs so far are carried over
+    ranges of rows, so a key of any size is spread over many tasks.
+    """
+    d = scans.in_ranges(df, keys, order, rows_per_range)
+    d = scans.folded(d, keys, {"last__": ("last", F.struct(F.col(value).alias("v")))}, before=True)
+    same = F.col("last__").isNotNull() & F.col(value).eqNullSafe(F.col("last__.v"))
     if joins is not None:
         same &= joins
-    d = df.withColumn("new_run", (~same).cast("int"))
-    return d.withColumn("run_id", F.sum("new_run").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))).drop("new_run")
+    d = scans.folded(d.withColumn("new__", (~same).cast("int")), keys, {"run_id": ("sum", F.col("new__"))})
+    return d.select(*df.columns, "run_id")
 
 
 def merge_adjacent(df: DataFrame, keys: list[str], order: str, value: str, items: str, joins: Column | None = None) -> DataFrame:
@@ -29,21 +36,27 @@ def merge_adjacent(df: DataFrame, keys: list[str], order: str, value: str, items
     return g.select(*keys, "run_id", order, value, F.flatten(F.transform("p", lambda x: x[items])).alias(items))
 
 
-def context_rows(df: DataFrame, keys: list[str], number: str, text: str, reach: int = 2) -> DataFrame:
-    """Texts of the rows whose number is at most `reach` below or above."""
-    w = W.partitionBy(*keys).orderBy(number)
-    return df.withColumn("before", F.collect_list(text).over(w.rangeBetween(-reach, -1))).withColumn("after", F.collect_list(text).over(w.rangeBetween(1, reach)))
+def context_rows(df: DataFrame, keys: list[str], number: str, text: str, reach: int = 2, width: int = 10_000) -> DataFrame:
+    """Texts of the rows whose number is at most `reach` below or above.
+
+    A key's rows are dealt out by stretches of `width` numbers; rows within
+    reach of a neighbouring stretch are seen there as well, so a key of any
+    size is spread over many tasks.
+    """
+    n, own = F.col(number), F.floor(F.col(number) / width)
+    near = F.array_distinct(F.array(own, F.floor((n - reach) / width), F.floor((n + reach) / width)))
+    d = df.withColumn("stretch__", F.explode(near)).withColumn("here__", F.col("stretch__").eqNullSafe(own))
+    w = W.partitionBy(*keys, "stretch__").orderBy(number)
+    d = d.withColumn("before", F.collect_list(text).over(w.rangeBetween(-reach, -1))).withColumn("after", F.collect_list(text).over(w.rangeBetween(1, reach)))
+    return d.filter("here__").drop("stretch__", "here__")
 
 
 def drop_subsumed(lists: DataFrame, id_col: str, items: str) -> DataFrame:
     """Each list's strings by length, without those that are part of a later one; of equal strings the last stays.
 
-    Lists are rows; the comparison stays within a row.
+    Lists are rows; the comparison stays within a row, by one automaton over its strings.
     """
-    ranked = F.array_sort(F.transform(items, lambda s, i: F.struct(F.char_length(s).alias("n"), i.alias("i"), s.alias("s"))))
-    d = lists.select(id_col, ranked.alias("r"))
-    later = lambda x, k: F.exists(F.slice("r", k + 2, F.size("r")), lambda y: F.contains(y["s"], x["s"]))
-    return d.select(id_col, F.transform(F.filter("r", lambda x, k: ~later(x, k)), lambda x: x["s"]).alias(items))
+    return without_subsumed(lists.select(id_col, items), items)
 
 
 def overlap(a: Column, b: Column) -> Column:

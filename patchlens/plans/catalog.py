@@ -521,7 +521,7 @@ def diff_hunks(spark, d):
 @query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def containment_theta(spark, d):
     b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("needle"))
-    return candidates.contained(b, table(spark, d, "documents").select("doc_id", "text"), "needle", "text").select("doc_id", "item_id")
+    return candidates.contained(b, table(spark, d, "documents").select("doc_id", "text"), "needle", "text", ["doc_id"]).select("doc_id", "item_id")
 
 
 @query("""SELECT doc_id, item_id FROM (SELECT doc_id, len(string_split(text, ' ')) AS n, length(text) % 7 AS p, lang FROM documents) d JOIN (SELECT item_id, len(string_split(text, ' ')) AS n, length(text) % 7 AS p FROM benchmark) b ON d.p = b.p WHERE d.n > b.n""")
@@ -765,9 +765,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage, with the size of their group of equal content."""
     docs = table(spark, sf_dir, "documents").withColumn("content_hash", T.content_hash(F.col("text")))
     sizes = docs.groupBy("content_hash").agg(F.count("*").alias("n_equal"))
-    found = candidates.contained(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("needle")), docs.select("doc_id", "text", "content_hash"), "needle", "text")
+    found = candidates.contained(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("needle")), docs.select("doc_id", "text", "content_hash"), "needle", "text", ["doc_id", "content_hash"])
     g = found.groupBy("doc_id", "content_hash").agg(F.count("*").alias("n_items"), F.min("item_id").alias("first_item"))
     return g.join(sizes, "content_hash").select("doc_id", "n_items", "first_item", "n_equal").orderBy("doc_id")
 
 
-from patchlens.plans import training  # noqa: E402, F401  its queries register themselves
+from patchlens.plans import large, training  # noqa: E402, F401  their queries register themselves
