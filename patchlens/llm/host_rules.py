@@ -69,7 +69,7 @@ def host_rules(
     max_repeat_percent: int = 50,
     max_symbol_percent: int = 25,
     max_dup_line_percent: int = 50,
-    max_host_rate: float = 0.5,
+    leniency: tuple[float, float] = (0.5, 4.0),
 ) -> DataFrame:
     """Which documents stay, judged by their own base rules and by their host.
 
@@ -81,15 +81,18 @@ def host_rules(
 
     Each host's rate of suspect documents is shrunk towards the corpus by a
     beta prior fitted to all hosts by moments: a host with few documents is
-    near the corpus rate, one with many speaks for itself. A host whose
-    posterior mean exceeds `max_host_rate` is strict: its suspect documents go
-    too. On all other hosts only the base rules remove documents, so a clean
-    document stays wherever it is.
+    near the corpus rate, one with many speaks for itself. The posterior sets
+    how much a host's documents may show before they go: their symbols and
+    repeated lines are held against the two limits times the corpus rate over
+    the host's (`leniency` bounds this factor; it is 1 without any suspect
+    document). So a document with many symbols goes on a host like the others
+    and stays on a cleaner one, and on a host that fails often smaller faults
+    suffice. Documents without such faults stay wherever they are.
 
     The text is read once, without a shuffle; what moves is a row of counts
     per (task, host) and the verdicts of hosts. Returns id_col, n_words,
     word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed,
-    kept, suspect, strict_host (boolean). Null text counts as empty (base
+    kept, suspect (boolean), leniency (double). Null text counts as empty (base
     fails); a null host is a host of its own; rows that repeat are judged one
     by one; an empty table gives an empty result.
     """
@@ -98,16 +101,17 @@ def host_rules(
     base = (n < min_words) | (100 * rep > max_repeat_percent * n)
     suspect = base | (100 * F.col("n_symbols") > max_symbol_percent * F.col("word_chars")) | (100 * F.col("n_dup_lines") > max_dup_line_percent * F.col("n_lines"))
     s = stats.withColumn("base_failed", base).withColumn("suspect", suspect).withColumn("hk", F.coalesce(F.concat(F.lit("="), F.col("host").cast("string")), F.lit("null")))
-    verdicts = host_verdicts(s.groupBy("hk").agg(F.count("*").cast("double").alias("n"), F.sum(F.col("suspect").cast("double")).alias("bad")), max_host_rate)
-    j = s.join(verdicts.select("hk", "strict_host"), "hk")
+    verdicts = host_verdicts(s.groupBy("hk").agg(F.count("*").cast("double").alias("n"), F.sum(F.col("suspect").cast("double")).alias("bad")), leniency)
+    j = s.join(verdicts.select("hk", "leniency"), "hk")
+    faulty = (100 * F.col("n_symbols") > max_symbol_percent * F.col("leniency") * F.col("word_chars")) | (100 * F.col("n_dup_lines") > max_dup_line_percent * F.col("leniency") * F.col("n_lines"))
     return j.select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & ~(F.col("strict_host") & F.col("suspect"))).alias("kept"), "suspect", "strict_host",
+        (~F.col("base_failed") & ~faulty).alias("kept"), "suspect", "leniency",
     )
 
 
-def host_verdicts(hosts: DataFrame, max_host_rate: float) -> DataFrame:
-    """Posterior failure rates. `hosts`: hk, n, bad (doubles), a row per host.
+def host_verdicts(hosts: DataFrame, leniency: tuple[float, float]) -> DataFrame:
+    """Posterior failure rates, and what they make of the limits. `hosts`: hk, n, bad (doubles), a row per host.
 
     Moments: m is the corpus rate, v the variance of hosts' rates weighted by
     documents less what binomial noise alone would give; the prior's strength
@@ -120,4 +124,5 @@ def host_verdicts(hosts: DataFrame, max_host_rate: float) -> DataFrame:
     prior = total.select(F.struct(m.alias("m"), strength.alias("k")).alias("p"))
     h = hosts.withColumn("p", prior.scalar())
     rate = (F.col("bad") + F.col("p.m") * F.col("p.k")) / (F.col("n") + F.col("p.k"))
-    return h.select("hk", "n", "bad", rate.alias("rate"), (rate > max_host_rate).alias("strict_host"))
+    factor = F.least(F.lit(leniency[1]), F.greatest(F.lit(leniency[0]), F.col("p.m") / rate))
+    return h.select("hk", "n", "bad", rate.alias("rate"), F.when(F.col("p.m") > 0, F.round(factor, 9)).otherwise(1.0).alias("leniency"))

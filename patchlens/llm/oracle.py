@@ -19,8 +19,8 @@ h as (select hk, count(*)::double as n, sum(suspect::int)::double as bad from g
 m as (select sum(n) as n, sum(bad) / sum(n) as m, count(*) as hosts, sum(bad * bad / n) as sq from h),
 k as (select m, sq / n - m * m - m * (1 - m) * hosts / n as v from m),
 p as (select m, case when v > 0 then least(10000.0, greatest(1.0, m * (1 - m) / v - 1)) else 10000.0 end as k from k),
-z as (select hk, (bad + p.m * p.k) / (n + p.k) > 0.5 as strict from h, p)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (not base_failed and not (strict and suspect)) as kept
+z as (select hk, case when p.m > 0 then round(least(4.0::double, greatest(0.5::double, p.m / ((bad + p.m * p.k) / (n + p.k)))), 9) else 1.0::double end as factor from h, p)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (not base_failed and not (100 * n_symbols > 25 * factor * word_chars or 100 * n_dup_lines > 50 * factor * n_lines)) as kept
 from g join z using (hk)
 """
 

@@ -287,17 +287,39 @@ def test_host_rules(docs, rows, empty):
     assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got) == Counter(
         (x[0], *c, c[0] < 50 or 100 * c[4] > 50 * c[0]) for x in rows for c in [counts(x[1])]
     )
-    assert all(r.kept == (not r.base_failed and not (r.suspect and r.strict_host)) for r in got)
+    lines = {x[0]: len([y for y in (x[1] or "").split("\n") if words(y)]) for x in rows if x[0] is not None}
+    hosts = {x[0]: x[3] for x in rows if x[0] is not None}
+    suspect, total, of = Counter(), Counter(), {}
+    for x in rows:
+        c = counts(x[1])
+        total[x[3]] += 1
+        n_lines = len([y for y in (x[1] or "").split("\n") if words(y)])
+        suspect[x[3]] += c[0] < 50 or 100 * c[4] > 50 * c[0] or 100 * c[2] > 25 * c[1] or 100 * c[3] > 50 * n_lines
+    n, m = sum(total.values()), sum(suspect.values()) / sum(total.values())
+    spread = sum(suspect[h] ** 2 / total[h] for h in total) / n - m * m - m * (1 - m) * len(total) / n
+    k = min(10_000, max(1, m * (1 - m) / spread - 1)) if spread > 0 else 10_000
+    for h in total:
+        of[h] = min(4, max(0.5, m / ((suspect[h] + m * k) / (total[h] + k))))
+    for r in got:
+        if r.doc_id is not None:
+            assert r.leniency == pytest.approx(of[hosts[r.doc_id]], abs=1e-8)
+            assert r.kept == (not r.base_failed and not (100 * r.n_symbols > 25 * r.leniency * r.word_chars or 100 * r.n_dup_lines > 50 * r.leniency * lines[r.doc_id]))
     assert not host_rules(empty).collect()
 
 
-def test_strict_hosts(spark):
+def test_hosts_decide(spark):
     clean = " ".join(f"w{i}" for i in range(60))
     odd = " ".join(f"w{i}###" for i in range(60))
     rows = [(i, clean if i % 10 else odd, "good") for i in range(300)] + [(1000 + i, odd if i % 10 else clean, "bad") for i in range(300)] + [(2000, odd, "small")]
     got = {r.doc_id: r for r in host_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert all(got[i].kept for i in range(300)) and got[1000].kept and not got[1001].kept
-    assert sum(r.kept for r in got.values()) >= 330
+    assert sum(r.kept for r in got.values()) == 330
+    alone = {r.doc_id: r.kept for r in host_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"), leniency=(1.0, 1.0)).collect()}
+    assert sum(alone.values()) == 300 and not alone[0] and got[0].kept
+    faint = " ".join(f"w{i}" + "##" * (i % 4 == 0) for i in range(60))  # some 17 symbols to 100 characters
+    more = rows + [(3000, faint, "bad"), (3001, faint, "good"), (3002, faint, "small")]
+    got = {r.doc_id: r.kept for r in host_rules(spark.createDataFrame(more, "doc_id long, text string, source string")).collect()}
+    assert (got[3000], got[3001], got[3002]) == (False, True, True)
 
 
 def test_packing(docs, rows, empty):
