@@ -92,8 +92,13 @@ b as (
     else length(digits) between 16 and 19 and list_sum(list_transform(regexp_extract_all(reverse(digits), '.'), lambda c, j: case when j % 2 = 1 then c::int when c::int > 4 then 2 * c::int - 9 else 2 * c::int end)) % 10 = 0 end
 ),
 t as (select text, min(rid) as tid, list(rid) as rids from d group by text),
-h as (select distinct tid, entity from b join t on b.rid = t.tid),
-x as (select rid as tid, entity, text, s, e from b join t on b.rid = t.tid),
+c as (
+  select rid, s, e, entity from b
+  union all select rid, s, e, k || '@' || case k when 0 then split_part(m, '@', 2) when 1 then regexp_extract(m, '^([0-9]+\.[0-9]+)', 1) when 2 then left(m, 1) else regexp_extract(m, '^\+([0-9]{{1,3}})', 1) end
+  from (select rid, s, e, k, substr(entity, 3) as m from b)
+),
+h as (select distinct tid, entity from c join t on c.rid = t.tid),
+x as (select rid as tid, entity, text, s, e from c join t on c.rid = t.tid),
 w as (
   select tid, entity, lower(case when s > 80 then regexp_replace(substring(text, s - 79, 80), '^\p{{L}}+', '') else left(text, s) end) as part from x
   union all select tid, entity, lower(case when e + 80 < length(text) then regexp_replace(substring(text, e + 1, 80), '\p{{L}}+$', '') else substring(text, e + 1) end) from x

@@ -77,18 +77,27 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
+def _entities(text: Column, s: Column) -> Column:
+    """What a span stands for: its value, and the class that it is one of (mail domain, first half of the IP address, first figure of the card, country code of the phone)."""
+
+    def both(m: Column) -> Column:
+        of = F.when(s["kind"] == 0, F.substring_index(m, "@", -1)).when(s["kind"] == 1, F.regexp_extract(m, r"^([0-9]+\.[0-9]+)", 1)).when(s["kind"] == 2, F.left(m, F.lit(1))).otherwise(F.regexp_extract(m, r"^\+([0-9]{1,3})", 1))
+        return F.array(F.concat_ws(":", s["kind"].cast("string"), m), F.concat_ws("@", s["kind"].cast("string"), of))
+
+    return _let(F.lower(F.substring(text, s["start"] + 1, s["end"] - s["start"])), both)
+
+
 def _near(text: Column, spans: Column, width: int) -> Column:
-    """The different pairs (entity, term) of a text: each span's entity with the words within `width` code points of it; a word that the window cuts is none of them."""
+    """The different pairs (entity, term) of a text: each span's entities with the words within `width` code points of it; a word that the window cuts is none of them."""
 
     def around(s: Column) -> Column:
-        entity = F.concat_ws(":", s["kind"].cast("string"), F.lower(F.substring(text, s["start"] + 1, s["end"] - s["start"])))
         left = F.greatest(F.lit(0), s["start"] - width)
         before = F.substring(text, left + 1, s["start"] - left)
         before = F.when(left > 0, F.regexp_replace(before, r"^\p{L}+", "")).otherwise(before)
         n = F.least(F.lit(width), F.char_length(text) - s["end"])
         after = F.substring(text, s["end"] + 1, n)
         after = F.when(s["end"] + n < F.char_length(text), F.regexp_replace(after, r"\p{L}+$", "")).otherwise(after)
-        return _let(entity, lambda e: F.transform(F.array_union(_words(before), _words(after)), lambda t: F.struct(e.alias("entity"), t.alias("term"))))
+        return _let(F.array_union(_words(before), _words(after)), lambda ts: F.flatten(F.transform(_entities(text, s), lambda e: F.transform(ts, lambda t: F.struct(e.alias("entity"), t.alias("term"))))))
 
     return F.array_distinct(F.flatten(F.transform(spans, around)))
 
@@ -98,8 +107,7 @@ def findings(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
     text = F.col("text")
     d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("spans", base_spans(text))
     some = F.size("spans") > 0
-    entity = lambda s: F.concat_ws(":", s["kind"].cast("string"), F.lower(F.substring(text, s["start"] + 1, s["end"] - s["start"])))
-    return cut(d.select("id", F.xxhash64("text").alias("key"), "spans", F.when(some, F.array_distinct(F.transform("spans", entity))).alias("entities"), F.when(some, _near(text, F.col("spans"), width)).alias("near"), F.when(some, _words(text)).alias("words")))
+    return cut(d.select("id", F.xxhash64("text").alias("key"), "spans", F.when(some, F.array_distinct(F.flatten(F.transform("spans", lambda s: _entities(text, s))))).alias("entities"), F.when(some, _near(text, F.col("spans"), width)).alias("near"), F.when(some, _words(text)).alias("words")))
 
 
 def _beside(left: DataFrame, right: DataFrame, how: str, most: int) -> DataFrame:
@@ -115,7 +123,9 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str, generalis
     c(e) and c(t) how many have e and t, N how many there are. The share of the
     entity's information that the term gives away is
     PMI(t;e) / IC(e) = log(c(t,e) N / (c(t) c(e))) / log(N / c(e)). It is 1 if
-    the term is found with that entity only.
+    the term is found with that entity only. Entities are values and their
+    classes alike (see _entities): most values stand in one text, which proves
+    nothing, so what a term tells of them is estimated on the class.
 
     A term of a share from `generalise` on is replaced by the most informative
     term of that entity under it, from `remove` on by nothing; in every text
@@ -179,6 +189,8 @@ def find_personal_data(
     within `width` code points of an entity in at least `support` different
     texts (1: in any) is a term; it discloses the entity if it gives away at
     least the share `generalise` of its information (see disclosing_terms).
+    An entity is a value or its class (mail domain, half of the IP address,
+    first figure of the card, country code).
     Then it is a span wherever it stands in a text that has the entity, near or
     far. Terms that touch a base span stay out. In sanitised texts base spans become
     <EMAIL>, <IP>, <CARD>, <PHONE> (spans that overlap become one, named after

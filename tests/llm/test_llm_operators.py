@@ -411,10 +411,12 @@ def plain_terms(texts: list[str], width: int = 80, generalise: float = 0.75, rem
             has[w].add(i)
         for kind, p in patterns.items():
             for m in re.finditer(p, t):
-                entities[m[0].lower()].add(i)
-                for w in word.finditer(t):
-                    if m.start() - width <= w.start() and w.end() <= m.end() + width and (w.end() <= m.start() or w.start() >= m.end()):
-                        near[m[0].lower(), w[0].lower()].add(i)
+                of = ("0@" + m[0].lower().split("@")[1]) if kind == "email" else "3@" + re.match(r"\+([0-9]{1,3})", m[0])[1]
+                for e in (("0:" if kind == "email" else "3:") + m[0].lower(), of):
+                    entities[e].add(i)
+                    for w in word.finditer(t):
+                        if m.start() - width <= w.start() and w.end() <= m.end() + width and (w.end() <= m.start() or w.start() >= m.end()):
+                            near[e, w[0].lower()].add(i)
     n, share = len(texts), {}
     for (e, w), both in near.items():
         if len(both) >= support and len(entities[e]) < n:
@@ -463,6 +465,16 @@ def test_terms_that_disclose(spark, support):
     assert thin == {k: x.spans for k, x in more.items()}
 
 
+def test_classes_tell_where_no_value_recurs(spark):
+    r = random.Random(9)
+    filler = ["".join(r.choices("abcdefgh", k=6)) for _ in range(40)]
+    say = lambda n: " ".join(r.choices(filler, k=n))
+    texts = [f"{say(9)} Oncovex ward u{k}x@clinic.example {say(30)} Oncovex" for k in range(6)] + [f"{say(9)} ward u{k}y@shop.example {say(30)}" for k in range(6)] + [say(40) for _ in range(90)]
+    got = pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), sanitised=True).collect()
+    assert not any("oncovex" in x.text.lower() for x in got) and all(x.n_term >= 2 for x in got if x.doc_id < 6)
+    assert all(x.text == texts[x.doc_id] for x in got if x.doc_id >= 12)
+
+
 def test_terms_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(pii, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(pii, "BROADCAST_KEYS", 0)
