@@ -50,6 +50,24 @@ def partners(df: DataFrame, id_col: str, keys: list[str], differ: str, seed: str
     return j.filter(F.col("partner") != F.col(differ)).select(*df.columns, "partner_id", "partner")
 
 
+def random_partners(df: DataFrame, id_col: str, keys: list[str], value: str, seed: str = "0") -> DataFrame:
+    """Each row with a row of its group drawn by its id's hash, as likely any as any other, itself among them: partner_id, partner (that row's value).
+
+    Ids are unique and not null. As with `partners`, places are found with ids
+    and keys alone.
+    """
+    on = [f"g{i}__" for i in range(len(keys))]
+    thin = df.select(*[F.col(c).alias(f"g{i}__") for i, c in enumerate(keys)], F.col(id_col).alias("id__"))
+    r = cut(ranked(thin, on, ["id__"], "at__", "n__"))
+    other = r.select(*[F.col(c).alias(f"o{c}") for c in on], F.col("at__").alias("o_at__"), F.col("id__").alias("partner_id"))
+    same = drawn(F.concat_ws(":", F.lit(seed), F.col("id__").cast("string")), 0, F.col("n__")) == F.col("o_at__")
+    for c in on:
+        same &= F.col(c).eqNullSafe(F.col(f"o{c}"))
+    pairs = r.join(other, same).select("id__", "partner_id")
+    values = df.select(F.col(id_col).alias("p__"), F.col(value).alias("partner"))
+    return df.join(pairs, F.col(id_col) == F.col("id__")).join(values, F.col("partner_id") == F.col("p__")).select(*df.columns, "partner_id", "partner")
+
+
 def ratio_udf(autojunk: bool = True):
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -205,30 +223,47 @@ def positioning_items(df: DataFrame) -> DataFrame:
     return d.filter((n >= 5) & (F.size("asm_codes") <= 50) & (a > 2 * n) & (a < 10 * n))
 
 
-def grown_text(src: list[str], asm: list[str], marks: tuple[str, str, str], most: int = 1000) -> str:
-    """Source and instructions as one text, from one line and three instructions on, grown until either list is used up or the text passes `most` characters.
+def train_text(src: Column, asm: Column, marks: tuple[str, str, str] = ("[SRC_CODE]", "[SEP]", "[ASM_CODE]"), most: int = 1000) -> Column:
+    """Source and instructions as one text: the first line and three instructions, then a line at a time with as many instructions as there are per line (rounded half to even), until either list is used up or the text passes `most` characters.
 
-    Each step adds a line (two if it is one character or a literal) and as many instructions as there are per line, rounded half to even.
+    A line of one character or a bare literal isn't ended at: the next line
+    comes with it. So of a stretch of such lines every second one is a place to
+    end, and all others lines are. Running sums of the lines' lengths give the
+    length of the text at every place; the first that can't go on is the end.
     """
-    lines, ops = 1, 3
-    build = lambda: f"{marks[0]} {' '.join(src[:lines])} {marks[1]} {marks[2]} {' '.join(asm[:ops])}"
-    text = build()
-    each = round(len(asm) / len(src)) if src else 0
-    while src and lines <= len(src) and ops <= len(asm) and (lines == 1 or len(text) <= most):
-        lines += 1
-        newest = src[min(lines, len(src)) - 1]
-        lines += len(newest) == 1 or newest == '"STR"'
-        ops += each
-        text = build()
-    return text
-
-
-def train_text_udf(marks: tuple[str, str, str] = ("[SRC_CODE]", "[SEP]", "[ASM_CODE]")):
-    @F.pandas_udf("string")
-    def texts(src: pd.Series, asm: pd.Series) -> pd.Series:
-        return pd.Series([grown_text(list(s) if s is not None else [], list(a) if a is not None else [], marks) for s, a in zip(src, asm)], dtype=object)
-
-    return texts
+    reach = most + 3  # with the space behind it a line adds a character at least, so no text goes further
+
+    def place(acc: Column, line: Column) -> Column:
+        brief = (acc["line"] > 0) & ((F.char_length(line) == 1) | (line == '"STR"'))
+        gap = F.when(brief, acc["gap"] + 1).otherwise(0)
+        more, chars = (gap % 2 == 0) & ~acc["over"], acc["chars"] + F.char_length(line) + 1
+        ends = F.when(more, F.concat(acc["ends"], F.array(acc["line"] + 1))).otherwise(acc["ends"])
+        return F.struct((acc["line"] + 1).alias("line"), gap.alias("gap"), chars.alias("chars"), (acc["over"] | (more & (chars > most))).alias("over"), ends.alias("ends"))
+
+    def sums(lines: Column) -> Column:
+        """Characters of the first k lines with a space between them, for every k up to the first that has too many."""
+        grow = lambda acc, x: F.when(F.element_at(acc, -1) > most, acc).otherwise(F.concat(acc, F.array(F.element_at(acc, -1) + F.char_length(x) + 1)))
+        return F.aggregate(F.slice(lines, 1, reach), F.array(F.lit(-1)), grow)
+
+    def measured(x: Column) -> Column:
+        start = F.struct(F.lit(0).alias("line"), F.lit(0).alias("gap"), F.lit(0).alias("chars"), F.lit(False).alias("over"), F.array().cast("array<int>").alias("ends"))
+        ends = F.aggregate(F.slice(x["s"], 1, reach), start, place, lambda acc: acc["ends"])
+        each = F.coalesce(F.bround(F.try_divide(F.size(x["a"]).cast("double"), F.size(x["s"])), 0), F.lit(0)).cast("int")
+        return F.struct(ends.alias("ends"), sums(x["s"]).alias("s"), sums(x["a"]).alias("a"), F.size(x["s"]).alias("n"), F.size(x["a"]).alias("m"), each.alias("each"))
+
+    def stop(x: Column) -> Column:
+        """Lines and instructions at the end."""
+        ops = lambda k: F.least(3 + k * x["each"], x["m"])
+        chars = lambda sums, count: F.coalesce(F.greatest(F.lit(0), F.get(sums, count)), F.lit(0)) + F.when(count >= F.size(sums), most + 1).otherwise(0)
+        size = lambda k: chars(x["s"], F.get(x["ends"], k)) + chars(x["a"], ops(k)) + sum(map(len, marks)) + 4
+        stuck = F.filter(F.sequence(F.lit(0), F.size(x["ends"]) - 1), lambda k: (3 + k * x["each"] > x["m"]) | ((k > 0) & (size(k) > most)))
+        k = F.when(x["n"] == 0, 0).otherwise(F.coalesce(F.array_min(stuck), F.size(x["ends"])))
+        return F.struct(F.coalesce(F.get(x["ends"], k), x["n"]).alias("lines"), ops(k).alias("ops"))
+
+    s, a = F.coalesce(src, F.array().cast("array<string>")), F.coalesce(asm, F.array().cast("array<string>"))
+    part = lambda lines, count: F.array_join(F.slice(lines, F.lit(1), count), " ")
+    text = lambda x, end: F.concat_ws(" ", F.lit(marks[0]), part(x["s"], end["lines"]), F.lit(marks[1]), F.lit(marks[2]), part(x["a"], end["ops"]))
+    return T.let(F.struct(s.alias("s"), a.alias("a")), lambda x: T.let(T.let(measured(x), stop), lambda end: text(x, end)))
 
 
 def positive_items(df: DataFrame) -> DataFrame:

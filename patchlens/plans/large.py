@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from patchlens.operators import candidates, evaluation, ordered, scans, stats
+from patchlens.operators import candidates, evaluation, ordered, sampling, scans, stats
 from patchlens.plans import catalog as C
 
 query, table, joined = C.query, C.table, C.joined
@@ -141,3 +141,28 @@ def distinct_clients(spark, d):
     b = stats.distinct_bitmaps(table(spark, d, "clicks"), ["kind"], "client_id")
     every = stats.distinct_counts(stats.merged_bitmaps(b, []), [], "clients").select(F.lit("all kinds").alias("kind"), F.coalesce("clients", F.lit(0)).cast("long").alias("clients"))
     return stats.distinct_counts(b, ["kind"], "clients").unionByName(every)
+
+
+# ---- training texts and partners ----
+
+_GROWN = "concat('[SRC_CODE] ', array_to_string(s[:l], ' '), ' [SEP] [ASM_CODE] ', array_to_string(s[:o], ' '))"
+_BRIEF = "CASE WHEN length(s[least(l + 1, n)]) = 1 OR s[least(l + 1, n)] = '\"STR\"' THEN 2 ELSE 1 END"
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id, w[:1003] AS s, len(w) AS n FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE text IS NOT NULL)),
+g AS (SELECT doc_id, s, n, 0 AS t, 1 AS l, 3 AS o FROM d UNION ALL SELECT doc_id, s, n, t + 1, l + {_BRIEF}, o + 1 FROM g WHERE l <= n AND o <= n AND (t = 0 OR length({_GROWN}) <= 1000))
+SELECT doc_id, arg_max({_GROWN}, t) AS train_text FROM g GROUP BY doc_id""")
+def document_train_texts(spark, d):
+    """The words of a document as its lines and as its instructions."""
+    w = F.split("text", " ")
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", sampling.train_text(w, w).alias("train_text"))
+
+
+_DRAWN = "(('0x' || md5('0:' || doc_id::varchar || ':0')[1:8])::ubigint % n)"
+
+
+@query(f"""WITH r AS (SELECT doc_id, source, lang, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) - 1 AS k, count(*) OVER (PARTITION BY source, lang) AS n FROM documents)
+SELECT r.doc_id, o.doc_id AS partner_id FROM r JOIN r o ON o.source IS NOT DISTINCT FROM r.source AND o.lang IS NOT DISTINCT FROM r.lang AND o.k = {_DRAWN.replace("doc_id", "r.doc_id").replace("% n", "% r.n")}""")
+def random_partners(spark, d):
+    t = table(spark, d, "documents").select("doc_id", "source", "lang", "n_chars")
+    return sampling.random_partners(t, "doc_id", ["source", "lang"], "n_chars").select("doc_id", "partner_id")

@@ -93,7 +93,7 @@ def body_items(spark, d):
 
 @query()
 def training_texts(spark, d):
-    return _training(spark).select("id", sampling.train_text_udf()("src_codes", "asm_codes").alias("train_text"))
+    return _training(spark).select("id", sampling.train_text(F.col("src_codes"), F.col("asm_codes")).alias("train_text"))
 
 
 @query()

@@ -176,13 +176,33 @@ def test_fuzzy_ratio(spark):
 
 
 def test_training_text(spark):
-    marks = ("S", "|", "A")
-    assert sampling.grown_text(["a b", "}", "c", "d"], [str(i) for i in range(8)], marks) == "S a b } c d | A 0 1 2 3 4 5 6"
-    assert sampling.grown_text(["one"], ["x"], marks) == "S one | A x" and sampling.grown_text([], ["x"], marks) == "S  | A x"
-    long = sampling.grown_text(["line " * 30] * 40, ["op " * 10] * 80, marks)
-    assert 1000 < len(long) < 1300
-    d = spark.createDataFrame([(["one"], ["x"]), (None, None)], "s array<string>, a array<string>")
-    assert [r[0] for r in d.select(sampling.train_text_udf(marks)("s", "a")).collect()] == ["S one | A x", "S  | A "]
+    def plain(src, asm, most):
+        at, ops, steps = 1, 3, 0
+        each = round(len(asm) / len(src)) if src else 0
+        show = lambda: f"S {' '.join(src[:at])} | A {' '.join(asm[:ops])}"
+        while at <= len(src) and ops <= len(asm) and (not steps or len(show()) <= most):
+            brief = src[at] if at < len(src) else src[-1]
+            at, ops, steps = at + (2 if len(brief) == 1 or brief == '"STR"' else 1), ops + each, steps + 1
+        return show()
+
+    r = random.Random(12)
+    word = lambda: r.choice(["}", "{", '"STR"', "", "ab", "line of code", "é", "x" * 40])
+    rows = [([word() for _ in range(r.choice([0, 1, 2, 5, 30, 200]))], [word() for _ in range(r.choice([0, 1, 3, 7, 60, 500]))]) for _ in range(150)]
+    rows += [(["a b", "}", "c", "d"], [str(i) for i in range(8)]), (["one"], ["x"]), ([""] * 300, [""] * 900), (["line " * 30] * 40, ["op " * 10] * 80)]
+    d = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)] + [(-1, None, None)], "i int, s array<string>, a array<string>")
+    for most in (1000, 60):
+        got = dict(d.select("i", sampling.train_text(F.col("s"), F.col("a"), ("S", "|", "A"), most)).collect())
+        assert got.pop(-1) == "S  | A "
+        assert got == {i: plain(*x, most) for i, x in enumerate(rows)}
+
+
+def test_random_partners(spark):
+    rows = [(i, i % 3 or None, f"t{i}") for i in range(600)] + [(1000, 9, "alone")]
+    got = {x.id: x for x in sampling.random_partners(spark.createDataFrame(rows, "id int, g int, t string"), "id", ["g"], "t").collect()}
+    assert set(got) == {x[0] for x in rows} and got[1000].partner_id == 1000
+    of = {x[0]: x for x in rows}
+    assert all(of[x.partner_id][1] == x.g and of[x.partner_id][2] == x.partner for x in got.values())
+    assert len({x.partner_id for x in got.values()}) > 300 and any(x.partner_id == i for i, x in got.items() if i < 1000)
 
 
 def test_source_features():
