@@ -231,14 +231,14 @@ def train_text(src: Column, asm: Column, marks: tuple[str, str, str] = ("[SRC_CO
     end, and all others lines are. Running sums of the lines' lengths give the
     length of the text at every place; the first that can't go on is the end.
     """
-    reach = most + 3  # with the space behind it a line adds a character at least, so no text goes further
+    reach = most + 5  # with the space behind it a line adds a character at least, so no text goes further
 
     def place(acc: Column, line: Column) -> Column:
         brief = (acc["line"] > 0) & ((F.char_length(line) == 1) | (line == '"STR"'))
         gap = F.when(brief, acc["gap"] + 1).otherwise(0)
         more, chars = (gap % 2 == 0) & ~acc["over"], acc["chars"] + F.char_length(line) + 1
         ends = F.when(more, F.concat(acc["ends"], F.array(acc["line"] + 1))).otherwise(acc["ends"])
-        return F.struct((acc["line"] + 1).alias("line"), gap.alias("gap"), chars.alias("chars"), (acc["over"] | (more & (chars > most))).alias("over"), ends.alias("ends"))
+        return F.struct((acc["line"] + 1).alias("line"), gap.alias("gap"), chars.alias("chars"), (acc["over"] | (more & (chars > most) & (acc["line"] > 0))).alias("over"), ends.alias("ends"))
 
     def sums(lines: Column) -> Column:
         """Characters of the first k lines with a space between them, for every k up to the first that has too many."""
