@@ -772,4 +772,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.join(sizes, "content_hash").select("doc_id", "n_items", "first_item", "n_equal").orderBy("doc_id")
 
 
-from patchlens.plans import large, training  # noqa: E402, F401  their queries register themselves
+from patchlens.plans import large, saved, training  # noqa: E402, F401  their queries register themselves
