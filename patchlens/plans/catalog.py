@@ -241,11 +241,12 @@ def _src_lines(lines: str) -> str:
     return f"list_transform({kept}, lambda x: {_uncommented(inner)})"
 
 
-_SOURCE_VALUES = fixtures.values(fixtures.SOURCES, "id, source")
+_SOURCE_VALUES = f"(SELECT row_id * 1000 + id AS id, row_id, id AS form, replace(source, 'y', own) AS source FROM {fixtures.filled_sql(fixtures.SOURCES, 'id, source')})"
 
 
-def _sources(spark):
-    return spark.createDataFrame(fixtures.SOURCES, "id int, source string").withColumn("lines", F.split("source", "\n"))
+def _sources(spark, d):
+    s = fixtures.filled(spark, d, fixtures.SOURCES, "id int, source string").withColumn("source", F.replace("source", F.lit("y"), F.col("own")))
+    return s.select((F.col("row_id") * 1000 + F.col("id")).alias("id"), "row_id", F.col("id").alias("form"), "source", F.split("source", "\n").alias("lines"))
 
 
 @query(f"SELECT doc_id, array_to_string({_src_lines('string_split(text, chr(10))')}, chr(10)) AS lines FROM documents")
@@ -253,15 +254,15 @@ def text_normalize_lines(spark, d):
     return table(spark, d, "documents").select("doc_id", joined(T.normalize_src_lines(F.split("text", "\n")), "\n").alias("lines"))
 
 
-@query(f"SELECT id, {_uncommented('source')} AS bare FROM {_SOURCE_VALUES} UNION ALL SELECT page_id + 100, {_uncommented('html')} FROM pages")
+@query(f"SELECT id, {_uncommented('source')} AS bare FROM {_SOURCE_VALUES} UNION ALL SELECT -page_id, {_uncommented('html')} FROM pages")
 def comment_strip(spark, d):
-    a = _sources(spark).select(F.col("id").cast("long").alias("id"), T.remove_comments(F.col("source")).alias("bare"))
-    return a.unionByName(table(spark, d, "pages").select((F.col("page_id") + 100).alias("id"), T.remove_comments(F.col("html")).alias("bare")))
+    a = _sources(spark, d).select(F.col("id").cast("long").alias("id"), T.remove_comments(F.col("source")).alias("bare"))
+    return a.unionByName(table(spark, d, "pages").select((-F.col("page_id")).alias("id"), T.remove_comments(F.col("html")).alias("bare")))
 
 
 @query(f"SELECT id, array_to_string({_src_lines('string_split(source, chr(10))')}, '|') AS lines FROM {_SOURCE_VALUES}")
 def source_normalize(spark, d):
-    return _sources(spark).select("id", joined(T.normalize_src_lines(F.col("lines"))).alias("lines"))
+    return _sources(spark, d).select("id", joined(T.normalize_src_lines(F.col("lines"))).alias("lines"))
 
 
 @query(r"""SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(text, ' '), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) >= 4))), '|') AS strings FROM conversations""")
@@ -288,7 +289,7 @@ _HEADER = rf"""{_BRACE} AS body_start, least(6, CASE WHEN array_to_string(l[1:{_
 
 @query(f"SELECT id, {_HEADER} FROM (SELECT id, {_src_lines('string_split(source, chr(10))')} AS l FROM {_SOURCE_VALUES})")
 def header_params(spark, d):
-    s = _sources(spark).withColumn("h", T.source_header(T.normalize_src_lines(F.col("lines"))))
+    s = _sources(spark, d).withColumn("h", T.source_header(T.normalize_src_lines(F.col("lines"))))
     return s.select("id", "h.body_start", "h.param_count")
 
 
@@ -308,38 +309,44 @@ def asm_normalize(spark, d):
     return a.unionByName(table(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn") + 1000).alias("id"), T.normalize_asm(F.col("text")).alias("asm")))
 
 
-_BINARY_VALUES = fixtures.values(fixtures.BINARY, "bin_name, asm_codes")
+_BINARY_VALUES = f"(SELECT row_id, bin_name, list_transform(asm_codes, lambda x: replace(x, 'nop', own)) AS asm_codes FROM {fixtures.filled_sql(fixtures.BINARY, 'bin_name, asm_codes')})"
 
 
-def _binaries(spark):
-    return spark.createDataFrame(fixtures.BINARY, "bin_name string, asm_codes array<string>")
+def _binaries(spark, d):
+    b = fixtures.filled(spark, d, fixtures.BINARY, "bin_name string, asm_codes array<string>")
+    return b.select("row_id", "bin_name", F.transform("asm_codes", lambda x: F.replace(x, F.lit("nop"), F.col("own"))).alias("asm_codes"))
 
 
-_PROLOGUE = f"""WITH b AS (SELECT bin_name, list_filter(list_transform(asm_codes, lambda x: {_asm_sql('x')}), lambda x: x <> '') AS a FROM {_BINARY_VALUES}),
-s AS (SELECT bin_name, i, string_split(a[i + 1], ',')[1] IN ('mov <MEM>', 'movsd <MEM>', 'movss <MEM>') AND a[i + 1] <> 'mov <MEM>,0x0' AS st FROM (SELECT bin_name, a, unnest(range(1, least(20, len(a)))) AS i FROM b)),
-f AS (SELECT bin_name, min(i) FILTER (st) AS first FROM s GROUP BY bin_name),
-e AS (SELECT s.bin_name, min(i) FILTER (NOT st AND i > first) AS stop, first, max(i) AS last FROM s JOIN f USING (bin_name) GROUP BY s.bin_name, first)
-SELECT bin_name, coalesce(CASE WHEN first IS NULL THEN 1 ELSE coalesce(stop, last + 1) END, 1)::int AS body_start, least(6, coalesce(coalesce(stop, last + 1) - first, 0))::int AS param_count FROM b LEFT JOIN e USING (bin_name)"""
+_PROLOGUE = f"""WITH b AS (SELECT row_id, bin_name, list_filter(list_transform(asm_codes, lambda x: {_asm_sql('x')}), lambda x: x <> '') AS a FROM {_BINARY_VALUES}),
+s AS (SELECT row_id, bin_name, i, string_split(a[i + 1], ',')[1] IN ('mov <MEM>', 'movsd <MEM>', 'movss <MEM>') AND a[i + 1] <> 'mov <MEM>,0x0' AS st FROM (SELECT row_id, bin_name, a, unnest(range(1, least(20, len(a)))) AS i FROM b)),
+f AS (SELECT row_id, bin_name, min(i) FILTER (st) AS first FROM s GROUP BY row_id, bin_name),
+e AS (SELECT row_id, s.bin_name, min(i) FILTER (NOT st AND i > first) AS stop, first, max(i) AS last FROM s JOIN f USING (row_id, bin_name) GROUP BY row_id, s.bin_name, first)
+SELECT row_id, bin_name, coalesce(CASE WHEN first IS NULL THEN 1 ELSE coalesce(stop, last + 1) END, 1)::int AS body_start, least(6, coalesce(coalesce(stop, last + 1) - first, 0))::int AS param_count FROM b LEFT JOIN e USING (row_id, bin_name)"""
 
 
 @query(_PROLOGUE)
 def asm_prologue(spark, d):
-    b = _binaries(spark).withColumn("p", T.asm_prologue(T.normalize_asm_lines(F.col("asm_codes"))))
-    return b.select("bin_name", "p.body_start", "p.param_count")
+    b = _binaries(spark, d).withColumn("p", T.asm_prologue(T.normalize_asm_lines(F.col("asm_codes"))))
+    return b.select("row_id", "bin_name", "p.body_start", "p.param_count")
 
 
 @query("""SELECT id, array_to_string(list_filter(list_transform(l, lambda x, i: CASE WHEN i > p AND NOT contains(x, '{') THEN x END), lambda x: x IS NOT NULL), '|') AS body
 FROM (SELECT id, l, coalesce(list_position(list_transform(l, lambda x: contains(x, '{')), true), 1000) AS p FROM (SELECT id, string_split(source, chr(10)) AS l FROM """ + _SOURCE_VALUES + "))")
 def source_body(spark, d):
-    return _sources(spark).select("id", joined(T.source_body(F.col("lines"))).alias("body"))
+    return _sources(spark, d).select("id", joined(T.source_body(F.col("lines"))).alias("body"))
 
 
-_PATCH_VALUES = fixtures.values(fixtures.PATCHES, "patch_id, raw")
+_PATCH_VALUES = f"(SELECT row_id * 1000 + patch_id AS patch_id, replace(raw, 'e', own) AS raw FROM {fixtures.filled_sql(fixtures.PATCHES, 'patch_id, raw')})"
+
+
+def _patches(spark, d):
+    p = fixtures.filled(spark, d, fixtures.PATCHES, "patch_id int, raw string")
+    return p.select((F.col("row_id") * 1000 + F.col("patch_id")).alias("patch_id"), F.replace("raw", F.lit("e"), F.col("own")).alias("raw"))
 
 
 @query(rf"""SELECT patch_id, {_uncommented(r"array_to_string(list_filter(list_transform(string_split(raw, chr(10)), lambda x: regexp_replace(regexp_replace(x, '^[+-]', ''), '^\s+|\s+$', '', 'g')), lambda x: x <> ''), ' ')")} AS snippet FROM {_PATCH_VALUES}""")
 def snippet_text(spark, d):
-    return spark.createDataFrame(fixtures.PATCHES, "patch_id int, raw string").select("patch_id", T.snippet_text(F.split("raw", "\n")).alias("snippet"))
+    return _patches(spark, d).select("patch_id", T.snippet_text(F.split("raw", "\n")).alias("snippet"))
 
 
 @query("SELECT doc_id, CASE WHEN a = '' THEN 0 ELSE instr(text, a) - 1 END AS start_char, CASE WHEN a = '' THEN 0 ELSE instr(text, a) - 1 END + length(a) - 1 AS end_char FROM (SELECT doc_id, text, string_split(text, ' ')[3] AS a FROM documents) WHERE a IS NOT NULL")
@@ -359,18 +366,19 @@ def prefix_diff_index(spark, d):
 
 @query(r"""SELECT patch_id, CASE WHEN contains(h, '(') THEN regexp_extract(string_split(h, '(')[1], '(\S+)\s*$', 1) END AS function_name FROM (SELECT patch_id, array_to_string(string_split_regex(trim(string_split(string_split(raw, chr(10))[1], '@@')[3]), '\s+')[1:3], ' ') AS h FROM """ + _PATCH_VALUES + " WHERE starts_with(raw, '@@'))")
 def function_of_context(spark, d):
-    p = spark.createDataFrame(fixtures.PATCHES, "patch_id int, raw string").filter(F.col("raw").startswith("@@"))
+    p = _patches(spark, d).filter(F.col("raw").startswith("@@"))
     return p.select("patch_id", T.function_of_context(F.get(F.split(F.get(F.split("raw", "\n"), 0), "@@"), 2)).alias("function_name"))
 
 
 _NAMES = [(1, "a/b.c_main"), (2, "x.h_f_g"), (3, "plain"), (4, "a.c_b.c_d"), (5, "* name (int)"), (6, "_Abc"), (7, "a__b"), (8, "__x"), (9, "_abc"), (10, "*ptr")]
-_NAME_VALUES = fixtures.values(_NAMES, "id, name")
+_NAME_VALUES = f"(SELECT row_id * 1000 + id AS id, replace(name, 'b', own) AS name FROM {fixtures.filled_sql(_NAMES, 'id, name')})"
 
 
 @query(rf"""SELECT id, CASE WHEN n = 1 THEN regexp_extract(name, '^(.*\.[ch])_(.*)$', 1) END AS file, CASE WHEN n = 1 THEN regexp_extract(name, '^(.*\.[ch])_(.*)$', 2) END AS func,
 replace(string_split(name, '(')[1], '* ', '') AS node_name, regexp_matches(name, '^_[A-Z]|__') AS reserved, regexp_replace(name, '^\*', '') AS pointed FROM (SELECT *, len(regexp_extract_all(name, '\.[ch]_')) AS n FROM {_NAME_VALUES})""")
 def names_parsed(spark, d):
-    n = spark.createDataFrame(_NAMES, "id int, name string").withColumn("f", T.file_and_function(F.col("name")))
+    n = fixtures.filled(spark, d, _NAMES, "id int, name string")
+    n = n.select((F.col("row_id") * 1000 + F.col("id")).alias("id"), F.replace("name", F.lit("b"), F.col("own")).alias("name")).withColumn("f", T.file_and_function(F.col("name")))
     return n.select("id", "f.file", F.col("f.function").alias("func"), T.node_name(F.col("name")).alias("node_name"), T.is_reserved(F.col("name")).alias("reserved"), T.strip_pointer(F.col("name")).alias("pointed"))
 
 
@@ -380,7 +388,7 @@ _ASM_0 = f"array_to_string(list_filter(list_transform({fixtures.literal(fixtures
 @query(f"""SELECT id, json_object('question', 'Does the binary function contain the patch? Answer yes or no.', 'source', array_to_string({_src_lines("string_split(source, chr(10))")}, chr(10)), 'patch', '- a' || chr(10) || '+ b', 'assembly', {_ASM_0})::varchar AS prompt FROM {_SOURCE_VALUES}""")
 def prompts(spark, d):
     asm = F.array(*map(F.lit, fixtures.BINARY[0][1]))
-    return _sources(spark).select("id", T.prompt(F.col("lines"), F.lit("- a\n+ b"), asm).alias("prompt"))
+    return _sources(spark, d).select("id", T.prompt(F.col("lines"), F.lit("- a\n+ b"), asm).alias("prompt"))
 
 
 # ---- ordered lists ----
@@ -451,59 +459,59 @@ def last_wins(spark, d):
 
 # ---- listings, diffs ----
 
-_LISTING_SQL = f"""WITH l AS (SELECT * FROM {fixtures.values(fixtures.LISTING_ROWS, 'bin, line_no, line')}),
-s AS (SELECT * FROM (SELECT *, last_value(CASE WHEN starts_with(line, 'Disassembly of section ') THEN line END IGNORE NULLS) OVER (ORDER BY line_no) AS section FROM l) WHERE section = 'Disassembly of section .text:'),
+_LISTING_SQL = f"""WITH l AS (SELECT * FROM {fixtures.LISTING_SQL}),
+s AS (SELECT * FROM (SELECT *, last_value(CASE WHEN starts_with(line, 'Disassembly of section ') THEN line END IGNORE NULLS) OVER (PARTITION BY bin ORDER BY line_no) AS section FROM l) WHERE section = 'Disassembly of section .text:'),
 f0 AS (SELECT *, contains(line, ' <') AND ends_with(line, '>:') AS head FROM s),
-f1 AS (SELECT *, sum(head::int) OVER (ORDER BY line_no) AS fno FROM f0),
-f2 AS (SELECT *, first_value(string_split(regexp_extract(line, '<(.*)>:$', 1), '.')[1]) OVER (PARTITION BY fno ORDER BY line_no) AS name FROM f1 WHERE fno > 0),
-f AS (SELECT * FROM f2 WHERE NOT head AND fno IN (SELECT max(fno) FROM f2 GROUP BY name))"""
+f1 AS (SELECT *, sum(head::int) OVER (PARTITION BY bin ORDER BY line_no) AS fno FROM f0),
+f2 AS (SELECT *, first_value(string_split(regexp_extract(line, '<(.*)>:$', 1), '.')[1]) OVER (PARTITION BY bin, fno ORDER BY line_no) AS name FROM f1 WHERE fno > 0),
+f AS (SELECT * FROM f2 WHERE NOT head AND (bin, fno) IN (SELECT (bin, max(fno)) FROM f2 GROUP BY bin, name))"""
 
 
-@query(f"{_LISTING_SQL} SELECT name AS function_name, (row_number() OVER (PARTITION BY name ORDER BY line_no) - 1)::int AS place, string_split(line, chr(9))[-1] AS asm FROM f")
+@query(f"{_LISTING_SQL} SELECT bin AS binary, name AS function_name, (row_number() OVER (PARTITION BY bin, name ORDER BY line_no) - 1)::int AS place, string_split(line, chr(9))[-1] AS asm FROM f")
 def listing_flat(spark, d):
-    return listing.flat_functions(fixtures.listing(spark)).select("function_name", F.posexplode("asm_codes").alias("place", "asm"))
+    return listing.flat_functions(fixtures.listing(spark, d)).select("binary", "function_name", F.posexplode("asm_codes").alias("place", "asm"))
 
 
 _MAPPINGS = rf"""m AS (SELECT *, ends_with(line, '():') AS callee, (contains(line, '__tmp/') OR starts_with(line, '/usr/')) AND contains(line, ':') AND NOT ends_with(line, '():') AS place FROM f),
-n AS (SELECT *, sum((callee OR place)::int) OVER (PARTITION BY fno ORDER BY line_no) AS mno, regexp_matches(line, '^\s*[0-9a-f]+:\t([0-9a-f][0-9a-f] )+\s*(\S+)?') AS asm FROM m),
+n AS (SELECT *, sum((callee OR place)::int) OVER (PARTITION BY bin, fno ORDER BY line_no) AS mno, regexp_matches(line, '^\s*[0-9a-f]+:\t([0-9a-f][0-9a-f] )+\s*(\S+)?') AS asm FROM m),
 a AS (SELECT *, CASE WHEN asm AND len(string_split(line, chr(9))) = 3 THEN rtrim(string_split(line, chr(9))[3]) END AS code FROM n),
-c AS (SELECT *, max((code IS NOT NULL)::int) OVER (PARTITION BY fno, mno ORDER BY line_no) AS seen FROM a)"""
+c AS (SELECT *, max((code IS NOT NULL)::int) OVER (PARTITION BY bin, fno, mno ORDER BY line_no) AS seen FROM a)"""
 #: The same listing, of functions of one name the one with most lines.
-_LONGEST_SQL = _LISTING_SQL.replace("SELECT max(fno) FROM f2 GROUP BY name", "SELECT arg_max(fno, [n, fno]) FROM (SELECT name, fno, count(*) AS n FROM f2 GROUP BY name, fno) GROUP BY name")
+_LONGEST_SQL = _LISTING_SQL.replace("SELECT (bin, max(fno)) FROM f2 GROUP BY bin, name", "SELECT (bin, arg_max(fno, [n, fno])) FROM (SELECT bin, name, fno, count(*) AS n FROM f2 GROUP BY bin, name, fno) GROUP BY bin, name")
 
 
 @query(rf"""{_LISTING_SQL}, {_MAPPINGS}
-SELECT name AS function_name, mno::bigint AS mapping_no, max(CASE WHEN place THEN string_split(line, ':')[1] END) AS src_path, max(CASE WHEN place THEN regexp_extract(line, ':([0-9]+)', 1)::int END) AS src_line,
+SELECT bin AS binary, name AS function_name, mno::bigint AS mapping_no, max(CASE WHEN place THEN string_split(line, ':')[1] END) AS src_path, max(CASE WHEN place THEN regexp_extract(line, ':([0-9]+)', 1)::int END) AS src_line,
   coalesce(bool_or(CASE WHEN place THEN contains(line, '(discriminator') END), false) AS is_discriminator,
   coalesce(string_agg(CASE WHEN NOT callee AND NOT place AND NOT asm AND seen = 0 THEN regexp_replace(line, '\s+$', '') END, '|' ORDER BY line_no), '') AS src_codes, coalesce(string_agg(code, '|' ORDER BY line_no), '') AS asm_codes
-FROM c GROUP BY name, mno HAVING count(code) > 0 OR count(CASE WHEN NOT callee AND NOT place AND NOT asm AND seen = 0 THEN 1 END) > 0""")
+FROM c GROUP BY bin, name, mno HAVING count(code) > 0 OR count(CASE WHEN NOT callee AND NOT place AND NOT asm AND seen = 0 THEN 1 END) > 0""")
 def listing_segments(spark, d):
-    m = listing.code_mappings(listing.split_functions(listing.text_section(fixtures.listing(spark))))
-    return m.select("function_name", F.col("mapping_no").cast("long").alias("mapping_no"), "src_path", "src_line", "is_discriminator", joined("src_codes").alias("src_codes"), joined("asm_codes").alias("asm_codes"))
+    m = listing.code_mappings(listing.split_functions(listing.text_section(fixtures.listing(spark, d))))
+    return m.select("binary", "function_name", F.col("mapping_no").cast("long").alias("mapping_no"), "src_path", "src_line", "is_discriminator", joined("src_codes").alias("src_codes"), joined("asm_codes").alias("asm_codes"))
 
 
-def _longest(spark):
-    return listing.code_mappings(listing.split_functions(listing.text_section(fixtures.listing(spark)), last_wins=False))
+def _longest(spark, d):
+    return listing.code_mappings(listing.split_functions(listing.text_section(fixtures.listing(spark, d)), last_wins=False))
 
 
 _OWN = "CASE WHEN NOT callee AND NOT place AND NOT asm AND seen = 0 THEN regexp_replace(line, '\\s+$', '') END"
-_LINED = f"""r AS (SELECT name, mno, max(CASE WHEN place THEN regexp_extract(line, ':([0-9]+)', 1)::int END) AS src_line, list({_OWN} ORDER BY line_no) FILTER ({_OWN} IS NOT NULL) AS src, count(code) AS n_asm FROM c GROUP BY name, mno HAVING count(code) > 0 OR count({_OWN}) > 0)"""
+_LINED = f"""r AS (SELECT bin, name, mno, max(CASE WHEN place THEN regexp_extract(line, ':([0-9]+)', 1)::int END) AS src_line, list({_OWN} ORDER BY line_no) FILTER ({_OWN} IS NOT NULL) AS src, count(code) AS n_asm FROM c GROUP BY bin, name, mno HAVING count(code) > 0 OR count({_OWN}) > 0)"""
 
 
 @query(rf"""{_LONGEST_SQL}, {_MAPPINGS}, {_LINED},
-p AS (SELECT name, min(line_no) AS first_no FROM c WHERE contains({_OWN}, '(') GROUP BY name)
-SELECT name AS function_name, sum(n_asm)::int AS n_asm, arg_min(src_line, mno) AS first_line, coalesce((SELECT len(string_split(line, ',')) FROM c JOIN p USING (name) WHERE c.name = r.name AND line_no = first_no), 0)::int AS declared_params FROM r GROUP BY name HAVING sum(n_asm) >= 10""")
+p AS (SELECT bin, name, min(line_no) AS first_no FROM c WHERE contains({_OWN}, '(') GROUP BY bin, name)
+SELECT bin AS binary, name AS function_name, sum(n_asm)::int AS n_asm, arg_min(src_line, mno) AS first_line, coalesce((SELECT len(string_split(line, ',')) FROM c JOIN p USING (bin, name) WHERE c.bin = r.bin AND c.name = r.name AND line_no = first_no), 0)::int AS declared_params FROM r GROUP BY bin, name HAVING sum(n_asm) >= 10""")
 def listing_functions(spark, d):
-    return listing.functions(_longest(spark)).select("function_name", F.size("asm_codes").alias("n_asm"), "first_line", "declared_params")
+    return listing.functions(_longest(spark, d)).select("binary", "function_name", F.size("asm_codes").alias("n_asm"), "first_line", "declared_params")
 
 
 @query(rf"""{_LONGEST_SQL}, {_MAPPINGS}, {_LINED},
-t AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY mno) AS nth FROM r WHERE src_line IS NOT NULL AND len(src) > 0),
-u AS (SELECT name, mno, nth, src_line, len(src) AS n, unnest(src) AS text, generate_subscripts(src, 1) AS k FROM t),
-w AS (SELECT name, src_line - (n - k) AS line_number, arg_max(text, [mno, k]) AS text FROM u WHERE nth > 1 OR k = n GROUP BY 1, 2)
-SELECT r.name AS function_name, line_number::int AS line_number, text, n_asm::int AS n_asm FROM r JOIN w ON w.name = r.name AND w.line_number = r.src_line""")
+t AS (SELECT *, row_number() OVER (PARTITION BY bin, name ORDER BY mno) AS nth FROM r WHERE src_line IS NOT NULL AND len(src) > 0),
+u AS (SELECT bin, name, mno, nth, src_line, len(src) AS n, unnest(src) AS text, generate_subscripts(src, 1) AS k FROM t),
+w AS (SELECT bin, name, src_line - (n - k) AS line_number, arg_max(text, [mno, k]) AS text FROM u WHERE nth > 1 OR k = n GROUP BY 1, 2, 3)
+SELECT r.bin AS binary, r.name AS function_name, line_number::int AS line_number, text, n_asm::int AS n_asm FROM r JOIN w ON w.bin = r.bin AND w.name = r.name AND w.line_number = r.src_line""")
 def listing_line_to_asm(spark, d):
-    return listing.line_to_asm(_longest(spark)).select("function_name", "line_number", "text", F.size("asm_codes").alias("n_asm"))
+    return listing.line_to_asm(_longest(spark, d)).select("binary", "function_name", "line_number", "text", F.size("asm_codes").alias("n_asm"))
 
 
 @query(rf"""WITH p AS (SELECT patch_id, unnest(string_split(raw, chr(10))) AS line, generate_subscripts(string_split(raw, chr(10)), 1) AS i FROM {_PATCH_VALUES}),
@@ -513,7 +521,7 @@ g AS (SELECT patch_id, no, max(CASE WHEN head THEN line END) AS l, count(*) FILT
 SELECT patch_id, no::int AS hunk_no, coalesce(string_split(l, '@@')[3], '') AS change_context, coalesce(regexp_extract(l, '-([0-9]+),', 1)::int, 0) AS start_before, coalesce(regexp_extract(l, '-[0-9]+,([0-9]+)', 1)::int, 0) AS size_before,
   coalesce(regexp_extract(l, '\+([0-9]+),', 1)::int, 0) AS start_after, coalesce(regexp_extract(l, '\+[0-9]+,([0-9]+)', 1)::int, 0) AS size_after, snippet_before, snippet_after FROM g WHERE n > 0 OR no = (SELECT max(no) FROM g x WHERE x.patch_id = g.patch_id)""")
 def diff_hunks(spark, d):
-    h = diffs.hunks(spark.createDataFrame(fixtures.PATCHES, "patch_id int, raw string"))
+    h = diffs.hunks(_patches(spark, d))
     return h.withColumns({c: joined(c) for c in ("snippet_before", "snippet_after")})
 
 
@@ -535,40 +543,45 @@ def pair_candidates_blocked(spark, d):
 _SRC_NAMES = {1: "f", 2: "g", 3: "*h", 4: "k", 5: "other", 6: "empty", 7: "*m"}
 
 
-_NAMED_VALUES = fixtures.values([(_SRC_NAMES[i], t) for i, t in fixtures.SOURCES], "src_name, source")
-_PAIRS = f"""WITH s AS (SELECT src_name, l, {_HEADER} FROM (SELECT src_name, {_src_lines("string_split(source, chr(10))")} AS l FROM {_NAMED_VALUES}) WHERE len(l) > 0),
-  b AS (SELECT bin_name, body_start AS asm_start, param_count AS asm_params, list_filter(list_transform(asm_codes, lambda x: {_asm_sql("x")}), lambda x: x <> '') AS a FROM {_BINARY_VALUES} JOIN ({_PROLOGUE}) USING (bin_name)),
-  p AS (SELECT *, regexp_replace(src_name, '^\\*', '') = bin_name AS same FROM s CROSS JOIN b WHERE regexp_replace(src_name, '^\\*', '') = bin_name OR NOT regexp_matches(bin_name, '^_[A-Z]|__') AND len(a) > len(l) AND param_count = asm_params)"""
+_NAMED_VALUES = f"(SELECT row_id, src_name, replace(source, 'y', own) AS source FROM {fixtures.filled_sql([(_SRC_NAMES[i], t) for i, t in fixtures.SOURCES], 'src_name, source')})"
+_PAIRS = f"""WITH s AS (SELECT row_id, src_name, l, {_HEADER} FROM (SELECT row_id, src_name, {_src_lines("string_split(source, chr(10))")} AS l FROM {_NAMED_VALUES}) WHERE len(l) > 0),
+  b AS (SELECT row_id, bin_name, body_start AS asm_start, param_count AS asm_params, list_filter(list_transform(asm_codes, lambda x: {_asm_sql("x")}), lambda x: x <> '') AS a FROM {_BINARY_VALUES} JOIN ({_PROLOGUE}) USING (row_id, bin_name)),
+  p AS (SELECT *, regexp_replace(src_name, '^\\*', '') = bin_name AS same FROM s JOIN b USING (row_id) WHERE (regexp_replace(src_name, '^\\*', '') = bin_name OR NOT regexp_matches(bin_name, '^_[A-Z]|__') AND len(a) > len(l) AND param_count = asm_params))"""
 
 
-def _pairs(spark, **how):
-    name = F.element_at(F.create_map(*[F.lit(x) for kv in _SRC_NAMES.items() for x in kv]), F.col("id"))
-    return candidates.candidate_pairs(_sources(spark).select(name.alias("src_name"), F.col("lines").alias("src_codes")), _binaries(spark), **how)
+def _pairs(spark, d, **how):
+    name = F.element_at(F.create_map(*[F.lit(x) for kv in _SRC_NAMES.items() for x in kv]), F.col("form"))
+    return candidates.candidate_pairs(_sources(spark, d).select("row_id", name.alias("src_name"), F.col("lines").alias("src_codes")), _binaries(spark, d), ["row_id"], **how)
 
 
-@query(f"{_PAIRS} SELECT src_name, bin_name, param_count AS src_params, asm_params FROM p")
+@query(f"{_PAIRS} SELECT row_id, src_name, bin_name, param_count AS src_params, asm_params FROM p")
 def function_candidates(spark, d):
-    return _pairs(spark).select("src_name", "bin_name", "src_params", "asm_params")
+    return _pairs(spark, d).select("row_id", "src_name", "bin_name", "src_params", "asm_params")
 
 
-@query(f"""{_PAIRS} SELECT src_name, bin_name FROM (SELECT *, l[body_start + 1:] AS body FROM p WHERE a[1] = 'endbr64' AND param_count = asm_params)
+@query(f"""{_PAIRS} SELECT row_id, src_name, bin_name FROM (SELECT *, l[body_start + 1:] AS body FROM p WHERE a[1] = 'endbr64' AND param_count = asm_params)
 WHERE round_even(coalesce(len(a)::double / nullif(len({_effective(_src_lines("body"))}), 0), 0), 2) BETWEEN 2 AND 10""")
 def legacy_candidates(spark, d):
-    return candidates.legacy_filter(_pairs(spark, whole=True)).select("src_name", "bin_name")
+    return candidates.legacy_filter(_pairs(spark, d, whole=True)).select("row_id", "src_name", "bin_name")
 
 
-@query(f"SELECT bin_name, len(asm_codes) AS n FROM {_BINARY_VALUES} WHERE len(asm_codes) >= 8")
+@query(f"SELECT row_id, bin_name, len(asm_codes) AS n FROM {_BINARY_VALUES} WHERE len(asm_codes) >= 8")
 def large_functions(spark, d):
-    return candidates.large_enough(_binaries(spark), "asm_codes", 8).select("bin_name", F.size("asm_codes").alias("n"))
+    return candidates.large_enough(_binaries(spark, d), "asm_codes", 8).select("row_id", "bin_name", F.size("asm_codes").alias("n"))
 
 
 _FEATURES = [("*f", 1), ("f", 2), ("g", 3), ("*f", 4), ("zz", 5)]
 _BINS = [("f", 1), ("g", 2), ("f", 3)]
 
 
-@query(f"""SELECT s.name, regexp_replace(s.name, '^\\*', '') AS key, s.ord AS src_ord, b.ord AS bin_ord FROM (SELECT name, max(ord) AS ord FROM {fixtures.values(_FEATURES, 'name, ord')} GROUP BY name) s JOIN (SELECT name, max(ord) AS ord FROM {fixtures.values(_BINS, 'name, ord')} GROUP BY name) b ON b.name = regexp_replace(s.name, '^\\*', '')""")
+def _own_names(rows, names: str) -> str:
+    return f"(SELECT name || row_id || own AS name, ord FROM {fixtures.filled_sql(rows, names)})"
+
+
+@query(f"""SELECT s.name, regexp_replace(s.name, '^\\*', '') AS key, s.ord AS src_ord, b.ord AS bin_ord FROM (SELECT name, max(ord) AS ord FROM {_own_names(_FEATURES, 'name, ord')} GROUP BY name) s JOIN (SELECT name, max(ord) AS ord FROM {_own_names(_BINS, 'name, ord')} GROUP BY name) b ON b.name = regexp_replace(s.name, '^\\*', '')""")
 def features_by_name(spark, d):
-    return candidates.by_name(spark.createDataFrame(_FEATURES, "name string, ord int"), spark.createDataFrame(_BINS, "name string, ord int")).select("name", "key", "src_ord", "bin_ord")
+    own = lambda rows: fixtures.filled(spark, d, rows, "name string, ord int").select(F.concat("name", F.col("row_id").cast("string"), "own").alias("name"), "ord")
+    return candidates.by_name(own(_FEATURES), own(_BINS)).select("name", "key", "src_ord", "bin_ord")
 
 
 @query("""WITH s AS (SELECT o_custkey AS file, min(day) AS a, max(day) AS b FROM (SELECT o_custkey, epoch(o_orderdate)::bigint // 8640000 AS day FROM orders) GROUP BY 1),
@@ -668,17 +681,21 @@ def wrong_items(spark, d):
 _SCORE_LINES = [("true,false,1,0.5,0.25",), ("true,true,0,0.25,0.5",), ("false,false",), ("true,true,1,2.0,1.0,2,3.0,1.0",), ("False,True,3,0.5,0.50001",)]
 
 
-_SCORES = f"SELECT trim(p[1])::boolean AS has_vul_function, trim(p[2])::boolean AS has_vul, trim(p[3])::int AS diff_num, trim(p[4])::double AS vul_score, trim(p[5])::double AS fix_score FROM (SELECT string_split(line, ',') AS p FROM {fixtures.values(_SCORE_LINES, 'line')}) WHERE len(p) = 5"
+_SCORES = f"SELECT trim(p[1])::boolean AS has_vul_function, trim(p[2])::boolean AS has_vul, trim(p[3])::int AS diff_num, trim(p[4])::double AS vul_score, trim(p[5])::double AS fix_score FROM (SELECT string_split(replace(line, ',1,', ',' || row_id || ','), ',') AS p FROM {fixtures.filled_sql(_SCORE_LINES, 'line')}) WHERE len(p) = 5"
+
+
+def _score_lines(spark, d):
+    return fixtures.filled(spark, d, _SCORE_LINES, "line string").select(F.replace("line", F.lit(",1,"), F.concat(F.lit(","), F.col("row_id").cast("string"), F.lit(","))).alias("value"))
 
 
 @query(_SCORES)
 def score_csv_scan(spark, d):
-    return files.read_scores(spark.createDataFrame(_SCORE_LINES, "value string"))
+    return files.read_scores(_score_lines(spark, d))
 
 
 @query(f"""SELECT r AS "right", n - r AS wrong, r::double / n AS rate FROM (SELECT count(*) FILTER ((vul_score > round_even(fix_score, 4)) = has_vul) AS r, count(*) AS n FROM ({_SCORES}))""")
 def scores_rejudged(spark, d):
-    return evaluation.rescored(files.read_scores(spark.createDataFrame(_SCORE_LINES, "value string")))
+    return evaluation.rescored(files.read_scores(_score_lines(spark, d)))
 
 
 # ---- training sets ----
@@ -746,7 +763,7 @@ def choice_items(spark, d):
 
 @query()
 def source_features_scan(spark, d):
-    f = source_features.extract(spark.createDataFrame([(str(i), s) for i, s in fixtures.SOURCES], "path string, content string"))
+    f = source_features.extract(_sources(spark, d).select(F.col("id").cast("string").alias("path"), F.col("source").alias("content")))
     return f.select("path", "name", "node_type", "line_start", "line_end", joined("strings").alias("strings"), "hash_value")
 
 

@@ -1,8 +1,11 @@
-"""Small inputs for operators whose own tables the driver doesn't have, for Spark and as SQL."""
+"""Forms of source code, listings and patches that the given tables lack: each vendor fills them in, for Spark and as SQL."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 LISTING = """
 a.o:     file format elf64-x86-64
@@ -109,8 +112,24 @@ def values(rows: list[tuple], names: str) -> str:
     return f"(VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) t({names})"
 
 
-def listing(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(LISTING_ROWS, "binary string, line_no int, line string")
+def filled(spark: SparkSession, sf_dir: str, rows: list[tuple], schema: str) -> DataFrame:
+    """The rows once for each vendor, with its id as row_id and its name as own."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    forms = F.from_json(F.lit(json.dumps([dict(zip(names, r)) for r in rows])), f"array<struct<{', '.join(x.replace(' ', ': ', 1) for x in schema.split(', '))}>>")
+    v = spark.read.parquet(f"{sf_dir}/vendors.parquet").filter("vendor_id is not null").select(F.col("vendor_id").alias("row_id"), F.coalesce("name", F.lit("")).alias("own"))
+    return v.select("row_id", "own", F.inline(forms))
+
+
+def filled_sql(rows: list[tuple], names: str) -> str:
+    """`filled` as a DuckDB subquery."""
+    return f"(SELECT v.vendor_id AS row_id, coalesce(v.name, '') AS own, t.* FROM vendors v, {values(rows, names)} WHERE v.vendor_id IS NOT NULL)"
+
+
+def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A listing for each vendor, whose name stands in a comment of its source."""
+    l = filled(spark, sf_dir, LISTING_ROWS, "binary string, line_no int, line string")
+    return l.select(F.concat("binary", F.col("row_id").cast("string")).alias("binary"), "line_no", F.replace("line", F.lit("checked"), F.col("own")).alias("line"))
 
 
 LISTING_ROWS = [("a.o", i, x) for i, x in enumerate(LISTING.split("\n"))]
+LISTING_SQL = f"(SELECT bin || row_id AS bin, line_no, replace(line, 'checked', own) AS line FROM {filled_sql(LISTING_ROWS, 'bin, line_no, line')})"

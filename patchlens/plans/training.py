@@ -12,7 +12,7 @@ from patchlens.sources import files
 
 query, table, joined = C.query, C.table, C.joined
 
-# ---- training items: source lines, instructions and answers that a rule makes ----
+# ---- training items: source lines, instructions and answers that a rule makes of a vendor's name ----
 
 
 def _items() -> list[tuple]:
@@ -25,11 +25,13 @@ def _items() -> list[tuple]:
 
 
 _ITEMS = _items()
-_ITEM_VALUES = fixtures.values(_ITEMS, "id, src_codes, asm_codes, answer_asm_codes")
+#: The item of a vendor's id, its first lines' names replaced by the vendor's.
+_ITEM_VALUES = f"(SELECT row_id * 100 + id AS id, list_transform(src_codes, lambda x: replace(x, 'v1', own)) AS src_codes, asm_codes, answer_asm_codes FROM {fixtures.filled_sql(_ITEMS, 'id, src_codes, asm_codes, answer_asm_codes')} WHERE id % 8 = row_id % 8)"
 
 
-def _training(spark):
-    return spark.createDataFrame(_ITEMS, "id int, src_codes array<string>, asm_codes array<string>, answer_asm_codes array<string>")
+def _training(spark, d):
+    f = fixtures.filled(spark, d, _ITEMS, "id int, src_codes array<string>, asm_codes array<string>, answer_asm_codes array<string>").filter("id % 8 = row_id % 8")
+    return f.select((F.col("row_id") * 100 + F.col("id")).alias("id"), F.transform("src_codes", lambda x: F.replace(x, F.lit("v1"), F.col("own"))).alias("src_codes"), "asm_codes", "answer_asm_codes")
 
 
 _EFFECTIVE = f"len({C._effective(C._src_lines('src_codes'))})"
@@ -37,17 +39,17 @@ _EFFECTIVE = f"len({C._effective(C._src_lines('src_codes'))})"
 
 @query(f"SELECT id, n::int AS effective_src_length FROM (SELECT *, {_EFFECTIVE} AS n FROM {_ITEM_VALUES}) WHERE n >= 5 AND len(asm_codes) <= 50 AND len(answer_asm_codes) > 2 * n AND len(answer_asm_codes) < 10 * n")
 def positioning_items(spark, d):
-    return sampling.positioning_items(_training(spark)).select("id", "effective_src_length")
+    return sampling.positioning_items(_training(spark, d)).select("id", "effective_src_length")
 
 
 @query(f"SELECT id, n::int AS effective, 1 AS label FROM (SELECT *, {_EFFECTIVE} AS n FROM {_ITEM_VALUES}) WHERE n >= 10 AND len(asm_codes) >= 2 * n")
 def positive_items(spark, d):
-    return sampling.positive_items(_training(spark)).select("id", "effective", "label")
+    return sampling.positive_items(_training(spark, d)).select("id", "effective", "label")
 
 
 @query(rf"SELECT id FROM {_ITEM_VALUES} WHERE len(list_filter(src_codes, lambda x: len(string_split_regex({C._STRIP.format('x')}, '\s+')) > 1)) >= 3 AND len(asm_codes) <= 60")
 def long_context_items(spark, d):
-    return sampling.long_context_items(_training(spark)).select("id")
+    return sampling.long_context_items(_training(spark, d)).select("id")
 
 
 @query("SELECT doc_id FROM labels JOIN documents USING (doc_id) WHERE quality <> 1 AND text <> '' AND lang <> ''")
@@ -84,16 +86,16 @@ def window_items(spark, d):
 
 
 @query(rf"""{C._LONGEST_SQL}, {C._MAPPINGS}, {C._LINED},
-b AS (SELECT name, mno, row_number() OVER (PARTITION BY name ORDER BY mno) AS k, count(*) OVER (PARTITION BY name) AS n, len(list_filter(src, lambda x: contains(x, '{{'))) > 0 AS opens FROM r),
-o AS (SELECT name, least(coalesce(min(k) FILTER (opens), 0) + 1, max(n)) AS start FROM b GROUP BY name)
-SELECT name AS function_name, coalesce(string_agg(code, '|' ORDER BY line_no), '') AS asm FROM c JOIN b USING (name, mno) JOIN o USING (name) WHERE k >= start GROUP BY name""")
+b AS (SELECT bin, name, mno, row_number() OVER (PARTITION BY bin, name ORDER BY mno) AS k, count(*) OVER (PARTITION BY bin, name) AS n, len(list_filter(src, lambda x: contains(x, '{{'))) > 0 AS opens FROM r),
+o AS (SELECT bin, name, least(coalesce(min(k) FILTER (opens), 0) + 1, max(n)) AS start FROM b GROUP BY bin, name)
+SELECT bin AS binary, name AS function_name, coalesce(string_agg(code, '|' ORDER BY line_no), '') AS asm FROM c JOIN b USING (bin, name, mno) JOIN o USING (bin, name) WHERE k >= start GROUP BY bin, name""")
 def body_items(spark, d):
-    return sampling.body_items(C._longest(spark)).select("function_name", joined("asm_codes").alias("asm"))
+    return sampling.body_items(C._longest(spark, d)).select("binary", "function_name", joined("asm_codes").alias("asm"))
 
 
 @query()
 def training_texts(spark, d):
-    return _training(spark).select("id", sampling.train_text(F.col("src_codes"), F.col("asm_codes")).alias("train_text"))
+    return _training(spark, d).select("id", sampling.train_text(F.col("src_codes"), F.col("asm_codes")).alias("train_text"))
 
 
 @query()
@@ -135,15 +137,18 @@ _CASES = [
     (4, None, False, "g", ["a"], ["a"], ["a"]), (5, "y", False, "h", [], ["a"], ["a"]), (6, "y", False, "k", ["a b", "c"], ["-b", " c"], []), (6, "y", False, "m", ["q"], ["r"], ["q"]),
 ]
 _CASE_NAMES = "id, binary_name, is_fixed, function_name, source, vul, fix"
+#: A vendor's name stands for `c` in its sources, so patches fit it or not.
+_CASE_VALUES = f"(SELECT row_id * 10 + id AS id, binary_name, is_fixed, function_name, list_transform(source, lambda x: replace(x, 'c', own)) AS source, vul, fix FROM {fixtures.filled_sql(_CASES, _CASE_NAMES)})"
 
 
 def _unsigned(l: str) -> str:
     return rf"array_to_string(list_transform({l}, lambda x: {C._STRIP.format("regexp_replace(x, '^[+-]', '')")}), ' ')"
 
 
-@query(f"SELECT id, string_agg(function_name, '|' ORDER BY function_name) AS names FROM {fixtures.values(_CASES, _CASE_NAMES)} WHERE binary_name IS NOT NULL AND len(source) > 0 AND contains({_unsigned('source')}, CASE WHEN is_fixed THEN {_unsigned('fix')} ELSE {_unsigned('vul')} END) GROUP BY id")
+@query(f"SELECT id, string_agg(function_name, '|' ORDER BY function_name) AS names FROM {_CASE_VALUES} WHERE binary_name IS NOT NULL AND len(source) > 0 AND contains({_unsigned('source')}, CASE WHEN is_fixed THEN {_unsigned('fix')} ELSE {_unsigned('vul')} END) GROUP BY id")
 def valid_cases(spark, d):
-    c = spark.createDataFrame(_CASES, "id int, binary_name string, is_fixed boolean, function_name string, source array<string>, vul array<string>, fix array<string>")
+    c = fixtures.filled(spark, d, _CASES, "id int, binary_name string, is_fixed boolean, function_name string, source array<string>, vul array<string>, fix array<string>")
+    c = c.withColumn("id", F.col("row_id") * 10 + F.col("id")).withColumn("source", F.transform("source", lambda x: F.replace(x, F.lit("c"), F.col("own"))))
     patch = F.array(F.struct(F.col("vul").alias("vul_snippet_codes"), F.col("fix").alias("fixed_snippet_codes")))
     fs = F.array_sort(F.collect_list(F.struct("function_name", F.col("source").alias("vul_source_codes"), patch.alias("patches"))))
     cases = c.groupBy("id").agg(F.first("binary_name").alias("binary_name"), F.first("is_fixed").alias("is_fixed"), fs.alias("functions"))
@@ -192,39 +197,42 @@ def expanded_context(spark, d):
 
 
 _OFFSETS = [(1, [0, 0, 0, 0, 0, 3, 5, 0], [0, 2, 0, 0, 3, 5, 9, 0], 3, 6), (2, [0], [0], -1, -1), (3, [0, 0, 0, 0, 4], [0, 0, 0, 4, 8], 0, 99)]
-_OFFSET_VALUES = "(VALUES " + ", ".join(f"({i}, {s}, {e}, {a}, {b})" for i, s, e, a, b in _OFFSETS) + ") t(id, s, e, a, b)"
+#: Each vendor looks for places that depend on its id.
+_OFFSET_VALUES = "(SELECT vendor_id * 10 + id AS id, s, e, a + vendor_id % 5 AS a, b + vendor_id % 3 AS b FROM vendors, (VALUES " + ", ".join(f"({i}, {s}, {e}, {a}, {b})" for i, s, e, a, b in _OFFSETS) + ") t(id, s, e, a, b) WHERE vendor_id IS NOT NULL)"
 _HOLDS = "list_position(list_transform(range(1, len(s) + 1), lambda i: i > m AND s[i] <= {0} AND {0} < e[i]), true) - 1"
 
 
 @query(f"SELECT id, coalesce({_HOLDS.format('a')}, 0)::int AS first_token, coalesce({_HOLDS.format('b')}, 349)::int AS last_token FROM (SELECT *, coalesce(list_filter(range(1, len(s) + 1), lambda i: s[i] = 0 AND e[i] = 0)[3], 0) AS m FROM {_OFFSET_VALUES})")
 def token_spans(spark, d):
-    o = spark.createDataFrame(_OFFSETS, "id int, s array<int>, e array<int>, a int, b int").withColumn("o", F.zip_with("s", "e", lambda x, y: F.struct(x.alias("s"), y.alias("e"))))
+    o = fixtures.filled(spark, d, _OFFSETS, "id int, s array<int>, e array<int>, a int, b int")
+    o = o.select((F.col("row_id") * 10 + F.col("id")).alias("id"), "s", "e", (F.col("a") + F.col("row_id") % 5).alias("a"), (F.col("b") + F.col("row_id") % 3).alias("b")).withColumn("o", F.zip_with("s", "e", lambda x, y: F.struct(x.alias("s"), y.alias("e"))))
     return o.select("id", evaluation.token_span(F.col("o"), F.col("a"), F.col("b"), 350).alias("t")).select("id", F.col("t.start").alias("first_token"), F.col("t.end").alias("last_token"))
 
 
 # ---- listings, paths, records ----
 
 
-@query(f"""WITH l AS (SELECT *, last_value(CASE WHEN starts_with(line, 'Disassembly of section ') THEN regexp_extract(line, '^Disassembly of section (.*):$', 1) END IGNORE NULLS) OVER (ORDER BY line_no) AS section FROM {fixtures.values(fixtures.LISTING_ROWS, 'bin, line_no, line')})
-SELECT line_no, line FROM (SELECT *, row_number() OVER (ORDER BY line_no) AS k FROM l WHERE section = '.text') WHERE k > 2""")
+@query(f"""WITH l AS (SELECT *, last_value(CASE WHEN starts_with(line, 'Disassembly of section ') THEN regexp_extract(line, '^Disassembly of section (.*):$', 1) END IGNORE NULLS) OVER (PARTITION BY bin ORDER BY line_no) AS section FROM {fixtures.LISTING_SQL})
+SELECT bin AS binary, line_no, line FROM (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY line_no) AS k FROM l WHERE section = '.text') WHERE k > 2""")
 def listing_text_lines(spark, d):
-    return listing.any_text_section(fixtures.listing(spark)).select("line_no", "line")
+    return listing.any_text_section(fixtures.listing(spark, d)).select("binary", "line_no", "line")
 
 
-@query(rf"""{C._LONGEST_SQL}, o AS (SELECT *, sum((starts_with(line, '/root') OR starts_with(line, '/usr/'))::int) OVER (PARTITION BY fno ORDER BY line_no) AS sno, starts_with(line, '/root') OR starts_with(line, '/usr/') AS opens, regexp_matches(line, '^\s*[0-9a-fA-F]+:') AS is_asm FROM f),
-e AS (SELECT *, max(is_asm::int) OVER (PARTITION BY fno, sno ORDER BY line_no) AS seen FROM o)
-SELECT name AS function_name, max(CASE WHEN opens THEN line END) AS line_position, coalesce(string_agg(line, '|' ORDER BY line_no) FILTER (seen = 0 AND NOT opens), '') AS src, string_agg(line, '|' ORDER BY line_no) FILTER (is_asm) AS asm FROM e GROUP BY name, sno HAVING count(*) FILTER (is_asm) > 0""")
+@query(rf"""{C._LONGEST_SQL}, o AS (SELECT *, sum((starts_with(line, '/root') OR starts_with(line, '/usr/'))::int) OVER (PARTITION BY bin, fno ORDER BY line_no) AS sno, starts_with(line, '/root') OR starts_with(line, '/usr/') AS opens, regexp_matches(line, '^\s*[0-9a-fA-F]+:') AS is_asm FROM f),
+e AS (SELECT *, max(is_asm::int) OVER (PARTITION BY bin, fno, sno ORDER BY line_no) AS seen FROM o)
+SELECT bin AS binary, name AS function_name, max(CASE WHEN opens THEN line END) AS line_position, coalesce(string_agg(line, '|' ORDER BY line_no) FILTER (seen = 0 AND NOT opens), '') AS src, string_agg(line, '|' ORDER BY line_no) FILTER (is_asm) AS asm FROM e GROUP BY bin, name, sno HAVING count(*) FILTER (is_asm) > 0""")
 def listing_snippets(spark, d):
-    s = listing.snippets(listing.split_functions(listing.text_section(fixtures.listing(spark)), last_wins=False), home="/root")
-    return s.select("function_name", "line_position", joined("src_lines").alias("src"), joined("asm_lines").alias("asm"))
+    s = listing.snippets(listing.split_functions(listing.text_section(fixtures.listing(spark, d)), last_wins=False), home="/root")
+    return s.select("binary", "function_name", "line_position", joined("src_lines").alias("src"), joined("asm_lines").alias("asm"))
 
 
 _PLACES = [(1, "/b/__tmp/./x/y.c:12"), (2, "a:b.c:7 (discriminator 3)"), (3, "a.c:?"), (4, "/root/__tmp/z.h: 9 ")]
 
 
-@query(rf"""SELECT id, p AS path, try_cast(string_split(trim(q), ' ')[1] AS int) AS line_number, contains(trim(q), ' ') AS is_discriminator, regexp_replace(string_split(p, '__tmp/')[-1], '^\./', '') || '__f' AS key FROM (SELECT id, regexp_extract(t, '^(.*):([^:]*)$', 1) AS p, regexp_extract(t, '^(.*):([^:]*)$', 2) AS q FROM {fixtures.values(_PLACES, 'id, t')})""")
+@query(rf"""SELECT id, p AS path, try_cast(string_split(trim(q), ' ')[1] AS int) AS line_number, contains(trim(q), ' ') AS is_discriminator, regexp_replace(string_split(p, '__tmp/')[-1], '^\./', '') || '__f' AS key FROM (SELECT id, regexp_extract(t, '^(.*):([^:]*)$', 1) AS p, regexp_extract(t, '^(.*):([^:]*)$', 2) AS q FROM (SELECT row_id * 10 + id AS id, replace(replace(t, '12', row_id::varchar), 'y', own) AS t FROM {fixtures.filled_sql(_PLACES, 'id, t')}))""")
 def line_positions(spark, d):
-    p = spark.createDataFrame(_PLACES, "id int, t string").select("id", T.line_position(F.col("t")).alias("p"))
+    t = F.replace(F.replace("t", F.lit("12"), F.col("row_id").cast("string")), F.lit("y"), F.col("own"))
+    p = fixtures.filled(spark, d, _PLACES, "id int, t string").select((F.col("row_id") * 10 + F.col("id")).alias("id"), t.alias("t")).select("id", T.line_position(F.col("t")).alias("p"))
     return p.select("id", "p.path", "p.line_number", "p.is_discriminator", T.function_key(F.col("p.path"), F.lit("f")).alias("key"))
 
 
@@ -242,9 +250,11 @@ def compile_jobs(spark, d):
 _DETAILS = [("CVE-1", "u1", "r1", "h1", "a.c", "f"), ("CVE-1", "u1", "r1", "h1", "a.c", "f"), ("CVE-1", "u2", "r2", "h2", "b.CPP", "g"), ("CVE-1", "u3", "", "h3", "c.c", "g"), ("CVE-2", "u4", "r4", "h4", "doc.md", "x"), ("CVE-2", "u5", "r5", None, "d.h", "x"), ("CVE-3", "u6", "r6", "h6", "e.hpp", "y")]
 
 
-@query(f"SELECT public_id, string_agg(url || ':' || affected_file, ',' ORDER BY url) AS details FROM (SELECT DISTINCT * FROM {fixtures.values(_DETAILS, 'public_id, url, raw, hunk_code, affected_file, affected_function')} WHERE regexp_matches(affected_file, '\\.(c|cpp|h|hpp|cc|C|CPP|H|HPP|CC)$') AND raw <> '' AND hunk_code <> '') GROUP BY public_id")
+@query(f"SELECT public_id, string_agg(url || ':' || affected_file, ',' ORDER BY url) AS details FROM (SELECT DISTINCT public_id || '-' || (row_id % 50) AS public_id, url || own AS url, affected_file, raw, hunk_code, affected_function FROM {fixtures.filled_sql(_DETAILS, 'public_id, url, raw, hunk_code, affected_file, affected_function')} WHERE regexp_matches(affected_file, '\\.(c|cpp|h|hpp|cc|C|CPP|H|HPP|CC)$') AND raw <> '' AND hunk_code <> '') GROUP BY public_id")
 def patch_detail_lists(spark, d):
-    p = files.patch_details(spark.createDataFrame(_DETAILS, files.DETAIL_JSON))
+    rows = fixtures.filled(spark, d, _DETAILS, files.DETAIL_JSON)
+    rows = rows.withColumn("public_id", F.concat("public_id", F.lit("-"), (F.col("row_id") % 50).cast("string"))).withColumn("url", F.concat("url", "own")).drop("row_id", "own")
+    p = files.patch_details(rows)
     return p.select("public_id", F.array_join(F.transform("details", lambda x: F.concat(x["url"], F.lit(":"), x["affected_file"])), ",").alias("details"))
 
 
