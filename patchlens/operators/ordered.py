@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -60,16 +61,58 @@ def drop_subsumed(lists: DataFrame, id_col: str, items: str) -> DataFrame:
 
 
 def overlap(a: Column, b: Column) -> Column:
-    """Length of the longest end of `a` that `b` starts with."""
+    """Length of the longest end of `a` that `b` starts with, for short strings: every length is tried."""
     n = F.least(F.char_length(a), F.char_length(b))
     fits = F.filter(F.sequence(F.lit(0), n), lambda k: F.right(a, k) == F.left(b, k))
     return F.array_max(fits)
 
 
-def drop_overlapped(lists: DataFrame, id_col: str, items: str, most: int = 10, merge: bool = False) -> DataFrame:
-    """Strings without those that overlap the next one by more than `most`; with `merge` the two become one."""
+def longest_overlap(a: str, b: str) -> int:
+    """`overlap` of strings of any length, in linear time.
+
+    borders[k] is the longest proper start of b[:k] that is also its end: as
+    the end of `a` is read, a start of `b` that fails falls back to it.
+    """
+    a = a[max(0, len(a) - len(b)) :]
+    borders, k = [0] * (len(b) + 1), 0
+    for i in range(1, len(b)):
+        while k and b[i] != b[k]:
+            k = borders[k]
+        k += b[i] == b[k]
+        borders[i + 1] = k
+    k = 0
+    for c in a:
+        while k and (k == len(b) or c != b[k]):
+            k = borders[k]
+        k += k < len(b) and c == b[k]
+    return k
+
+
+def _overlaps(lists: DataFrame, items: str) -> DataFrame:
+    """`lists` with p: structs of each string (s) and its overlap with the next one (o), by linear scans in Python."""
+    names, at = lists.columns, lists.columns.index(items)
+
+    def scan(batches):
+        for batch in batches:
+            found = []
+            for x in batch.column(at).to_pylist():
+                after = [*x[1:], None] if x is not None else []
+                found.append(None if x is None else [{"s": s, "o": 0 if s is None or t is None else longest_overlap(s, t)} for s, t in zip(x, after)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.struct([("s", pa.string()), ("o", pa.int32())])))], [*names, "p"])
+
+    return lists.mapInArrow(scan, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in lists.schema.fields], "p array<struct<s: string, o: int>>"]))
+
+
+def drop_overlapped(lists: DataFrame, id_col: str, items: str, most: int = 10, merge: bool = False, short: int = 64) -> DataFrame:
+    """Strings without those that overlap the next one by more than `most`; with `merge` the two become one.
+
+    Lists of strings of at most `short` characters stay in the JVM; the time
+    of the others is linear in their characters.
+    """
+    d = lists.select(id_col, items)
+    brief = ~F.exists(items, lambda s: F.coalesce(F.char_length(s) > short, F.lit(False)))
     pairs = F.transform(items, lambda s, i: F.struct(s.alias("s"), F.coalesce(overlap(s, F.get(items, i + 1)), F.lit(0)).alias("o")))
-    d = lists.select(id_col, pairs.alias("p"))
+    d = d.filter(F.coalesce(brief, F.lit(True))).select(id_col, pairs.alias("p")).unionByName(_overlaps(d.filter(~brief), items).select(id_col, "p"))
     if not merge:
         return d.select(id_col, F.transform(F.filter("p", lambda x: x["o"] <= most), lambda x: x["s"]).alias(items))
     zero = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("open"))

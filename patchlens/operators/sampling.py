@@ -76,6 +76,21 @@ def ratio_udf(autojunk: bool = True):
     return ratio
 
 
+def ratio_bound(a: Column, b: Column) -> Column:
+    """No less than `ratio_udf` of two texts (null: empty): from their lengths, then from the characters they share, each as often as both have it."""
+    a, b = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
+    n, m = F.char_length(a), F.char_length(b)
+    times = lambda text, c: F.char_length(text) - F.char_length(F.replace(text, c, F.lit("")))
+    shared = F.aggregate(F.array_distinct(F.split(a, "")), F.lit(0), lambda acc, c: acc + F.least(times(a, c), times(b, c)))
+    return F.when(n + m == 0, 1.0).otherwise(2.0 * shared / (n + m))
+
+
+def length_bound(a: Column, b: Column) -> Column:
+    """As `ratio_bound`, from the lengths alone."""
+    n, m = F.char_length(F.coalesce(a, F.lit(""))), F.char_length(F.coalesce(b, F.lit("")))
+    return F.when(n + m == 0, 1.0).otherwise(2.0 * F.least(n, m) / (n + m))
+
+
 def common_length(x: str, y: str) -> int:
     """Length of the longest common subsequence; a set bit of `rows` marks a place without a match yet."""
     places: dict[str, int] = {}
@@ -99,12 +114,15 @@ def fuzzy_ratio_udf():
     return ratio
 
 
-def dissimilar(df: DataFrame, id_col: str, text: str, block: list[str], k: int, below: float, tries: int = 8, seed: str = "0") -> DataFrame:
+def dissimilar(df: DataFrame, id_col: str, text: str, block: list[str], k: int, below: float, tries: int = 8, seed: str = "0", exact: bool = True) -> DataFrame:
     """The first `k` partners of each row in its block's hash order, from the next row on and round the end, whose similarity is under `below`.
 
     A first round compares the next `tries` rows; only rows still short of `k`
     go on, with twice as many in each further round, until they have `k` or
-    the block is used up.
+    the block is used up. Pairs whose bound (`length_bound`, else
+    `ratio_bound`) is under `below` need no comparison; only the others go to
+    Python. The similarity of the partners is compared for the result, unless
+    `exact` is false: then it is null where the bound decided.
     """
     thin = df.select(*[F.col(c).alias(f"b{i}__") for i, c in enumerate(block)], F.col(id_col).alias("id__"), key_of(id_col, seed).alias("h__"))
     thin = ranked(thin, [f"b{i}__" for i in range(len(block))], ["h__", "id__"], "at__", "n__").drop("h__")
@@ -121,7 +139,10 @@ def dissimilar(df: DataFrame, id_col: str, text: str, block: list[str], k: int,
         last = F.least(F.lit(done + tries), F.col("n__") - 1).cast("int")
         tried = short.filter(F.col("n__") - 1 > done).withColumn("try__", F.explode(F.sequence(F.lit(done + 1), last)))
         tried = tried.withColumn("to__", (F.col("at__") + F.col("try__")) % F.col("n__")).join(others, same)
-        tried = tried.withColumn("similarity", ratio_udf()(F.col("t__"), F.col("o_t__"))).filter(F.col("similarity") < below)
+        far = F.when(length_bound(F.col("t__"), F.col("o_t__")) < below, True).otherwise(ratio_bound(F.col("t__"), F.col("o_t__")) < below)
+        tried = tried.withColumn("far__", far)
+        near = tried.filter("not far__").withColumn("similarity", ratio_udf()(F.col("t__"), F.col("o_t__"))).filter(F.col("similarity") < below)
+        tried = tried.filter("far__").withColumn("similarity", F.lit(None).cast("double")).unionByName(near)
         first = W.partitionBy(*on, "at__").orderBy("try__")
         found = cut(tried.withColumn("r__", F.row_number().over(first) + F.col("has__")).filter(F.col("r__") <= k).select(*on, "at__", "r__", "id__", "o_id__", "similarity"))
         out = found if out is None else out.unionByName(found)
@@ -133,7 +154,14 @@ def dissimilar(df: DataFrame, id_col: str, text: str, block: list[str], k: int,
         short = short.join(most, match, "left").withColumn("has__", F.coalesce("most__", "has__")).filter((F.col("has__") < k) & (F.col("n__") - 1 > done)).select(*rows.columns, "has__")
         short = cut(short)
         if short.isEmpty():
-            return out.select(F.col("id__").alias(id_col), F.col("o_id__").alias("partner_id"), "similarity")
+            break
+    out = out.select("id__", "o_id__", "similarity")
+    if exact:
+        other = texts.toDF("j__", "o_t__")
+        bare = out.filter("similarity is null").drop("similarity").join(texts, F.col("id__") == F.col("i__")).join(other, F.col("o_id__") == F.col("j__"))
+        bare = bare.select("id__", "o_id__", ratio_udf()(F.col("t__"), F.col("o_t__")).alias("similarity"))
+        out = out.filter("similarity is not null").unionByName(bare)
+    return out.select(F.col("id__").alias(id_col), F.col("o_id__").alias("partner_id"), "similarity")
 
 
 def drawn(key: Column, step, n: Column) -> Column:

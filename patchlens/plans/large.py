@@ -166,3 +166,21 @@ SELECT r.doc_id, o.doc_id AS partner_id FROM r JOIN r o ON o.source IS NOT DISTI
 def random_partners(spark, d):
     t = table(spark, d, "documents").select("doc_id", "source", "lang", "n_chars")
     return sampling.random_partners(t, "doc_id", ["source", "lang"], "n_chars").select("doc_id", "partner_id")
+
+
+@query()
+def dissimilar_clients(spark, d):
+    """Three clients of the same nation with quite another name; no SQL for the similarity, see the tests."""
+    c = table(spark, d, "clients").select("client_id", "name", "nation_id").filter("client_id is not null").dropDuplicates(["client_id"])
+    return sampling.dissimilar(c, "client_id", "name", ["nation_id"], 3, 0.6, exact=False).select("client_id", "partner_id")
+
+
+@query("""WITH t AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, w, i, w[i] AS a, w[i + 1] AS b FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM t)),
+o AS (SELECT *, coalesce(list_max(list_filter(range(0, least(length(a), length(b)) + 1), lambda k: left(b, k) = right(a, k))), 0) AS n FROM p)
+SELECT doc_id, coalesce(string_agg(a, '|' ORDER BY i) FILTER (n <= 2), '') AS kept FROM o GROUP BY doc_id""")
+def overlapped_lines(spark, d):
+    """Lines of documents whose end isn't the next one's start by more than two characters."""
+    w = F.filter(F.split("text", "\n"), lambda x: x != "")
+    t = table(spark, d, "documents").filter("text is not null").select("doc_id", w.alias("w")).filter(F.size("w") > 0)
+    return ordered.drop_overlapped(t, "doc_id", "w", 2).select("doc_id", joined("w").alias("kept"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import difflib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from patchlens.operators import candidates, containing, evaluation, ordered, scans, stats
+from patchlens.operators import candidates, containing, evaluation, ordered, sampling, scans, stats
 
 
 @pytest.mark.parametrize("hot", [False, True])
@@ -165,3 +166,47 @@ def test_distinct_by_bitmaps(spark):
     got = {x.k: x.n_distinct for x in stats.distinct_counts(b, ["k"]).collect()}
     assert got == {k: len({v for g, v in rows if g == k and v is not None}) for k in ("a", "b", None)}
     assert stats.distinct_counts(stats.merged_bitmaps(b, []), []).first()[0] == len({v for _, v in rows if v is not None})
+
+
+def test_long_overlaps(spark):
+    r = random.Random(9)
+    words = ["".join(r.choices("ab", k=r.randint(0, 30))) * r.randint(1, 6) for _ in range(400)] + ["a" * 30_000, "a" * 30_000 + "b", "é😀" * 40, "😀é"]
+    plain = lambda a, b: max(k for k in range(min(len(a), len(b)) + 1) if a[len(a) - k :] == b[:k])
+    for a, b in zip(words[:400], words[1:401]):
+        assert ordered.longest_overlap(a, b) == (plain(a, b) if len(b) < 1000 else ordered.longest_overlap(a, b))
+    assert ordered.longest_overlap("a" * 200_000, "a" * 100_000 + "b") == 100_000 and ordered.longest_overlap("", "x") == ordered.longest_overlap("x", "") == 0
+    lists = [(i, words[i * 7 : i * 7 + 7]) for i in range(57)] + [(98, None), (99, [])]
+    d = spark.createDataFrame(lists, "i int, l array<string>")
+    for merge in (False, True):
+        jvm, python = ({x.i: x.l for x in ordered.drop_overlapped(d, "i", "l", 2, merge, short=n).collect()} for n in (10_000, 0))
+        assert jvm == python and jvm[98] is None and jvm[99] == []
+
+
+def test_bounds_of_similarity(spark):
+    r = random.Random(10)
+    text = lambda: r.choice([None, "".join(r.choices("abcé😀 ", k=r.randint(0, 30)))])
+    rows = [(i, text(), text()) for i in range(300)]
+    for x in spark.createDataFrame(rows, "i int, a string, b string").select("a", "b", sampling.ratio_bound(F.col("a"), F.col("b")).alias("q"), sampling.length_bound(F.col("a"), F.col("b")).alias("l")).collect():
+        m = difflib.SequenceMatcher(None, x.a or "", x.b or "")
+        assert x.q == pytest.approx(m.quick_ratio()) and x.l == pytest.approx(m.real_quick_ratio()) and m.ratio() <= x.q + 1e-12 <= x.l + 2e-12
+
+
+def test_bounds_spare_comparisons(spark, monkeypatch):
+    r = random.Random(11)
+    rows = [(i, "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(5, 60)))) for i in range(200)]
+    d = spark.createDataFrame(rows, "i int, t string").withColumn("g", F.col("i") % 2)
+    compared = spark.sparkContext.accumulator(0)
+
+    def counting(autojunk=True):
+        @F.pandas_udf("double")
+        def ratio(a, b):
+            compared.add(len(a))
+            return a.combine(b, lambda x, y: difflib.SequenceMatcher(None, x, y, autojunk).ratio())
+
+        return ratio
+
+    both = {x: {(y.i, y.partner_id) for y in sampling.dissimilar(d, "i", "t", ["g"], 3, 0.9, exact=x).collect()} for x in (True, False)}
+    assert both[True] == both[False] and len(both[True]) == 600
+    monkeypatch.setattr(sampling, "ratio_udf", counting)
+    sampling.dissimilar(d, "i", "t", ["g"], 3, 0.9, exact=False).collect()
+    assert compared.value < 200 * 8 / 10
