@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import pathlib
 import random
 import re
 import zlib
@@ -21,8 +22,10 @@ from patchlens.llm.html_blocks import Block, Node, blocks
 PATH, WORD, SHAPE = 192, 32, 6
 #: Blocks of a page that are labelled at a time; a longer page hands each direction's state on.
 STRETCH = 1024
-#: Pages made for training.
-TRAINING_PAGES = 3000
+#: Pages made for training, and how often it goes through them.
+TRAINING_PAGES, EPOCHS = 6000, 16
+#: What `python -m patchlens.llm.html_main` writes.
+WEIGHTS = pathlib.Path(__file__).with_name("html_main_weights.npz")
 #: What marks a piece of text of the article while a training page is parsed; it is taken out of the text again.
 MARK = "\ue001"
 
@@ -125,7 +128,7 @@ def _page(r: random.Random) -> str:
     header = classed("header", ["header", "site-header", "masthead", "top"], f"<h1>{words(2)}</h1>" + some([f"<p>{words(5)}</p>", nav], 0.5), 0.5)
     banner = classed("div", ["header", "masthead", "banner", "logo", "topbar"], f"<{(t := r.choice(['h1', 'h2', 'p', 'span']))}>{words(3)}</{t}>")
     advert = lambda: classed(box(), ["ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner-ad"], r.choice([words(r.randint(3, 40)), prose(2)]))
-    notice = lambda: classed(r.choice(["div", "section", "p"]), ["cookie-notice", "notice", "cookie", "consent", "gdpr", "alert", "popup", "modal", "newsletter", "paywall"], f"<span>{r.choice([words(r.randint(3, 30)), 'We use cookies. Accept', 'Subscribe to our newsletter'])}</span>")
+    notice = lambda: classed(r.choice(["div", "section", "p"]), ["cookie-notice", "notice", "cookie", "consent", "gdpr", "alert", "popup", "modal", "newsletter", "paywall", "cc-window", "cookie-bar", "cookiebar", "privacy", "subscribe"], r.choice(["<span>{}</span>", "{}", "<p>{}</p>"]).format(r.choice([words(r.randint(3, 30)), "We use cookies. Accept", "This website uses cookies to ensure you get the best experience", "Subscribe to our newsletter"])))
     sidebar = lambda: classed(r.choice(["aside", "aside", "div"]), ["sidebar", "side", "widget", "related", "recommended", "popular", "more", "trending"], r.choice([f"<h3>{words(2)}</h3><ul>{links(r.randint(2, 6))}</ul>", prose(r.randint(1, 4)), f"<h4>{words(2)}</h4>" + prose(1)]))
     aside = lambda: f"<aside>{r.choice([prose(r.randint(1, 3)), links(3)])}</aside>"
     form = lambda: f'<form action="/q"{r.choice(["", " class=search", " id=login"])}>{r.choice(["", f"<label>{words(2)}</label>"])}<input name="q"><button>{words(1)}</button>{some([f"<p>{words(r.randint(2, 12))}</p>", f"<div>{words(3)}</div>"], 0.5)}</form>'
@@ -133,12 +136,15 @@ def _page(r: random.Random) -> str:
 
     def comments() -> str:
         t = comment()
-        each = "".join(f'<{t} class="{r.choice(["comment", "reply", "comment-body"])}">{words(2)}{"" if t == "p" else prose(r.randint(1, 3))}</{t}>' for _ in range(r.randint(1, 6)))
-        return classed(r.choice(["section", "div", "ul", "aside"]), ["comments", "comment-list", "discussion", "responses", "replies", "comment"], f"<h3>{words(2)}</h3>{each}")
+        own = r.choice(["", ' class="comment"', ' class="reply"', ' class="comment-body"', ' class="review"', ' class="message"'])
+        name = lambda: r.choice([words(2), f"<b>{words(2)}</b>", ""])
+        each = "".join(f"<{t}{own}>{name()}{words(r.randint(2, 12)) if t == 'p' else r.choice([prose(r.randint(1, 3)), words(r.randint(2, 20))])}</{t}>" for _ in range(r.randint(1, 6)))
+        names = ["comments", "comment-list", "discussion", "responses", "replies", "comment", "comment-thread", "thread", "disqus_thread", "disqus", "reviews", "user-reviews", "customer-reviews", "feedback", "reader-comments", "conversation"]
+        return classed(r.choice(["section", "div", "ul", "aside"]), names, r.choice(["", f"<h3>{words(2)}</h3>"]) + each)
 
     share = lambda: classed("div", ["share", "social", "tags", "byline", "meta", "pagination"], r.choice([links(3, "span"), words(3)]))
     footer = classed("footer", ["footer", "site-footer", "bottom"], r.choice([f"&copy; {words(r.randint(2, 20))}", prose(2), f"<ul>{links(4)}</ul><p>&copy; {words(4)}</p>", f"&copy; x &middot; {words(9)}\n{words(3)}"]), 0.7)
-    bottom = classed("div", ["footer", "bottom", "copyright", "legal", "foot"], r.choice([prose(2), links(4)]))
+    bottom = classed("div", ["footer", "bottom", "copyright", "legal", "foot", "colophon", "imprint", "impressum", "fusszeile", "pied", "pie-de-pagina", "disclaimer"], r.choice([prose(2), links(4), words(r.randint(1, 4))]))
 
     text = lambda n: MARK + words(n)
     body = [f"<h1>{text(r.randint(1, 9))}</h1>"] if r.random() < 0.8 else []
@@ -151,6 +157,7 @@ def _page(r: random.Random) -> str:
             forms += [
                 f"<h2>{text(3)}</h2><p>{t}</p>", f"<ul><li>{t}</li><li>{text(4)}</li></ul>", f"<blockquote>{t}</blockquote>", f"<p><b>{t}<br><p>{text(9)}</p>", f"<div>{t}</div>", f"<div{attribute(odd())}>{t}</div>",
                 f"<section{attribute(odd())}><p>{t}</p></section>", f"<div><p>{t}</p></div>", f"<p>{t} <a href=x>{words(2)}</a> {words(4)}</p>", f"<pre>{t}</pre>",
+                f"<ul>{''.join(f'<li><a href=x>{text(r.randint(1, 6))}</a></li>' for _ in range(r.randint(2, 8)))}</ul><p>{t}</p>", f"<p>{t}</p><ul>{''.join(f'<li><a href=x>{text(r.randint(1, 6))}</a></li>' for _ in range(r.randint(2, 8)))}</ul>",
                 f"<table><tr><td>{t}</td><td>{text(2)}</td></tr></table>", f"<figure><figcaption>{t}</figcaption></figure>", f"<dl><dt>{text(1)}</dt><dd>{t}</dd></dl>",
             ]
         body.append(r.choice(forms))
@@ -189,12 +196,18 @@ def training_blocks(page: str) -> tuple[list[Block], np.ndarray]:
     return [b._replace(text=b.text.replace(MARK, "")) for b in marked], np.array([MARK in b.text for b in marked], np.float32)
 
 
-@functools.lru_cache(1)
-def weights(pages: int = TRAINING_PAGES, seed: int = 7) -> dict[str, np.ndarray]:
-    """The labeller, fitted to `pages` pages that a fixed rule makes; the same in every process."""
+def trained(pages: int = TRAINING_PAGES, epochs: int = EPOCHS, seed: int = 7) -> dict[str, np.ndarray]:
+    """The labeller, fitted to `pages` pages that a fixed rule makes."""
     r = random.Random(seed)
     made = [training_blocks(_page(r)) for _ in range(pages)]
-    return lstm.fit([(vectors(b), y) for b, y in made if b])
+    return lstm.fit([(vectors(b), y) for b, y in made if b], epochs=epochs)
+
+
+@functools.lru_cache(1)
+def weights() -> dict[str, np.ndarray]:
+    """What `trained` gave: some minutes of one core, so it is kept beside this file."""
+    with np.load(WEIGHTS) as kept:
+        return dict(kept)
 
 
 def label(w: dict[str, np.ndarray], pages: list[list[Block]]) -> list[np.ndarray]:
@@ -223,8 +236,8 @@ def extract_main(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     probability; blocks at or over `threshold` are joined in page order by a
     line feed. Nothing else is dropped or cut, and every block is labelled in
     the context of its whole page: long pages run in stretches that hand the
-    state of each direction on. The labeller is trained when first used, on
-    pages made by a fixed rule (see weights), so its size and its result don't
+    state of each direction on. The labeller was trained on pages made by
+    a fixed rule (see trained) and is stored, so its size and its result don't
     depend on the data; pages don't meet each other: no shuffle. Parsing and
     labelling are linear in the page.
 
@@ -248,3 +261,7 @@ def extract_main(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
 
     d = d.mapInArrow(main, kind)
     return d.select(F.col("id").alias(id_col), *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)], "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+if __name__ == "__main__":
+    np.savez(WEIGHTS, **trained())
