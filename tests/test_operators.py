@@ -141,7 +141,7 @@ def test_token_span(spark):
 
 
 def test_listing_variants(spark):
-    l = fixtures.listing(spark)
+    l = spark.createDataFrame(fixtures.LISTING_ROWS, "binary string, line_no int, line string")
     assert {r.function_name: len(r.asm_codes) for r in listing.flat_functions(l).collect()} == {"helper": 7, "parse_len": 6}
     assert listing.any_text_section(l).count() == listing.text_section(l).count() - 2
     s = listing.snippets(listing.split_functions(listing.text_section(l), last_wins=False), home="/root").collect()
