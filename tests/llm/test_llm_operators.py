@@ -228,8 +228,8 @@ SAID = "The council met on Tuesday to discuss the plan. Many people came to hear
     ],
 )
 def test_comments_notices_and_footers_under_other_names_go(around):
-    # known miss: before reader-thread, an article without other wrapper loses its last paragraph
-    for wrapper in ["<article>{}</article>", "<div class='x1'>{}</div>"]["reader-thread" in around :]:
+    # known miss: in a wrapper that says nothing, an article loses its last paragraph before reader-thread
+    for wrapper in ["<article>{}</article>", "<div class='x1'>{}</div>"][: 1 if "reader-thread" in around else 2]:
         page = around.format(wrapper.format("<h1>Title here</h1>" + f"<p>{SAID}</p>" * 3))
         assert main_blocks(page) == ["Title here", *[SAID.strip()] * 3]
 
