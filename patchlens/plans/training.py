@@ -93,7 +93,12 @@ def body_items(spark, d):
     return sampling.body_items(C._longest(spark, d)).select("binary", "function_name", joined("asm_codes").alias("asm"))
 
 
-@query()
+_TRAIN = "concat('[SRC_CODE] ', array_to_string(s[:l], ' '), ' [SEP] [ASM_CODE] ', array_to_string(a[:o], ' '))"
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT id, src_codes AS s, asm_codes AS a, len(src_codes) AS n, len(asm_codes) AS m, coalesce(round_even(len(asm_codes)::double / nullif(len(src_codes), 0), 0), 0)::int AS each FROM {_ITEM_VALUES}),
+g AS (SELECT *, 0 AS t, 1 AS l, 3 AS o FROM d UNION ALL SELECT id, s, a, n, m, each, t + 1, l + CASE WHEN length(s[least(l + 1, n)]) = 1 OR s[least(l + 1, n)] = '"STR"' THEN 2 ELSE 1 END, o + each FROM g WHERE n > 0 AND l <= n AND o <= m AND (t = 0 OR length({_TRAIN}) <= 1000))
+SELECT id, arg_max({_TRAIN}, t) AS train_text FROM g GROUP BY id""")
 def training_texts(spark, d):
     return _training(spark, d).select("id", sampling.train_text(F.col("src_codes"), F.col("asm_codes")).alias("train_text"))
 
