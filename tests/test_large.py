@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import difflib
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from patchlens.operators import candidates, containing, evaluation, ordered, sampling, scans, stats
+from patchlens.plans import relational
 
 
 @pytest.mark.parametrize("hot", [False, True])
@@ -210,3 +212,57 @@ def test_bounds_spare_comparisons(spark, monkeypatch):
     monkeypatch.setattr(sampling, "ratio_udf", counting)
     sampling.dissimilar(d, "i", "t", ["g"], 3, 0.9, exact=False).collect()
     assert compared.value < 200 * 8 / 10
+
+
+def _made_by_joins(df):
+    """Rows of a plan's joins as it ran, the most of any of them."""
+    found, left = [], [df._jdf.queryExecution().executedPlan()]
+    while left:
+        p = left.pop()
+        kind = p.getClass().getSimpleName()
+        left += [p.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [p.plan()] if kind.endswith("QueryStageExec") else [p.children().apply(i) for i in range(p.children().size())]
+        if kind.endswith("JoinExec"):
+            found.append(p.metrics().apply("numOutputRows").value())
+    return max(found)
+
+
+def _hot_id(spark):
+    """One id with 300 issues and 200 patches of two texts, others with few, none or no id."""
+    issues = [(i, "CVE-1", i % 7 > 0) for i in range(300)] + [(900, "CVE-2", True), (901, None, True), (902, "CVE-3", True), (903, "CVE-4", False)]
+    known = [(i, "CVE-1", True) for i in range(200)] + [(500, "CVE-2", True), (501, None, True), (502, "CVE-9", True), (503, "CVE-3", False), (504, "CVE-4", True), (505, "CVE-2", None)]
+    sources = [(i, f"https://{'github.com' if i % 4 else 'a.org'}/{i % 2}") for i, _, _ in known] + [(0, "https://github.com/0"), (500, None)]
+    patches = [(1000 + i, i, None if i % 2 else "raw", i % 5 > 0) for i, _, _ in known] + [(3000, 500, "raw", True)]
+    hunks = [(i, "h", "a.c", None, "x", "y") for i, _, _, _ in patches] + [(1001, "h", "a.c", None, "x", "y")]
+    versions = [(10, 1, "1.0", True), (11, 1, "1.0", True), (12, 1, None, True), (13, 1, "2.0", False), (20, 2, "2.0", True)]
+    rows = {
+        "library": [(1, "ssl", "v", None, True), (2, "xml", "w", "p", True)],
+        "library_version": versions,
+        "library_version_issue": [(10 + i % 4, i, True) for i, _, _ in issues] + [(10, 1, None), (20, 902, True)],
+        "security_issue": issues, "vulnerability": known, "patch_source": sources, "patch": patches, "patch_hunk": hunks,
+    }
+    relational.register(spark, {k: spark.createDataFrame(v, relational.VIEWS[k]) for k, v in rows.items()})
+    valid = {x[0]: x[1] for x in issues if x[2] and x[1]}  # a null id meets none
+    own = {x[0]: x for x in versions if x[1] == 1 and x[3]}
+    affected = [(own[v][2], valid[i]) for v, i, _ in rows["library_version_issue"] if v in own and i in valid]
+    patched = [(c, url, raw, *h[1:]) for u, c, ok in known if ok for o, url in sources if o == u for p, of, raw, good in patches if of == u and good for h in hunks if h[0] == p]
+    return issues, affected, patched
+
+
+def test_urls_of_an_id_of_many_issues_and_patches(spark):
+    issues, affected, patched = _hot_id(spark)
+    found = relational.patch_urls_of_library(spark, 1)
+    ids = {c for _, c in affected}
+    want = Counter((c, p[1]) for _, c, _ in issues if c in ids for p in patched if p[0] == c)
+    assert Counter((x.public_id, x.url) for x in found.collect()) == want and sum(want.values()) > 40_000
+    assert _made_by_joins(found) <= 310
+    shares = [x["count"] for x in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(shares) == 4 and max(shares) < 0.3 * sum(shares)  # the one id's rows are dealt to all tasks
+
+
+def test_details_of_an_id_of_many_issues_and_patches(spark):
+    issues, _, patched = _hot_id(spark)
+    found = relational.patch_details(spark, ["CVE-1", "CVE-2", "CVE-9"])
+    ids = {c for _, c, _ in issues} & {"CVE-1", "CVE-2", "CVE-9"}
+    got = found.collect()
+    assert len(got) == len(set(got)) and {tuple(x) for x in got} == {p for p in patched if p[0] in ids}
+    assert _made_by_joins(found) <= 310
