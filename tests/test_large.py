@@ -266,3 +266,13 @@ def test_details_of_an_id_of_many_issues_and_patches(spark):
     got = found.collect()
     assert len(got) == len(set(got)) and {tuple(x) for x in got} == {p for p in patched if p[0] in ids}
     assert _made_by_joins(found) <= 310
+
+
+def test_patches_of_a_library_of_many_issues_and_patches(spark, monkeypatch):
+    _, affected, patched = _hot_id(spark)
+    want = Counter(("ssl", "v", None, 1, version, *p) for version, c in affected for p in patched if p[0] == c and p[1] and "github" in p[1])
+    for piece in (1024, 7):
+        monkeypatch.setattr(relational, "PIECE", piece)
+        found = relational.library_vulnerabilities(spark, library=1)
+        assert Counter(tuple(x) for x in found.collect()) == want and sum(want.values()) > 10_000
+        assert _made_by_joins(found) <= 310
