@@ -276,3 +276,41 @@ def test_patches_of_a_library_of_many_issues_and_patches(spark, monkeypatch):
         found = relational.library_vulnerabilities(spark, library=1)
         assert Counter(tuple(x) for x in found.collect()) == want and sum(want.values()) > 10_000
         assert _made_by_joins(found) <= 310
+
+
+def _dealt(df):
+    """Rows that a plan's shuffles wrote as it ran."""
+    found, left = 0, [df._jdf.queryExecution().executedPlan()]
+    while left:
+        p = left.pop()
+        kind = p.getClass().getSimpleName()
+        left += [p.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [p.plan()] if kind.endswith("QueryStageExec") else [p.children().apply(i) for i in range(p.children().size())]
+        if kind == "ShuffleExchangeExec":
+            found += p.metrics().apply("shuffleRecordsWritten").value()
+    return found
+
+
+def test_copies_are_dealt_in_few_shares(spark):
+    counts = {"hot": 30_000_001, "warm": 262_145, "few": 3, "one": 1, "piece": 1024, "more": 1025, "less": 1023, "none": 0, "null": None}
+    made = relational._repeated(spark.createDataFrame(list(counts.items()), "k string, times bigint").coalesce(1), "times")
+    assert made.columns == ["k"]
+    found = made.groupBy("k", F.spark_partition_id().alias("task")).count()
+    rows = found.collect()
+    total = Counter()
+    for r in rows:
+        total[r.k] += r["count"]
+    assert total == {k: c for k, c in counts.items() if c}
+    hot = [r["count"] for r in rows if r.k == "hot"]
+    assert len(hot) == 4 and max(hot) < 0.3 * sum(hot)
+    # some 29,300 pieces of 1,024 before; now 64 shares a task, their rest, the other rows, and the groups of the count
+    assert _dealt(found) < 1_000
+
+
+@pytest.mark.parametrize(("piece", "shares"), [(1, 1), (2, 1), (3, 2), (1024, 64)])
+def test_urls_in_shares_of_many_pieces(spark, monkeypatch, piece, shares):
+    issues, affected, patched = _hot_id(spark)
+    monkeypatch.setattr(relational, "PIECE", piece)
+    monkeypatch.setattr(relational, "SHARES", shares)
+    ids = {c for _, c in affected}
+    want = Counter((c, p[1]) for _, c, _ in issues if c in ids for p in patched if p[0] == c)
+    assert Counter((x.public_id, x.url) for x in relational.patch_urls_of_library(spark, 1).collect()) == want
