@@ -306,6 +306,16 @@ def test_copies_are_dealt_in_few_shares(spark):
     assert _dealt(found) < 1_000
 
 
+def test_a_share_is_not_held_whole(spark):
+    """Generated code holds all rows it makes of one of its input rows, so what makes pieces and what makes copies may not share it."""
+    made = relational._repeated(spark.createDataFrame([("hot", 30_000_001)], "k string, times bigint"), "times")
+    found = made.groupBy("k").count()
+    assert [tuple(x) for x in found.collect()] == [("hot", 30_000_001)]
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    copies, pieces, _ = [x.split("Generate explode")[0].strip(" :+-") for x in plan.splitlines() if "Generate explode" in x]
+    assert copies.startswith("*(") and pieces != copies, plan
+
+
 @pytest.mark.parametrize(("piece", "shares"), [(1, 1), (2, 1), (3, 2), (1024, 64)])
 def test_urls_in_shares_of_many_pieces(spark, monkeypatch, piece, shares):
     issues, affected, patched = _hot_id(spark)
